@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
+from .decontaminate import op9_decontaminate
 from .quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
