@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import op9_decontaminate
+from .jaccard_join import op2_jaccard_join
 from .quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
