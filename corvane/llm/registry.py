@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from . import line_dedup, url_filter
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+}
