@@ -6,8 +6,10 @@ from . import line_dedup, url_filter
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
+from .pii import op7_pii
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
+from .secret_scan import op10_secret_scan
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -15,8 +17,10 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
