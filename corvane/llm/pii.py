@@ -118,7 +118,7 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns(found).drop(*[f"{_io.OWN}m_w_{k}" for k in KINDS])
 
 
-def examples(n: int = 1600, seed: int = 7) -> list[tuple[str, str, int]]:
+def examples(n: int = 2400, seed: int = 7) -> list[tuple[str, str, int]]:
     """(text, kind, is personal) made from templates; each holds one candidate of its kind."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -146,7 +146,7 @@ def examples(n: int = 1600, seed: int = 7) -> list[tuple[str, str, int]]:
         elif kind == "email":
             v, lead = rng.choice([f"{word()} at {word()}.{word()}", f"{word()} at {num(1)}.{num(2)}", f"look at {word()}.Then", f"{word()} at {word()}.txt"]), rng.choice(["we met ", "see ", "", "price "])
         elif kind == "ip" and good:
-            v, lead = ":".join([rng.choice(["2001", "2a02", "fe80", "2607"]), *(f"{rng.randrange(1 << rng.choice([3, 8, 16, 16])):x}" for _ in range(7))]), rng.choice(["host ", "from ", "server ", ""])
+            v, lead = ":".join([rng.choice(["2001", "2a02", "fe80", "2607"]), *(f"{rng.randrange(1 << rng.choice([3, 3, 8, 16])):x}" for _ in range(7))]), rng.choice(["host ", "from ", "server ", ""])
         elif kind == "ip":
             v, lead = ":".join(num(2) for _ in range(8)), rng.choice(["serial ", "lot ", "ref "])
         elif kind == "card" and good:

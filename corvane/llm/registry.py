@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter
+from . import license_scan, line_dedup, url_filter
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
@@ -25,5 +26,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }
