@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, rollups, scores, text
+from . import graph, relational, rollups, scores, text
 
-_MODULES = (rollups, text, scores, relational)
+_MODULES = (rollups, text, scores, relational, graph)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
