@@ -371,7 +371,7 @@ def parse_status(artefacts: DataFrame, mode: str = "sniff") -> DataFrame:
 def scan_tree(spark: SparkSession, root: str, name: str = "ontology.ttl") -> DataFrame:
     """(model, config, id, rel_path, bytes, sha256, text) of all files ``name`` below ``root``; short paths are padded with <unknown>."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-    return files.select(*path_key(F.col("path")), F.col("path").alias("rel_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(*path_key(F.col("path")), F.col("path").alias("rel_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def path_key(path):
