@@ -105,4 +105,4 @@ def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None)
                 got = block_stats(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)), *(pa.array(got[s]) for s in STATS)], names=[*keep, *own])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_io.lean(run), schema)

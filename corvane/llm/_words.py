@@ -1,6 +1,6 @@
 """Vectorised words, lines and shingles over Arrow string columns (numpy only, no Spark).
 
-Texts are handled as the UTF-8 bytes that Arrow holds. A block is a run of rows of some megabytes; a row is never cut.
+Texts are handled as the UTF-8 bytes that Arrow holds. A block is a run of rows of about a megabyte; a row is never cut.
 Words and lines are named by 64-bit hashes: a polynomial over random byte values modulo 2**64, then a final mix.
 """
 
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
-SPAN = 1 << 20
+BLOCK = 1 << 20
+SPAN = 1 << 18
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _RI = pow(_R, -1, 1 << 64)

@@ -29,7 +29,7 @@ from . import _io
 from . import _words as W
 
 MOST_VOCABULARY_BYTES = 64 << 20
-MOST_REMEMBERED = 1_000_000
+MOST_REMEMBERED = 200_000
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _cache: dict[object, object] = {}
@@ -299,7 +299,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", keep: lis
                     out.append(pa.array(texts, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)), *out], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_io.lean(run), schema)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = _io.OWN + "ids", keep: list[str] | None = None) -> DataFrame:
@@ -318,7 +318,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = _io.OWN + "ids", k
             texts = [None if x is None else b"".join(map(coder.by_id.__getitem__, x)) for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n)), pa.array(texts, pa.binary())], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_io.lean(run), schema)
 
 
 def default_ranks() -> dict[bytes, int]:

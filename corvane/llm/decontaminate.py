@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", keep: l
         last = k == len(blocks) - 1
         width = len(carried) - last
         schema = T.StructType([*carried[:width], *(fields[:3] if last else fields)])
-        df = df.mapInArrow(_scanner(shared, len(carried), width, k > 0, last, schema.names), schema)
+        df = df.mapInArrow(_io.lean(_scanner(shared, len(carried), width, k > 0, last, schema.names)), schema)
     return df
 
 
