@@ -19,6 +19,8 @@ an empty table gives an empty result; extra columns are kept and helper columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +91,7 @@ def with_bands(df: DataFrame, hashes: str, step: int) -> DataFrame:
 def templates_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, shingles) of every template."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("t")) for k, v in templates.items()])
-    out = spark.range(1).select(F.explode(rows).alias("r")).select("r.license", F.array_distinct(shingles_of(words_of(F.col("r.t")))).alias("shingles"), words_of(F.col("r.t")).alias("words"))
-    return out.withColumn("shingles", F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(F.raise_error("a template needs five words")))
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.license", F.array_distinct(shingles_of(words_of(F.col("r.t")))).alias("shingles"), words_of(F.col("r.t")).alias("words"))
 
 
 def retrieve(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataFrame:
@@ -106,6 +107,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, text:
     templates = templates or TEMPLATES
     if sum(map(len, templates.values())) > 1 << 20:
         raise ValueError("templates beyond a megabyte are not broadcast; scan with them in blocks")
+    if short := [k for k, v in templates.items() if len(re.findall("[a-z0-9]+", v.lower())) < K]:
+        raise ValueError(f"a template needs five words: {short}")
     table = templates_table(docs.sparkSession, templates)
     found = _io.materialize(retrieve(docs, table, text)).join(F.broadcast(table.select("license", "shingles")), "license")
     found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("license", "shingles")).alias(_io.OWN + "candidates"))
