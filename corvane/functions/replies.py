@@ -1,0 +1,124 @@
+"""Repair, extraction and diagnosis of model replies, as Column functions where no parser is needed."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ship
+from ..sources.rdf import parse_any
+from .text import chosen_block, fences, has_open_fence, looks_like_turtle, question_kind
+
+# Names of the repairs, and prefixes that need no colon before them.
+QNAMES, HEADING, BARE, DROPPED = "normalized_standard_prefix_qnames", "commented_out_stray_semicolon_heading", "prefixed_bare_predicate", "dropped_incomplete_trailing_statement"
+STANDARD = ["rdf", "rdfs", "owl", "xsd", "skos", "dc", "dcterms", "sh", "prov"]
+# Separators at which a question is split, in order; and words that name nothing.
+SPLITS = [" associated with ", " related to ", " belongs to ", " used in ", " performed on ", " of the ", " for the ", " in the ", " on the ", " of a ", " of an ", " of ", " for ", " in ", " on ", " about "]
+NAMES_NOTHING = [
+    "the", "a", "an", "of", "in", "on", "to", "for", "by", "with", "and", "or", "is", "are", "was", "were", "be", "been", "being", "that", "this", "these",
+    "those", "it", "its", "their", "there", "any", "some", "all", "can", "could", "would", "should", "has", "have", "had", "do", "does", "did", "given",
+    "specific", "particular", "e.g", "eg", "etc", "if", "not", "what", "which", "who", "when", "where", "why", "how", "at", "from", "as", "into", "about",
+]
+LEAD = r"(?i)^\s*(what|which|who|whom|whose|when|where|why|how(\s+\w+)?)\b(\s+(is|are|was|were|do|does|did|can|could|would|should|has|have|had))?(\s+(the|a|an))?\s*"
+
+
+def _lines(c: Column) -> Column:
+    return F.split(c, r"\r\n|\r|\n")
+
+
+def _headings(c: Column) -> Column:
+    """Text in which a line that starts with a semicolon between two statements has become a comment."""
+    zero = F.struct(F.lit(True).alias("between"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        t = F.trim(line)
+        stray = t.startswith(";") & acc["between"]
+        kept = F.when(stray, F.concat(F.lit("# "), F.trim(F.substring(t, 2, 1 << 30)))).otherwise(line)
+        mark = F.when(stray | t.startswith("#"), F.lit("")).otherwise(F.right(t, F.lit(1)))
+        return F.struct(F.when(mark == ".", True).when(mark.isin(";", ","), False).otherwise(acc["between"]).alias("between"), F.array_append(acc["out"], kept).alias("out"))
+
+    return F.array_join(F.aggregate(_lines(c), zero, step)["out"], "\n")
+
+
+def _whole(c: Column) -> Column:
+    """Text up to the last line that ends a statement; all of it if none does."""
+    ends = F.array_max(F.transform(_lines(c), lambda x, i: F.when(F.trim(x).endswith(".") & ~F.trim(x).startswith("#"), i)))
+    return F.when(ends.isNull(), c).otherwise(F.array_join(F.slice(_lines(c), 1, ends + 1), "\n"))
+
+
+def repaired(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``fixed`` and ``repairs``: stray colons before standard prefixes, headings, bare predicates, an unfinished end."""
+    a = F.regexp_replace(text, ":(" + "|".join(STANDARD) + "):", "$1:")
+    out = df.withColumn("__a", a).withColumn("__b", _headings(F.col("__a")))
+    out = out.withColumn("__c", F.regexp_replace("__b", r"(?m)(^\s*;\s*)(?!(?:" + "|".join(STANDARD) + r"))([A-Za-z_][A-Za-z0-9_-]*)(\s+)", "$1:$2$3"))
+    out = out.withColumn("fixed", _whole(F.col("__c")))
+    cut = F.length(F.trim(F.regexp_replace(F.substring(F.col("__c"), F.length("fixed") + 1, F.lit(1 << 30)), r"\s+", ""))) > 0
+    unlike = lambda x, y: F.array_join(_lines(F.col(x)), "\n") != F.col(y)
+    names = [F.when(F.col(text) != F.col("__a"), QNAMES), F.when(unlike("__a", "__b"), HEADING), F.when(F.col("__b") != F.col("__c"), BARE), F.when(cut, DROPPED)]
+    return out.withColumn("repairs", F.array_compact(F.array(*names))).drop("__a", "__b", "__c")
+
+
+def signature(c: Column) -> Column:
+    """(kind, subject, relation): what a question asks about and by which relation, from its words; weak, and always marked derived."""
+    edge = r"^[ ?.!,]+|[ ?.!,]+$"
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), LEAD, ""), edge, ""), r"\s+", " ")
+    low = F.concat(F.lit(" "), F.lower(body), F.lit(" "))
+    head = tail = body
+    for sep in reversed(SPLITS):
+        at = F.length(low) - F.length(F.substring_index(low, sep, -1)) - len(sep)  # from 0, of the last occurrence
+        here = low.contains(sep) & (at > 0)
+        head = F.when(here, F.regexp_replace(F.substring(body, F.lit(1), at), edge, "")).otherwise(head)
+        tail = F.when(here, F.regexp_replace(F.substring(body, at + len(sep), F.length(body)), edge, "")).otherwise(tail)
+
+    def phrases(x: Column) -> Column:
+        w = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9\-]*"), F.lit(0)), lambda v: ~v.isin(NAMES_NOTHING) & (F.length(v) > 2))
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.slice(F.array_distinct(F.concat(F.array_distinct(w), pairs)), 1, 12)
+
+    some = lambda x, other: F.when(F.size(x) > 0, x).otherwise(other)
+    subject = some(phrases(tail), some(phrases(body), F.array(F.lit("thing"))))
+    return F.struct(question_kind(c).alias("kind"), subject.alias("subject"), some(phrases(head), subject).alias("relation"))
+
+
+def diagnosis(c: Column) -> Column:
+    """Why nothing usable is in a reply."""
+    closed = F.exists(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]))
+    return F.when(F.trim(c) == "", "empty").when(closed, "unparseable").when(has_open_fence(c), "unterminated").when(~looks_like_turtle(c), "no_turtle").otherwise("not_fenced")
+
+
+def process(found: Column, stored: Column, parses: Column) -> Column:
+    """healthy, recovered, unrecoverable or skipped; a larger stored artefact is never traded for a smaller one."""
+    return F.when(parses, "healthy").when(found.isNull(), "unrecoverable").when(F.length(found) < F.length(stored), "skipped").otherwise("recovered")
+
+
+def candidates(c: Column) -> Column:
+    """Texts to try, best first: the chosen block, closed Turtle blocks by length, the open tail cut to whole statements, the text itself."""
+    closed = F.filter(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]))
+    by_length = F.transform(F.sort_array(F.transform(closed, lambda b: F.struct(F.length(b["body"]).alias("n"), b["body"].alias("b"))), asc=False), lambda x: x["b"])
+    open_ = F.transform(F.filter(fences(c), lambda b: ~b["closed"]), lambda b: _whole(b["body"]))
+    return F.array_distinct(F.array_compact(F.concat(F.array(chosen_block(c)), by_length, open_, F.array(_whole(c)))))
+
+
+def recovered(df: DataFrame, key: str, reply: str) -> DataFrame:
+    """(key, text, rank, n_triples): the first candidate of each reply that parses to some triple; null text if none does."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for texts in batch.column(1).to_pylist():
+                hit = (None, None, 0)
+                for i, t in enumerate(texts or []):
+                    n = len(parse_any(t, "", "nonempty")[1])
+                    if n:
+                        hit = (t, i, n)
+                        break
+                out.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], names=[key, "text", "rank", "n_triples"])
+
+    source = df.select(key, candidates(F.col(reply)).alias("c"))
+    return source.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, text string, rank int, n_triples long")
