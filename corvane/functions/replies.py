@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.rdf import parse_any
-from .text import chosen_block, fences, has_open_fence, looks_like_turtle, question_kind
+from .text import LOOSE_NAMES, STRICT_NAMES, chosen_block, fences, has_open_fence, looks_like_turtle, question_kind
 
 # Names of the repairs, and prefixes that need no colon before them.
 QNAMES, HEADING, BARE, DROPPED = "normalized_standard_prefix_qnames", "commented_out_stray_semicolon_heading", "prefixed_bare_predicate", "dropped_incomplete_trailing_statement"
@@ -86,7 +86,7 @@ def signature(c: Column) -> Column:
 
 def diagnosis(c: Column) -> Column:
     """Why nothing usable is in a reply."""
-    closed = F.exists(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]))
+    closed = F.exists(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]) & b["info"].isin(STRICT_NAMES + LOOSE_NAMES))
     return F.when(F.trim(c) == "", "empty").when(closed, "unparseable").when(has_open_fence(c), "unterminated").when(~looks_like_turtle(c), "no_turtle").otherwise("not_fenced")
 
 

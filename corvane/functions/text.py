@@ -20,6 +20,8 @@ TIME_SAVED = {"0%": 0.0, "1-25%": 13.0, "26-50%": 38.0, "51-75%": 63.0, "76-100%
 # Patterns of data questions and of questions about the model itself.
 META_QUESTION = r"(?i)\b(can|does|is)\s+(the\s+)?(ontology|pattern|model|odp)\b|\bcan\s+(the\s+)?ontology\s+represent\b"
 DATA_QUESTION = r"(?i)^\s*how\s+many\b|\bmost\s+common\b|\bthe\s+most\b|\baverage\b|\btotal\s+number\b|\bhow\s+much\s+\w+\s+(is|are|was|were)\b"
+# Names of a block's language, and names that do not contradict it.
+STRICT_NAMES, LOOSE_NAMES = ["turtle", "ttl", "rdf", "n3", "trig", "owl"], ["", "text", "txt", "plaintext"]
 # Marks of a reply that ran out of its budget.
 LENGTH_MARKS = ["length", "max_tokens", "max_output_tokens", "maxtokens", "incomplete"]
 # Instructions that pass for questions, with the reason given.
@@ -172,9 +174,7 @@ def has_statement(c: Column) -> Column:
 
 def chosen_block(c: Column, strict: list[str] | None = None, loose: list[str] | None = None) -> Column:
     """The first block that names its language and states something; else the longest unnamed one that looks like Turtle (the first of equals)."""
-    # Names of the language, and names that do not contradict it.
-    strict = strict or ["turtle", "ttl", "rdf", "n3", "trig", "owl"]
-    loose = loose or ["", "text", "txt", "plaintext"]
+    strict, loose = strict or STRICT_NAMES, loose or LOOSE_NAMES
     usable = F.filter(fences(c), lambda b: looks_like_turtle(b["body"]) & has_statement(b["body"]))
     named = F.filter(usable, lambda b: b["info"].isin(strict))
     other = F.filter(usable, lambda b: b["info"].isin(loose))

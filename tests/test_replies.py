@@ -17,10 +17,10 @@ def rows(spark, texts):
 
 
 def test_repairs(spark):
-    bad = "@prefix : <http://e/> .\n; :Heading text\n:A a :owl:Class\n  ; has_method :m .\n:B a owl:Class ;\n  :cut"
+    bad = "@prefix : <http://e/> .\n; :Heading text\n:A a :owl:Class ;\n  :p :q\n  ; has_method :m .\n:B a owl:Class ;\n  :cut"
     good = ":A a owl:Class .\n"
     out = {r.i: r for r in Y.repaired(rows(spark, [bad, good, "", "no end"]), "t").collect()}
-    assert out[0].fixed == "@prefix : <http://e/> .\n# :Heading text\n:A a owl:Class\n  ; :has_method :m ."
+    assert out[0].fixed == "@prefix : <http://e/> .\n# :Heading text\n:A a owl:Class ;\n  :p :q\n  ; :has_method :m ."
     assert out[0].repairs == [Y.QNAMES, Y.HEADING, Y.BARE, Y.DROPPED]
     assert out[1].repairs == [] and out[2].fixed == "" and out[3].fixed == "no end"
 
