@@ -42,12 +42,15 @@ def covered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     places = _io.materialize(places)
     first = places.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "l0")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
     later = places.join(first, ["w1", "w2"]).filter(F.struct("doc_id", "l0") > F.col("first"))
-    return later.select("doc_id", "key", F.explode(F.array(*[f"l{k}" for k in range(WINDOW)])).alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines"))
+    merged = later.select("doc_id", "key", F.explode(F.array(*[f"l{k}" for k in range(WINDOW)])).alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines"))
+    merged = _io.materialize(merged)
+    _io.discard(places)
+    return merged
 
 
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text`` without the covered lines, with ``__cv_n_lines`` and ``__cv_n_removed`` (long)."""
-    cut = _io.materialize(covered_lines(docs, text)).select(F.col("doc_id").alias(_io.OWN + "id"), F.col("key").alias(_io.OWN + "key"), F.col("lines").alias(_io.OWN + "cut"))
+    cut = covered_lines(docs, text).select(F.col("doc_id").alias(_io.OWN + "id"), F.col("key").alias(_io.OWN + "key"), F.col("lines").alias(_io.OWN + "cut"))
     if cut.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         cut = F.broadcast(cut)
     lines, gone = F.split(F.col(text), "\n", -1), F.col(_io.OWN + "cut")
