@@ -67,3 +67,20 @@ def similarity(matches: DataFrame, left_sizes: DataFrame, right_sizes: DataFrame
     both = (c("l") == 0) & (c("r") == 0)
     p, r = F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(c("m"), c("l")), F.lit(0.0))), F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(c("m"), c("r")), F.lit(0.0)))
     return x.select(key, p.alias("precision"), r.alias("recall")).withColumn("f1", F.coalesce(F.try_divide(2 * c("precision") * c("recall"), c("precision") + c("recall")), F.lit(0.0)))
+
+
+def injection_recall(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """One row (pairs, caught, recall): every question put into every other scenario, and how often the audit objects.
+
+    A question without a shared word is always caught, so only pairs that share words are looked at: their number is that
+    of ``support``, and the others are counted, never formed.
+    """
+    s = support(questions, contexts)
+    top = s.groupBy("scenario", "idx").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "context")), asc=False), 1, 2).alias("t"))
+    x = s.filter("context <> scenario").join(top, ["scenario", "idx"])
+    best_other = F.when(F.get("t", 0)["context"] != c("context"), F.get("t", 0)["share"]).otherwise(F.coalesce(F.get("t", 1)["share"], F.lit(0.0)))
+    strong = (best_other - c("share") >= BETTER_MARGIN) & (best_other >= BETTER_SHARE) & (c("share") <= WEAK_HOME)
+    missed = x.filter(~(strong | (best_other > c("share")))).agg(F.count("*").alias("missed"))
+    total = questions.filter(F.size("words") >= LEAST_WORDS).agg(F.count("*").alias("q")).join(contexts.agg(F.countDistinct("scenario").alias("k")))
+    out = total.join(missed).select((c("q") * (c("k") - 1)).alias("pairs"), (c("q") * (c("k") - 1) - c("missed")).alias("caught"))
+    return out.withColumn("recall", F.try_divide("caught", "pairs"))

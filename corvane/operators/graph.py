@@ -397,3 +397,52 @@ def formal_quality(t: DataFrame) -> DataFrame:
 def vacuous(t: DataFrame) -> DataFrame:
     """(graph_id, vacuous): whether a graph has no connective axiom."""
     return triple_class(t).groupBy("graph_id").agg((F.count_if(c("kind") == "connective") == 0).alias("vacuous"))
+
+
+def usage_edges(t: DataFrame, depth: int = 12) -> DataFrame:
+    """(graph_id, s, p, o): edges between named terms and literals, with chains of blank nodes (at most ``depth``) replaced by what they lead to."""
+    own = t.filter(is_named(c("p"), F.lit("iri"))).select("graph_id", "s", "s_kind", "p", "o", "o_kind")
+    done = own.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("graph_id", "s", "p", "o")
+    front = own.filter("s_kind = 'iri' and o_kind = 'bnode'").select("graph_id", "s", "p", "o")
+    inner = _round(own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("o").alias("next"), c("o_kind").alias("k")))
+    for _ in range(depth):
+        step = _round(front.join(inner, ["graph_id", "o"]).select("graph_id", "s", "p", c("next").alias("o"), "k").distinct())
+        done = done.unionByName(step.filter("k <> 'bnode'").drop("k"))
+        front = step.filter("k = 'bnode'").drop("k")
+        if front.isEmpty():
+            break
+    return done.distinct()
+
+
+def restriction_arcs(t: DataFrame) -> DataFrame:
+    """(graph_id, a, p, b): what class expressions say of a class: by property p it is tied to filler b (open without one)."""
+    cell = t.filter(c("p").isin(OWL + "onProperty", OWL + "someValuesFrom", OWL + "allValuesFrom", OWL + "onClass", OWL + "hasValue")).groupBy("graph_id", c("s").alias("x")).agg(
+        F.min(F.when(c("p") == OWL + "onProperty", c("o"))).alias("p"), F.min(F.when((c("p") != OWL + "onProperty") & (c("o_kind") == "iri"), c("o"))).alias("f")
+    )
+    holder = t.filter(c("p").isin(SUB, EQUIVALENT) & (c("s_kind") == "iri")).select("graph_id", c("s").alias("a"), c("o").alias("x"))
+    return holder.join(cell.filter("p is not null"), ["graph_id", "x"]).select("graph_id", "a", "p", F.coalesce("f", F.lit(ANY)).alias("b")).distinct()
+
+
+def taxonomy(t: DataFrame, most: int = 3000) -> DataFrame:
+    """(graph_id, a, b): pairs of classes of which one is above the other, between classes of equivalents; of graphs with more
+    than ``most`` classes only the direct ones, as the size of the closure may be the square of it."""
+    named = t.filter((c("s_kind") == "iri") & (c("o_kind") == "iri"))
+    same = components(named.filter(c("p") == EQUIVALENT).select("graph_id", c("s").alias("a"), c("o").alias("b")))
+    sub = named.filter(c("p") == SUB).select("graph_id", c("s").alias("a"), c("o").alias("b")).distinct()
+    for k in ("a", "b"):
+        sub = sub.join(same.select("graph_id", c("node").alias(k), "root"), ["graph_id", k], "left").withColumn(k, F.coalesce("root", k)).drop("root")
+    sub = _round(sub.filter("a <> b").select("graph_id", "a", "b").distinct())
+    size = _union(sub.select("graph_id", c("a").alias("x")), sub.select("graph_id", c("b").alias("x"))).distinct().groupBy("graph_id").agg(F.count("*").alias("n"))
+    small = sub.join(size.filter(c("n") <= most).select("graph_id"), "graph_id", "left_semi")
+    large = sub.join(size.filter(c("n") > most).select("graph_id"), "graph_id", "left_semi")
+    return _union(transitive_closure(small).filter("a <> b"), large).distinct()
+
+
+def grounded(t: DataFrame) -> DataFrame:
+    """(graph_id, entity): entities with some incidence."""
+    return incidences(t).filter("d > 0").select("graph_id", "entity")
+
+
+def load_bearing(t: DataFrame) -> DataFrame:
+    """(graph_id, s, p, o): connective triples, those that neither document nor only declare."""
+    return triple_class(t).filter("kind = 'connective'").select("graph_id", "s", "p", "o")

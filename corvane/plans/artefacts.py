@@ -254,3 +254,36 @@ def stream_upsert(spark, sf_dir):
         part = e.filter(c("event_id") % 3 <= v).groupBy("k").agg(F.max("event_id").alias("last"))
         path = incremental.upsert(spark, part, target, v, ["k"])
     return spark.read.parquet(path).select("k", "record_origin")
+
+
+@_add("join_injection", None)
+def injection(spark, sf_dir):
+    """Recall of the audit when every question is put into every other scenario."""
+    return A.injection_recall(*_questions(spark, sf_dir))
+
+
+@_add("scan_judge_records", "SELECT event_type AS judge, user_id AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def judge_records(spark, sf_dir):
+    path = _folder(spark)
+    e = read(spark, sf_dir, "events").groupBy(c("event_type").alias("judge"), c("user_id").alias("k")).agg(F.count("*").alias("n"))
+    files.write_records(e, path, ("judge",))
+    return spark.read.schema("k long, n long, judge string").json(path).select("judge", "k", "n")
+
+
+@_add("sink_latex_md", "SELECT '| r_regionkey | r_name |' AS line, 0::BIGINT AS pos UNION ALL SELECT '| --- | --- |', 1 UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |', r_regionkey + 2 FROM region")
+def latex_md(spark, sf_dir):
+    text = files.rendered_table(read(spark, sf_dir, "region").orderBy("r_regionkey"))
+    return spark.createDataFrame([(x, i) for i, x in enumerate(text.split("\n"))], "line string, pos long")
+
+
+@_add("str_vocab_graph", "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' '))), ' ') AS vocabulary FROM part")
+def vocab_graph(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(X.words(F.lower("p_name"), " +"))), " ").alias("vocabulary"))
+
+
+@_add("ext_generate", "SELECT item_id, left(text, 10) AS reply, 'stop' AS finish_reason FROM benchmark")
+def generate(spark, sf_dir):
+    """Generation through an injected callable; here a stub that repeats the start."""
+    from ..operators.evaluation import call_model
+
+    return call_model(read(spark, sf_dir, "benchmark"), "item_id", "text", lambda p: (p[:10], "stop")).select("item_id", "reply", "finish_reason")

@@ -305,3 +305,75 @@ def oops_html(spark, sf_dir):
 @_add("str_ontology_vocab", "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(lower(html), '[a-z]{4,}'))) AS BIGINT) AS n_terms, false AS turtle FROM pages")
 def ontology_vocab(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{4,}"), F.lit(0)))).cast("long").alias("n_terms"), looks_like_turtle(c("html")).alias("turtle"))
+
+
+@_add("join_usage_bnode", T + "SELECT graph_id, s, p, o FROM t WHERE p NOT LIKE 'http://www.w3.org/%'")
+def usage_bnode(spark, sf_dir):
+    return G.usage_edges(triples(spark, sf_dir))
+
+
+@_add("g_taxonomy", T + f", e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}' AND s <> o), w AS (SELECT * FROM e UNION SELECT w.graph_id, w.a, e.b FROM w JOIN e ON w.graph_id = e.graph_id AND w.b = e.a) SELECT * FROM w WHERE a <> b")
+def taxonomy(spark, sf_dir):
+    return G.taxonomy(triples(spark, sf_dir))
+
+
+@_add("g_grounded", None)
+def grounded(spark, sf_dir):
+    """Entities that are tied to some other."""
+    return G.grounded(triples(spark, sf_dir))
+
+
+@_add("g_load_bearing", T + f"SELECT graph_id, s, p, o FROM t WHERE p NOT IN {_IN(G.ANNOTATIONS)} AND NOT (p = '{_T}' AND o IN {_IN(G.DECLARATIONS)})")
+def load_bearing(spark, sf_dir):
+    return G.load_bearing(triples(spark, sf_dir))
+
+
+_EXPR = "@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . "
+
+
+def _written(spark, sf_dir):
+    """A small graph for each nation, in Turtle."""
+    k = F.col("n_nationkey")
+    body = F.concat(F.lit(_EXPR + ":N"), k, F.lit(" a owl:Class ; rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :inRegion ; owl:someValuesFrom :R"), F.col("n_regionkey"), F.lit(" ] . :inRegion a owl:ObjectProperty ."))
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), k).alias("graph_id"), body.alias("text"))
+
+
+@_add("g_restrictions", "SELECT 'g' || n_nationkey AS graph_id, 'http://e/N' || n_nationkey AS a, 'http://e/inRegion' AS p, 'http://e/R' || n_regionkey AS b FROM nation")
+def restrictions(spark, sf_dir):
+    return G.restriction_arcs(rdf.triples(_written(spark, sf_dir)))
+
+
+@_add("udf_artifact_eval", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 6::BIGINT AS triples, true AS consistent, false AS vacuous, 'near_empty' AS gate, 0.5::DOUBLE AS score FROM nation")
+def artifact_eval(spark, sf_dir):
+    from ..operators.evaluation import evaluate
+
+    return evaluate(_written(spark, sf_dir))
+
+
+@_add("g_evaluate_path", "SELECT n_nationkey, 6::BIGINT AS n_triples FROM nation")
+def evaluate_path(spark, sf_dir):
+    t = rdf.triples(_written(spark, sf_dir)).groupBy("graph_id").agg(F.count("*").alias("n_triples"))
+    return t.select(F.substring("graph_id", 2, 9).cast("int").alias("n_nationkey"), "n_triples")
+
+
+@_add("parse_rdf_nonempty", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 6::BIGINT AS n_triples FROM nation")
+def parse_nonempty(spark, sf_dir):
+    return rdf.parse_status(_written(spark, sf_dir), "nonempty")
+
+
+@_add("parse_rdf_sniffed", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 1::BIGINT AS n_triples FROM nation")
+def parse_sniffed(spark, sf_dir):
+    xml = F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><rdf:Description rdf:about="http://e/n"><e:name>'), F.col("n_name"), F.lit("</e:name></rdf:Description></rdf:RDF>"))
+    return rdf.parse_status(read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("graph_id"), xml.alias("text")), "sniff")
+
+
+@_add("parse_owlxml", "SELECT 'g' || n_nationkey AS graph_id, 'http://e/o#C' || n_nationkey AS s, 'http://www.w3.org/2002/07/owl#Class' AS o FROM nation")
+def parse_owlxml(spark, sf_dir):
+    xml = F.concat(F.lit('<Ontology xmlns="http://www.w3.org/2002/07/owl#" ontologyIRI="http://e/o"><Declaration><Class IRI="#C'), F.col("n_nationkey"), F.lit('"/></Declaration></Ontology>'))
+    return rdf.triples(read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("graph_id"), xml.alias("text")), "sniff").select("graph_id", "s", "o")
+
+
+@_add("scan_gt_graphs", "SELECT r_regionkey, count(n_nationkey) FILTER (WHERE n_nationkey % 2 = 0) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def gt_graphs(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("k"))
+    return read(spark, sf_dir, "region").select("r_regionkey").join(n, "r_regionkey", "left").select("r_regionkey", F.coalesce("k", F.lit(0)).cast("long").alias("n"))
