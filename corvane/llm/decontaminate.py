@@ -162,13 +162,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", keep: l
     fields = [T.StructField(own[0], T.LongType()), T.StructField(own[1], T.LongType()), T.StructField(own[2], T.ArrayType(T.LongType())), T.StructField(own[3], T.BinaryType())]
     df = docs.select(*quoted, _io.text_or_empty(text).alias(_io.OWN + "text"))
     carried = list(df.schema.fields)
-    blocks = [build(b, window) for b in _item_blocks(bench, block_bytes)]
-    for k, patterns in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(patterns)
-        last = k == len(blocks) - 1
+    blocks, k = _item_blocks(bench, block_bytes), 0
+    block = next(blocks)
+    while block is not None:  # one block's patterns at a time on the driver
+        shared, block = spark.sparkContext.broadcast(build(block, window)), next(blocks, None)
+        last = block is None
         width = len(carried) - last
         schema = T.StructType([*carried[:width], *(fields[:3] if last else fields)])
         df = df.mapInArrow(_io.lean(_scanner(shared, len(carried), width, k > 0, last, schema.names)), schema)
+        k += 1
     return df
 
 
