@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import _io
 from ._stats import with_stats
 
+LEAST_FALSE, MOST_FALSE, LEAST_PASSED = 0.005, 0.02, 0.75
+
 
 def _s(name: str) -> Column:
     return F.col(_io.OWN + name)
@@ -38,8 +40,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(n < 50, n >= 100),
         "symbols": _vote(_s("n_symbols") * 10 > n, _s("n_symbols") * 50 <= n),
         "upper_case": _vote(_s("n_upper_words") * 100 > 30 * n, _s("n_upper_words") * 10 <= n),
-        "repeated_lines": _vote(_s("n_dup_lines") * 10 > 3 * _s("n_lines"), (_s("n_dup_lines") == 0) & (_s("n_lines") >= 2)),
-        "repeated_words": _vote(_s("n_repeat_words") * 10 > 3 * n, _s("n_repeat_words") * 10 <= n),
+        "repeated_lines": _vote(_s("n_dup_lines") * 2 > _s("n_lines"), (_s("n_dup_lines") == 0) & (_s("n_lines") >= 2)),
+        "repeated_words": _vote(_s("n_repeat_words") * 10 > 4 * n, _s("n_repeat_words") * 10 <= n),
         "word_length": _vote((_s("word_chars") < 3 * n) | (_s("word_chars") > 7 * n), (_s("word_chars") * 2 >= 7 * n) & (_s("word_chars") <= 6 * n)),
         "loud_marks": _vote((_s("n_marks") + _s("n_bars")) * 5 > n, (_s("n_marks") + _s("n_bars")) * 20 <= n),
         "variety": _vote(_s("n_distinct_words") * 5 < F.least(n, F.lit(400)), _s("n_distinct_words") * 5 >= 2 * F.least(n, F.lit(400))),
@@ -69,7 +71,11 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
     """EM over vote patterns; patterns: (p, rules) of -1, 0, 1; counts: (p,).
 
     Each rule has a reliability for either class. A rule is never read upside down: a bad vote never speaks for a good
-    text nor a good vote for a bad one. An abstention carries no evidence.
+    text nor a good vote for a bad one. An abstention carries no evidence. Bad texts are bad in one way or a few, not in
+    all: a bad text passes a rule at least ``LEAST_PASSED`` times as often as a good one, so that passing many rules does
+    not excuse failing two, and a good text fails a rule at least ``LEAST_FALSE`` and at most ``MOST_FALSE`` of the time, so that
+    no rare failure decides alone, and a large group of bad texts cannot pass for the good class when another defect has
+    taken the bad one.
     """
     good, bad = np.tile([0.02, 0.23, 0.75], (len(names), 1)), np.tile([0.35, 0.2, 0.45], (len(names), 1))  # two bad votes outweigh the rest
     prior = 0.7
@@ -84,8 +90,11 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
             g = np.einsum("p,prv->rv", counts * q, cast) + pseudo
             b = np.einsum("p,prv->rv", counts * (1 - q), cast) + pseudo
             g, b = g / g.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-            b[:, 0], b[:, 2] = np.maximum(b[:, 0], g[:, 0]), np.minimum(b[:, 2], g[:, 2])
-            new_prior = float(np.clip((counts * q).sum() / total, 0.3, 0.98))
+            g[:, 0] = np.clip(g[:, 0], LEAST_FALSE, MOST_FALSE)
+            g[:, 2] = 1 - g[:, 0] - g[:, 1]
+            b[:, 2] = np.clip(b[:, 2], LEAST_PASSED * g[:, 2], g[:, 2])
+            b[:, 0] = np.maximum(1 - b[:, 1] - b[:, 2], g[:, 0])
+            new_prior = float(np.clip((counts * q).sum() / total, 0.3, 0.9))
             moved = max(np.abs(g - good).max(), np.abs(b - bad).max(), abs(new_prior - prior))
             good, bad, prior = g, b, new_prior
             if moved < tol:

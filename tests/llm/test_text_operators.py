@@ -55,14 +55,24 @@ def test_quality_rules_empty_table(spark):
 
 def test_label_model_finds_accurate_rules():
     rng = np.random.default_rng(0)
-    y = rng.random(20000) < 0.8
-    good, bad = np.array([0.03, 0.2, 0.77]), np.array([0.7, 0.1, 0.2])
-    votes = np.stack([np.where(y, rng.choice(3, len(y), p=good), rng.choice(3, len(y), p=bad)) - 1 for _ in range(5)], 1)
+    y = rng.random(40000) < 0.8
+    good, bad = np.array([0.01, 0.2, 0.79]), np.array([0.35, 0.05, 0.6])
+    votes = np.stack([np.where(y, rng.choice(3, len(y), p=good), rng.choice(3, len(y), p=bad)) - 1 for _ in range(6)], 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = fit(patterns.astype(float), counts.astype(float), list("abcde"))
-    assert abs(model.prior - 0.8) < 0.03
-    assert all(abs(g[0] - 0.03) < 0.02 for g in model.good.values())
-    assert all(abs(b[0] - 0.7) < 0.1 for b in model.bad.values())
+    model = fit(patterns.astype(float), counts.astype(float), list("abcdef"))
+    ratio = lambda p: np.log(model.prior / (1 - model.prior)) + sum(np.log(model.good[k][v + 1] / model.bad[k][v + 1]) for k, v in zip("abcdef", p, strict=True))
+    said = np.array([ratio(p) for p in patterns])[np.unique(votes, axis=0, return_inverse=True)[1].ravel()] > 0
+    assert (said == y).mean() > 0.93 and said[y].mean() > 0.93
+
+
+def test_two_kinds_of_bad_texts_are_both_found():
+    good, first, second = [1] * 6, [-1, -1, 1, 1, 1, 1], [1, 1, 1, -1, -1, 1]
+    names = list("abcdef")
+    for n in ((900, 60, 10), (900, 10, 60), (80, 8, 8)):
+        patterns = np.array([good, first, second], float)
+        model = fit(patterns, np.array(n, float), names)
+        ratio = [sum(np.log((model.good[k][int(v) + 1]) / model.bad[k][int(v) + 1]) for k, v in zip(names, p, strict=True)) + np.log(model.prior / (1 - model.prior)) for p in patterns]
+        assert ratio[0] > 0 > max(ratio[1:])
 
 
 def words9(t):
