@@ -403,6 +403,16 @@ def self_jaccard(spark, sf_dir):
     return J.token_jaccard(t, "doc_id", "source", "w", 0.4).select("a", "b", r9("j").alias("j"), (c("j") >= 0.8).alias("flagged"))
 
 
+@_add("join_self_jaccard_all", """
+WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), e AS (SELECT doc_id, source, len(w) AS n, unnest(w) AS x FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.source <> b.source AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, round(i::DOUBLE / (na + nb - i), 9) AS j, i::DOUBLE / (na + nb - i) >= 0.8 AS flagged FROM p WHERE i::DOUBLE / (na + nb - i) >= 0.4""")
+def self_jaccard_all(spark, sf_dir):
+    """join_self_jaccard over all non-empty documents, of any length."""
+    t = read(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
+    return J.token_jaccard(t, "doc_id", "source", "w", 0.4).select("a", "b", r9("j").alias("j"), (c("j") >= 0.8).alias("flagged"))
+
+
 @_add("join_best_elsewhere", "SELECT s_suppkey, n_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY (s_suppkey * 7 + n_nationkey * 13) % 10 DESC, n_nationkey) AS k FROM supplier, nation WHERE s_nationkey <> n_nationkey) WHERE k = 1")
 def best_elsewhere(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_nationkey")  # a fixed list of 25
