@@ -28,3 +28,34 @@ def test_self_jaccard_reads_long_documents(spark, tmp_path):
     assert any(len(words(x)) > 40 for i, _, x in docs if any(i in k for k in want))
     got = {(r.a, r.b): r.j for r in QUERIES["join_self_jaccard_all"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_graph_queries_read_every_key(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("nation", [(i, f"N{i}", i % 5) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int")
+    write("customer", [(k, k * 3 % 25) for k in range(1, 90)], "c_custkey long, c_nationkey int")
+    write("supplier", [(k, k % 25) for k in range(1, 30)], "s_suppkey long, s_nationkey int")
+    write("part", [(k, f"part {k}") for k in range(280, 420)], "p_partkey long, p_name string")
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    sub = {(f"g{i % 5}", f"n{i}", f"r{i % 5}") for i in range(25)}
+    for k in range(1, 90):
+        g = f"g{k * 3 % 25 % 5}"
+        sub |= {(g, f"k{k}", f"n{k * 3 % 25}")} | ({(g, f"k{k}", f"k{k // 2}")} if k > 1 else set())
+    closed = set(sub)
+    while more := {(g, a, d) for g, a, b in closed for h, x, d in sub if g == h and b == x} - closed:
+        closed |= more
+    assert set(run("g_closure_all")) == closed
+    both = sub | {(g, b, a) for g, a, b in sub}
+    root = {(g, a): a for g, a, _ in both}
+    for _ in range(len(root)):
+        after = {(g, a): min([root[g, a], *[root[g, y] for h, x, y in both if (h, x) == (g, a)]]) for g, a in root}
+        if after == root:
+            break
+        root = after
+    assert set(run("g_components_all")) == {(g, a, r) for (g, a), r in root.items()}
+    lifted = {(g, p) for g, _, p, _ in run("g_lift_all")}
+    assert {(f"g{k % 25 % 5}", f"p{k}") for k in range(280, 420)} <= lifted
+    assert len(run("g_match_props_all")) >= 140
+    assert {r[1] for r in run("g_superprops_all")} == {f"p{k}" for k in range(280, 420) if k % 2 == 0}
