@@ -324,6 +324,13 @@ def sev_status(spark, sf_dir):
     return rdf.parse_status(d).select(F.col("graph_id").cast("long").alias("doc_id"), "status")
 
 
+@_add("parse_sev_status_all", "SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 'no_ontology' ELSE 'unparseable' END AS status FROM documents")
+def sev_status_all(spark, sf_dir):
+    """parse_sev_status of every document."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
+    return rdf.parse_status(d).select(F.col("graph_id").cast("long").alias("doc_id"), "status")
+
+
 @_add("scan_path_key", "SELECT page_id, coalesce(string_split(url, '/')[-4], '<unknown>') AS model, coalesce(string_split(url, '/')[-3], '<unknown>') AS config, coalesce(string_split(url, '/')[-2], '<unknown>') AS id FROM pages")
 def path_key(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", *rdf.path_key(F.col("url")))

@@ -59,3 +59,11 @@ def test_graph_queries_read_every_key(spark, tmp_path):
     assert {(f"g{k % 25 % 5}", f"p{k}") for k in range(280, 420)} <= lifted
     assert len(run("g_match_props_all")) >= 140
     assert {r[1] for r in run("g_superprops_all")} == {f"p{k}" for k in range(280, 420) if k % 2 == 0}
+
+
+def test_sev_status_of_every_document(spark, tmp_path):
+    texts = ["short", "@prefix : <http://e/> . :a :b :c .", "# nothing but a comment here", "no ontology at all but words"]
+    spark.createDataFrame([(i, texts[i % 4]) for i in range(1, 24)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = ["no_ontology", "parsed", "empty", "unparseable"]
+    got = {r.doc_id: r.status for r in QUERIES["parse_sev_status_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: want[i % 4] for i in range(1, 24)}
