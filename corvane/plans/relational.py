@@ -63,6 +63,12 @@ def judge_group(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count("value").alias("n"), r9(F.avg("value")).alias("mean"), F.round(U.sample_spread(c("value")), 6).alias("sd"))
 
 
+@_add("agg_judge_group_all", "SELECT user_id, count(value) AS n, round(avg(value), 9) AS mean, round(CASE WHEN count(value) = 1 THEN 0.0E0 ELSE stddev_samp(value) END, 6) AS sd FROM events GROUP BY user_id")
+def judge_group_all(spark, sf_dir):
+    """agg_judge_group over all events."""
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("value").alias("n"), r9(F.avg("value")).alias("mean"), F.round(U.sample_spread(c("value")), 6).alias("sd"))
+
+
 @_add("agg_crosstab", R + "SELECT config, round(avg(triples) FILTER (WHERE model = 'de'), 9) AS de, round(avg(triples) FILTER (WHERE model = 'en'), 9) AS en, round(avg(triples) FILTER (WHERE model = 'es'), 9) AS es, round(avg(triples) FILTER (WHERE model = 'fr'), 9) AS fr FROM r GROUP BY config")
 def crosstab(spark, sf_dir):
     t = U.crosstab(records(spark, sf_dir), "config", "model", "triples", ["de", "en", "es", "fr"])
@@ -216,6 +222,19 @@ def faithfulness(spark, sf_dir):
     return x.select("doc_id", "item_id", r9(c("i") / F.greatest(F.lit(1), F.size("q"))).alias("recall"), (c("i") >= 0.4 * F.size("q")).alias("covered"), r9((F.size("w") - c("i")) / F.greatest(F.lit(1), F.size("w"))).alias("extra"))
 
 
+@_add("agg_faithfulness_all", """
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark)
+SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")
+def faithfulness_all(spark, sf_dir):
+    """agg_faithfulness of all documents against all items: shared tokens by an equi-join; pairs that share none have a row, too."""
+    toks = lambda k: F.array_distinct(F.regexp_extract_all(F.lower(k), F.lit("[a-z]{3,}"), F.lit(0)))
+    t = read(spark, sf_dir, "documents").select("doc_id", toks("text").alias("w"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", toks("text").alias("q"))
+    shared = t.select("doc_id", F.explode("w").alias("x")).join(b.select("item_id", F.explode("q").alias("x")), "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("i"))
+    x = t.select("doc_id", F.size("w").alias("nw")).crossJoin(b.select("item_id", F.size("q").alias("nq"))).join(shared, ["doc_id", "item_id"], "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    return x.select("doc_id", "item_id", r9(c("i") / F.greatest(F.lit(1), c("nq"))).alias("recall"), (c("i") >= 0.4 * c("nq")).alias("covered"), r9((c("nw") - c("i")) / F.greatest(F.lit(1), c("nw"))).alias("extra"))
+
+
 @_add("agg_theme_counts", "SELECT source, theme, count(*) AS n FROM (SELECT source, unnest(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'scope' END, CASE WHEN contains(lower(text), 'und') THEN 'naming' END], lambda x: x IS NOT NULL)) AS theme FROM documents) GROUP BY ALL")
 def theme_counts(spark, sf_dir):
     from ..functions.text import tags

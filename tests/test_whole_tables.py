@@ -67,3 +67,24 @@ def test_sev_status_of_every_document(spark, tmp_path):
     want = ["no_ontology", "parsed", "empty", "unparseable"]
     got = {r.doc_id: r.status for r in QUERIES["parse_sev_status_all"](spark, str(tmp_path)).collect()}
     assert got == {i: want[i % 4] for i in range(1, 24)}
+
+
+def test_judge_group_reads_all_events(spark, tmp_path):
+    rows = [(1, 7, 2.0), (2, 7, 4.0), (3, 8, 5.0), (4, 9, None), (58, 8, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.n, r["mean"], r.sd) for r in QUERIES["agg_judge_group_all"](spark, str(tmp_path)).collect()}
+    assert got == {7: (2, 3.0, 1.414214), 8: (1, 5.0, 0.0), 9: (0, None, None)}
+
+
+def test_faithfulness_scores_all_pairs(spark, tmp_path):
+    docs = [(1, "en", "one two three four"), (2, "de", "eins zwei one"), (3, "fr", "a b"), (4, "es", "four five five six")]
+    items = [(0, "one two"), (3, "four five six seven eight"), (9, "no")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.recall, r.covered, r.extra) for r in QUERIES["agg_faithfulness_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for d, _, x in docs:
+        for k, y in items:
+            w, q = words(x), words(y)
+            want[d, k] = (round(len(w & q) / max(1, len(q)), 9), len(w & q) >= 0.4 * len(q), round(len(w - q) / max(1, len(w)), 9))
+    assert got == want
