@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership.
 
-Base rules find assignments, access keys and long hexadecimal runs. Wider generators propose vendor tokens, private-key
-headers and dense base64 runs. The hash of every candidate's value is aggregated over the whole corpus by distinct
-repositories (documents) and owners (sources): a value that few owners have is specific to them and looks live; one that
-many owners or very many documents copy is an example. Of the wider candidates only those that look live become spans.
+Base rules find assignments, access keys and long hexadecimal runs. Wider generators propose vendor tokens, private keys
+(header and body) and dense base64 runs. The hash of every candidate's value is aggregated over the whole corpus by distinct
+repositories (documents) and owners (sources): a value that one owner has, in however many copies, or that few owners have
+in not very many documents is specific to them and looks live; any other is an example. Keys are compared without their
+line breaks; a private-key header without a key is not compared and always looks live. Of the wider candidates only those that look live become spans.
 
 Only DataFrame functions run. Texts are scanned once; candidates go to the shared folder with hashes instead of values.
 
@@ -24,10 +25,13 @@ MOST_OWNERS, MOST_DOCUMENTS = 2, 50
 MOST_BROADCAST = 200_000
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_HEADER = r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"
+#: What may stand between the lines of a key, and the lines that are matched; longer keys are named by their first lines.
+_BREAK, MOST_LINES = r"(?:[\x20\t\r\n]|\\[nr]){0,16}+", 300
 BASE = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
 WIDER = {
     "vendor": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{12,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    "keyblock": r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----",
+    "keyblock": _HEADER + rf"(?:(?:{_BREAK}(?:Proc-Type|DEK-Info|Comment|Version): ?[^\r\n\\]{{1,80}}+){{0,4}}+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}){{1,{MOST_LINES}}}+(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?={_BREAK}-----END ))?(?:{_BREAK}-----END (?:[A-Z]{{1,12}} ){{0,3}}PRIVATE KEY-----)?)?",
     "dense": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}",
 }
 KINDS = (*BASE, *WIDER)
@@ -45,12 +49,15 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.select(*[f"`{c}`" for c in docs.columns if c != text], _io.text_or_empty(text).alias(t))
     df = add_matches(df, t, {**BASE, **WIDER}, {"assign": has, "access": F.col(t).contains("AKIA"), "keyblock": F.col(t).contains("PRIVATE KEY")})
     m = {k: F.col(f"{_io.OWN}m_{k}") for k in KINDS}
-    value = {"assign": lambda v: F.regexp_extract(v, _ASSIGN, 2)}
+    value = {"assign": lambda v: F.regexp_extract(v, _ASSIGN, 2), "keyblock": lambda v: F.regexp_replace(v, r"\s|\\[nr]", "")}
     keep = {"assign": lambda v: F.length(F.regexp_extract(v, _ASSIGN, 2)) >= 6, "dense": _dense}
 
     def spans_of(order: int, k: str) -> Column:
         kept = F.filter(m[k], lambda s: keep[k](s["value"])) if k in keep else m[k]
         name = lambda s: F.sha2(value[k](s["value"]) if k in value else s["value"], 256)
+        if k == "keyblock":  # a header without a key says nothing about its owner, so it has no name
+            named = name
+            name = lambda s: F.when(~s["value"].rlike(f"^{_HEADER}$"), named(s))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(k).alias("kind"), name(s).alias("hash")))
 
     parts = [spans_of(order, k) for order, k in enumerate(KINDS)]
@@ -68,11 +75,12 @@ def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source") -> D
     spans, uid = _io.OWN + "spans", _io.OWN + "uid"
     table = _io.materialize(candidates(docs, text).withColumn(uid, F.monotonically_increasing_id()))
     each = table.filter(F.size(spans) > 0).select(uid, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("document"), F.explode(spans).alias("s"))
-    counts = _io.materialize(ownership(each.select("s.hash", "owner", "document")))
+    counts = _io.materialize(ownership(each.select("s.hash", "owner", "document").filter("hash is not null")))
     if counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         counts = F.broadcast(counts)
-    live = (F.col("owners") <= MOST_OWNERS) & (F.col("documents") <= MOST_DOCUMENTS)
-    judged = each.select(uid, "s.*").join(counts, "hash").filter(live | F.col("kind").isin(*BASE))
+    few = (F.col("owners") <= MOST_OWNERS) & (F.col("documents") <= MOST_DOCUMENTS)
+    live = F.col("hash").isNull() | (F.col("owners") == 1) | few
+    judged = each.select(uid, "s.*").join(counts, "hash", "left").filter(live | F.col("kind").isin(*BASE))
     judged = judged.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind", "hash", live.alias("live")))).alias(_io.OWN + "judged"))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,hash:string,live:boolean>>")
     return table.drop(spans).join(judged, uid, "left").withColumn(spans, F.coalesce(_io.OWN + "judged", empty)).drop(uid, _io.OWN + "judged")
