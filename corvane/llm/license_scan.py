@@ -1,12 +1,12 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
 Words are runs of lower-cased ASCII letters and digits; a shingle is five of them. A text is read in windows of four shingles
-(eight words) that start every two, so every shingle lies in two windows. A window's signature has 32 one-row bands, each
+(eight words) that start every two, the first of them two before the text, so every shingle lies in two windows. A window's signature has 32 one-row bands, each
 the least of its shingle hashes under another permutation (XOR with a constant, of well-mixed hashes). The templates'
 signatures are taken over windows of the same kind at every offset.
 
 A window that shares a part J of its shingles with a template's window retrieves it with probability 1 - (1 - J)**32. The
-hardest case, a notice that is one single shingle, has J = 1/4 in each of two windows: 1 - (3/4)**64, over 0.99999998. Of a
+hardest case, a notice that is one single shingle, has J = 1/4 at least in each of two windows: 1 - (3/4)**64, over 0.99999998. Of a
 longer template any one window suffices. A template counts if at least ``LEAST`` of its distinct shingles are in the
 document, compared as words, not as hashes.
 
@@ -74,17 +74,17 @@ def _constants() -> list[int]:
     return out
 
 
-def with_bands(df: DataFrame, hashes: str, step: int) -> DataFrame:
-    """``df`` with a row for each band value of each window of the array ``hashes``, in place of it.
+def with_bands(df: DataFrame, hashes: str, step: int, first: int = 0) -> DataFrame:
+    """``df`` with a row for each band value of each window of the array ``hashes``, from the place ``first``, in place of it.
 
     A window is a row of WIDTH columns before its bands are made, so that they run in generated code.
     """
     rest = [c for c in df.columns if c != hashes]
-    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(step)))  # a filter here would be pushed below the hashes and repeat them
+    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(first), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(step)))  # a filter here would be pushed below the hashes and repeat them
     windows = F.transform(starts, lambda s: F.struct(*[F.get(F.col(hashes), s + j).alias(f"h{j}") for j in range(WIDTH)]))
     each = df.select(*rest, F.explode(windows).alias("w")).select(*rest, "w.*")
     each = each.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c")) for b, c in enumerate(_constants())])).alias("p"))
-    least = F.least(*[F.col(f"h{j}").bitwiseXOR(F.col("p.c")) for j in range(WIDTH)])  # nulls beyond the end are skipped
+    least = F.least(*[F.col(f"h{j}").bitwiseXOR(F.col("p.c")) for j in range(WIDTH)])  # nulls before the start and beyond the end are skipped
     return each.select(*rest, F.xxhash64("p.b", least).alias("band"))
 
 
@@ -98,7 +98,7 @@ def retrieve(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataF
     """Distinct (doc_id, key, license) that share a band in some window; ``key`` is a hash of the text."""
     known = with_bands(templates.select("license", _hashed(F.col("words")).alias("h")), "h", 1).distinct()
     read = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("key"), words_of(F.col(text)).alias("w"))
-    read = with_bands(read.select("doc_id", "key", _hashed(F.col("w")).alias("h")), "h", STEP)
+    read = with_bands(read.select("doc_id", "key", _hashed(F.col("w")).alias("h")), "h", STEP, -STEP)
     return read.join(F.broadcast(known), "band").select("doc_id", "key", "license").distinct()
 
 
