@@ -1,7 +1,9 @@
 """Vectorised words, lines and shingles over Arrow string columns (numpy only, no Spark).
 
 Texts are handled as the UTF-8 bytes that Arrow holds. A block is a run of rows of about a megabyte; a row is never cut.
-Words and lines are named by 64-bit hashes: a polynomial over random byte values modulo 2**64, then a final mix.
+Words and lines are named by 64-bit hashes: eight bytes at a time go into a state that is mixed after each step (not a
+polynomial, whose collisions have a structure), and spans over ``LONG`` bytes through XXH3. Two given different spans share a
+name with a probability of about 2**-64, so n different spans hold two of one name with about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 20
-SPAN = 1 << 18
 U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_RI = pow(_R, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_powers: dict[str, np.ndarray] = {}
+#: Spans over so many bytes are hashed one by one.
+LONG = 64
+#: The lowest 0 to 8 bytes of a word.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 #: [^\x20\x09-\x0D]
 NOT_SPACE = np.ones(256, bool)
@@ -79,29 +81,28 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        for key, r in (("p", _R), ("i", _RI)):
-            x = np.full(n, r, np.uint64)
-            x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["p"], _powers["i"]
-
-
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans ascend and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        base = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, base + SPAN, "right")))
-        p, inv = _powers_to(max(SPAN, int(ends[b - 1] - base)) + 1)
-        part = data[base : ends[b - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * p[: len(part)], out=sums[1:])
-        s, e = starts[a:b] - base, ends[a:b] - base
-        out[a:b] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64) * U(0xA24BAED4963EE407))
-        a = b
+    """A 64-bit hash of each span of bytes."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U(0x9FB21C651E98DF25) + U(0x9E3779B97F4A7C15))
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from every place
+    on = None  # all spans, then those that go on
+    for done in range(0, min(LONG, int(size.max())), 8):
+        if done:
+            on = np.flatnonzero((size > done) & (size <= LONG)) if on is None else on[size[on] > done]
+        at, left, state = (starts, size, out) if on is None else (starts[on] + done, size[on] - done, out[on])
+        state = mix(state * U(0xD6E8FEB86659FD93) + (eight[at] & _LOW[np.minimum(left, 8)]))
+        if on is None:
+            out = state
+        else:
+            out[on] = state
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(padded)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..session import ship
+from ..session import materialize
 from ..sources import rdf
 from . import graph as G
 
@@ -20,7 +21,7 @@ def evaluate(artefacts: DataFrame, mode: str = "ladder") -> DataFrame:
     An artefact that cannot be read or says nothing keeps its row and scores 0; no section's failure touches another.
     """
     status = rdf.parse_status(artefacts, mode)
-    t = G._round(rdf.triples(artefacts, mode))
+    t = materialize(rdf.triples(artefacts, mode))
     metrics = G.ontometrics(t)
     vocabulary = G.declared_vocabulary(t)
     bad = G.inconsistencies(G.entailed(t)).select("graph_id").distinct().withColumn("clash", F.lit(True))

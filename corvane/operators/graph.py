@@ -6,14 +6,13 @@ keyed by graph_id. Fixpoints write each round to the folder named in ``spark.che
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flat, identifier_tokens, local_name
+from ..session import materialize
 from ..sources.rdf import OWL, RDF, RDFS, XSD
 
 TYPE, SUB, SUBP, DOMAIN, RANGE = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range"
@@ -36,18 +35,6 @@ DOUBT = [270, 9, 4, 1, 0]
 c = F.col
 
 
-def _round(df: DataFrame) -> DataFrame:
-    """Write a round of a fixpoint to the shared folder and read it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/corvane/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -164,7 +151,7 @@ def endpoints(t: DataFrame) -> DataFrame:
 def lift(t: DataFrame) -> DataFrame:
     """(graph_id, a, p, b): schema edges: every domain with every range; an inverse and a symmetric property turn them round."""
     props = schema_view(t).filter("role <> 'class'").select("graph_id", c("term").alias("prop"), "role")
-    ends = _round(endpoints(t))  # read twice
+    ends = materialize(endpoints(t))  # read twice
     side = lambda s: ends.filter(c("side") == s).select("graph_id", "prop", c("end").alias(s))
     e = props.join(side("domain"), ["graph_id", "prop"], "left").join(side("range"), ["graph_id", "prop"], "left")
     edges = e.select("graph_id", F.coalesce("domain", F.lit(ANY)).alias("a"), c("prop").alias("p"), F.coalesce("range", F.when(c("role") == "dataprop", LITERAL).otherwise(ANY)).alias("b"))
@@ -214,7 +201,7 @@ def match_properties(idx: DataFrame, props: DataFrame, wanted: DataFrame) -> Dat
 
 def fan_out(edges: DataFrame, up: DataFrame) -> DataFrame:
     """(graph_id, p, side, fan, discount): ends of a property of which none is above another; beyond four they are discounted."""
-    edges, up = _round(edges), _round(up)
+    edges, up = materialize(edges), materialize(up)
     sides = _union(edges.select("graph_id", "p", F.lit("domain").alias("side"), c("a").alias("x")), edges.select("graph_id", "p", F.lit("range").alias("side"), c("b").alias("x"))).filter(~c("x").isin(ANY, LITERAL)).distinct()
     covered = sides.alias("l").join(up.alias("u"), (c("l.graph_id") == c("u.graph_id")) & (c("l.x") == c("u.a"))).select("l.graph_id", "l.p", "l.side", "l.x", c("u.b").alias("y"))
     covered = covered.join(sides.withColumnRenamed("x", "y"), ["graph_id", "p", "side", "y"], "left_semi").select("graph_id", "p", "side", "x").distinct()
@@ -229,8 +216,8 @@ def path_evidence(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     nodes are never open ends nor the wanted ones. Each rung is a semi join; the best rung of a pair counts.
     """
     key = ["graph_id", "q", "a", "b"]
-    edges = e = _round(edges.select("graph_id", "a", "b").distinct())  # every rung reads it
-    wanted = _round(wanted.select(*key))
+    edges = e = materialize(edges.select("graph_id", "a", "b").distinct())  # every rung reads it
+    wanted = materialize(wanted.select(*key))
     inner = e.filter(~c("a").isin(ANY, LITERAL) & ~c("b").isin(ANY, LITERAL))
     hop = lambda x, y: e.select("graph_id", c("a").alias(x), c("b").alias(y))
     back = lambda x, y: e.select("graph_id", c("b").alias(x), c("a").alias(y))
@@ -260,11 +247,11 @@ def question_score(bound: Column, credit: Column) -> Column:
 
 def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(graph_id, a, b) of everything a reaches, by squaring: rounds grow with the logarithm of the longest path."""
-    now = _round(edges.select("graph_id", "a", "b").distinct())
+    now = materialize(edges.select("graph_id", "a", "b").distinct())
     n = now.count()
     for _ in range(most_rounds):
         more = now.alias("l").join(now.alias("r"), (c("l.graph_id") == c("r.graph_id")) & (c("l.b") == c("r.a"))).select("l.graph_id", "l.a", "r.b")
-        now = _round(now.union(more).distinct())
+        now = materialize(now.union(more).distinct())
         before, n = n, now.count()
         if n == before:
             return now
@@ -276,13 +263,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the smallest root among a node and its neighbours, then jumps to that root's own root.
     """
-    both = _round(_union(edges.select("graph_id", "a", "b"), edges.select("graph_id", c("b").alias("a"), c("a").alias("b"))).distinct())
-    now = _round(both.groupBy("graph_id", c("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = materialize(_union(edges.select("graph_id", "a", "b"), edges.select("graph_id", c("b").alias("a"), c("a").alias("b"))).distinct())
+    now = materialize(both.groupBy("graph_id", c("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(most_rounds):
         near = both.join(now, (both.graph_id == now.graph_id) & (both.b == now.node)).select(both.graph_id, both.a.alias("node"), "root")
         least = now.unionByName(near).groupBy("graph_id", "node").agg(F.min("root").alias("root"))
         jump = now.select("graph_id", c("node").alias("root"), c("root").alias("further"))
-        after = _round(least.join(jump, ["graph_id", "root"], "left").select("graph_id", "node", F.least(c("root"), F.coalesce("further", "root")).alias("root")))
+        after = materialize(least.join(jump, ["graph_id", "root"], "left").select("graph_id", "node", F.least(c("root"), F.coalesce("further", "root")).alias("root")))
         changed = after.join(now, ["graph_id", "node", "root"], "left_anti").limit(1).count()
         now = after
         if not changed:
@@ -349,7 +336,7 @@ def entailed(t: DataFrame, most_rounds: int = 20) -> DataFrame:
     """Triples with what a subset of RDFS and OWL-RL adds: sub-class and sub-property chains and inheritance, domain, range, inverse,
     symmetric and transitive properties, equivalence. Semi-naive enough for schemas: every round joins the whole, until nothing is new."""
     cols = ["graph_id", "s", "p", "o"]
-    now = _round(t.filter("o_kind <> 'literal'").select(*cols).distinct())
+    now = materialize(t.filter("o_kind <> 'literal'").select(*cols).distinct())
     n = now.count()
     for _ in range(most_rounds):
         by = lambda p, s="s", o="o", f=None: (f or now).filter(c("p") == p).select("graph_id", c("s").alias(s), c("o").alias(o))  # noqa: B023, E731
@@ -367,7 +354,7 @@ def entailed(t: DataFrame, most_rounds: int = 20) -> DataFrame:
             now.join(inv, ["graph_id", "p"]).select("graph_id", c("o").alias("s"), c("q").alias("p"), c("s").alias("o")),
             tr.alias("l").join(tr.alias("r"), (c("l.graph_id") == c("r.graph_id")) & (c("l.p") == c("r.p")) & (c("l.o") == c("r.s"))).select("l.graph_id", "l.s", "l.p", "r.o"),
         ]
-        now = _round(_union(now, *new).distinct())
+        now = materialize(_union(now, *new).distinct())
         before, n = n, now.count()
         if n == before:
             return now
@@ -404,9 +391,9 @@ def usage_edges(t: DataFrame, depth: int = 12) -> DataFrame:
     own = t.filter(is_named(c("p"), F.lit("iri"))).select("graph_id", "s", "s_kind", "p", "o", "o_kind")
     done = own.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("graph_id", "s", "p", "o")
     front = own.filter("s_kind = 'iri' and o_kind = 'bnode'").select("graph_id", "s", "p", "o")
-    inner = _round(own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("o").alias("next"), c("o_kind").alias("k")))
+    inner = materialize(own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("o").alias("next"), c("o_kind").alias("k")))
     for _ in range(depth):
-        step = _round(front.join(inner, ["graph_id", "o"]).select("graph_id", "s", "p", c("next").alias("o"), "k").distinct())
+        step = materialize(front.join(inner, ["graph_id", "o"]).select("graph_id", "s", "p", c("next").alias("o"), "k").distinct())
         done = done.unionByName(step.filter("k <> 'bnode'").drop("k"))
         front = step.filter("k = 'bnode'").drop("k")
         if front.isEmpty():
@@ -431,7 +418,7 @@ def taxonomy(t: DataFrame, most: int = 3000) -> DataFrame:
     sub = named.filter(c("p") == SUB).select("graph_id", c("s").alias("a"), c("o").alias("b")).distinct()
     for k in ("a", "b"):
         sub = sub.join(same.select("graph_id", c("node").alias(k), "root"), ["graph_id", k], "left").withColumn(k, F.coalesce("root", k)).drop("root")
-    sub = _round(sub.filter("a <> b").select("graph_id", "a", "b").distinct())
+    sub = materialize(sub.filter("a <> b").select("graph_id", "a", "b").distinct())
     size = _union(sub.select("graph_id", c("a").alias("x")), sub.select("graph_id", c("b").alias("x"))).distinct().groupBy("graph_id").agg(F.count("*").alias("n"))
     small = sub.join(size.filter(c("n") <= most).select("graph_id"), "graph_id", "left_semi")
     large = sub.join(size.filter(c("n") > most).select("graph_id"), "graph_id", "left_semi")

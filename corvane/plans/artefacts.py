@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import replies as Y
 from ..functions import text as X
 from ..operators import audits as A
-from ..operators.graph import _round
+from ..session import scratch_path
 from ..sources import files, rdf
 from ..streaming import incremental
 from ._bind import R, catalogue, read, records
@@ -19,36 +17,30 @@ QUERIES, ORACLES, _add = catalogue()
 c = F.col
 
 
-def _folder(spark) -> str:
-    """A folder of our own below the shared one."""
-    _round(spark.range(1))  # makes sure that a shared folder is set
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/corvane/{uuid.uuid4().hex}"
-
-
 @_add("sink_record_json", R + "SELECT id, model, config, triples, pass_rate FROM r")
 def record_json(spark, sf_dir):
-    path = _folder(spark)
+    path = scratch_path(spark)
     files.write_records(records(spark, sf_dir).select("id", "model", "config", "triples", "pass_rate"), path)
     return spark.read.schema("id long, triples long, pass_rate double, model string, config string").json(path).select("id", "model", "config", "triples", "pass_rate")
 
 
 @_add("sink_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, '' AS absent FROM nation")
 def sink_csv(spark, sf_dir):
-    path = _folder(spark)
+    path = scratch_path(spark)
     files.write_csv(read(spark, sf_dir, "nation"), path, ["n_nationkey", "n_name", "absent"])
     return files.csv_table(spark, path, ["n_nationkey", "n_name", "absent"])
 
 
 @_add("scan_csv", "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
 def scan_csv(spark, sf_dir):
-    path = _folder(spark)
+    path = scratch_path(spark)
     files.write_csv(read(spark, sf_dir, "region"), path, ["r_regionkey", "r_name"])
     return files.csv_table(spark, path, ["r_regionkey", "r_name"])
 
 
 @_add("scan_local_tree", "SELECT 'm' || (item_id % 3) AS model, 'c' || (item_id % 2) AS config, 's' || item_id AS id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM benchmark")
 def local_tree(spark, sf_dir):
-    path = _folder(spark)
+    path = scratch_path(spark)
     b = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("m"), c("item_id") % 3).alias("model"), F.concat(F.lit("c"), c("item_id") % 2).alias("config"), F.concat(F.lit("s"), "item_id").alias("id"), "text")
     b.repartition("model", "config", "id").write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
     got = rdf.scan_tree(spark, path, "*.txt")
@@ -248,7 +240,7 @@ def run_cq(spark, sf_dir):
 @_add("stream_upsert", "SELECT DISTINCT event_id % 100 AS k, 'this_run' AS record_origin FROM events")
 def stream_upsert(spark, sf_dir):
     """Three versions of a table, each upserted over the one before; the last covers every key."""
-    target = _folder(spark)
+    target = scratch_path(spark)
     e = read(spark, sf_dir, "events").select((c("event_id") % 100).alias("k"), "event_id")
     for v in range(3):
         part = e.filter(c("event_id") % 3 <= v).groupBy("k").agg(F.max("event_id").alias("last"))
@@ -264,7 +256,7 @@ def injection(spark, sf_dir):
 
 @_add("scan_judge_records", "SELECT event_type AS judge, user_id AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def judge_records(spark, sf_dir):
-    path = _folder(spark)
+    path = scratch_path(spark)
     e = read(spark, sf_dir, "events").groupBy(c("event_type").alias("judge"), c("user_id").alias("k")).agg(F.count("*").alias("n"))
     files.write_records(e, path, ("judge",))
     return spark.read.schema("k long, n long, judge string").json(path).select("judge", "k", "n")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -36,3 +40,54 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     context._corvane_shipped = True
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for scratch tables that the session names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one process, as in tests) gets a folder of its own; on a cluster that is an error,
+    as executors would not see each other's files.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: this operator writes scratch tables there")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return _own[app]
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below this application's scratch folder, which is deleted when the application's process ends."""
+    top = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
+    if top not in _marked:
+        p, fs = _path(spark, top)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cv_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_cv_path", None):
+            p, fs = _path(df.sparkSession, path)
+            fs.delete(p, True)
