@@ -1,10 +1,8 @@
-"""Shared scratch tables and bounded Arrow batches for the operators of this subpackage."""
+"""Bounded Arrow batches and further helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,41 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import discard, materialize, ship
+
+__all__ = ["OWN", "bounded_batches", "discard", "lean", "materialize", "read", "text_or_empty"]
 
 #: Prefix of helper columns; columns of the caller never clash with them.
 OWN = "__cv_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cv_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_cv_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bound Arrow batches by rows and bytes, so that long texts do not pile up in a worker; send this package along."""
     ship(spark)

@@ -1,14 +1,21 @@
 """Quality rules by weak supervision.
 
 Rules look at whole-text statistics and vote 1 (good), -1 (bad) or 0 (abstain). Expectation-maximisation over the counts of
-vote patterns of the whole corpus estimates each rule's accuracy and the share of good texts; a text's posterior probability
-of being good then replaces a filter that asks for all rules at once.
+vote patterns of the whole corpus estimates a latent-class model: how many texts are good, and how often each rule gives a
+bad vote to good texts and to bad ones, by kind of defect. A text's posterior probability of being good then replaces a
+filter that asks for all rules at once.
+
+Bad texts are bad in different ways, so the model begins with one good and one bad class and splits off a further class
+while the Bayesian information criterion gains from it. Given its class a text's votes are independent; an abstention is a
+missing vote and carries no evidence. A class is one of bad texts if it came from the first bad one or if some rule rejects
+most of it, else one of good texts.
+Each rate has a Beta(1/2, 1/2) prior, half a vote on either side, which is all that keeps it from 0 and 1; no estimate is clipped.
 
 Only the counts of vote patterns reach the driver: at most 3**9 rows, whatever the corpus holds.
 
 Edge cases: null and empty text have no words, fail the base and are not kept; repeated rows get equal results, one each; an
-empty table gives an empty result (the estimate falls back to its starting values); columns of the caller are kept and
-never clash with helper columns, which start with ``__cv_``.
+empty table gives an empty result; columns of the caller are kept and never clash with helper columns, which start with
+``__cv_``. A corpus in which most texts share a defect has no class of good texts, and nothing is kept.
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ from pyspark.sql import functions as F
 from . import _io
 from ._stats import with_stats
 
-LEAST_FALSE, MOST_FALSE, LEAST_PASSED = 0.005, 0.02, 0.75
+#: Classes of the latent-class model at most, and what a further class must gain in log likelihood beyond its penalty.
+MOST_CLASSES, LEAST_GAIN = 8, 10.0
 
 
 def _s(name: str) -> Column:
@@ -51,58 +59,90 @@ def rules() -> dict[str, Column]:
 
 @dataclass
 class LabelModel:
-    """The share of good texts, and for each rule P(vote | good) and P(vote | bad) for the votes -1, 0 and 1."""
+    """Latent classes: their shares, P(bad vote | class, the rule votes) for each rule, and which classes are of good texts."""
+
+    names: list[str]
+    share: np.ndarray
+    rejects: np.ndarray
+    good: np.ndarray
+
+    def rates(self, good: bool) -> np.ndarray:
+        """P(bad vote | texts are good, or bad; the rule votes) for each rule; NaN where the model has no such texts."""
+        own = self.good == good
+        return self.share[own] @ self.rejects[own] / self.share[own].sum() if own.any() else np.full(len(self.names), np.nan)
+
+    @property
+    def prior(self) -> float:
+        """The share of good texts."""
+        return float(self.share[self.good].sum())
 
-    prior: float
-    good: dict[str, tuple[float, float, float]]
-    bad: dict[str, tuple[float, float, float]]
+    def accuracies(self) -> np.ndarray:
+        """P(the vote is right | the rule votes) of each rule."""
+        return self.prior * (1 - np.nan_to_num(self.rates(True))) + (1 - self.prior) * np.nan_to_num(self.rates(False))
 
     def posterior(self) -> Column:
         """P(good | votes) as a Column over ``__cv_v_<rule>``."""
-        logit = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for name, g in self.good.items():
-            weight = [float(np.log(x / y)) for x, y in zip(g, self.bad[name], strict=True)]
-            vote = F.col(f"{_io.OWN}v_{name}")
-            logit = logit + F.when(vote == -1, weight[0]).when(vote == 0, weight[1]).otherwise(weight[2])
-        return 1 / (1 + F.exp(-logit))
-
-
-def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 200, tol: float = 1e-8) -> LabelModel:
-    """EM over vote patterns; patterns: (p, rules) of -1, 0, 1; counts: (p,).
-
-    Each rule has a reliability for either class. A rule is never read upside down: a bad vote never speaks for a good
-    text nor a good vote for a bad one. An abstention carries no evidence. Bad texts are bad in one way or a few, not in
-    all: a bad text passes a rule at least ``LEAST_PASSED`` times as often as a good one, so that passing many rules does
-    not excuse failing two, and a good text fails a rule at least ``LEAST_FALSE`` and at most ``MOST_FALSE`` of the time, so that
-    no rare failure decides alone, and a large group of bad texts cannot pass for the good class when another defect has
-    taken the bad one.
+        logs = []
+        for share, rejects in zip(self.share, self.rejects, strict=True):
+            log = F.lit(float(np.log(share)))
+            for name, p in zip(self.names, rejects, strict=True):
+                vote = F.col(f"{_io.OWN}v_{name}")
+                log = log + F.when(vote == -1, float(np.log(p))).when(vote == 1, float(np.log1p(-p))).otherwise(0.0)
+            logs.append(log)
+        most = F.greatest(*logs) if len(logs) > 1 else logs[0]
+        parts = [F.exp(log - most) for log in logs]
+        total = lambda own: sum((p for p, g in zip(parts, own, strict=True) if g), F.lit(0.0))
+        return total(self.good) / total(np.ones(len(parts), bool))
+
+
+def _maximise(bad: np.ndarray, cast: np.ndarray, counts: np.ndarray, q: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """EM from responsibilities ``q`` (pattern, class): shares, rates of bad votes, responsibilities, log likelihood."""
+    last = -np.inf
+    for _ in range(rounds):
+        w = counts[:, None] * q
+        share = (w.sum(0) + 0.5) / (w.sum() + 0.5 * w.shape[1])
+        rejects = (w.T @ bad + 0.5) / (w.T @ cast + 1.0)
+        log = np.log(share) + bad @ np.log(rejects).T + (cast - bad) @ np.log1p(-rejects).T
+        top = log.max(1, keepdims=True)
+        each = np.exp(log - top)
+        total = each.sum(1, keepdims=True)
+        q = each / total
+        like = float(counts @ (top + np.log(total))[:, 0])
+        if abs(like - last) <= 1e-9 * abs(like):
+            break
+        last = like
+    return share, rejects, q, like
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 300) -> LabelModel:
+    """The latent-class model of vote patterns; patterns: (p, rules) of -1, 0, 1; counts: (p,).
+
+    EM begins with each pattern bad in proportion to its share of bad votes. A split of a class begins from the texts that one
+    rule rejects; the split of the greatest likelihood is taken.
     """
-    good, bad = np.tile([0.02, 0.23, 0.75], (len(names), 1)), np.tile([0.35, 0.2, 0.45], (len(names), 1))  # two bad votes outweigh the rest
-    prior = 0.7
-    if len(counts):
-        cast = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, rule, vote
-        total = counts.sum()
-        pseudo = np.array([0.5, 0.5, 0.5])
-        for _ in range(rounds):
-            ratio = np.log(good / bad)
-            ratio[:, 1] = 0
-            q = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.einsum("prv,rv->p", cast, ratio))))
-            g = np.einsum("p,prv->rv", counts * q, cast) + pseudo
-            b = np.einsum("p,prv->rv", counts * (1 - q), cast) + pseudo
-            g, b = g / g.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-            g[:, 0] = np.clip(g[:, 0], LEAST_FALSE, MOST_FALSE)
-            g[:, 2] = 1 - g[:, 0] - g[:, 1]
-            b[:, 2] = np.clip(b[:, 2], LEAST_PASSED * g[:, 2], g[:, 2])
-            b[:, 0] = np.maximum(1 - b[:, 1] - b[:, 2], g[:, 0])
-            new_prior = float(np.clip((counts * q).sum() / total, 0.3, 0.9))
-            moved = max(np.abs(g - good).max(), np.abs(b - bad).max(), abs(new_prior - prior))
-            good, bad, prior = g, b, new_prior
-            if moved < tol:
-                break
-    bad, good = bad.copy(), good.copy()
-    bad[:, 1] = good[:, 1]  # no evidence
-    as_rows = lambda x: {n: tuple(map(float, r)) for n, r in zip(names, x, strict=True)}
-    return LabelModel(prior, as_rows(good), as_rows(bad))
+    if not len(counts):
+        return LabelModel(names, np.ones(1), np.full((1, len(names)), 0.5), np.zeros(1, bool))
+    bad, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    part = np.clip(2 * bad.sum(1) / np.maximum(cast.sum(1), 1), 0.02, 0.98)
+    best = _maximise(bad, cast, counts, np.stack([1 - part, part], 1), rounds)
+    cost = 0.5 * (1 + len(names)) * np.log(counts.sum() + 1) + LEAST_GAIN
+    origin = [False, True]
+    while len(best[0]) < MOST_CLASSES:
+        tries = []
+        for k in range(len(best[0])):
+            for r in range(len(names)):
+                moved = best[2][:, k] * np.where(bad[:, r] > 0, 0.9, 0.1)
+                q = np.column_stack([best[2], moved])
+                q[:, k] -= moved
+                tries.append((*_maximise(bad, cast, counts, q, 40), k))
+        found = max(tries, key=lambda t: t[3])
+        parent = found[4]
+        found = _maximise(bad, cast, counts, found[2], rounds)
+        if found[3] - best[3] <= cost:
+            break
+        best, origin = found, [*origin, origin[parent]]
+    share, rejects, _, _ = best
+    return LabelModel(names, share, rejects, ~(np.array(origin) | (rejects >= 0.5).any(1)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:

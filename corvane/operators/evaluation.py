@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..session import ship
-from ..session import materialize
+from ..session import materialize, ship
 from ..sources import rdf
 from . import graph as G
 

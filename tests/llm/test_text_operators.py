@@ -12,7 +12,10 @@ import numpy as np
 import pytest
 
 from corvane.llm import _io, byte_bpe, decontaminate
-from corvane.llm.quality_rules import fit, quality_rules
+from corvane.llm import _words as W
+from corvane.llm import jaccard_join as J
+from corvane.llm._stats import block_stats
+from corvane.llm.quality_rules import LabelModel, fit, quality_rules, rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, __x int"
 ODD = [None, "", " ", "\n", "a", "a a a a", "a b c a b c", "x\n\nx\n \ny\nx", "l1 w\nl1 w\nl1 w", "é " * 60, "#a $b %c", "\x0b\x0c\r\t", "ß ß 　x", "word " * 3000, "A!! B!! " * 40, "0", "z" * 70000]
@@ -53,26 +56,101 @@ def test_quality_rules_empty_table(spark):
     assert quality_rules(frame(spark, [])).count() == 0
 
 
-def test_label_model_finds_accurate_rules():
-    rng = np.random.default_rng(0)
-    y = rng.random(40000) < 0.8
-    good, bad = np.array([0.01, 0.2, 0.79]), np.array([0.35, 0.05, 0.6])
-    votes = np.stack([np.where(y, rng.choice(3, len(y), p=good), rng.choice(3, len(y), p=bad)) - 1 for _ in range(6)], 1)
+def posterior(model, patterns):
+    """P(good | votes) by Bayes' rule over the classes."""
+    out = []
+    for p in patterns:
+        like = [share * np.prod([1 if v == 0 else q if v < 0 else 1 - q for v, q in zip(p, rejects, strict=True)]) for share, rejects in zip(model.share, model.rejects, strict=True)]
+        out.append(sum(x for x, g in zip(like, model.good, strict=True) if g) / sum(like))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_label_model_recovers_planted_rates(seed):
+    """Two kinds of defects, false alarms and abstentions: shares and rates within 0.02, accuracies within 0.02."""
+    rng = np.random.default_rng(seed)
+    n, rules = 40000, 9
+    kind = rng.choice(3, n, p=[0.7, 0.2, 0.1])
+    rate = np.tile(rng.uniform(0.01, 0.08, rules), (3, 1))
+    rate[1, :3], rate[2, 3:6] = [0.8, 0.7, 0.9], [0.75, 0.9, 0.6]
+    votes = np.where(rng.random((n, rules)) < rate[kind], -1, 1)
+    votes[rng.random((n, rules)) < 0.2] = 0
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = fit(patterns.astype(float), counts.astype(float), list("abcdefghi"))
+    assert sorted(model.good) == [False, False, True]
+    assert abs(model.prior - 0.7) < 0.02
+    assert np.abs(model.rates(True) - rate[0]).max() < 0.02
+    assert np.abs(model.rates(False) - (2 * rate[1] + rate[2]) / 3).max() < 0.02
+    right = (kind[:, None] == 0) == (votes > 0)
+    assert np.abs(model.accuracies() - (right & (votes != 0)).sum(0) / (votes != 0).sum(0)).max() < 0.02
+    said = posterior(model, patterns)[at.ravel()] >= 0.5
+    best = LabelModel(list("abcdefghi"), np.array([0.7, 0.2, 0.1]), rate, np.array([True, False, False]))
+    assert (said == (kind == 0)).mean() > ((posterior(best, patterns)[at.ravel()] >= 0.5) == (kind == 0)).mean() - 0.005
+
+
+def test_no_estimate_lies_on_a_bound():
+    rng = np.random.default_rng(3)
+    votes = np.where(rng.random((5000, 4)) < np.where(rng.random(5000) < 0.6, 0.05, 0.7)[:, None], -1, 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = fit(patterns.astype(float), counts.astype(float), list("abcdef"))
-    ratio = lambda p: np.log(model.prior / (1 - model.prior)) + sum(np.log(model.good[k][v + 1] / model.bad[k][v + 1]) for k, v in zip("abcdef", p, strict=True))
-    said = np.array([ratio(p) for p in patterns])[np.unique(votes, axis=0, return_inverse=True)[1].ravel()] > 0
-    assert (said == y).mean() > 0.93 and said[y].mean() > 0.93
+    model = fit(patterns.astype(float), counts.astype(float), list("abcd"))
+    assert ((model.rejects > 0) & (model.rejects < 1)).all() and abs(model.share.sum() - 1) < 1e-9
+    assert np.abs(model.rates(True) - 0.05).max() < 0.03 and np.abs(model.rates(False) - 0.7).max() < 0.03
 
 
 def test_two_kinds_of_bad_texts_are_both_found():
     good, first, second = [1] * 6, [-1, -1, 1, 1, 1, 1], [1, 1, 1, -1, -1, 1]
-    names = list("abcdef")
-    for n in ((900, 60, 10), (900, 10, 60), (80, 8, 8)):
+    for n in ((900, 60, 10), (900, 10, 60), (80, 8, 8), (10**9, 10**7, 10**8)):
         patterns = np.array([good, first, second], float)
-        model = fit(patterns, np.array(n, float), names)
-        ratio = [sum(np.log((model.good[k][int(v) + 1]) / model.bad[k][int(v) + 1]) for k, v in zip(names, p, strict=True)) + np.log(model.prior / (1 - model.prior)) for p in patterns]
-        assert ratio[0] > 0 > max(ratio[1:])
+        got = posterior(fit(patterns, np.array(n, float), list("abcdef")), patterns)
+        assert got[0] > 0.5 > max(got[1:])
+
+
+def test_posterior_column_and_verdict_follow_bayes(spark):
+    """The verdict of each row of the query, from the votes in the table and the model of their counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality_rules(docs.unionByName(docs.limit(20))).collect()
+    votes = [c for c in rows[0].asDict() if c.startswith("__cv_v_")]
+    seen = Counter(tuple(r[c] for c in votes) for r in rows)
+    patterns = np.array(sorted(seen), float)
+    said = dict(zip(sorted(seen), posterior(fit(patterns, np.array([seen[p] for p in sorted(seen)], float), list(rules())), patterns), strict=True))
+    for r in rows:
+        p = said[tuple(r[c] for c in votes)]
+        assert abs(r["__cv_posterior"] - p) < 1e-6
+        assert r["__cv_kept"] == (not r["__cv_base_failed"] and p >= 0.5)
+    twice = {}
+    for r in rows:  # repeated rows get equal results
+        assert twice.setdefault(r.doc_id, r["__cv_posterior"]) == r["__cv_posterior"]
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 128, 1024, 2048, 4096, 8192])
+def test_words_of_a_regular_structure_have_names_of_their_own(spark, n):
+    a, b = thue_morse(n)
+    data = np.frombuffer(f"{a}\n{b}".encode(), np.uint8)
+    assert len(set(W.hashes(data, np.array([0, n + 1]), np.array([n, 2 * n + 1])).tolist())) == 2
+    got = block_stats(data, np.array([0, len(data)]))
+    assert got["n_dup_lines"][0] == 0 and got["n_distinct_words"][0] == 2
+    blocks = np.frombuffer((a + b).encode(), np.uint8)
+    sets = list(J.text_sets(blocks, np.array([0, n, 2 * n]), 3))
+    assert J.set_name(sets[0]) != J.set_name(sets[1])
+
+
+def test_hashes_depend_on_the_span_alone():
+    rng = random.Random(8)
+    spans = ["".join(rng.choice("ab\0é") for _ in range(rng.choice([0, 1, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))).encode() for _ in range(400)]
+    seen = {}
+    for order in (spans, spans[::-1]):
+        data = np.frombuffer(b"x".join(order) + b"y", np.uint8)
+        ends = np.cumsum([len(s) + 1 for s in order]) - 1
+        for s, h in zip(order, W.hashes(data, ends - [len(s) for s in order], ends).tolist(), strict=True):
+            assert seen.setdefault(s, h) == h
+    assert len(set(seen.values())) == len(seen)
 
 
 def words9(t):
