@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialize, ship
 
-__all__ = ["OWN", "bounded_batches", "discard", "lean", "materialize", "read", "text_or_empty"]
+__all__ = ["OWN", "bounded_batches", "discard", "is_small", "lean", "materialize", "read", "text_or_empty"]
 
 #: Prefix of helper columns; columns of the caller never clash with them.
 OWN = "__cv_"
@@ -29,6 +29,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") ->
                 raise
 
 
+def is_small(df: DataFrame, most_rows: int, most_cells: int, cells) -> bool:
+    """Whether ``df`` may be broadcast: at most ``most_rows`` rows and ``most_cells`` of what ``cells`` counts a row."""
+    n, total = df.agg(F.count("*"), F.sum(cells)).first()
+    return n <= most_rows and (total or 0) <= most_cells
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

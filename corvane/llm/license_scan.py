@@ -10,7 +10,8 @@ hardest case, a notice that is one single shingle, has J = 1/4 at least in each
 longer template any one window suffices. A template counts if at least ``LEAST`` of its distinct shingles are in the
 document, compared as words, not as hashes.
 
-Only DataFrame functions run. Texts are not shuffled: candidates are few and small and are broadcast if counted and few.
+Only DataFrame functions run. Texts are not shuffled where candidates (numbers of templates) are counted and few, and so broadcast;
+the templates' shingles are a constant of the plan.
 
 Edge cases: null and empty texts, and those of fewer than five words, have no licenses; templates of fewer than five words are
 refused; rows of one doc_id and one text count as one and get equal results; a row without doc_id is judged by its text;
@@ -19,6 +20,7 @@ an empty table gives an empty result; extra columns are kept and helper columns
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 from . import _io
 
 K, WIDTH, STEP, BANDS, LEAST = 5, 4, 2, 32, 0.8
-MOST_BROADCAST = 200_000
+#: Documents with candidates, and candidates in them, that may be broadcast; beyond it texts are shuffled.
+MOST_BROADCAST, MOST_CANDIDATES = 200_000, 1_000_000
 
-#: Public wordings of license notices, by SPDX identifier.
+#: Public wordings of license notices, by SPDX identifier; short notices, then full texts and headers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -46,6 +49,46 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause-third": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib-full": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program."
+    ),
 }
 
 
@@ -89,9 +132,19 @@ def with_bands(df: DataFrame, hashes: str, step: int, first: int = 0) -> DataFra
 
 
 def templates_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, shingles) of every template."""
+    """(license, words) of every template."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("t")) for k, v in templates.items()])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.license", F.array_distinct(shingles_of(words_of(F.col("r.t")))).alias("shingles"), words_of(F.col("r.t")).alias("words"))
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.license", words_of(F.col("r.t")).alias("words"))
+
+
+def _distinct_shingles(template: str) -> list[str]:
+    words = re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in template))
+    return list(dict.fromkeys(" ".join(words[i : i + K]) for i in range(len(words) - K + 1)))
+
+
+def _number(names: list[str], license: Column) -> Column:
+    """The place of a license's name in ``names``."""
+    return (F.array_position(F.array(*map(F.lit, names)), license) - 1).cast("int")
 
 
 def retrieve(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataFrame:
@@ -109,14 +162,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, text:
         raise ValueError("templates beyond a megabyte are not broadcast; scan with them in blocks")
     if short := [k for k, v in templates.items() if len(re.findall("[a-z0-9]+", v.lower())) < K]:
         raise ValueError(f"a template needs five words: {short}")
+    names = sorted(templates)
     table = templates_table(docs.sparkSession, templates)
-    found = _io.materialize(retrieve(docs, table, text)).join(F.broadcast(table.select("license", "shingles")), "license")
-    found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("license", "shingles")).alias(_io.OWN + "candidates"))
+    found = _io.materialize(retrieve(docs, table, text)).groupBy("doc_id", "key").agg(F.collect_list(_number(names, F.col("license"))).alias(_io.OWN + "candidates"))
     found = found.withColumnsRenamed({"doc_id": _io.OWN + "id", "key": _io.OWN + "key"})
-    if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if _io.is_small(found, MOST_BROADCAST, MOST_CANDIDATES, F.size(_io.OWN + "candidates")):
         found = F.broadcast(found)
+    known = F.from_json(F.lit(json.dumps([_distinct_shingles(templates[n]) for n in names])), "array<array<string>>")
     own = F.col(_io.OWN + "own")
-    share = lambda c: F.struct(c["license"].alias("license"), (F.size(F.array_intersect(c["shingles"], own)) / F.size(c["shingles"])).alias("containment"))
+    share = lambda c: F.struct(F.get(F.array(*map(F.lit, names)), c).alias("license"), (F.size(F.array_intersect(F.get(known, c), own)) / F.size(F.get(known, c))).alias("containment"))
     empty = F.array().cast("array<struct<license:string,containment:double>>")
     out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(_io.OWN + "id")) & (F.xxhash64(text) == F.col(_io.OWN + "key")), "left")
     out = out.withColumn(_io.OWN + "words", F.when(F.col(_io.OWN + "candidates").isNotNull(), words_of(F.col(text))))

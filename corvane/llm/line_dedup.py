@@ -3,7 +3,7 @@
 Windows of three consecutive lines that hold more than white space are hashed (128 bits). A window's first place is the one
 of the least (doc_id, line); every later place covers its lines, covered lines of a document are merged, and what is
 covered goes. Only DataFrame functions run: hashes of lines travel, texts stay where they are scanned unless the table of
-covered lines is too large to broadcast (its rows are counted). A window that very many documents share is one row a
+covered lines is too large to broadcast (its rows and lines are counted). A window that very many documents share is one row a
 task after partial aggregation, and the join back to its places is one that Spark splits when it is skewed.
 
 Edge cases: null text stays null, empty text stays empty; texts of fewer than three such lines have no window; blank lines never
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import _io
 
 WINDOW = 3
-#: Documents with covered lines that may be broadcast; beyond it texts are shuffled.
-MOST_BROADCAST = 200_000
+#: Documents with covered lines, and covered lines in them, that may be broadcast (16 MB at most); beyond it texts are shuffled.
+MOST_BROADCAST, MOST_LINES = 200_000, 2_000_000
 
 
 def _full_lines(text: Column) -> Column:
@@ -51,7 +51,7 @@ def covered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text`` without the covered lines, with ``__cv_n_lines`` and ``__cv_n_removed`` (long)."""
     cut = covered_lines(docs, text).select(F.col("doc_id").alias(_io.OWN + "id"), F.col("key").alias(_io.OWN + "key"), F.col("lines").alias(_io.OWN + "cut"))
-    if cut.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if _io.is_small(cut, MOST_BROADCAST, MOST_LINES, F.size(_io.OWN + "cut")):
         cut = F.broadcast(cut)
     lines, gone = F.split(F.col(text), "\n", -1), F.col(_io.OWN + "cut")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
