@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io
-from ._spans import add_matches, joined
+from ._spans import REACH, add_matches, joined, without_overlaps
 from ._trees import boost
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +33,8 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = {
     # equal to LOCAL+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, but reading each run of local characters once
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    # equal to [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), but reading each run of digits once as the first of a match
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -52,8 +53,6 @@ _CONTEXT = {
     "phone": r"(?i:phone|call|tel|fax|mobile|cell|dial|whatsapp|ring)",
     "other": r"(?i:order|invoice|version|isbn|serial|part|page|ref|ticket|model|no\.|#|lot|date)",
 }
-#: Code points of context on either side.
-REACH = 24
 _FEATURES = ("kind", "digits", "size", "marks", "luhn", "distinct", "letters", "brackets", *[f"ctx_{k}" for k in _CONTEXT], "before_digit", "after_digit", "valid_code")
 _models: dict[str, tuple] = {}
 
@@ -82,10 +81,8 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
 
-def _features(text: Column, kind: str, s: Column) -> Column:
-    v = s["value"]
-    before = F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(s["start"], F.lit(REACH)))
-    after = F.substring(text, s["end"] + 1, F.lit(REACH))
+def _features(kind: str, s: Column) -> Column:
+    v, before, after = s["value"], s["before"], s["after"]
     d = digits_of(v)
     n = lambda c: F.length(c).cast("double")
     context = [_flag(before.rlike(p)) for p in _CONTEXT.values()]
@@ -110,12 +107,14 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
         return F.filter(base[k], lambda s: base_ok(k, s["value"]))
 
     def free(k: str) -> Column:
-        alone = F.filter(f"{_io.OWN}m_w_{k}", lambda s: ~F.exists(F.concat(*base.values()), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.transform(alone, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _features(t, k, s).alias("x")))
+        return F.transform(F.col(f"{_io.OWN}f_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _features(k, s).alias("x")))
 
     df = df.withColumns({base[k]: passing(k) for k in KINDS})
-    found = {f"{_io.OWN}c_{k}": free(k) for k in KINDS}
-    return df.withColumns(found).drop(*[f"{_io.OWN}m_w_{k}" for k in KINDS])
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    df = df.withColumn(_io.OWN + "taken", F.array_sort(F.concat(*[F.transform(x, place) for x in base.values()])))
+    df = without_overlaps(df, {f"{_io.OWN}f_{k}": f"{_io.OWN}m_w_{k}" for k in KINDS}, _io.OWN + "taken")
+    df = df.withColumns({f"{_io.OWN}c_{k}": free(k) for k in KINDS})
+    return df.drop(_io.OWN + "taken", *[f"{_io.OWN}{x}_{k}" for x in ("m_w", "f") for k in KINDS])
 
 
 def examples(n: int = 2400, seed: int = 7) -> list[tuple[str, str, int]]:

@@ -3,13 +3,14 @@
 Base rules find assignments, access keys and long hexadecimal runs. Wider generators propose vendor tokens, private keys
 (header and body) and dense base64 runs. The hash of every candidate's value is aggregated over the whole corpus by distinct
 repositories (documents) and owners (sources): a value that one owner has, in however many copies, or that few owners have
-in not very many documents is specific to them and looks live; any other is an example. Keys are compared without their
-line breaks; a private-key header without a key is not compared and always looks live. Of the wider candidates only those that look live become spans.
+in not very many documents is specific to them and looks live; any other is an example. Documents of one text are mirrors of
+one repository and count once for an owner. Keys are compared without their line breaks; a private-key header without a key
+is not compared and always looks live. Of the wider candidates only those that look live become spans.
 
 Only DataFrame functions run. Texts are scanned once; candidates go to the shared folder with hashes instead of values.
 
-Edge cases: null and empty texts have no spans; a null source counts as an owner of its own name ""; a null doc_id counts as
-one document; repeated rows count as one document and give equal rows; an empty table gives an empty result; extra
+Edge cases: null and empty texts have no spans; a null source counts as an owner of its own name ""; doc_id is not read, so
+rows without one are documents as others are; repeated rows count as one document and give equal rows; an empty table gives an empty result; extra
 columns are kept and helper columns start with ``__cv_``.
 """
 
@@ -43,7 +44,10 @@ def _dense(v: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (without the text) with ``__cv_spans``: array of (start, order, end, kind, hash) of all candidates, sorted."""
+    """``docs`` (without the text) with ``__cv_spans``: array of (start, order, end, kind, hash) of all candidates, sorted.
+
+    ``__cv_document`` is a hash of the text.
+    """
     t = _io.OWN + "t"
     has = F.col(t).rlike("(?i:passw|secret|token|api_?key)")
     df = docs.select(*[f"`{c}`" for c in docs.columns if c != text], _io.text_or_empty(text).alias(t))
@@ -61,7 +65,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(k).alias("kind"), name(s).alias("hash")))
 
     parts = [spans_of(order, k) for order, k in enumerate(KINDS)]
-    return df.withColumn(_io.OWN + "spans", F.array_sort(F.concat(*parts))).drop(t, *[f"{_io.OWN}m_{k}" for k in KINDS])
+    return df.withColumn(_io.OWN + "spans", F.array_sort(F.concat(*parts))).withColumn(_io.OWN + "document", F.xxhash64(t)).drop(t, *[f"{_io.OWN}m_{k}" for k in KINDS])
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -70,20 +74,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return once.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("documents"), F.count("*").alias("owners"))
 
 
-def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source") -> DataFrame:
-    """All columns of ``docs`` but the text, with ``__cv_spans``: sorted array of (start, order, end, kind, hash, live)."""
+def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """All columns of ``docs`` but the text, with ``__cv_spans``: sorted array of (start, order, end, kind, hash, live).
+
+    ``most_owners`` and ``most_documents`` bound how often a value of several owners may occur and still look live.
+    """
     spans, uid = _io.OWN + "spans", _io.OWN + "uid"
     table = _io.materialize(candidates(docs, text).withColumn(uid, F.monotonically_increasing_id()))
-    each = table.filter(F.size(spans) > 0).select(uid, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("document"), F.explode(spans).alias("s"))
+    each = table.filter(F.size(spans) > 0).select(uid, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.col(_io.OWN + "document").alias("document"), F.explode(spans).alias("s"))
     counts = _io.materialize(ownership(each.select("s.hash", "owner", "document").filter("hash is not null")))
     if counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         counts = F.broadcast(counts)
-    few = (F.col("owners") <= MOST_OWNERS) & (F.col("documents") <= MOST_DOCUMENTS)
+    few = (F.col("owners") <= most_owners) & (F.col("documents") <= most_documents)
     live = F.col("hash").isNull() | (F.col("owners") == 1) | few
     judged = each.select(uid, "s.*").join(counts, "hash", "left").filter(live | F.col("kind").isin(*BASE))
     judged = judged.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind", "hash", live.alias("live")))).alias(_io.OWN + "judged"))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,hash:string,live:boolean>>")
-    return table.drop(spans).join(judged, uid, "left").withColumn(spans, F.coalesce(_io.OWN + "judged", empty)).drop(uid, _io.OWN + "judged")
+    return table.drop(spans).join(judged, uid, "left").withColumn(spans, F.coalesce(_io.OWN + "judged", empty)).drop(uid, _io.OWN + "document", _io.OWN + "judged")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

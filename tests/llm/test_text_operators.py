@@ -185,6 +185,24 @@ def test_decontaminate_equals_brute_force(spark, block_bytes):
         assert (r["__cv_n_words"], r["__cv_n_hit"], r["__cv_items"]) == brute9(texts[r.doc_id], bench), texts[r.doc_id]
 
 
+def test_decontaminate_with_string_ids_and_repeated_documents(spark):
+    items = [(f"q{i}", t) for i, t in enumerate(["one two three four five six seven eight nine ten eleven twelve thirteen", "short one", "", None])] + [(None, "lost words"), ("q0", "again here")]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["a short one b", "a short one b", " ".join(f"x{i}" for i in range(20)) + " one two three four five six seven eight nine ten eleven twelve thirteen", "lost words", "again here"]
+    for block_bytes in (8 << 20, 10):
+        got = {r.doc_id: (r["__cv_n_words"], r["__cv_n_hit"], r["__cv_items"]) for r in decontaminate.decontaminate(frame(spark, texts), table, block_bytes=block_bytes).collect()}
+        assert got == {0: (4, 2, ["q1"]), 1: (4, 2, ["q1"]), 2: (33, 13, ["q0"]), 3: (2, 0, []), 4: (2, 2, ["q0"])}
+
+
+def test_equal_hashes_of_windows_stay_apart(monkeypatch):
+    """Test strings are told apart by their words even where their hashes agree."""
+    monkeypatch.setattr(decontaminate, "_named", lambda words: np.zeros(len(words[0]), np.uint64))
+    ids, patterns = decontaminate.build([(1, "a b c"), (2, "x b c"), (3, "a b c"), (4, "b c")])
+    data = np.frombuffer(b"a b c, q b c", np.uint8)
+    first, hit, items = decontaminate.scan_block(ids, patterns, data, np.array([0, 5, 12]))
+    assert items == [{1, 3, 4}, {4}] and hit.tolist() == [True] * 3 + [False, True, True] and first.tolist() == [0, 3, 6]
+
+
 def test_decontaminate_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(frame(spark, []), none).count() == 0
