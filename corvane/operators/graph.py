@@ -28,8 +28,8 @@ ANNOTATIONS += [SKOS + x for x in ("definition", "note", "prefLabel", "altLabel"
 ANNOTATIONS += [DCTERMS + x for x in ("title", "description", "abstract", "license", "rights")] + [DC + x for x in ("title", "description", "rights")]
 # Types that only declare.
 DECLARATIONS = [*CLASS_TYPES, *PROPERTY_TYPES, *[OWL + x for x in ("AnnotationProperty", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty", "NamedIndividual", "Thing", "Ontology", "Restriction", "AllDisjointClasses", "AllDifferent", "Axiom")], SKOS + "Concept"]
-# Rungs of the ladder of path evidence, best first, with their credit.
-LADDER = [("direct", 1.0), ("reified", 1.0), ("indirect2", 0.85), ("half", 0.75), ("path3", 0.60), ("floating", 0.15)]
+# Rungs of plain path evidence, best first, with their credit; ``sev`` has the whole ladder.
+LADDER = [("direct", 1.0), ("indirect2", 0.85), ("half", 0.75), ("path3", 0.60), ("floating", 0.15)]
 # Doubt by number of incidences, in 270ths.
 DOUBT = [270, 9, 4, 1, 0]
 c = F.col
@@ -104,13 +104,13 @@ def bounded_closure(edges: DataFrame, depth: int) -> DataFrame:
 
 
 def class_edges(t: DataFrame, up: bool) -> DataFrame:
-    """Steps to superclasses (also over equivalence, both ways), or to subclasses (over subClassOf only)."""
+    """Steps to superclasses (also over equivalence, as it is stated), or to subclasses (over subClassOf only)."""
     named = t.filter((c("s_kind") == "iri") & (c("o_kind") == "iri"))
     sub = named.filter(c("p") == SUB)
     if not up:
         return sub.select("graph_id", c("o").alias("a"), c("s").alias("b"))
     same = named.filter(c("p") == EQUIVALENT)
-    return _union(sub.select("graph_id", c("s").alias("a"), c("o").alias("b")), same.select("graph_id", c("s").alias("a"), c("o").alias("b")), same.select("graph_id", c("o").alias("a"), c("s").alias("b")))
+    return _union(sub.select("graph_id", c("s").alias("a"), c("o").alias("b")), same.select("graph_id", c("s").alias("a"), c("o").alias("b")))
 
 
 def ancestors(t: DataFrame) -> DataFrame:
@@ -125,10 +125,15 @@ def superproperties(t: DataFrame) -> DataFrame:
     return bounded_closure(t.filter((c("p") == SUBP) & (c("s_kind") == "iri") & (c("o_kind") == "iri")).select("graph_id", c("s").alias("a"), c("o").alias("b")), 3)
 
 
-def universal_hubs(t: DataFrame) -> DataFrame:
-    """(graph_id, term): classes with at least four proper descendants that are more than half of all classes."""
-    classes = schema_view(t).filter("role = 'class'").groupBy("graph_id").agg(F.count("*").alias("n"))
-    below = descendants(t).groupBy("graph_id", "a").agg(F.count("*").alias("k"))
+def universal_hubs(t: DataFrame, view: DataFrame | None = None, down: DataFrame | None = None) -> DataFrame:
+    """(graph_id, term): classes with at least four proper descendants that are more than half of all classes.
+
+    ``view`` and ``down`` (its ``schema_view`` and ``descendants``) save making them again.
+    """
+    view = schema_view(t) if view is None else view
+    classes = view.filter("role = 'class'").groupBy("graph_id").agg(F.count("*").alias("n"))
+    below = (descendants(t) if down is None else down).groupBy("graph_id", "a").agg(F.count("*").alias("k"))
+    below = below.join(view.filter("role = 'class'").select("graph_id", c("term").alias("a")), ["graph_id", "a"], "left_semi")
     return below.join(classes, "graph_id").filter((c("k") >= 4) & (2 * c("k") > c("n"))).select("graph_id", c("a").alias("term"))
 
 
@@ -138,20 +143,20 @@ def cone(t: DataFrame) -> DataFrame:
     return both.filter(is_named(c("b"), F.lit("iri"))).join(universal_hubs(t).withColumnRenamed("term", "b"), ["graph_id", "b"], "left_anti").select("graph_id", "a", "b")
 
 
-def endpoints(t: DataFrame) -> DataFrame:
+def endpoints(t: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """(graph_id, prop, side, end): declared domains and ranges, also of super-properties; hubs and Thing are open, datatypes literal."""
     own = t.filter(c("p").isin(DOMAIN, RANGE)).select("graph_id", c("s").alias("prop"), F.when(c("p") == DOMAIN, "domain").otherwise("range").alias("side"), c("o").alias("end"))
     above = superproperties(t).select("graph_id", c("a").alias("sub"), c("b").alias("prop"))
     inherited = own.join(above, ["graph_id", "prop"]).select("graph_id", c("sub").alias("prop"), "side", "end")
-    hubs = universal_hubs(t).select("graph_id", c("term").alias("end"), F.lit(True).alias("hub"))
+    hubs = (universal_hubs(t) if hubs is None else hubs).select("graph_id", c("term").alias("end"), F.lit(True).alias("hub"))
     end = F.when((c("end") == OWL + "Thing") | c("hub"), ANY).when(c("end").startswith(XSD) | c("end").isin(RDFS + "Literal", RDF + "langString"), LITERAL).otherwise(c("end"))
     return _union(own, inherited).join(hubs, ["graph_id", "end"], "left").select("graph_id", "prop", "side", end.alias("end")).distinct()
 
 
-def lift(t: DataFrame) -> DataFrame:
+def lift(t: DataFrame, view: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(graph_id, a, p, b): schema edges: every domain with every range; an inverse and a symmetric property turn them round."""
-    props = schema_view(t).filter("role <> 'class'").select("graph_id", c("term").alias("prop"), "role")
-    ends = materialize(endpoints(t))  # read twice
+    props = (schema_view(t) if view is None else view).filter("role <> 'class'").select("graph_id", c("term").alias("prop"), "role")
+    ends = materialize(endpoints(t)) if ends is None else ends  # read twice
     side = lambda s: ends.filter(c("side") == s).select("graph_id", "prop", c("end").alias(s))
     e = props.join(side("domain"), ["graph_id", "prop"], "left").join(side("range"), ["graph_id", "prop"], "left")
     edges = e.select("graph_id", F.coalesce("domain", F.lit(ANY)).alias("a"), c("prop").alias("p"), F.coalesce("range", F.when(c("role") == "dataprop", LITERAL).otherwise(ANY)).alias("b"))
@@ -190,25 +195,6 @@ def bind_slots(idx: DataFrame, slots: DataFrame) -> DataFrame:
     return best.select("graph_id", "slot", c("b.term").alias("term"), (-c("b.n")).alias("score"))
 
 
-def match_properties(idx: DataFrame, props: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(graph_id, relation, prop): properties that share a word with a relation's surface; no surface means all of them."""
-    names = idx.join(props.select("graph_id", "term"), ["graph_id", "term"], "left_semi").select("graph_id", c("term").alias("prop"), F.explode("tokens").alias("key"))
-    w = wanted.withColumn("key", F.explode(identifier_tokens(c("surface"))))
-    some = w.join(names, ["graph_id", "key"]).select("graph_id", "relation", "prop")
-    every = wanted.filter("surface is null or surface = ''").join(props.select("graph_id", c("term").alias("prop")), "graph_id").select("graph_id", "relation", "prop")
-    return _union(some, every).distinct()
-
-
-def fan_out(edges: DataFrame, up: DataFrame) -> DataFrame:
-    """(graph_id, p, side, fan, discount): ends of a property of which none is above another; beyond four they are discounted."""
-    edges, up = materialize(edges), materialize(up)
-    sides = _union(edges.select("graph_id", "p", F.lit("domain").alias("side"), c("a").alias("x")), edges.select("graph_id", "p", F.lit("range").alias("side"), c("b").alias("x"))).filter(~c("x").isin(ANY, LITERAL)).distinct()
-    covered = sides.alias("l").join(up.alias("u"), (c("l.graph_id") == c("u.graph_id")) & (c("l.x") == c("u.a"))).select("l.graph_id", "l.p", "l.side", "l.x", c("u.b").alias("y"))
-    covered = covered.join(sides.withColumnRenamed("x", "y"), ["graph_id", "p", "side", "y"], "left_semi").select("graph_id", "p", "side", "x").distinct()
-    n = sides.join(covered, ["graph_id", "p", "side", "x"], "left_anti").groupBy("graph_id", "p", "side").agg(F.count("*").alias("fan"))
-    return n.withColumn("discount", F.when(c("fan") > 4, 4 / c("fan")).otherwise(1.0))
-
-
 def path_evidence(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(graph_id, q, tier, credit): the best rung of the ladder by which wanted pairs (graph_id, q, a, b) are connected.
 
@@ -237,14 +223,6 @@ def path_evidence(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.withColumn("credit", F.coalesce(F.element_at(credit, c("tier")), F.lit(0.0)))
 
 
-def question_score(bound: Column, credit: Column) -> Column:
-    """(score, label, answerable): a quarter of the binding (half of that where no relation holds) and three quarters of the relations."""
-    weight = F.when(credit <= 0.15, 0.125).otherwise(0.25)
-    score = weight * bound + 0.75 * credit
-    label = F.when(score < 0.05, "unsupported").when(score < 0.30, "lexical-only").when(score < 0.70, "partial").otherwise("supported")
-    return F.struct(score.alias("score"), label.alias("label"), ((bound >= 0.75) & (credit >= 0.75)).alias("answerable"))
-
-
 def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(graph_id, a, b) of everything a reaches, by squaring: rounds grow with the logarithm of the longest path."""
     now = materialize(edges.select("graph_id", "a", "b").distinct())

@@ -200,12 +200,6 @@ def similarity(spark, sf_dir):
     return s.select("o_orderkey", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@_add("agg_gold_calibration", "SELECT count(*) FILTER (WHERE value >= 85) AS calibrated, count(*) FILTER (WHERE value < 85 AND event_id % 10 = 0) AS exempt, count(*) FILTER (WHERE value < 85 AND event_id % 10 <> 0) AS failing FROM events")
-def gold_calibration(spark, sf_dir):
-    ok, exempt = c("value") >= 85, c("event_id") % 10 == 0
-    return read(spark, sf_dir, "events").agg(F.count_if(ok).alias("calibrated"), F.count_if(~ok & exempt).alias("exempt"), F.count_if(~ok & ~exempt).alias("failing"))
-
-
 @_add("agg_control", "SELECT * FROM (VALUES ('empty file', 0::BIGINT, 'empty'), ('directives only', 0::BIGINT, 'empty')) v(control, n_triples, status)")
 def control(spark, sf_dir):
     """An empty file and one of directives only, through the same reader as artefacts."""
@@ -218,25 +212,12 @@ def reference_score(spark, sf_dir):
     return records(spark, sf_dir).select("id", F.when(c("parsed"), c("pass_rate")).alias("score"))
 
 
-@_add("g_relation_credit", "SELECT user_id, max(credit * spec) AS credit FROM (SELECT user_id, [1.0E0, 0.85E0, 0.75E0, 0.60E0, 0.15E0][event_id % 5 + 1] AS credit, CASE WHEN event_id % 9 > 4 THEN 4.0E0 / (event_id % 9) ELSE 1.0E0 END AS spec FROM events) GROUP BY user_id")
-def relation_credit(spark, sf_dir):
-    tier = F.get(F.array(*map(F.lit, [1.0, 0.85, 0.75, 0.60, 0.15])), (c("event_id") % 5).cast("int"))
-    spec = F.when(c("event_id") % 9 > 4, 4.0 / (c("event_id") % 9)).otherwise(1.0)
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(tier * spec).alias("credit"))
-
-
 @_add("g_diagnostics", R + "SELECT model, count(*) FILTER (WHERE triples = 0) AS silent, count(*) FILTER (WHERE classes = 0) AS without_classes, count(*) FILTER (WHERE properties = 0) AS without_properties, count(*) FILTER (WHERE consistent IS NULL) AS without_verdict, count(*) FILTER (WHERE state = 'failed') AS scan_failed FROM r GROUP BY model")
 def diagnostics(spark, sf_dir):
     n = lambda x, k: F.count_if(x).alias(k)
     return records(spark, sf_dir).groupBy("model").agg(n(c("triples") == 0, "silent"), n(c("classes") == 0, "without_classes"), n(c("properties") == 0, "without_properties"), n(c("consistent").isNull(), "without_verdict"), n(c("state") == "failed", "scan_failed"))
 
 
-@_add("g_run_cq_verification", R + "SELECT model, config, count(*) AS total, count(*) FILTER (WHERE pass_rate >= 0.75) AS passed, count(*) FILTER (WHERE pass_rate < 0.75 OR pass_rate IS NULL) AS failed FROM r GROUP BY model, config")
-def run_cq(spark, sf_dir):
-    ok = F.coalesce(c("pass_rate") >= 0.75, F.lit(False))
-    return records(spark, sf_dir).groupBy("model", "config").agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
-
-
 @_add("stream_upsert", "SELECT DISTINCT event_id % 100 AS k, 'this_run' AS record_origin FROM events")
 def stream_upsert(spark, sf_dir):
     """Three versions of a table, each upserted over the one before; the last covers every key."""

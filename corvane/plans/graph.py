@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
-from inspect import signature
-
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_turtle
+from ..functions.text import camel_split, local_name, looks_like_turtle, words
 from ..operators import graph as G
 from ..sources import rdf
 from ._bind import catalogue, read
@@ -20,25 +17,31 @@ _V = "CAST({} AS STRING)"
 
 
 def _sql(cast: str) -> str:
+    """Triples of all nations, customers, suppliers and parts, each a node of its own.
+
+    Customers, suppliers and properties form trees (half and a third of the key), so paths grow with the logarithm of the tables.
+    """
     s = lambda x: f"CAST({x} AS {cast})"
+    half = lambda x, by: s(f"CAST(floor({x} / {by}) AS BIGINT)")
     g = f"concat('g', {s('n_regionkey')})"
-    part = f"FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey < 300"
+    n, k, u, p = (f"concat('{x}', {s(key)})" for x, key in (("n", "n_nationkey"), ("k", "c_custkey"), ("s", "s_suppkey"), ("p", "p_partkey")))
+    customer, supplier, part = "FROM customer JOIN nation ON c_nationkey = n_nationkey", "FROM supplier JOIN nation ON s_nationkey = n_nationkey", "FROM part JOIN nation ON p_partkey % 25 = n_nationkey"
     return f"""
-SELECT {g} AS graph_id, concat('n', {s('n_nationkey')}) AS s, 'iri' AS s_kind, '{_S}' AS p, concat('r', {s('n_regionkey')}) AS o, 'iri' AS o_kind FROM nation
-UNION SELECT {g}, concat('n', {s('n_nationkey')}), 'iri', '{_T}', '{_OWL}Class', 'iri' FROM nation
-UNION SELECT {g}, concat('n', {s('n_nationkey')}), 'iri', '{_RDFS}label', n_name, 'literal' FROM nation
-UNION SELECT {g}, concat('k', {s('c_custkey % 60')}), 'iri', '{_S}', concat('n', {s('n_nationkey')}), 'iri' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0
-UNION SELECT {g}, concat('k', {s('c_custkey % 60')}), 'iri', '{_S}', concat('k', {s('c_custkey % 40')}), 'iri' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 = 0
-UNION SELECT {g}, concat('s', {s('s_suppkey')}), 'iri', '{_T}', concat('n', {s('n_nationkey')}), 'iri' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION SELECT {g}, concat('s', {s('s_suppkey')}), 'iri', concat('p', {s('s_suppkey % 9')}), concat('s', {s('s_suppkey % 13 + 1')}), 'iri' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION SELECT {g}, concat('p', {s('p_partkey % 90')}), 'iri', '{_T}', CASE WHEN p_partkey % 4 = 0 THEN '{_OWL}DatatypeProperty' ELSE '{_OWL}ObjectProperty' END, 'iri' {part}
-UNION SELECT {g}, concat('p', {s('p_partkey % 90')}), 'iri', '{_D}', concat('n', {s('n_nationkey')}), 'iri' {part} AND p_partkey % 3 <> 0
-UNION SELECT {g}, concat('p', {s('p_partkey % 90')}), 'iri', '{_R}', CASE WHEN p_partkey % 4 = 0 THEN '{_XSD}string' ELSE concat('n', {s('(n_nationkey * 7) % 25')}) END, 'iri' {part} AND p_partkey % 5 <> 0
-UNION SELECT {g}, concat('p', {s('p_partkey % 90')}), 'iri', '{_P}', concat('p', {s('CAST(floor((p_partkey % 90) / 3) AS BIGINT)')}), 'iri' {part} AND p_partkey % 2 = 0
-UNION SELECT {g}, concat('p', {s('p_partkey % 90')}), 'iri', '{_RDFS}comment', p_name, 'literal' {part}"""
+SELECT {g} AS graph_id, {n} AS s, 'iri' AS s_kind, '{_S}' AS p, concat('r', {s('n_regionkey')}) AS o, 'iri' AS o_kind FROM nation
+UNION SELECT {g}, {n}, 'iri', '{_T}', '{_OWL}Class', 'iri' FROM nation
+UNION SELECT {g}, {n}, 'iri', '{_RDFS}label', n_name, 'literal' FROM nation
+UNION SELECT {g}, {k}, 'iri', '{_S}', {n}, 'iri' {customer}
+UNION SELECT {g}, {k}, 'iri', '{_S}', concat('k', {half('c_custkey', 2)}), 'iri' {customer} WHERE c_custkey > 1
+UNION SELECT {g}, {u}, 'iri', '{_T}', {n}, 'iri' {supplier}
+UNION SELECT {g}, {u}, 'iri', concat('p', {s('s_suppkey')}), concat('s', {half('s_suppkey', 2)}), 'iri' {supplier}
+UNION SELECT {g}, {p}, 'iri', '{_T}', CASE WHEN p_partkey % 4 = 0 THEN '{_OWL}DatatypeProperty' ELSE '{_OWL}ObjectProperty' END, 'iri' {part}
+UNION SELECT {g}, {p}, 'iri', '{_D}', {n}, 'iri' {part} WHERE p_partkey % 3 <> 0
+UNION SELECT {g}, {p}, 'iri', '{_R}', CASE WHEN p_partkey % 4 = 0 THEN '{_XSD}string' ELSE concat('n', {s('(n_nationkey * 7) % 25')}) END, 'iri' {part} WHERE p_partkey % 5 <> 0
+UNION SELECT {g}, {p}, 'iri', '{_P}', concat('p', {half('p_partkey', 3)}), 'iri' {part} WHERE p_partkey % 2 = 0
+UNION SELECT {g}, {p}, 'iri', '{_RDFS}comment', p_name, 'literal' {part}"""
 
 
-T = f"WITH RECURSIVE t AS ({_sql('VARCHAR')}) "
+T = f"WITH RECURSIVE t AS MATERIALIZED ({_sql('VARCHAR')}) "
 
 
 def triples(spark, sf_dir):
@@ -47,35 +50,6 @@ def triples(spark, sf_dir):
     return spark.sql(_sql("STRING"))
 
 
-def _named(kind: str, key):
-    return F.concat(F.lit(kind), key.cast("string"))
-
-
-def whole_triples(spark, sf_dir):
-    """The reading of ``triples`` from all customers, suppliers and parts, each a node of its own: its key is not folded.
-
-    Customers and properties form trees (half and a third of the key), so paths grow with the logarithm of the tables.
-    """
-    n = F.broadcast(read(spark, sf_dir, "nation"))  # a fixed list of 25
-    k, s, p = c("c_custkey"), c("s_suppkey"), c("p_partkey")
-    half = lambda x, by: F.floor(x / by)
-    at, g = _named("n", c("n_nationkey")), _named("g", c("n_regionkey")).alias("graph_id")
-    customers = read(spark, sf_dir, "customer").join(n, c("c_nationkey") == c("n_nationkey"))
-    suppliers = read(spark, sf_dir, "supplier").join(n, c("s_nationkey") == c("n_nationkey"))
-    properties = read(spark, sf_dir, "part").join(n, p % 25 == c("n_nationkey"))
-    data = p % 4 == 0
-    rows = [
-        (n, at, F.lit(_S), _named("r", c("n_regionkey")), "iri"), (n, at, F.lit(_T), F.lit(_OWL + "Class"), "iri"), (n, at, F.lit(_RDFS + "label"), c("n_name"), "literal"),
-        (customers, _named("k", k), F.lit(_S), at, "iri"), (customers.filter(k > 1), _named("k", k), F.lit(_S), _named("k", half(k, 2)), "iri"),
-        (suppliers, _named("s", s), F.lit(_T), at, "iri"), (suppliers, _named("s", s), _named("p", s), _named("s", half(s, 2)), "iri"),
-        (properties, _named("p", p), F.lit(_T), F.when(data, _OWL + "DatatypeProperty").otherwise(_OWL + "ObjectProperty"), "iri"),
-        (properties.filter(p % 3 != 0), _named("p", p), F.lit(_D), at, "iri"),
-        (properties.filter(p % 5 != 0), _named("p", p), F.lit(_R), F.when(data, _XSD + "string").otherwise(_named("n", c("n_nationkey") * 7 % 25)), "iri"),
-        (properties.filter(p % 2 == 0), _named("p", p), F.lit(_P), _named("p", half(p, 3)), "iri"), (properties, _named("p", p), F.lit(_RDFS + "comment"), c("p_name"), "literal"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), [df.select(g, x.alias("s"), F.lit("iri").alias("s_kind"), y.alias("p"), z.alias("o"), F.lit(kind).alias("o_kind")) for df, x, y, z, kind in rows]).distinct()
-
-
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
@@ -87,24 +61,24 @@ def _ty(*kinds):
  CASE WHEN subclass_axioms + object_properties_count = 0 THEN 0.0E0 ELSE round(object_properties_count::DOUBLE / (subclass_axioms + object_properties_count), 9) END AS relationship_richness, CASE WHEN classes_count = 0 THEN 0.0E0 ELSE round(subclass_axioms::DOUBLE / classes_count, 9) END AS avg_subclass_per_class FROM
  (SELECT graph_id, count(*) AS triples_count, {_ty('Class')} AS classes_count, {_ty('ObjectProperty')} AS object_properties_count, {_ty('DatatypeProperty')} AS datatype_properties_count, {_ty('AnnotationProperty')} AS annotation_properties_count, {_ty('NamedIndividual')} AS individuals_count,
   count(*) FILTER (WHERE p = '{_S}') AS subclass_axioms, count(*) FILTER (WHERE p = '{G.EQUIVALENT}') AS equivalence_axioms, count(*) FILTER (WHERE p = '{G.DISJOINT}') AS disjoint_axioms, {_ty('Restriction')} AS restriction_axioms FROM t GROUP BY graph_id)""")
-def ontometrics(spark, sf_dir, triples=triples):
+def ontometrics(spark, sf_dir):
     m = G.ontometrics(triples(spark, sf_dir))
     return m.withColumns({k: F.round(k, 9) for k in ("attribute_richness", "relationship_richness", "avg_subclass_per_class")})
 
 
 @_add("agg_declared_vocab", T + f""", v AS (SELECT graph_id, 'c' AS k, s AS x FROM t WHERE p = '{_T}' AND o IN {_IN(G.CLASS_TYPES)} OR p IN ('{_S}', '{G.EQUIVALENT}', '{G.DISJOINT}') UNION SELECT graph_id, 'c', o FROM t WHERE p IN ('{_S}', '{G.EQUIVALENT}', '{G.DISJOINT}')
  UNION SELECT graph_id, 'p', s FROM t WHERE p = '{_T}' AND o IN {_IN(G.PROPERTY_TYPES)} OR p IN ('{_D}', '{_R}', '{_P}')) SELECT graph_id, count(*) FILTER (WHERE k = 'c') AS class_terms, count(*) FILTER (WHERE k = 'p') AS property_terms FROM v GROUP BY graph_id""")
-def declared_vocab(spark, sf_dir, triples=triples):
+def declared_vocab(spark, sf_dir):
     return G.declared_vocabulary(triples(spark, sf_dir))
 
 
 @_add("pred_triple_class", T + f"SELECT CASE WHEN p IN {_IN(G.ANNOTATIONS)} THEN 'annotation' WHEN p = '{_T}' AND o IN {_IN(G.DECLARATIONS)} THEN 'declaration' ELSE 'connective' END AS kind, count(*) AS n FROM t GROUP BY 1")
-def triple_class(spark, sf_dir, triples=triples):
+def triple_class(spark, sf_dir):
     return G.triple_class(triples(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @_add("g_vacuous", T + f"SELECT graph_id, count(*) FILTER (WHERE p NOT IN {_IN(G.ANNOTATIONS)} AND NOT (p = '{_T}' AND o IN {_IN(G.DECLARATIONS)})) = 0 AS vacuous FROM t GROUP BY graph_id")
-def vacuous(spark, sf_dir, triples=triples):
+def vacuous(spark, sf_dir):
     return G.vacuous(triples(spark, sf_dir))
 
 
@@ -114,26 +88,26 @@ def _reach(p, depth, swap=False):
 
 
 @_add("g_ancestors", T + f", {_reach(_S, 4)} SELECT * FROM z")
-def ancestors(spark, sf_dir, triples=triples):
+def ancestors(spark, sf_dir):
     return G.ancestors(triples(spark, sf_dir)).withColumn("d", c("d").cast("long"))
 
 
 @_add("g_descendants", T + f", {_reach(_S, 4, True)} SELECT * FROM z")
-def descendants(spark, sf_dir, triples=triples):
+def descendants(spark, sf_dir):
     return G.descendants(triples(spark, sf_dir)).withColumn("d", c("d").cast("long"))
 
 
 @_add("g_superprops", T + f", {_reach(_P, 3)} SELECT * FROM z")
-def superprops(spark, sf_dir, triples=triples):
+def superprops(spark, sf_dir):
     return G.superproperties(triples(spark, sf_dir)).withColumn("d", c("d").cast("long"))
 
 
 @_add("g_closure", T + f", e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}'), w AS (SELECT * FROM e UNION SELECT w.graph_id, w.a, e.b FROM w JOIN e ON w.graph_id = e.graph_id AND w.b = e.a) SELECT * FROM w")
-def closure(spark, sf_dir, triples=triples):
-    return G.transitive_closure(_sub(spark, sf_dir, triples))
+def closure(spark, sf_dir):
+    return G.transitive_closure(_sub(spark, sf_dir))
 
 
-def _sub(spark, sf_dir, triples):
+def _sub(spark, sf_dir):
     return triples(spark, sf_dir).filter(c("p") == _S).select("graph_id", c("s").alias("a"), c("o").alias("b"))
 
 
@@ -141,13 +115,13 @@ _BOTH = f"e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}'
 
 
 @_add("g_components", T + f", {_BOTH} SELECT graph_id, a AS node, least(a, min(b)) AS root FROM w GROUP BY graph_id, a")
-def components(spark, sf_dir, triples=triples):
-    return G.components(_sub(spark, sf_dir, triples))
+def components(spark, sf_dir):
+    return G.components(_sub(spark, sf_dir))
 
 
 @_add("g_scc", T + f", e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}'), w AS (SELECT * FROM e UNION SELECT w.graph_id, w.a, e.b FROM w JOIN e ON w.graph_id = e.graph_id AND w.b = e.a), n AS (SELECT graph_id, a AS x FROM e UNION SELECT graph_id, b FROM e), m AS (SELECT w.graph_id, w.a, w.b FROM w JOIN w v ON w.graph_id = v.graph_id AND w.a = v.b AND w.b = v.a) SELECT n.graph_id, n.x AS node, least(n.x, coalesce(min(m.b), n.x)) AS root FROM n LEFT JOIN m ON n.graph_id = m.graph_id AND n.x = m.a GROUP BY n.graph_id, n.x")
-def scc(spark, sf_dir, triples=triples):
-    return G.strong_components(_sub(spark, sf_dir, triples))
+def scc(spark, sf_dir):
+    return G.strong_components(_sub(spark, sf_dir))
 
 
 _VIEW = f"""used AS (SELECT graph_id, p AS term, CASE WHEN bool_and(o_kind = 'literal') THEN 'dataprop' ELSE 'objprop' END AS role FROM t WHERE p NOT LIKE 'http://www.w3.org/%' GROUP BY graph_id, p),
@@ -158,7 +132,7 @@ _VIEW = f"""used AS (SELECT graph_id, p AS term, CASE WHEN bool_and(o_kind = 'li
 
 
 @_add("g_schema_view", T + f", {_VIEW} SELECT * FROM vw")
-def schema_view(spark, sf_dir, triples=triples):
+def schema_view(spark, sf_dir):
     return G.schema_view(triples(spark, sf_dir))
 
 
@@ -166,12 +140,12 @@ _HUBS = f"{_reach(_S, 4, True)}, hb AS (SELECT z.graph_id, z.a AS term FROM z JO
 
 
 @_add("g_universal_hubs", T + f", {_VIEW}, {_HUBS} SELECT * FROM hb")
-def hubs(spark, sf_dir, triples=triples):
+def hubs(spark, sf_dir):
     return G.universal_hubs(triples(spark, sf_dir))
 
 
 @_add("g_cone", T + f", {_VIEW}, {_HUBS}, up AS (SELECT graph_id, b AS a, a AS b FROM z), al AS (SELECT graph_id, a, b FROM z UNION SELECT graph_id, a, b FROM up) SELECT al.* FROM al ANTI JOIN hb ON al.graph_id = hb.graph_id AND al.b = hb.term")
-def cone(spark, sf_dir, triples=triples):
+def cone(spark, sf_dir):
     return G.cone(triples(spark, sf_dir))
 
 
@@ -181,12 +155,12 @@ _ENDS = f"""sp AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_
 
 
 @_add("g_endpoint", T + f", {_VIEW}, {_HUBS}, {_ENDS} SELECT * FROM en")
-def endpoint(spark, sf_dir, triples=triples):
+def endpoint(spark, sf_dir):
     return G.endpoints(triples(spark, sf_dir))
 
 
 @_add("g_declared_endpoints", T + f", {_VIEW}, {_HUBS}, {_ENDS} SELECT graph_id, prop, count(*) FILTER (WHERE side = 'domain') AS n_domains, count(*) FILTER (WHERE side = 'range') AS n_ranges FROM en GROUP BY graph_id, prop")
-def declared_endpoints(spark, sf_dir, triples=triples):
+def declared_endpoints(spark, sf_dir):
     return G.endpoints(triples(spark, sf_dir)).groupBy("graph_id", "prop").agg(F.count_if(c("side") == "domain").alias("n_domains"), F.count_if(c("side") == "range").alias("n_ranges"))
 
 
@@ -195,7 +169,7 @@ _LIFT = f"""pp AS (SELECT graph_id, term AS prop, role FROM vw WHERE role <> 'cl
 
 
 @_add("g_lift", T + f", {_VIEW}, {_HUBS}, {_ENDS}, {_LIFT} SELECT * FROM lf")
-def lift(spark, sf_dir, triples=triples):
+def lift(spark, sf_dir):
     return G.lift(triples(spark, sf_dir))
 
 
@@ -211,7 +185,7 @@ _OK = lambda x: f"{x} NOT IN ('{G.ANY}', '{G.LITERAL}') AND {x} <> q.a AND {x} <
  WHEN EXISTS (SELECT 1 FROM le x JOIN le y ON x.graph_id = y.graph_id AND x.b = y.a JOIN le w ON w.graph_id = y.graph_id AND y.b = w.a WHERE x.graph_id = q.graph_id AND x.a = q.a AND w.b = q.b AND y.a <> y.b AND {_OK('y.a')} AND {_OK('y.b')}) THEN 'path3'
  WHEN EXISTS (SELECT 1 FROM le WHERE le.graph_id = q.graph_id) THEN 'floating' ELSE 'none' END AS tier FROM q)
  SELECT graph_id, q, tier, CASE tier WHEN 'direct' THEN 1.0E0 WHEN 'indirect2' THEN 0.85E0 WHEN 'half' THEN 0.75E0 WHEN 'path3' THEN 0.60E0 WHEN 'floating' THEN 0.15E0 ELSE 0.0E0 END AS credit FROM k""")
-def relation_tier(spark, sf_dir, triples=triples):
+def relation_tier(spark, sf_dir):
     t = triples(spark, sf_dir)
     cls = t.filter((c("p") == _T) & (c("o") == _OWL + "Class")).select("graph_id", "s").distinct()
     q = cls.select("graph_id", c("s").alias("a")).join(cls.select("graph_id", c("s").alias("b")), "graph_id").filter("a <> b").withColumn("q", F.concat_ws(">", "a", "b"))
@@ -221,61 +195,29 @@ def relation_tier(spark, sf_dir, triples=triples):
 QUERIES["join_paths"], ORACLES["join_paths"] = QUERIES["g_relation_tier"], ORACLES["g_relation_tier"]
 
 
-@_add("g_index", T + ", n AS (SELECT graph_id, s AS term FROM t WHERE s_kind = 'iri' UNION SELECT graph_id, o FROM t WHERE o_kind = 'iri'), m AS (SELECT * FROM n WHERE term NOT LIKE 'http://www.w3.org/%') SELECT graph_id, count(*) AS n_terms FROM m GROUP BY graph_id")
-def index(spark, sf_dir, triples=triples):
-    return G.index(triples(spark, sf_dir)).groupBy("graph_id").agg(F.count("*").alias("n_terms"))
+@_add("g_index", T + f", n AS (SELECT graph_id, s AS term FROM t WHERE s_kind = 'iri' UNION SELECT graph_id, o FROM t WHERE o_kind = 'iri'), m AS (SELECT * FROM n WHERE term NOT LIKE 'http://www.w3.org/%'), f AS (SELECT graph_id, term, lower(term) AS x FROM m UNION SELECT graph_id, s, regexp_replace(lower(o), '[^a-z0-9]', '', 'g') FROM t WHERE p = '{_RDFS}label') SELECT graph_id, term, string_agg(x, ',' ORDER BY x) AS flats FROM f GROUP BY graph_id, term")
+def index(spark, sf_dir):
+    return G.index(triples(spark, sf_dir)).select("graph_id", "term", F.array_join("flats", ",").alias("flats"))
 
 
 @_add("g_bind_slot", T + f", l AS (SELECT graph_id, s AS term, lower(o) AS o FROM t WHERE p = '{_RDFS}label') SELECT graph_id, o AS slot, min(term) AS term, 1.0E0 AS score FROM l GROUP BY graph_id, o")
-def bind_slot(spark, sf_dir, triples=triples):
+def bind_slot(spark, sf_dir):
     t = triples(spark, sf_dir)
     slots = t.filter(c("p") == _RDFS + "label").select("graph_id", F.lower("o").alias("slot"), F.lit(0).alias("rank"), F.lower("o").alias("surface")).distinct()
     return G.bind_slots(G.index(t), slots)
 
 
-@_add("g_match_props", T + f", {_VIEW} SELECT graph_id, 'any' AS relation, term AS prop FROM vw WHERE role <> 'class'")
-def match_props(spark, sf_dir, triples=triples):
-    t = triples(spark, sf_dir)
-    props = G.schema_view(t).filter("role <> 'class'")
-    wanted = t.select("graph_id").distinct().select("graph_id", F.lit("any").alias("relation"), F.lit("").alias("surface"))
-    return G.match_properties(G.index(t), props, wanted)
-
-
-@_add("g_fanout", T + f""", {_VIEW}, {_HUBS}, {_ENDS}, {_LIFT}, sd AS (SELECT graph_id, p, 'domain' AS side, a AS x FROM lf UNION SELECT graph_id, p, 'range', b FROM lf), s2 AS (SELECT * FROM sd WHERE x NOT IN ('{G.ANY}', '{G.LITERAL}')), up AS (SELECT graph_id, b AS lo, a AS hi FROM z),
- f AS (SELECT graph_id, p, side, count(*) AS fan FROM s2 WHERE NOT EXISTS (SELECT 1 FROM up JOIN s2 o ON o.graph_id = up.graph_id AND o.x = up.hi WHERE up.graph_id = s2.graph_id AND up.lo = s2.x AND o.p = s2.p AND o.side = s2.side) GROUP BY ALL) SELECT *, CASE WHEN fan > 4 THEN round(4.0E0 / fan, 9) ELSE 1.0E0 END AS discount FROM f""")
-def fanout(spark, sf_dir, triples=triples):
-    t = triples(spark, sf_dir)
-    return G.fan_out(G.lift(t), G.ancestors(t)).withColumn("discount", F.round("discount", 9))
-
-
-@_add("g_score_cq", "SELECT event_id, round(s, 9) AS score, CASE WHEN s < 0.05 THEN 'unsupported' WHEN s < 0.30 THEN 'lexical-only' WHEN s < 0.70 THEN 'partial' ELSE 'supported' END AS label, b >= 0.75 AND k >= 0.75 AS answerable FROM (SELECT *, CASE WHEN k <= 0.15 THEN 0.125E0 ELSE 0.25E0 END * b + 0.75E0 * k AS s FROM (SELECT event_id, (event_id % 21) / 20.0E0 AS b, (event_id % 11) / 10.0E0 AS k FROM events))")
-def score_cq(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", ((c("event_id") % 21) / 20.0).alias("b"), ((c("event_id") % 11) / 10.0).alias("k"))
-    return e.select("event_id", G.question_score(c("b"), c("k")).alias("q")).select("event_id", F.round("q.score", 9).alias("score"), "q.label", "q.answerable")
-
-
-@_add("agg_sev", "SELECT user_id, round(avg(s), 9) AS mean, round(avg(CASE WHEN b >= 0.75 AND k >= 0.75 THEN 1.0E0 ELSE 0.0E0 END), 9) AS answerable_rate, count(*) AS n FROM (SELECT *, CASE WHEN k <= 0.15 THEN 0.125E0 ELSE 0.25E0 END * b + 0.75E0 * k AS s FROM (SELECT user_id, (event_id % 21) / 20.0E0 AS b, (event_id % 11) / 10.0E0 AS k FROM events)) GROUP BY user_id")
-def sev(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", G.question_score((c("event_id") % 21) / 20.0, (c("event_id") % 11) / 10.0).alias("q"))
-    return e.groupBy("user_id").agg(F.round(F.avg("q.score"), 9).alias("mean"), F.round(F.avg(F.when(c("q.answerable"), 1.0).otherwise(0.0)), 9).alias("answerable_rate"), F.count("*").alias("n"))
-
-
-@_add("g_zero_cq", "SELECT d.doc_id, coalesce(CAST(l.quality AS DOUBLE), 0.0E0) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def zero_cq(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce(c("quality").cast("double"), F.lit(0.0)).alias("score"))
-
-
 @_add("g_uninformative", T + f""", e AS (SELECT DISTINCT graph_id, p, s AS a, o AS b FROM t WHERE p IN ('{_D}', '{_S}', '{_R}') AND s <> o), u AS (SELECT graph_id, p, a, b FROM e UNION SELECT graph_id, p, b, a FROM e), w AS (SELECT * FROM u UNION SELECT w.graph_id, w.p, w.a, u.b FROM w JOIN u ON w.graph_id = u.graph_id AND w.p = u.p AND w.b = u.a),
  r AS (SELECT graph_id, p, a AS x, least(a, min(b)) AS root FROM w GROUP BY graph_id, p, a), m AS (SELECT e.graph_id, e.p, r.root, count(*) AS m, count(DISTINCT e.a) AS s, count(DISTINCT e.b) AS t FROM e JOIN r ON e.graph_id = r.graph_id AND e.p = r.p AND e.a = r.x GROUP BY ALL), n AS (SELECT graph_id, p, root, count(*) AS n FROM r GROUP BY ALL)
  SELECT graph_id, p, root FROM m JOIN n USING (graph_id, p, root) WHERE m >= 3 AND (n >= 3 AND m = n * (n - 1) OR s >= 2 AND t >= 2 AND s * t >= 6 AND m = s * t AND n = s + t)""")
-def uninformative(spark, sf_dir, triples=triples):
+def uninformative(spark, sf_dir):
     return G.uninformative(triples(spark, sf_dir).filter(c("p").isin(_D, _S, _R)).select("graph_id", "p", c("s").alias("a"), c("o").alias("b")))
 
 
 @_add("g_roles", T + f""", r AS (SELECT graph_id, s AS term, 'p' AS k FROM t WHERE p = '{_T}' AND o IN {_IN(G.PROPERTY_TYPES)} OR p IN ('{_D}', '{_R}', '{_P}') UNION SELECT graph_id, s, 'c' FROM t WHERE p = '{_T}' AND o IN {_IN(G.CLASS_TYPES)} OR p = '{_S}'
  UNION SELECT graph_id, o, 'c' FROM t WHERE p IN ('{_S}', '{_D}') OR p = '{_T}' AND o NOT LIKE 'http://www.w3.org/%' UNION SELECT graph_id, s, 'i' FROM t WHERE p = '{_T}' AND o NOT LIKE 'http://www.w3.org/%')
  SELECT graph_id, term, CASE WHEN bool_or(k = 'p') AND bool_or(k = 'c') THEN 'ambiguous' WHEN bool_or(k = 'p') THEN 'property' WHEN bool_or(k = 'c') THEN 'class' ELSE 'individual' END AS role FROM r GROUP BY graph_id, term""")
-def roles(spark, sf_dir, triples=triples):
+def roles(spark, sf_dir):
     return G.roles(triples(spark, sf_dir))
 
 
@@ -286,28 +228,29 @@ def connectivity(spark, sf_dir):
 
 
 @_add("g_incidences", None)
-def incidences(spark, sf_dir, triples=triples):
+def incidences(spark, sf_dir):
     """How often each entity is tied to others (pooled by g_connectivity)."""
     return G.incidences(triples(spark, sf_dir))
 
 
 @_add("g_owlrl", None)
-def owlrl(spark, sf_dir, triples=triples):
+def owlrl(spark, sf_dir):
     """Entailed triples a graph, by predicate (checked on fixtures in the tests)."""
     return G.entailed(triples(spark, sf_dir)).groupBy("graph_id", "p").agg(F.count("*").alias("n"))
 
 
 @_add("agg_formal_quality", T + f""", d AS (SELECT DISTINCT graph_id, s, o IN {_IN(G.PROPERTY_TYPES)} AS pr FROM t WHERE p = '{_T}' AND o IN {_IN([*G.CLASS_TYPES, *G.PROPERTY_TYPES])}), h AS (SELECT graph_id, s, bool_or(p = '{_RDFS}label') AS l, bool_or(p = '{_RDFS}comment') AS k, bool_or(p = '{_D}') AND bool_or(p = '{_R}') AS dr FROM t GROUP BY ALL)
  SELECT graph_id, count(*) AS terms, round(avg(CASE WHEN l THEN 1.0E0 ELSE 0 END), 9) AS label_share, round(avg(CASE WHEN k THEN 1.0E0 ELSE 0 END), 9) AS comment_share, round(coalesce(avg(CASE WHEN pr THEN CASE WHEN dr THEN 1.0E0 ELSE 0 END END), 0), 9) AS domain_range_share FROM d JOIN h USING (graph_id, s) GROUP BY graph_id""")
-def formal_quality(spark, sf_dir, triples=triples):
+def formal_quality(spark, sf_dir):
     q = G.formal_quality(triples(spark, sf_dir))
     return q.withColumns({k: F.round(k, 9) for k in ("label_share", "comment_share", "domain_range_share")})
 
 
-@_add("str_extract_names", T + f"SELECT graph_id, count(DISTINCT s) AS n_names FROM t WHERE p = '{_T}' AND o LIKE 'http://www.w3.org/%' GROUP BY graph_id")
-def extract_names(spark, sf_dir, triples=triples):
-    t = triples(spark, sf_dir).filter((c("p") == _T) & c("o").startswith("http://www.w3.org/"))
-    return t.groupBy("graph_id").agg(F.countDistinct("s").alias("n_names"))
+@_add("str_extract_names", T + f"SELECT DISTINCT graph_id, lower(s) AS name FROM t WHERE p = '{_T}' AND o LIKE 'http://www.w3.org/%'")
+def extract_names(spark, sf_dir):
+    """The distinct normalised names of typed terms."""
+    t = triples(spark, sf_dir).filter((c("p") == _T) & c("o").startswith("http://www.w3.org/") & (c("s_kind") == "iri"))
+    return t.select("graph_id", F.array_join(words(F.lower(camel_split(local_name(c("s")))), "[^a-z0-9]+"), "").alias("name")).distinct()
 
 
 @_add("parse_rdf_ladder", "SELECT item_id, 3::BIGINT AS n_triples, 'parsed' AS status FROM benchmark")
@@ -318,17 +261,11 @@ def parse_ladder(spark, sf_dir):
     return s.select(F.col("graph_id").cast("long").alias("item_id"), "n_triples", "status")
 
 
-@_add("parse_sev_status", "SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 'no_ontology' ELSE 'unparseable' END AS status FROM documents WHERE doc_id % 10 = 0")
+@_add("parse_sev_status", "SELECT CAST(doc_id AS VARCHAR) AS k, CASE WHEN length(trim(text)) < 20 THEN 'no_ontology' ELSE 'unparseable' END AS status FROM documents UNION ALL SELECT 'g' || n_nationkey, 'parsed' FROM nation")
 def sev_status(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
-    return rdf.parse_status(d).select(F.col("graph_id").cast("long").alias("doc_id"), "status")
-
-
-@_add("parse_sev_status_all", "SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 'no_ontology' ELSE 'unparseable' END AS status FROM documents")
-def sev_status_all(spark, sf_dir):
-    """parse_sev_status of every document."""
+    """The status of every document, and of a graph for each nation."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
-    return rdf.parse_status(d).select(F.col("graph_id").cast("long").alias("doc_id"), "status")
+    return rdf.parse_status(d.unionByName(_written(spark, sf_dir))).select(F.col("graph_id").alias("k"), "status")
 
 
 @_add("scan_path_key", "SELECT page_id, coalesce(string_split(url, '/')[-4], '<unknown>') AS model, coalesce(string_split(url, '/')[-3], '<unknown>') AS config, coalesce(string_split(url, '/')[-2], '<unknown>') AS id FROM pages")
@@ -347,23 +284,23 @@ def ontology_vocab(spark, sf_dir):
 
 
 @_add("join_usage_bnode", T + "SELECT graph_id, s, p, o FROM t WHERE p NOT LIKE 'http://www.w3.org/%'")
-def usage_bnode(spark, sf_dir, triples=triples):
+def usage_bnode(spark, sf_dir):
     return G.usage_edges(triples(spark, sf_dir))
 
 
 @_add("g_taxonomy", T + f", e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}' AND s <> o), w AS (SELECT * FROM e UNION SELECT w.graph_id, w.a, e.b FROM w JOIN e ON w.graph_id = e.graph_id AND w.b = e.a) SELECT * FROM w WHERE a <> b")
-def taxonomy(spark, sf_dir, triples=triples):
+def taxonomy(spark, sf_dir):
     return G.taxonomy(triples(spark, sf_dir))
 
 
 @_add("g_grounded", None)
-def grounded(spark, sf_dir, triples=triples):
+def grounded(spark, sf_dir):
     """Entities that are tied to some other."""
     return G.grounded(triples(spark, sf_dir))
 
 
 @_add("g_load_bearing", T + f"SELECT graph_id, s, p, o FROM t WHERE p NOT IN {_IN(G.ANNOTATIONS)} AND NOT (p = '{_T}' AND o IN {_IN(G.DECLARATIONS)})")
-def load_bearing(spark, sf_dir, triples=triples):
+def load_bearing(spark, sf_dir):
     return G.load_bearing(triples(spark, sf_dir))
 
 
@@ -416,8 +353,3 @@ def parse_owlxml(spark, sf_dir):
 def gt_graphs(spark, sf_dir):
     n = read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("k"))
     return read(spark, sf_dir, "region").select("r_regionkey").join(n, "r_regionkey", "left").select("r_regionkey", F.coalesce("k", F.lit(0)).cast("long").alias("n"))
-
-
-#: The same queries over all rows of the tables; their SQL would recurse over them, so they are checked on fixtures.
-WHOLE = [name for name, f in QUERIES.items() if "triples" in signature(f).parameters]
-QUERIES.update({f"{name}_all": partial(QUERIES[name], triples=whole_triples) for name in WHOLE})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import artefacts, graph, relational, rollups, scores, text
+from . import artefacts, graph, relational, rollups, scores, sev, text
 
-_MODULES = (rollups, text, scores, relational, graph, artefacts)
+_MODULES = (rollups, text, scores, relational, graph, sev, artefacts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

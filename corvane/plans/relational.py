@@ -57,16 +57,15 @@ def functional(spark, sf_dir):
     return records(spark, sf_dir).groupBy("model", "config").agg(F.count("*").alias("n"), r9(F.avg("total")).alias("avg_added"), r9(F.avg(f["manual"])).alias("avg_manual"))
 
 
-@_add("agg_judge_group", "SELECT user_id, count(value) AS n, round(avg(value), 9) AS mean, round(CASE WHEN count(value) = 1 THEN 0.0E0 ELSE stddev_samp(value) END, 6) AS sd FROM events WHERE event_id % 50 = user_id % 50 GROUP BY user_id")
-def judge_group(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id % 50 = user_id % 50")
-    return e.groupBy("user_id").agg(F.count("value").alias("n"), r9(F.avg("value")).alias("mean"), F.round(U.sample_spread(c("value")), 6).alias("sd"))
+# Five scores of a judged event: its value and four digits that its keys give.
+_SCORES = {"overall": "value", "accuracy": "CAST(event_id % 10 + 1 AS DOUBLE)", "coverage": "CAST((event_id + user_id) % 10 + 1 AS DOUBLE)", "clarity": "CASE WHEN event_id % 11 > 0 THEN CAST(user_id % 7 + 1 AS DOUBLE) END", "usefulness": "CASE WHEN user_id % 13 > 0 THEN CAST(event_id % 4 + 1 AS DOUBLE) END"}
 
 
-@_add("agg_judge_group_all", "SELECT user_id, count(value) AS n, round(avg(value), 9) AS mean, round(CASE WHEN count(value) = 1 THEN 0.0E0 ELSE stddev_samp(value) END, 6) AS sd FROM events GROUP BY user_id")
-def judge_group_all(spark, sf_dir):
-    """agg_judge_group over all events."""
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("value").alias("n"), r9(F.avg("value")).alias("mean"), F.round(U.sample_spread(c("value")), 6).alias("sd"))
+@_add("agg_judge_group", "SELECT user_id, count(*) AS n, " + ", ".join(f"round(avg({k}), 9) AS mean_{k}, round(CASE WHEN count({k}) = 1 THEN 0.0E0 ELSE stddev_samp({k}) END, 6) AS sd_{k}" for k in _SCORES) + " FROM (SELECT user_id, " + ", ".join(f"{v} AS {k}" for k, v in _SCORES.items()) + " FROM events) GROUP BY user_id")
+def judge_group(spark, sf_dir):
+    """Mean and sample deviation of five scores for each user (0 of one score, null of none)."""
+    e = read(spark, sf_dir, "events").select("user_id", *[F.expr(v).alias(k) for k, v in _SCORES.items()])
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), *[x for k in _SCORES for x in (r9(F.avg(k)).alias(f"mean_{k}"), F.round(U.sample_spread(c(k)), 6).alias(f"sd_{k}"))])
 
 
 @_add("agg_crosstab", R + "SELECT config, round(avg(triples) FILTER (WHERE model = 'de'), 9) AS de, round(avg(triples) FILTER (WHERE model = 'en'), 9) AS en, round(avg(triples) FILTER (WHERE model = 'es'), 9) AS es, round(avg(triples) FILTER (WHERE model = 'fr'), 9) AS fr FROM r GROUP BY config")
@@ -212,21 +211,10 @@ def audit_totals(spark, sf_dir):
 
 
 @_add("agg_faithfulness", """
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents WHERE lang = 'en'), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark WHERE item_id < 3)
-SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")
-def faithfulness(spark, sf_dir):
-    toks = lambda k: F.array_distinct(F.regexp_extract_all(F.lower(k), F.lit("[a-z]{3,}"), F.lit(0)))
-    t = read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", toks("text").alias("w"))
-    b = read(spark, sf_dir, "benchmark").filter("item_id < 3").select("item_id", toks("text").alias("q"))  # three questions
-    x = t.crossJoin(F.broadcast(b)).withColumn("i", F.size(F.array_intersect("w", "q")))
-    return x.select("doc_id", "item_id", r9(c("i") / F.greatest(F.lit(1), F.size("q"))).alias("recall"), (c("i") >= 0.4 * F.size("q")).alias("covered"), r9((F.size("w") - c("i")) / F.greatest(F.lit(1), F.size("w"))).alias("extra"))
-
-
-@_add("agg_faithfulness_all", """
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")
-def faithfulness_all(spark, sf_dir):
-    """agg_faithfulness of all documents against all items: shared tokens by an equi-join; pairs that share none have a row, too."""
+def faithfulness(spark, sf_dir):
+    """Recall and share of extra words of all documents against all items: shared tokens by an equi-join; pairs that share none have a row, too."""
     toks = lambda k: F.array_distinct(F.regexp_extract_all(F.lower(k), F.lit("[a-z]{3,}"), F.lit(0)))
     t = read(spark, sf_dir, "documents").select("doc_id", toks("text").alias("w"))
     b = read(spark, sf_dir, "benchmark").select("item_id", toks("text").alias("q"))
@@ -414,20 +402,11 @@ def existing(spark, sf_dir):
 
 
 @_add("join_self_jaccard", """
-WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), d AS (SELECT * FROM t WHERE len(w) BETWEEN 1 AND 40), e AS (SELECT doc_id, source, len(w) AS n, unnest(w) AS x FROM d),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.source <> b.source AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(i::DOUBLE / (na + nb - i), 9) AS j, i::DOUBLE / (na + nb - i) >= 0.8 AS flagged FROM p WHERE i::DOUBLE / (na + nb - i) >= 0.4""")
-def self_jaccard(spark, sf_dir):
-    t = read(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).filter(F.size("w").between(1, 40))
-    return J.token_jaccard(t, "doc_id", "source", "w", 0.4).select("a", "b", r9("j").alias("j"), (c("j") >= 0.8).alias("flagged"))
-
-
-@_add("join_self_jaccard_all", """
 WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), e AS (SELECT doc_id, source, len(w) AS n, unnest(w) AS x FROM d),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.source <> b.source AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 9) AS j, i::DOUBLE / (na + nb - i) >= 0.8 AS flagged FROM p WHERE i::DOUBLE / (na + nb - i) >= 0.4""")
-def self_jaccard_all(spark, sf_dir):
-    """join_self_jaccard over all non-empty documents, of any length."""
+def self_jaccard(spark, sf_dir):
+    """Pairs of documents of different sources that share at least 0.4 of their words; those of 0.8 are flagged."""
     t = read(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     return J.token_jaccard(t, "doc_id", "source", "w", 0.4).select("a", "b", r9("j").alias("j"), (c("j") >= 0.8).alias("flagged"))
 
