@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import suspicion
+from ..session import materialize
+from .graph import components
+from .joins import token_jaccard
 
 c = F.col
 # Shares and margins of the verdict.
 BETTER_MARGIN, BETTER_SHARE, WEAK_HOME, LEAST_WORDS = 0.34, 0.30, 0.60, 3
+# Bounds of a weak anchor, of a better fit that is only reported, of islands, of corroboration and of near duplicates.
+WEAK_ANCHOR, SOFT_MARGIN, ISLAND_HOME, ISLAND_LEAST, SIBLING_HOME, MOST_SIBLINGS, NEAR_DUPLICATE = 0.25, 0.20, 0.34, 2, 0.50, 3, 0.80
+# Stems that say nothing of a topic.
+GENERIC = [
+    "ontology", "ontolog", "pattern", "class", "classe", "property", "propertie", "represent", "model", "express", "describe", "description", "specify", "specific",
+    "information", "instance", "entity", "entitie", "type", "kind", "value", "attribute", "relation", "relationship", "concept", "term", "axiom", "individual",
+]
 
 
 def support(questions: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -31,33 +41,84 @@ def anchoring(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     return questions.join(home, keys, "left").join(other, keys, "left").na.fill(0.0, ["home", "elsewhere"])
 
 
+def _home_words(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(scenario, idx, w, at_home) of every word of every question."""
+    v = contexts.select("scenario", F.explode(F.array_distinct("words")).alias("w"), F.lit(True).alias("h")).distinct()
+    return questions.select("scenario", "idx", F.explode("words").alias("w")).join(v, ["scenario", "w"], "left").select("scenario", "idx", "w", c("h").isNotNull().alias("at_home"))
+
+
 def duplicates(questions: DataFrame) -> DataFrame:
-    """Questions with ``within`` and ``across``: whether the same words stand earlier in their scenario, or in another one."""
-    key = F.array_join(F.array_sort("words"), " ")
-    q = questions.withColumn("__k", key)
-    n = q.groupBy("__k").agg(F.countDistinct("scenario").alias("__s"))
-    first = q.groupBy("__k", "scenario").agg(F.min("idx").alias("__f"))
-    return q.join(n, "__k").join(first, ["__k", "scenario"]).withColumn("within", c("idx") > c("__f")).withColumn("across", c("__s") > 1).drop("__k", "__s", "__f")
+    """Questions with ``within``, whether the same text (``key``) stands earlier in their scenario, and ``across``, whether another
+    scenario has a question with nearly the same words."""
+    first = questions.filter("key is not null").groupBy("key", "scenario").agg(F.min("idx").alias("__f"))
+    q = questions.withColumn("__id", F.struct("scenario", "idx"))
+    pairs = token_jaccard(q, "__id", "scenario", "words", NEAR_DUPLICATE)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.scenario", "x.idx", F.lit(True).alias("__a"))
+    out = questions.join(first, ["key", "scenario"], "left").join(near, ["scenario", "idx"], "left")
+    return out.withColumn("within", F.coalesce(c("idx") > c("__f"), F.lit(False))).withColumn("across", c("__a").isNotNull()).drop("__f", "__a")
 
 
-def verdicts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Questions (scenario, idx, words, boilerplate) with flags, ``verdict`` and ``suspicion``."""
-    x = duplicates(anchoring(questions, contexts))
-    strong = (c("elsewhere") - c("home") >= BETTER_MARGIN) & (c("elsewhere") >= BETTER_SHARE) & (c("home") <= WEAK_HOME)
-    better = c("elsewhere") > c("home")
-    flags = {"no_anchor": c("home") == 0, "strong_better_fit": strong, "better_fit": better, "boilerplate": c("boilerplate"), "duplicate_across": c("across"), "duplicate_within": c("within"), "generic_only": F.lit(False)}
-    n = F.size("words")
-    verdict = F.when(n == 0, "malformed").when((n >= LEAST_WORDS) & ~c("boilerplate") & ((c("home") == 0) | strong), "misfiled")
-    verdict = verdict.when(flags["no_anchor"] | better | c("boilerplate") | c("across") | c("within"), "suspicious").otherwise("clean")
-    return x.withColumn("verdict", verdict).withColumn("suspicion", suspicion(c("home"), flags, F.lit(0), F.lit(0)))
+def islands(anchored: DataFrame, home_words: DataFrame) -> DataFrame:
+    """(scenario, idx, island): sizes of the groups of weakly anchored questions that agree on words foreign to their scenario.
 
+    Questions and foreign words are the two sides of a graph whose components are the groups; questions are never paired.
+    """
+    node = anchored.filter((F.size("words") > 0) & (F.round("home", 3) <= ISLAND_HOME)).select("scenario", "idx")
+    foreign = home_words.filter(~c("at_home") & ~c("w").isin(GENERIC)).join(node, ["scenario", "idx"], "left_semi")
+    q = F.concat(F.lit("q"), c("idx").cast("string"))
+    root = components(foreign.select(c("scenario").cast("string").alias("graph_id"), q.alias("a"), F.concat(F.lit("w"), "w").alias("b")))
+    root = root.filter(c("node").startswith("q"))
+    size = root.groupBy("graph_id", "root").agg(F.count("*").alias("island")).filter(c("island") >= ISLAND_LEAST)
+    found = root.join(size, ["graph_id", "root"]).select("graph_id", "node", "island")
+    return foreign.select("scenario", "idx").distinct().withColumn("graph_id", c("scenario").cast("string")).withColumn("node", q).join(found, ["graph_id", "node"]).select("scenario", "idx", "island")
+
+
+def siblings(anchored: DataFrame, home_words: DataFrame) -> DataFrame:
+    """(scenario, idx, siblings): well-anchored other questions of the scenario that share a home word which is not generic; counted up to ``MOST_SIBLINGS``.
+
+    A word that more questions hold than count settles it alone; only holders of rarer words are paired.
+    """
+    key = ["scenario", "idx"]
+    own = home_words.filter(c("at_home") & ~c("w").isin(GENERIC)).select(*key, "w").distinct()
+    well = anchored.filter((F.size("words") > 0) & (c("home") >= SIBLING_HOME)).select(*key, F.lit(True).alias("well"))
+    own = own.join(well, key, "left").withColumn("well", c("well").isNotNull())
+    n = own.groupBy("scenario", "w").agg(F.count_if("well").alias("n"))
+    own = own.join(n, ["scenario", "w"])
+    many = own.filter(c("n") - c("well").cast("int") >= MOST_SIBLINGS).select(*key).distinct().withColumn("siblings", F.lit(MOST_SIBLINGS).cast("long"))
+    rare = own.filter(c("n") <= MOST_SIBLINGS)
+    pair = own.select(*key, "w").join(rare.filter("well").select("scenario", "w", c("idx").alias("other")), ["scenario", "w"]).filter(c("idx") != c("other"))
+    few = pair.groupBy(*key).agg(F.least(F.countDistinct("other"), F.lit(MOST_SIBLINGS)).cast("long").alias("siblings"))
+    out = many.unionByName(few).groupBy(*key).agg(F.max("siblings").alias("siblings"))
+    return anchored.select(*key).join(out, key, "left").select(*key, F.coalesce("siblings", F.lit(0)).alias("siblings"))
 
-def siblings(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(scenario, idx, siblings): other questions of the scenario that share a word which its vocabulary has; counts by word, capped nowhere."""
-    v = contexts.select("scenario", F.explode(F.array_distinct("words")).alias("w"))
-    q = questions.select("scenario", "idx", F.explode("words").alias("w")).join(v, ["scenario", "w"], "left_semi").distinct()
-    n = q.withColumn("n", F.count("*").over(Window.partitionBy("scenario", "w")) - 1)
-    return n.groupBy("scenario", "idx").agg(F.max("n").alias("siblings"))
+
+def _strong(home, elsewhere):
+    return (F.round(elsewhere - home, 3) >= BETTER_MARGIN) & (elsewhere >= BETTER_SHARE) & (home <= WEAK_HOME)
+
+
+def verdicts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Questions (scenario, idx, key, words, boilerplate) with flags, ``verdict`` and ``suspicion``.
+
+    ``key`` is the normal form of the text, null for what is no text (malformed); ``words`` are its content stems. Shares are
+    rounded to three digits before they are compared.
+    """
+    x = materialize(anchoring(questions, contexts).withColumns({k: F.round(k, 3) for k in ("home", "elsewhere")}))
+    words = materialize(_home_words(questions, contexts))
+    key = ["scenario", "idx"]
+    generic = words.filter("at_home").groupBy(*key).agg(F.min(c("w").isin(GENERIC)).alias("generic_only"))
+    marks = duplicates(questions).select(*key, "within", "across")
+    for other in (generic, islands(x, words), siblings(x, words)):
+        marks = marks.join(other, key, "left")
+    x = x.join(materialize(marks), key).na.fill(False, ["generic_only"]).na.fill(0, ["island"])
+    n = F.size("words")
+    none = (c("home") == 0) & (n >= LEAST_WORDS)
+    strong, soft = _strong(c("home"), c("elsewhere")), F.round(c("elsewhere") - c("home"), 3) >= SOFT_MARGIN
+    flags = {"no_anchor": none, "strong_better_fit": strong, "better_fit": soft, "boilerplate": c("boilerplate"), "duplicate_across": c("across"), "duplicate_within": c("within"), "generic_only": c("generic_only")}
+    weak = ~none & (c("home") < WEAK_ANCHOR)
+    any_ = none | weak | soft | c("boilerplate") | c("across") | c("within") | c("generic_only") | (c("island") > 0)
+    verdict = F.when(c("key").isNull(), "malformed").when((n >= LEAST_WORDS) & ~c("boilerplate") & (none | strong), "misfiled").when(any_, "suspicious").otherwise("clean")
+    x = x.withColumn("verdict", verdict).withColumn("suspicion", F.round(suspicion(c("home"), flags, c("island"), c("siblings")), 3))
+    return x.withColumns({"no_anchor": none, "weak_anchor": weak, "better_fit": soft})
 
 
 def similarity(matches: DataFrame, left_sizes: DataFrame, right_sizes: DataFrame, key: str) -> DataFrame:
@@ -70,17 +131,28 @@ def similarity(matches: DataFrame, left_sizes: DataFrame, right_sizes: DataFrame
 
 
 def injection_recall(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """One row (pairs, caught, recall): every question put into every other scenario, and how often the audit objects.
+    """One row (injections, tp, fn, fp, recall, precision, native, native_rate): every question put alone into every other scenario.
 
-    A question without a shared word is always caught, so only pairs that share words are looked at: their number is that
-    of ``support``, and the others are counted, never formed.
+    An injected question is caught if the audit calls it misfiled there. One that shares no word with a scenario is caught
+    without looking, so only pairs that share words are formed, as many as ``support`` has; the others are counted. Questions
+    are injected in rounds, one a scenario at most, and whatever the audit calls misfiled by itself counts as false in every round.
     """
-    s = support(questions, contexts)
-    top = s.groupBy("scenario", "idx").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "context")), asc=False), 1, 2).alias("t"))
-    x = s.filter("context <> scenario").join(top, ["scenario", "idx"])
-    best_other = F.when(F.get("t", 0)["context"] != c("context"), F.get("t", 0)["share"]).otherwise(F.coalesce(F.get("t", 1)["share"], F.lit(0.0)))
-    strong = (best_other - c("share") >= BETTER_MARGIN) & (best_other >= BETTER_SHARE) & (c("share") <= WEAK_HOME)
-    missed = x.filter(~(strong | (best_other > c("share")))).agg(F.count("*").alias("missed"))
-    total = questions.filter(F.size("words") >= LEAST_WORDS).agg(F.count("*").alias("q")).join(contexts.agg(F.countDistinct("scenario").alias("k")))
-    out = total.join(missed).select((c("q") * (c("k") - 1)).alias("pairs"), (c("q") * (c("k") - 1) - c("missed")).alias("caught"))
-    return out.withColumn("recall", F.try_divide("caught", "pairs"))
+    able = questions.filter(F.size("words") >= LEAST_WORDS)
+    s = support(able, contexts).withColumn("share", F.round("share", 3))
+    top = s.groupBy("scenario", "idx").agg(F.max(F.struct("share", "context")).alias("t1"))
+    second = s.join(top.select("scenario", "idx", "t1"), ["scenario", "idx"]).filter(c("context") != c("t1.context")).groupBy("scenario", "idx").agg(F.max("share").alias("t2"))
+    x = s.filter("context <> scenario").join(top.select("scenario", "idx", "t1"), ["scenario", "idx"]).join(second, ["scenario", "idx"], "left").join(able.select("scenario", "idx", "boilerplate"), ["scenario", "idx"])
+    best = F.when(c("t1.context") != c("context"), c("t1.share")).otherwise(F.coalesce("t2", F.lit(0.0)))
+    missed = x.filter(~c("boilerplate") & ~((c("share") == 0) | _strong(c("share"), best))).agg(F.count("*").alias("missed"))
+    sizes = able.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if("boilerplate").alias("bad"))
+    k = contexts.agg(F.countDistinct("scenario").alias("k"))
+    total = sizes.agg(F.sum("n").alias("q"), F.sum("bad").alias("bad")).join(k)
+    most = contexts.select("scenario").distinct().join(sizes, "scenario", "left").select(F.coalesce("n", F.lit(0)).alias("n")).agg(F.min("n").alias("least"))
+    home = anchoring(able, contexts).withColumns({k_: F.round(k_, 3) for k_ in ("home", "elsewhere")})
+    native = home.filter(~c("boilerplate") & ((c("home") == 0) | _strong(c("home"), c("elsewhere")))).agg(F.count("*").alias("native"))
+    every = questions.agg(F.count("*").alias("questions"))
+    out = total.join(missed).join(most).join(native).join(every)
+    pairs = c("q") * (c("k") - 1)
+    fn = c("missed") + c("bad") * (c("k") - 1)
+    out = out.select(pairs.alias("injections"), (pairs - fn).alias("tp"), fn.alias("fn"), (c("native") * (c("q") - c("least"))).alias("fp"), "native", F.round(F.try_divide("native", "questions"), 4).alias("native_rate"))
+    return out.withColumn("recall", F.round(F.try_divide("tp", "injections"), 4)).withColumn("precision", F.round(F.try_divide(c("tp"), c("tp") + c("fp")), 4))

@@ -158,14 +158,18 @@ def process_dir(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    q = read(spark, sf_dir, "conversations").select((c("conv_id") % 10).alias("scenario"), (c("conv_id") * 1000 + c("turn")).alias("idx"), X.prose_tokens(c("text")).alias("words"), (c("turn") % 5 == 4).alias("boilerplate"))
-    v = read(spark, sf_dir, "benchmark").withColumn("scenario", c("item_id") % 10).groupBy("scenario").agg(F.array_distinct(F.flatten(F.collect_list(X.prose_tokens(c("text"))))).alias("words"))
+    """Turns of conversations as questions of ten scenarios, and the scenarios' words: those of the benchmark's items and of a conversation in ten."""
+    text = read(spark, sf_dir, "conversations")
+    q = text.select((c("conv_id") % 10).alias("scenario"), (c("conv_id") * 1000 + c("turn")).alias("idx"), F.lower("text").alias("key"), X.prose_tokens(c("text")).alias("words"), (c("turn") % 5 == 4).alias("boilerplate"))
+    rows = read(spark, sf_dir, "benchmark").select((c("item_id") % 10).alias("scenario"), "text")
+    rows = rows.unionByName(text.select((c("conv_id") % 10).alias("scenario"), "text").filter(c("turn") == 0))
+    v = rows.select("scenario", F.explode(X.prose_tokens(c("text"))).alias("w")).groupBy("scenario").agg(F.collect_set("w").alias("words"))
     return q, v
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.PROSE_STOP) + ")"
-_AUDIT = f"""WITH q AS (SELECT conv_id % 10 AS scenario, conv_id * 1000 + turn AS idx, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS words, turn % 5 = 4 AS boilerplate FROM conversations),
- v AS (SELECT DISTINCT item_id % 10 AS context, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS w FROM benchmark),
+_AUDIT = f"""WITH q AS (SELECT conv_id % 10 AS scenario, conv_id * 1000 + turn AS idx, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS words, turn % 5 = 4 AS boilerplate, lower(text) AS key FROM conversations),
+ v AS (SELECT DISTINCT item_id % 10 AS context, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS w FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT conv_id, text FROM conversations WHERE turn = 0)),
  s AS (SELECT scenario, idx, context, count(*)::DOUBLE / any_value(n) AS share FROM (SELECT scenario, idx, len(words) AS n, unnest(words) AS w FROM q) x JOIN v USING (w) GROUP BY scenario, idx, context),
  a AS (SELECT q.*, coalesce((SELECT share FROM s WHERE s.scenario = q.scenario AND s.idx = q.idx AND s.context = q.scenario), 0) AS home, coalesce((SELECT max(share) FROM s WHERE s.scenario = q.scenario AND s.idx = q.idx AND s.context <> q.scenario), 0) AS elsewhere FROM q) """
 
@@ -175,21 +179,38 @@ def home_support(spark, sf_dir):
     return A.anchoring(*_questions(spark, sf_dir)).select("scenario", "idx", F.round("home", 9).alias("home"), F.round("elsewhere", 9).alias("elsewhere"))
 
 
-@_add("g_contexts", "SELECT item_id % 10 AS scenario, count(*) AS n_items FROM benchmark GROUP BY 1")
+@_add("g_contexts", _AUDIT + "SELECT context AS scenario, w FROM v")
 def contexts(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").groupBy((c("item_id") % 10).alias("scenario")).agg(F.count("*").alias("n_items"))
+    """The words of every scenario."""
+    return _questions(spark, sf_dir)[1].select("scenario", F.explode("words").alias("w"))
 
 
-@_add("g_audit_verdict", _AUDIT + """, k AS (SELECT *, array_to_string(list_sort(words), ' ') AS key FROM a), d AS (SELECT k.*, idx > min(idx) OVER (PARTITION BY key, scenario) AS within, (SELECT count(DISTINCT scenario) FROM k z WHERE z.key = k.key) > 1 AS across FROM k)
- SELECT scenario, idx, CASE WHEN len(words) = 0 THEN 'malformed' WHEN len(words) >= 3 AND NOT boilerplate AND (home = 0 OR elsewhere - home >= 0.34 AND elsewhere >= 0.30 AND home <= 0.60) THEN 'misfiled' WHEN home = 0 OR elsewhere > home OR boilerplate OR across OR within THEN 'suspicious' ELSE 'clean' END AS verdict FROM d""")
+_GENERIC = "(" + ", ".join(f"'{w}'" for w in A.GENERIC) + ")"
+_FLAGS = _AUDIT + f""", r AS MATERIALIZED (SELECT scenario, idx, key, words, boilerplate, len(words) AS n, round(home, 3) AS home, round(elsewhere, 3) AS elsewhere FROM a),
+ h AS MATERIALIZED (SELECT x.scenario, x.idx, x.w, v.w IS NOT NULL AS at_home FROM (SELECT scenario, idx, unnest(words) AS w FROM r) x LEFT JOIN v ON v.context = x.scenario AND v.w = x.w),
+ g AS (SELECT scenario, idx, bool_and(w IN {_GENERIC}) AS generic_only FROM h WHERE at_home GROUP BY ALL),
+ f AS (SELECT h.* FROM h JOIN r USING (scenario, idx) WHERE NOT at_home AND home <= {A.ISLAND_HOME} AND w NOT IN {_GENERIC}), fw AS (SELECT scenario, w FROM f GROUP BY ALL HAVING count(DISTINCT idx) > 1), il AS (SELECT DISTINCT scenario, idx FROM f JOIN fw USING (scenario, w)),
+ ex AS (SELECT scenario, idx, n, unnest(words) AS w FROM r), ac AS (SELECT x.scenario, x.idx FROM ex x JOIN ex y ON x.w = y.w AND x.scenario <> y.scenario GROUP BY x.scenario, x.idx, y.scenario, y.idx, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= {A.NEAR_DUPLICATE} - 1e-9),
+ fl AS (SELECT r.*, idx > min(idx) OVER (PARTITION BY scenario, key) AS within, (scenario, idx) IN (SELECT (scenario, idx) FROM ac) AS across, (scenario, idx) IN (SELECT (scenario, idx) FROM il) AS island, coalesce(generic_only, false) AS generic_only, home = 0 AND n >= 3 AS no_anchor,
+  round(elsewhere - home, 3) >= 0.34 AND elsewhere >= 0.30 AND home <= 0.60 AS strong, round(elsewhere - home, 3) >= 0.20 AS soft FROM r LEFT JOIN g USING (scenario, idx)) """
+
+
+@_add("g_audit_verdict", _FLAGS + "SELECT scenario, idx, within, across, island, generic_only, CASE WHEN n >= 3 AND NOT boilerplate AND (no_anchor OR strong) THEN 'misfiled' WHEN no_anchor OR home < 0.25 OR soft OR boilerplate OR across OR within OR generic_only OR island THEN 'suspicious' ELSE 'clean' END AS verdict FROM fl")
 def audit_verdict(spark, sf_dir):
-    return A.verdicts(*_questions(spark, sf_dir)).select("scenario", "idx", "verdict")
+    return A.verdicts(*_questions(spark, sf_dir)).select("scenario", "idx", "within", "across", (c("island") > 0).alias("island"), "generic_only", "verdict")
 
 
-@_add("g_siblings", None)
+@_add("g_siblings", _FLAGS + f", o AS (SELECT h.*, r.home >= {A.SIBLING_HOME} AS well FROM h JOIN r USING (scenario, idx) WHERE at_home AND w NOT IN {_GENERIC}) SELECT r.scenario, r.idx, least(count(DISTINCT y.idx), {A.MOST_SIBLINGS}) AS siblings FROM r LEFT JOIN o x ON x.scenario = r.scenario AND x.idx = r.idx LEFT JOIN o y ON y.scenario = x.scenario AND y.w = x.w AND y.well AND y.idx <> x.idx GROUP BY r.scenario, r.idx")
 def siblings(spark, sf_dir):
-    """How many other questions of a scenario corroborate each one."""
-    return A.siblings(*_questions(spark, sf_dir))
+    """How many other questions of a scenario corroborate each one, up to three."""
+    return A.verdicts(*_questions(spark, sf_dir)).select("scenario", "idx", "siblings")
+
+
+@_add("agg_audit_totals", _FLAGS + "SELECT scenario, count(*) AS n, count(*) FILTER (WHERE verdict = 'misfiled') AS misfiled, count(*) FILTER (WHERE verdict = 'suspicious') AS suspicious, count(*) FILTER (WHERE verdict = 'clean') AS clean FROM (SELECT scenario, CASE WHEN n >= 3 AND NOT boilerplate AND (no_anchor OR strong) THEN 'misfiled' WHEN no_anchor OR home < 0.25 OR soft OR boilerplate OR across OR within OR generic_only OR island THEN 'suspicious' ELSE 'clean' END AS verdict FROM fl) GROUP BY ROLLUP (scenario)")
+def audit_totals(spark, sf_dir):
+    """Verdicts by scenario and over all."""
+    v = A.verdicts(*_questions(spark, sf_dir))
+    return v.rollup("scenario").agg(F.count("*").alias("n"), *[F.count_if(c("verdict") == k).alias(k) for k in ("misfiled", "suspicious", "clean")])
 
 
 @_add("agg_similarity", "SELECT o_orderkey, CASE WHEN a = 0 THEN 0.0E0 ELSE round(least(a, b)::DOUBLE / a, 9) END AS precision, round(least(a, b)::DOUBLE / b, 9) AS recall FROM (SELECT l_orderkey AS o_orderkey, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS a, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS b FROM lineitem GROUP BY 1) WHERE b > 0")
@@ -229,12 +250,25 @@ def stream_upsert(spark, sf_dir):
     return spark.read.parquet(path).select("k", "record_origin")
 
 
-@_add("join_injection", None)
+_INJECTED = _FLAGS + """, able AS (SELECT scenario, idx, boilerplate FROM r WHERE n >= 3), ct AS (SELECT DISTINCT context FROM v), sh AS (SELECT scenario, idx, context, round(share, 3) AS share FROM s),
+ pr AS (SELECT able.*, ct.context, coalesce(sh.share, 0) AS share FROM able CROSS JOIN ct LEFT JOIN sh USING (scenario, idx, context)),
+ ij AS (SELECT x.boilerplate, x.share, (SELECT max(y.share) FROM pr y WHERE y.scenario = x.scenario AND y.idx = x.idx AND y.context <> x.context) AS best FROM pr x WHERE x.context <> x.scenario),
+ jd AS (SELECT NOT boilerplate AND (share = 0 OR round(best - share, 3) >= 0.34 AND best >= 0.30 AND share <= 0.60) AS caught FROM ij), nt AS (SELECT count(*) AS native FROM fl WHERE n >= 3 AND NOT boilerplate AND (no_anchor OR strong)),
+ rd AS (SELECT max(c - n) AS rounds FROM (SELECT (SELECT count(*) FROM able) AS c, (SELECT count(*) FROM able WHERE able.scenario = ct.context) AS n FROM ct)),
+ z AS (SELECT (SELECT count(*) FROM jd) AS injections, (SELECT count(*) FILTER (WHERE caught) FROM jd) AS tp, (SELECT count(*) FILTER (WHERE NOT caught) FROM jd) AS fn, native * rounds AS fp, native, round(native::DOUBLE / (SELECT count(*) FROM r), 4) AS native_rate FROM nt, rd) """
+
+
+@_add("join_injection", _INJECTED + "SELECT *, round(tp::DOUBLE / injections, 4) AS recall, round(tp::DOUBLE / (tp + fp), 4) AS precision FROM z")
 def injection(spark, sf_dir):
-    """Recall of the audit when every question is put into every other scenario."""
+    """What the audit finds of every question put into every other scenario."""
     return A.injection_recall(*_questions(spark, sf_dir))
 
 
+@_add("agg_injection", _INJECTED + "SELECT tp, fn, fp, round(tp::DOUBLE / injections, 4) AS recall, round(tp::DOUBLE / (tp + fp), 4) AS precision, native_rate FROM z")
+def agg_injection(spark, sf_dir):
+    return A.injection_recall(*_questions(spark, sf_dir)).select("tp", "fn", "fp", "recall", "precision", "native_rate")
+
+
 @_add("scan_judge_records", "SELECT event_type AS judge, user_id AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def judge_records(spark, sf_dir):
     path = scratch_path(spark)

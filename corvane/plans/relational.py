@@ -205,11 +205,6 @@ def recovery(spark, sf_dir):
     return records(spark, sf_dir).withColumn("status", s).groupingSets([["status"], ["model", "config", "status"]], "model", "config", "status").agg(F.count("*").alias("n"))
 
 
-@_add("agg_audit_totals", R + "SELECT config, count(*) AS n, count(*) FILTER (WHERE triples % 3 = 0) AS misfiled, count(*) FILTER (WHERE triples % 3 = 1) AS suspicious FROM r GROUP BY ROLLUP (config)")
-def audit_totals(spark, sf_dir):
-    return records(spark, sf_dir).rollup("config").agg(F.count("*").alias("n"), F.count_if(c("triples") % 3 == 0).alias("misfiled"), F.count_if(c("triples") % 3 == 1).alias("suspicious"))
-
-
 @_add("agg_faithfulness", """
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")
@@ -238,12 +233,6 @@ def audit_run(spark, sf_dir):
     return rows.withColumn("verdict", F.when(c("n_bad") > 0, "FAIL").otherwise("PASS"))
 
 
-@_add("agg_injection", R + "SELECT count(*) FILTER (WHERE consistent AND parsed) AS tp, count(*) FILTER (WHERE consistent AND NOT parsed) AS fn, count(*) FILTER (WHERE NOT consistent AND parsed) AS fp, round(count(*) FILTER (WHERE consistent AND parsed)::DOUBLE / count(*) FILTER (WHERE consistent), 9) AS recall, round(count(*) FILTER (WHERE consistent AND parsed)::DOUBLE / count(*) FILTER (WHERE parsed AND consistent IS NOT NULL), 9) AS precision FROM r")
-def injection(spark, sf_dir):
-    a = records(spark, sf_dir).agg(F.count_if(c("consistent") & c("parsed")).alias("tp"), F.count_if(c("consistent") & ~c("parsed")).alias("fn"), F.count_if(~c("consistent") & c("parsed")).alias("fp"))
-    return a.select("tp", "fn", "fp", r9(c("tp") / (c("tp") + c("fn"))).alias("recall"), r9(c("tp") / (c("tp") + c("fp"))).alias("precision"))
-
-
 @_add("sink_manifest", R + "SELECT count(*) AS n, count(error) AS n_errors, count(*) FILTER (WHERE parsed) AS n_parsed, count(DISTINCT model) AS n_models, count(DISTINCT config) AS n_configs FROM r")
 def manifest(spark, sf_dir):
     return records(spark, sf_dir).agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.count_if("parsed").alias("n_parsed"), F.countDistinct("model").alias("n_models"), F.countDistinct("config").alias("n_configs"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from corvane.operators import audits as A
 from corvane.operators import evaluation as E
 
@@ -28,10 +30,46 @@ def test_pairs_are_judged_in_both_orders(spark):
     assert got == {"k": (8.0, 4.0), "e": (0.0, 0.0)}
 
 
+WORDS = {1: ["ship", "port", "cargo", "route", "class"], 2: ["poem", "author", "verse", "rhyme"], 3: ["gene", "cell", "organ", "tissue", "enzyme"]}
+
+
 def test_audit_of_misplaced_questions(spark):
-    contexts = spark.createDataFrame([(1, ["ship", "port", "cargo", "route"]), (2, ["poem", "author", "verse", "rhyme"])], "scenario int, words array<string>")
-    questions = spark.createDataFrame([(1, 0, ["ship", "port", "cargo"], False), (1, 1, ["poem", "author", "verse"], False), (1, 2, [], False), (2, 0, ["verse", "rhyme", "output"], True), (1, 3, ["ship", "port", "cargo"], False)], "scenario int, idx int, words array<string>, boilerplate boolean")
-    got = {(r.scenario, r.idx): (r.verdict, round(r.suspicion, 2)) for r in A.verdicts(questions, contexts).collect()}
-    assert got[1, 0] == ("clean", 0.0) and got[1, 1][0] == "misfiled" and got[1, 2][0] == "malformed" and got[2, 0][0] == "suspicious" and got[1, 3][0] == "suspicious"
-    r = A.injection_recall(questions.filter("size(words) > 0 and not boilerplate"), contexts).first()
-    assert (r.pairs, r.caught, r.recall) == (3, 2, 2 / 3)  # the misplaced one is at home in the other scenario
+    contexts = spark.createDataFrame(list(WORDS.items()), "scenario int, words array<string>")
+    rows = [
+        (1, 0, "a", ["ship", "port", "cargo"], False), (1, 1, "b", ["poem", "author", "verse"], False), (1, 2, None, [], False), (2, 0, "c", ["verse", "rhyme", "output"], True), (1, 3, "a", ["ship", "port", "cargo"], False),
+        (1, 4, "d", ["class", "robot", "arm", "wheel"], False), (1, 5, "e", ["robot", "leg", "ship", "axle", "gear"], False), (3, 0, "f", ["gene", "cell", "organ"], False), (3, 1, "g", ["gene", "tissue"], False), (3, 2, "h", ["gene", "enzyme", "cell"], False), (3, 3, "i", ["gene", "organ", "fin"], False), (2, 1, "j", [], False),
+        (2, 2, "k", ["poem", "author", "verse"], False),
+    ]
+    questions = spark.createDataFrame(rows, "scenario int, idx int, key string, words array<string>, boilerplate boolean")
+    got = {(r.scenario, r.idx): r for r in A.verdicts(questions, contexts).collect()}
+    verdict = lambda *k: got[k].verdict
+    assert verdict(1, 0) == "clean" and verdict(1, 1) == "misfiled" and verdict(1, 2) == "malformed" and verdict(2, 0) == "suspicious"
+    assert verdict(1, 3) == "suspicious" and got[1, 3].within and verdict(2, 1) == "suspicious" and got[2, 1].weak_anchor
+    assert got[1, 4].generic_only and got[1, 4].island == 2 and got[1, 5].island == 2 and verdict(1, 4) == "suspicious"  # agree on robots
+    assert got[1, 1].across and got[2, 2].across
+    assert [got[3, i].siblings for i in range(4)] == [3, 3, 3, 3] and got[1, 0].siblings == 1 and got[1, 1].siblings == 0
+    # 0.5 * (1 - 0.2) for the share, 0.15 for the island, less 0.05 twice for two well-anchored questions on ships
+    assert got[1, 5].suspicion == 0.45 and got[3, 0].suspicion == 0.0
+
+
+def test_injected_questions_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = [w for ws in WORDS.values() for w in ws] + ["stray", "odd", "alien"]
+    rows = [(s, i, f"t{s}{i}", rng.sample(WORDS[s], 3) + rng.sample(pool, rng.randint(0, 3)), rng.random() < 0.1) for s in WORDS for i in range(8)] + [(2, 20, "x", ["gene"], False)]
+    rows = [(s, i, k, list(dict.fromkeys(w)), b) for s, i, k, w, b in rows]
+    share = lambda w, s: round(len(set(w) & set(WORDS[s])) / len(w), 3)
+
+    def misfiled(w, bad, s):
+        home, best = share(w, s), max(share(w, t) for t in WORDS if t != s)
+        return len(w) >= 3 and not bad and (home == 0 or round(best - home, 3) >= 0.34 and best >= 0.30 and home <= 0.60)
+
+    able = [r for r in rows if len(r[3]) >= 3]
+    caught = [misfiled(w, b, t) for s, _, _, w, b in able for t in WORDS if t != s]
+    native = sum(misfiled(w, b, s) for s, _, _, w, b in rows)
+    rounds = max(sum(r[0] != t for r in able) for t in WORDS)
+    r = A.injection_recall(spark.createDataFrame(rows, "scenario int, idx int, key string, words array<string>, boilerplate boolean"), spark.createDataFrame(list(WORDS.items()), "scenario int, words array<string>")).first()
+    assert (r.injections, r.tp, r.fn, r.fp, r.native) == (len(caught), sum(caught), len(caught) - sum(caught), native * rounds, native)
+    assert r.recall == round(sum(caught) / len(caught), 4)
+    home = [(s, i, k, WORDS[s][:4], False) for s, i, k, _, _ in able]  # questions that are at home reach the contract
+    r = A.injection_recall(spark.createDataFrame(home, "scenario int, idx int, key string, words array<string>, boilerplate boolean"), spark.createDataFrame(list(WORDS.items()), "scenario int, words array<string>")).first()
+    assert r.recall >= 0.8 and r.precision >= 0.8 and r.native_rate <= 0.02
