@@ -80,19 +80,21 @@ class LabelModel:
         """P(the vote is right | the rule votes) of each rule."""
         return self.prior * (1 - np.nan_to_num(self.rates(True))) + (1 - self.prior) * np.nan_to_num(self.rates(False))
 
-    def posterior(self) -> Column:
-        """P(good | votes) as a Column over ``__cv_v_<rule>``."""
-        logs = []
-        for share, rejects in zip(self.share, self.rejects, strict=True):
+    def with_posterior(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with P(good | votes) as column ``name``, from ``__cv_v_<rule>``. Each class's log likelihood is a column of its own, so that no expression holds it twice."""
+        logs = {}
+        for k, (share, rejects) in enumerate(zip(self.share, self.rejects, strict=True)):
             log = F.lit(float(np.log(share)))
-            for name, p in zip(self.names, rejects, strict=True):
-                vote = F.col(f"{_io.OWN}v_{name}")
+            for rule, p in zip(self.names, rejects, strict=True):
+                vote = F.col(f"{_io.OWN}v_{rule}")
                 log = log + F.when(vote == -1, float(np.log(p))).when(vote == 1, float(np.log1p(-p))).otherwise(0.0)
-            logs.append(log)
-        most = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        parts = [F.exp(log - most) for log in logs]
-        total = lambda own: sum((p for p, g in zip(parts, own, strict=True) if g), F.lit(0.0))
-        return total(self.good) / total(np.ones(len(parts), bool))
+            logs[f"{_io.OWN}l_{k}"] = log
+        top, cols = _io.OWN + "l_top", [F.col(c) for c in logs]
+        df = df.withColumns(logs).withColumn(top, F.greatest(*cols) if len(cols) > 1 else cols[0])
+        parts = [F.exp(c - F.col(top)) for c in cols]
+        good, bad = (sum((p for p, g in zip(parts, self.good, strict=True) if g == own), F.lit(0.0)) for own in (True, False))
+        df = df.withColumns({_io.OWN + "l_good": good, _io.OWN + "l_bad": bad})
+        return df.withColumn(name, F.col(_io.OWN + "l_good") / (F.col(_io.OWN + "l_good") + F.col(_io.OWN + "l_bad"))).drop(*logs, top, _io.OWN + "l_good", _io.OWN + "l_bad")
 
 
 def _maximise(bad: np.ndarray, cast: np.ndarray, counts: np.ndarray, q: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -158,8 +160,7 @@ def quality_rules(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
     model = fit(patterns, np.array([r[-1] for r in seen], dtype=float), list(rules()))
     n = _s("n_words")
     return (
-        voted.withColumn(_io.OWN + "base_failed", (n < 50) | (100 * _s("n_repeat_words") > 50 * n))
-        .withColumn(_io.OWN + "posterior", model.posterior())
+        model.with_posterior(voted.withColumn(_io.OWN + "base_failed", (n < 50) | (100 * _s("n_repeat_words") > 50 * n)), _io.OWN + "posterior")
         .withColumn(_io.OWN + "kept", ~F.col(_io.OWN + "base_failed") & (F.col(_io.OWN + "posterior") >= threshold))
     )
 
