@@ -263,18 +263,26 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node", c("node").alias("other")).union(mutual).groupBy("graph_id", "node").agg(F.min("other").alias("root"))
 
 
-def uninformative(edges: DataFrame) -> DataFrame:
-    """(graph_id, p, root): components of a predicate that are complete, or complete between two sides, and so say nothing."""
+def judged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (graph_id, p, a, b, root) with the component of their predicate, and (graph_id, p, root) of the components that say nothing.
+
+    Those are complete, or complete between two sides, with at least three edges.
+    """
     named = edges.select(F.concat_ws("\u0001", "graph_id", "p").alias("graph_id"), "a", "b").filter("a <> b").distinct()
-    root = components(named)
-    e = named.join(root.withColumnRenamed("node", "a"), ["graph_id", "a"])
+    e = materialize(named.join(components(named).withColumnRenamed("node", "a"), ["graph_id", "a"]))
     ends = e.select("graph_id", "root", F.explode(F.array(F.struct(F.lit("s").alias("k"), c("a").alias("x")), F.struct(F.lit("t").alias("k"), c("b").alias("x")))).alias("r"))
     per = ends.groupBy("graph_id", "root", "r.x").agg(F.max(c("r.k") == "s").alias("s"), F.max(c("r.k") == "t").alias("t"))
     size = per.groupBy("graph_id", "root").agg(F.count("*").alias("n"), F.count_if("s").alias("s"), F.count_if("t").alias("t"))
     m = e.groupBy("graph_id", "root").agg(F.count("*").alias("m"))
     full = (c("n") >= 3) & (c("m") == c("n") * (c("n") - 1)) | (c("s") >= 2) & (c("t") >= 2) & (c("s") * c("t") >= 6) & (c("m") == c("s") * c("t")) & (c("n") == c("s") + c("t"))
     parts = F.split("graph_id", "\u0001")
-    return m.join(size, ["graph_id", "root"]).filter((c("m") >= 3) & full).select(parts[0].alias("graph_id"), parts[1].alias("p"), "root")
+    split = lambda df, *more: df.select(parts[0].alias("graph_id"), parts[1].alias("p"), *more, "root")
+    return split(e, "a", "b"), split(m.join(size, ["graph_id", "root"]).filter((c("m") >= 3) & full))
+
+
+def uninformative(edges: DataFrame) -> DataFrame:
+    """(graph_id, p, root): components of a predicate that are complete, or complete between two sides, and so say nothing."""
+    return judged(edges)[1]
 
 
 def roles(t: DataFrame) -> DataFrame:
@@ -290,26 +298,6 @@ def roles(t: DataFrame) -> DataFrame:
     return g.select("graph_id", "term", F.when(c("p") & c("k"), "ambiguous").when(c("p"), "property").when(c("k"), "class").otherwise("individual").alias("role"))
 
 
-def connectivity(incidences: DataFrame) -> DataFrame:
-    """(graph_id, n, evidence, doubt, score) from (graph_id, entity, d): pooled d against doubt, in whole 270ths, divided once."""
-    doubt = F.element_at(F.array(*map(F.lit, DOUBT)), F.least(c("d"), F.lit(4)).cast("int") + 1)
-    g = incidences.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum(c("d") * 270).alias("evidence"), F.sum(doubt).cast("long").alias("doubt"))
-    return g.withColumn("score", F.coalesce(F.try_divide(c("evidence"), c("evidence") + c("doubt")), F.lit(0.0)))
-
-
-def incidences(t: DataFrame) -> DataFrame:
-    """(graph_id, entity, d): how often each named subject is tied to others: schema anchors, usage edges and typing."""
-    n = t.join(triple_class(t).filter("kind = 'connective'").select("graph_id", "s", "p", "o"), ["graph_id", "s", "p", "o"], "left_semi")
-    bump = lambda df, term: df.select("graph_id", c(term).alias("entity"))
-    anchor = n.filter(c("p").isin(DOMAIN, RANGE))
-    usage = n.filter(is_named(c("p"), F.lit("iri")))
-    typing = n.filter(c("p") == TYPE)
-    rows = _union(bump(anchor.select("graph_id", "s", "p").distinct(), "s"), bump(anchor, "o"), bump(usage, "s"), bump(usage.filter("o_kind = 'iri'"), "o"), bump(typing.select("graph_id", "s").distinct(), "s"), bump(typing, "o"))
-    counts = rows.groupBy("graph_id", "entity").agg(F.count("*").alias("d"))
-    roster = t.filter(is_named(c("s"), c("s_kind"))).select("graph_id", c("s").alias("entity")).distinct()
-    return roster.join(counts, ["graph_id", "entity"], "left").select("graph_id", "entity", F.coalesce("d", F.lit(0)).alias("d"))
-
-
 def entailed(t: DataFrame, most_rounds: int = 20) -> DataFrame:
     """Triples with what a subset of RDFS and OWL-RL adds: sub-class and sub-property chains and inheritance, domain, range, inverse,
     symmetric and transitive properties, equivalence. Semi-naive enough for schemas: every round joins the whole, until nothing is new."""
@@ -365,14 +353,14 @@ def vacuous(t: DataFrame) -> DataFrame:
 
 
 def usage_edges(t: DataFrame, depth: int = 12) -> DataFrame:
-    """(graph_id, s, p, o): edges between named terms and literals, with chains of blank nodes (at most ``depth``) replaced by what they lead to."""
+    """(graph_id, s, p, o, o_kind): edges between named terms and literals, with chains of blank nodes (at most ``depth``) replaced by what they lead to."""
     own = t.filter(is_named(c("p"), F.lit("iri"))).select("graph_id", "s", "s_kind", "p", "o", "o_kind")
-    done = own.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("graph_id", "s", "p", "o")
+    done = own.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("graph_id", "s", "p", "o", "o_kind")
     front = own.filter("s_kind = 'iri' and o_kind = 'bnode'").select("graph_id", "s", "p", "o")
     inner = materialize(own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("o").alias("next"), c("o_kind").alias("k")))
     for _ in range(depth):
         step = materialize(front.join(inner, ["graph_id", "o"]).select("graph_id", "s", "p", c("next").alias("o"), "k").distinct())
-        done = done.unionByName(step.filter("k <> 'bnode'").drop("k"))
+        done = done.unionByName(step.filter("k <> 'bnode'").withColumnRenamed("k", "o_kind"))
         front = step.filter("k = 'bnode'").drop("k")
         if front.isEmpty():
             break
@@ -388,26 +376,6 @@ def restriction_arcs(t: DataFrame) -> DataFrame:
     return holder.join(cell.filter("p is not null"), ["graph_id", "x"]).select("graph_id", "a", "p", F.coalesce("f", F.lit(ANY)).alias("b")).distinct()
 
 
-def taxonomy(t: DataFrame, most: int = 3000) -> DataFrame:
-    """(graph_id, a, b): pairs of classes of which one is above the other, between classes of equivalents; of graphs with more
-    than ``most`` classes only the direct ones, as the size of the closure may be the square of it."""
-    named = t.filter((c("s_kind") == "iri") & (c("o_kind") == "iri"))
-    same = components(named.filter(c("p") == EQUIVALENT).select("graph_id", c("s").alias("a"), c("o").alias("b")))
-    sub = named.filter(c("p") == SUB).select("graph_id", c("s").alias("a"), c("o").alias("b")).distinct()
-    for k in ("a", "b"):
-        sub = sub.join(same.select("graph_id", c("node").alias(k), "root"), ["graph_id", k], "left").withColumn(k, F.coalesce("root", k)).drop("root")
-    sub = materialize(sub.filter("a <> b").select("graph_id", "a", "b").distinct())
-    size = _union(sub.select("graph_id", c("a").alias("x")), sub.select("graph_id", c("b").alias("x"))).distinct().groupBy("graph_id").agg(F.count("*").alias("n"))
-    small = sub.join(size.filter(c("n") <= most).select("graph_id"), "graph_id", "left_semi")
-    large = sub.join(size.filter(c("n") > most).select("graph_id"), "graph_id", "left_semi")
-    return _union(transitive_closure(small).filter("a <> b"), large).distinct()
-
-
-def grounded(t: DataFrame) -> DataFrame:
-    """(graph_id, entity): entities with some incidence."""
-    return incidences(t).filter("d > 0").select("graph_id", "entity")
-
-
 def load_bearing(t: DataFrame) -> DataFrame:
     """(graph_id, s, p, o): connective triples, those that neither document nor only declare."""
     return triple_class(t).filter("kind = 'connective'").select("graph_id", "s", "p", "o")

@@ -38,24 +38,6 @@ def scan_csv(spark, sf_dir):
     return files.csv_table(spark, path, ["r_regionkey", "r_name"])
 
 
-@_add("scan_local_tree", "SELECT 'm' || (item_id % 3) AS model, 'c' || (item_id % 2) AS config, 's' || item_id AS id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM benchmark")
-def local_tree(spark, sf_dir):
-    path = scratch_path(spark)
-    b = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("m"), c("item_id") % 3).alias("model"), F.concat(F.lit("c"), c("item_id") % 2).alias("config"), F.concat(F.lit("s"), "item_id").alias("id"), "text")
-    b.repartition("model", "config", "id").write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
-    got = rdf.scan_tree(spark, path, "*.txt")
-    part = lambda k: F.regexp_replace(k, "^[a-z]+=", "")
-    text = F.regexp_replace("text", "\u0003$", "")
-    return got.select(*[part(k).alias(k) for k in ("model", "config", "id")], F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
-
-
-@_add("scan_sidecar", "SELECT page_id, page_id % 2 = 0 AS has_metadata FROM pages")
-def sidecar(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("out/"), "page_id", F.lit("/ontology.ttl")).alias("rel_path"))
-    side = p.filter("page_id % 2 = 0").select(F.concat(F.lit("out/"), "page_id", F.lit("/metadata.json")).alias("rel_path"), F.lit(True).alias("found"))
-    return files.with_sidecar(p, side).select("page_id", F.coalesce("found", F.lit(False)).alias("has_metadata"))
-
-
 @_add("scan_ground_truth", "SELECT p_size, min_by(p_partkey, (CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END)::BIGINT * 1000000000 + p_partkey) AS p_partkey FROM part GROUP BY p_size")
 def ground_truth(spark, sf_dir):
     suffix = F.when(c("p_partkey") % 3 == 0, ".ttl").when(c("p_partkey") % 3 == 1, ".owl").otherwise(".n3")
@@ -63,49 +45,6 @@ def ground_truth(spark, sf_dir):
     return files.ground_truth(f, "p_size", "path").select("p_size", F.regexp_extract("path", "^0*([0-9]+)", 1).cast("long").alias("p_partkey"))
 
 
-@_add("scan_scenarios", "SELECT 's' || conv_id AS scenario_id, turn - (min(turn) OVER (PARTITION BY conv_id)) AS idx, text AS cq FROM conversations")
-def scenarios(spark, sf_dir):
-    g = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    s = g.select(F.concat(F.lit("s"), "conv_id").alias("scenario_id"), F.transform("t", lambda x: x["text"]).alias("cq_list"))
-    return files.questions(s).select("scenario_id", c("idx").cast("long").alias("idx"), "cq")
-
-
-@_add("scan_cq_list", "SELECT turn - (SELECT min(turn) FROM conversations WHERE conv_id = 1) AS idx, text AS cq FROM conversations WHERE conv_id = 1")
-def cq_list(spark, sf_dir):
-    g = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    s = g.select(F.concat(F.lit("s"), "conv_id").alias("scenario_id"), F.transform("t", lambda x: x["text"]).alias("cq_list"))
-    return files.questions_of(s, "s1").select(c("idx").cast("long").alias("idx"), "cq")
-
-
-@_add("scan_signatures", "SELECT doc_id, sha256('{\"k\":' || coalesce(l.quality, 9) || '}') AS digest FROM documents LEFT JOIN labels l USING (doc_id)")
-def signatures(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.select("doc_id", F.sha2(F.to_json(F.struct(F.coalesce("quality", F.lit(9)).alias("k"))), 256).alias("digest"))
-
-
-@_add("scan_survey_pools", "SELECT 'expert' AS pool, c_custkey AS k, c_mktsegment AS answer FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'author', s_suppkey, NULL FROM supplier")
-def survey_pools(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(c("c_custkey").alias("k"), c("c_mktsegment").alias("answer"))
-    return files.pooled({"expert": a, "author": read(spark, sf_dir, "supplier").select(c("s_suppkey").alias("k"))}).select("pool", "k", "answer")
-
-
-@_add("scan_filtered_tree", "SELECT page_id FROM pages WHERE coalesce(string_split(url, '/')[-3], '<unknown>') LIKE '%example.org'")
-def filtered_tree(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", *rdf.path_key(c("url"))).filter(c("config").endswith("example.org")).select("page_id")
-
-
-@_add("scan_bytes", "SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes, left(sha256(text), 12) AS short FROM documents")
-def scan_bytes(spark, sf_dir):
-    h = F.sha2("text", 256)
-    return read(spark, sf_dir, "documents").select("doc_id", h.alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.substring(h, 1, 12).alias("short"))
-
-
-@_add("scan_eval_indexes", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unparsed' WHEN event_id % 3 = 1 THEN 'parsed' ELSE 'missing' END AS flag FROM events")
-def eval_indexes(spark, sf_dir):
-    raw = F.when(c("event_id") % 3 == 0, F.lit('{"parse": fal')).when(c("event_id") % 3 == 1, F.col("props"))
-    return read(spark, sf_dir, "events").select("event_id", F.when(raw.isNull(), "missing").when(F.get_json_object(raw, "$").isNull(), "unparsed").otherwise("parsed").alias("flag"))
-
-
 @_add("parse_judge_json", "SELECT event_id, CAST(event_id % 10 + 1 AS BIGINT) AS score FROM events")
 def judge_json(spark, sf_dir):
     k = c("event_id") % 10 + 1
@@ -115,16 +54,6 @@ def judge_json(spark, sf_dir):
     return j.select("event_id", X.clamped_score(c("j.score")).cast("long").alias("score"))
 
 
-@_add("parse_oops_rdfxml", "SELECT l_orderkey AS report, l_returnflag AS code, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2")
-def oops(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("report"), c("l_returnflag").alias("code"), F.when(c("l_returnflag") == "N", "Minor").when(c("l_returnflag") == "R", "Important").otherwise("Critical").alias("importance"), F.array(c("l_linenumber").cast("string")).alias("elements"))
-    return files.pitfalls(l).select("report", "code", c("n").cast("long").alias("n"))
-
-
-def _replies(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_REPLY.replace("\n", "\\n")).alias("r"))
-
-
 @_add("str_diagnose_raw", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'unparseable' ELSE 'unterminated' END AS reason FROM conversations")
 def diagnose_raw(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", Y.diagnosis(c("r")).alias("reason"))
@@ -228,17 +157,6 @@ def control(spark, sf_dir):
     return rdf.parse_status(rows).select(c("graph_id").alias("control"), "n_triples", "status")
 
 
-@_add("g_reference_score", R + "SELECT id, CASE WHEN parsed THEN pass_rate END AS score FROM r")
-def reference_score(spark, sf_dir):
-    return records(spark, sf_dir).select("id", F.when(c("parsed"), c("pass_rate")).alias("score"))
-
-
-@_add("g_diagnostics", R + "SELECT model, count(*) FILTER (WHERE triples = 0) AS silent, count(*) FILTER (WHERE classes = 0) AS without_classes, count(*) FILTER (WHERE properties = 0) AS without_properties, count(*) FILTER (WHERE consistent IS NULL) AS without_verdict, count(*) FILTER (WHERE state = 'failed') AS scan_failed FROM r GROUP BY model")
-def diagnostics(spark, sf_dir):
-    n = lambda x, k: F.count_if(x).alias(k)
-    return records(spark, sf_dir).groupBy("model").agg(n(c("triples") == 0, "silent"), n(c("classes") == 0, "without_classes"), n(c("properties") == 0, "without_properties"), n(c("consistent").isNull(), "without_verdict"), n(c("state") == "failed", "scan_failed"))
-
-
 @_add("stream_upsert", "SELECT DISTINCT event_id % 100 AS k, 'this_run' AS record_origin FROM events")
 def stream_upsert(spark, sf_dir):
     """Three versions of a table, each upserted over the one before; the last covers every key."""
@@ -269,14 +187,6 @@ def agg_injection(spark, sf_dir):
     return A.injection_recall(*_questions(spark, sf_dir)).select("tp", "fn", "fp", "recall", "precision", "native_rate")
 
 
-@_add("scan_judge_records", "SELECT event_type AS judge, user_id AS k, count(*) AS n FROM events GROUP BY 1, 2")
-def judge_records(spark, sf_dir):
-    path = scratch_path(spark)
-    e = read(spark, sf_dir, "events").groupBy(c("event_type").alias("judge"), c("user_id").alias("k")).agg(F.count("*").alias("n"))
-    files.write_records(e, path, ("judge",))
-    return spark.read.schema("k long, n long, judge string").json(path).select("judge", "k", "n")
-
-
 @_add("sink_latex_md", "SELECT '| r_regionkey | r_name |' AS line, 0::BIGINT AS pos UNION ALL SELECT '| --- | --- |', 1 UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |', r_regionkey + 2 FROM region")
 def latex_md(spark, sf_dir):
     text = files.rendered_table(read(spark, sf_dir, "region").orderBy("r_regionkey"))

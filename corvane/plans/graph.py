@@ -221,18 +221,6 @@ def roles(spark, sf_dir):
     return G.roles(triples(spark, sf_dir))
 
 
-@_add("g_connectivity", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(d * 270) AS BIGINT) AS evidence, CAST(sum(x) AS BIGINT) AS doubt, round(coalesce(sum(d * 270)::DOUBLE / nullif(sum(d * 270) + sum(x), 0), 0), 9) AS score FROM (SELECT user_id, event_id % 7 AS d, [270, 9, 4, 1, 0][least(event_id % 7, 4) + 1] AS x FROM events) GROUP BY user_id")
-def connectivity(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(c("user_id").alias("graph_id"), c("event_id").alias("entity"), (c("event_id") % 7).alias("d"))
-    return G.connectivity(e).select(c("graph_id").alias("user_id"), "n", "evidence", "doubt", F.round("score", 9).alias("score"))
-
-
-@_add("g_incidences", None)
-def incidences(spark, sf_dir):
-    """How often each entity is tied to others (pooled by g_connectivity)."""
-    return G.incidences(triples(spark, sf_dir))
-
-
 @_add("g_owlrl", None)
 def owlrl(spark, sf_dir):
     """Entailed triples a graph, by predicate (checked on fixtures in the tests)."""
@@ -273,11 +261,6 @@ def path_key(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", *rdf.path_key(F.col("url")))
 
 
-@_add("parse_oops_html", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]*\">')) AS BIGINT) AS n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def oops_html(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="[^"]*">'), F.lit(0))).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 @_add("str_ontology_vocab", "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(lower(html), '[a-z]{4,}'))) AS BIGINT) AS n_terms, false AS turtle FROM pages")
 def ontology_vocab(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{4,}"), F.lit(0)))).cast("long").alias("n_terms"), looks_like_turtle(c("html")).alias("turtle"))
@@ -285,18 +268,7 @@ def ontology_vocab(spark, sf_dir):
 
 @_add("join_usage_bnode", T + "SELECT graph_id, s, p, o FROM t WHERE p NOT LIKE 'http://www.w3.org/%'")
 def usage_bnode(spark, sf_dir):
-    return G.usage_edges(triples(spark, sf_dir))
-
-
-@_add("g_taxonomy", T + f", e AS (SELECT DISTINCT graph_id, s AS a, o AS b FROM t WHERE p = '{_S}' AND s <> o), w AS (SELECT * FROM e UNION SELECT w.graph_id, w.a, e.b FROM w JOIN e ON w.graph_id = e.graph_id AND w.b = e.a) SELECT * FROM w WHERE a <> b")
-def taxonomy(spark, sf_dir):
-    return G.taxonomy(triples(spark, sf_dir))
-
-
-@_add("g_grounded", None)
-def grounded(spark, sf_dir):
-    """Entities that are tied to some other."""
-    return G.grounded(triples(spark, sf_dir))
+    return G.usage_edges(triples(spark, sf_dir)).drop("o_kind")
 
 
 @_add("g_load_bearing", T + f"SELECT graph_id, s, p, o FROM t WHERE p NOT IN {_IN(G.ANNOTATIONS)} AND NOT (p = '{_T}' AND o IN {_IN(G.DECLARATIONS)})")
@@ -347,9 +319,3 @@ def parse_sniffed(spark, sf_dir):
 def parse_owlxml(spark, sf_dir):
     xml = F.concat(F.lit('<Ontology xmlns="http://www.w3.org/2002/07/owl#" ontologyIRI="http://e/o"><Declaration><Class IRI="#C'), F.col("n_nationkey"), F.lit('"/></Declaration></Ontology>'))
     return rdf.triples(read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("graph_id"), xml.alias("text")), "sniff").select("graph_id", "s", "o")
-
-
-@_add("scan_gt_graphs", "SELECT r_regionkey, count(n_nationkey) FILTER (WHERE n_nationkey % 2 = 0) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
-def gt_graphs(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("k"))
-    return read(spark, sf_dir, "region").select("r_regionkey").join(n, "r_regionkey", "left").select("r_regionkey", F.coalesce("k", F.lit(0)).cast("long").alias("n"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import artefacts, graph, relational, rollups, scores, sev, text
+from . import artefacts, graph, readers, relational, rollups, scores, sev, structure, text
 
-_MODULES = (rollups, text, scores, relational, graph, sev, artefacts)
+_MODULES = (rollups, text, scores, relational, graph, sev, structure, artefacts, readers)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -59,6 +59,72 @@ def with_sidecar(files: DataFrame, sidecars: DataFrame, path: str = "rel_path")
     return files.withColumn("__dir", folder(F.col(path))).join(side, "__dir", "left").drop("__dir")
 
 
+def json_files(spark: SparkSession, root: str, schema: str, name: str = "*.json") -> DataFrame:
+    """(rel_path, columns of ``schema``) of every JSON file ``name`` below ``root``, one object a file; unreadable ones are all null."""
+    got = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
+    return got.select(F.col("_metadata.file_path").alias("rel_path"), *got.columns)
+
+
+def filtered_tree(files: DataFrame, models: list[str] | None = None, configs: list[str] | None = None, scenarios: list[str] | None = None) -> DataFrame:
+    """Files of a scanned tree whose model, config and id are in the lists; None leaves all."""
+    for key, wanted in (("model", models), ("config", configs), ("id", scenarios)):
+        files = files if wanted is None else files.filter(F.col(key).isin(wanted))
+    return files
+
+
+def scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Scenarios from JSON files that hold a list of records, or an object of records by id."""
+    text = spark.read.option("wholetext", True).text(path)
+    row = f"struct<{', '.join(c.replace(' ', ':', 1) for c in SCENARIO.split(', '))}>"
+    listed = F.from_json("value", f"array<{row}>", {"mode": "PERMISSIVE"})
+    keyed = F.map_values(F.from_json("value", f"map<string,{row}>"))
+    rows = F.when(F.trim("value").startswith("["), listed).otherwise(keyed)
+    return text.select(F.explode(rows).alias("r")).select("r.*").filter("scenario_id is not null")
+
+
+SIGNATURE = "struct<cq:string,cq_type:string,slots:map<string,struct<kind:string,surface:array<string>,anchors:array<string>>>,relations:array<struct<`from`:string,`to`:string,surface:array<string>>>>"
+
+
+def signatures(spark: SparkSession, path: str, override: str | None = None) -> DataFrame:
+    """(scenario_id, records, origin) of a catalogue of signatures, a JSON object by scenario; scenarios of ``override`` replace theirs whole.
+
+    A file that is no object of lists, or a signature without a question, is an error.
+    """
+
+    def catalogue(p: str, origin: str) -> DataFrame:
+        text = spark.read.option("wholetext", True).text(p).withColumn("m", F.from_json("value", f"map<string,array<{SIGNATURE}>>", {"mode": "PERMISSIVE"}))
+        if text.filter("m is null or not startswith(trim(value), '{')").limit(1).count():
+            raise ValueError(f"{p}: signatures must be an object by scenario")
+        rows = text.select(F.explode("m").alias("scenario_id", "records")).withColumn("origin", F.lit(origin))
+        wrong = rows.filter(F.col("records").isNull() | F.exists("records", lambda r: r.isNull() | r["cq"].isNull())).select("scenario_id").first()
+        if wrong:
+            raise ValueError(f"{p}: a signature of {wrong[0]!r} has no question")
+        return rows
+
+    base = catalogue(path, "catalogue")
+    if override is None:
+        return base
+    new = catalogue(override, "override")
+    return new.unionByName(base.join(new.select("scenario_id"), "scenario_id", "left_anti"))
+
+
+def catalogue_digest(catalogue: DataFrame) -> DataFrame:
+    """One row (digest): 16 hexadecimal digits of the whole catalogue, whatever the order of its rows."""
+    each = catalogue.select(F.sha2(F.to_json(F.struct("scenario_id", "records")), 256).alias("h"))
+    return each.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("digest"))
+
+
+def judge_records(spark: SparkSession, root: str, schema: str = JUDGE) -> DataFrame:
+    """Judges' records of files ``<judge>/single/<model>/<config>/*.json`` below ``root``; the judge is the name of its folder."""
+    got = spark.read.schema(schema).json(f"{root}/*/single/*/*/*.json")
+    return got.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/single/[^/]+/[^/]+/[^/]+$", 1).alias("judge"), *got.columns)
+
+
+def expert_pool(external: DataFrame, authors: DataFrame, extra: DataFrame) -> DataFrame:
+    """The expert survey: external experts, paper authors and the authors' extra answers, with their ``origin``."""
+    return pooled({"external": external, "author": authors, "extra": extra}).withColumnRenamed("pool", "origin")
+
+
 def reference_rank(path: Column) -> Column:
     """The place of a file's suffix in the order of preference, null if it has none."""
     out = F.lit(None).cast("int")
@@ -96,10 +162,39 @@ def judge_scores(raw: Column, names: list[str]) -> Column:
     return F.from_json(F.coalesce(*usable, F.lit("{}")), schema)
 
 
+#: Namespace and levels of pitfall reports.
+PITFALL, LEVELS = "http://oops.linkeddata.es/def#", ["Important", "Critical"]
+
+
+def pitfalls_of(triples: DataFrame) -> DataFrame:
+    """(report, node, code, importance, affected, elements) of every pitfall with a code in reports read as triples (graph_id, s, p, o)."""
+    named = triples.filter((F.col("p") == "http://www.w3.org/1999/02/22-rdf-syntax-ns#type") & (F.col("o") == PITFALL + "pitfall")).select("graph_id", "s")
+    of = lambda k: F.min(F.when(F.col("p") == PITFALL + k, F.trim("o")))
+    elements = F.array_sort(F.collect_set(F.when(F.col("p") == PITFALL + "hasAffectedElement", F.col("o"))))
+    rows = triples.join(named, ["graph_id", "s"], "left_semi").groupBy("graph_id", "s").agg(of("hasCode").alias("code"), of("hasImportanceLevel").alias("importance"), of("hasNumberAffectedElements").try_cast("long").alias("reported"), elements.alias("elements"))
+    return rows.filter("code is not null").select(F.col("graph_id").alias("report"), F.col("s").alias("node"), "code", "importance", F.coalesce("reported", F.size("elements").cast("long")).alias("affected"), "elements")
+
+
+def pitfalls_in_page(html: Column) -> Column:
+    """array<struct<code, name, importance>> of the results in a page of the web form."""
+    pattern = r"(?s)Results for (P[0-9]+):\s*(.*?)\s*<span[^>]*class=\"badge[^\"]*\"[^>]*>\s*(Critical|Important|Minor)\s*</span>"
+    got = [F.regexp_extract_all(html, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[g.alias(k) for g, k in zip(got, "abc", strict=True)]), lambda x: F.struct(x["a"].alias("code"), F.regexp_replace(F.regexp_replace(x["b"], r"\s+", " "), r"\.+$", "").alias("name"), x["c"].alias("importance")))
+
+
 def pitfalls(reports: DataFrame, most: int = 50) -> DataFrame:
-    """(report, code, importance, n, sample) from (report, code, importance, elements); minor ones are left out, samples capped."""
-    kept = reports.filter(F.lower("importance") != "minor")
-    return kept.groupBy("report", "code", "importance").agg(F.sum(F.size("elements")).alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("elements")))), 1, most).alias("sample"))
+    """(report, code, importance, n, affected, sample) from (report, code, importance, affected, elements); minor ones are left out, samples capped."""
+    kept = reports.filter(F.col("importance").isNull() | F.col("importance").isin(LEVELS))
+    return kept.groupBy("report", "code", "importance").agg(F.count("*").alias("n"), F.sum("affected").alias("affected"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("elements")))), 1, most).alias("sample"))
+
+
+def pitfall_totals(reports: DataFrame) -> DataFrame:
+    """(report, total, important, critical, minor, codes) from (report, code, importance): minor ones are counted apart."""
+    level, minor = F.col("importance"), F.col("importance").isNotNull() & ~F.col("importance").isin(LEVELS)
+    return reports.groupBy("report").agg(
+        F.count_if(~minor).alias("total"), F.count_if(level == "Important").alias("important"), F.count_if(level == "Critical").alias("critical"), F.count_if(minor).alias("minor"),
+        F.array_sort(F.collect_set(F.when(~minor, F.col("code")))).alias("codes"),
+    )
 
 
 def refuse_evidence(path: str, kept: list[str]) -> None:
