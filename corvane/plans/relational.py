@@ -233,11 +233,6 @@ def audit_run(spark, sf_dir):
     return rows.withColumn("verdict", F.when(c("n_bad") > 0, "FAIL").otherwise("PASS"))
 
 
-@_add("sink_manifest", R + "SELECT count(*) AS n, count(error) AS n_errors, count(*) FILTER (WHERE parsed) AS n_parsed, count(DISTINCT model) AS n_models, count(DISTINCT config) AS n_configs FROM r")
-def manifest(spark, sf_dir):
-    return records(spark, sf_dir).agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.count_if("parsed").alias("n_parsed"), F.countDistinct("model").alias("n_models"), F.countDistinct("config").alias("n_configs"))
-
-
 @_add("sink_flatten", "SELECT lang, to_json(list_sort(list(DISTINCT source)))::VARCHAR AS sources FROM documents GROUP BY lang")
 def flatten(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.to_json(F.array_sort(F.collect_set("source"))).alias("sources"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import records as Q
 from ..functions import scores as S
 from ._bind import R, catalogue, read, records
 
@@ -201,13 +202,57 @@ def gt_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(c("n_chars") <= 2000, c("n_chars")).alias("size"))
 
 
-@_add("proj_summary_row", R + f"SELECT id, model, config, CASE WHEN error IS NULL THEN triples END AS triples, CASE WHEN error IS NULL THEN consistent END AS consistent, CASE WHEN error IS NULL THEN pass_rate END AS pass_rate, CASE WHEN error IS NULL THEN round({STRUCTURAL}, 9) END AS score, truncated, error FROM r")
+# Nested records from documents and labels; the same in SQL, as one expression a field.
+_NESTED = {
+    "id": "CAST(d.doc_id AS {V})", "model": "d.lang", "config": "d.source", "rel_path": "concat(d.lang, '/', CAST(d.doc_id AS {V}))", "source": "'local'", "record_origin": "CASE WHEN d.doc_id % 8 = 0 THEN 'carried' END",
+    "error": "CASE WHEN d.doc_id % 13 = 0 THEN 'ontology.ttl not found' WHEN d.doc_id % 17 = 0 THEN 'timeout' END", "truncated": "CASE WHEN l.toxic IS NOT NULL THEN l.toxic = 1 END", "t_source": "CASE d.doc_id % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'banner' WHEN 2 THEN 'derived' END",
+    "finish_reason": "CASE WHEN d.doc_id % 4 = 0 THEN 'stop' END", "o_error": "CASE WHEN d.doc_id % 9 = 0 THEN 'bad syntax' END", "triples_count": "CAST(d.n_chars % 40 AS BIGINT)", "classes_count": "CAST(d.n_chars % 7 AS BIGINT)", "object_properties_count": "CAST(d.n_chars % 5 AS BIGINT)",
+    "consistent": "CASE WHEN l.quality IS NOT NULL THEN l.quality = 1 END", "r_error": "CASE WHEN d.doc_id % 19 = 0 THEN 'reasoner' END", "vacuous": "d.n_chars % 11 = 0", "inferred": "CAST(d.n_chars % 23 AS BIGINT)", "n_bad": "CAST(d.doc_id % 4 AS BIGINT)",
+    "cqs_total": "CAST(d.doc_id % 12 AS BIGINT)", "cqs_passed": "CAST(d.doc_id % 5 AS BIGINT)", "c_error": "CASE WHEN d.doc_id % 29 = 0 THEN 'cq' END", "skipped": "CASE WHEN d.doc_id % 3 > 0 THEN d.doc_id % 6 = 1 END",
+    "total": "CAST(d.doc_id % 6 AS BIGINT)", "p_error": "CASE WHEN d.doc_id % 31 = 0 THEN 'scan' END", "gate": "CASE WHEN d.n_chars % 40 < 10 THEN 'near_empty' ELSE 'ok' END",
+}
+
+
+def _flat(text: str) -> str:
+    return "SELECT " + ", ".join(f"{v.replace('{V}', text)} AS {k}" for k, v in _NESTED.items()) + " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def nested(spark, sf_dir):
+    """Records with their sections, from documents and labels."""
+    for x in ("documents", "labels"):
+        read(spark, sf_dir, x).createOrReplaceTempView(x)
+    x = spark.sql(_flat("STRING"))
+    many = lambda prefix, n: F.transform(F.slice(F.array(*map(F.lit, range(5))), 1, n.cast("int")), lambda i: F.concat(F.lit(prefix), i.cast("string")))
+    zero, half = F.lit(0).cast("long"), F.lit(0.5)
+    sections = {
+        "truncation": F.struct(c("t_source").alias("source"), F.when(c("t_source") == "derived", F.array(F.lit("open fence"), F.lit("length"))).alias("signals"), "finish_reason"),
+        "ontometrics": F.struct("triples_count", "classes_count", "object_properties_count", *[zero.alias(k) for k in Q.ONTOMETRICS[3:10]], *[half.alias(k) for k in Q.ONTOMETRICS[10:]], c("o_error").alias("error")),
+        "reasoner": F.struct("consistent", "vacuous", c("triples_count").alias("triples_before"), (c("triples_count") + c("inferred")).alias("triples_after"), c("inferred").alias("inferred_triples"), many("C", c("n_bad")).alias("unsatisfiable_classes"), c("r_error").alias("error")),
+        "cq_verification": F.struct("cqs_total", "cqs_passed", (c("cqs_total") - c("cqs_passed")).alias("cqs_failed"), F.try_divide("cqs_passed", "cqs_total").alias("pass_rate"), half.alias("sev_score"), "skipped", c("c_error").alias("error")),
+        "oops": F.struct(c("total").alias("pitfalls_total"), c("total").alias("important_count"), zero.alias("critical_count"), zero.alias("minor_pitfalls_skipped"), many("P0", c("n_bad")).alias("pitfall_codes"), F.lit(False).alias("skipped"), c("p_error").alias("error")),
+        "structural": F.struct(half.alias("structural_score"), "gate"),
+    }
+    return x.select("id", "model", "config", "rel_path", "source", "record_origin", "error", "truncated", *[v.alias(k) for k, v in sections.items()])
+
+
+_N = f"WITH r AS ({_flat('VARCHAR')}) "
+_STATUS = "CASE WHEN error = 'ontology.ttl not found' THEN 'missing' WHEN error IS NOT NULL THEN 'error' WHEN o_error IS NOT NULL THEN 'parse_error' ELSE 'ok' END"
+_if = lambda error, field, name=None: f"CASE WHEN {error} IS NULL THEN {field} END AS {name or field}"
+
+
+@_add("proj_summary_row", _N + f"SELECT model, config, id, rel_path, source, coalesce(record_origin, 'this_run') AS record_origin, {_STATUS} AS status, truncated, t_source AS truncation_source, CASE WHEN t_source = 'derived' THEN 'open fence; length' ELSE '' END AS truncation_signals, finish_reason, {_if('o_error', 'triples_count')}, {_if('o_error', 'classes_count')}, {_if('o_error', 'object_properties_count')}, {_if('o_error', '0', 'datatype_properties_count')}, {_if('r_error', 'consistent')}, {_if('r_error', 'inferred', 'inferred_triples')}, cqs_total, cqs_passed, 0.5::DOUBLE AS sev_score, 0.5::DOUBLE AS structural_score, gate AS structural_gate, total AS oops_pitfalls_total FROM r")
 def summary_row(spark, sf_dir):
-    ok = lambda x, k: F.when(c("error").isNull(), x).alias(k)
-    return records(spark, sf_dir).select("id", "model", "config", *[ok(c(k), k) for k in ("triples", "consistent", "pass_rate")], ok(F.round(structural(), 9), "score"), "truncated", "error")
+    return Q.summary_row(nested(spark, sf_dir))
+
 
+_ZEROS = ", ".join(_if("o_error", "0", k) for k in Q.ONTOMETRICS[3:10]) + ", " + ", ".join(_if("o_error", "0.5::DOUBLE", k) for k in Q.ONTOMETRICS[10:])
 
-@_add("proj_results_row", R + "SELECT id, CAST(id % 4 AS BIGINT) AS n_unsat, array_to_string(list_transform(range(0, id % 4), lambda i: 'P0' || CAST(i AS VARCHAR)), '|') AS codes FROM r")
+
+@_add("proj_results_row", _N + f"SELECT id, model, config, {_if('o_error', 'triples_count')}, {_if('o_error', 'classes_count')}, {_if('o_error', 'object_properties_count')}, {_ZEROS}, {_if('r_error', 'consistent')}, {_if('r_error', 'triples_count', 'triples_before')}, {_if('r_error', 'triples_count + inferred', 'triples_after')}, {_if('r_error', 'inferred', 'inferred_triples')}, CASE WHEN r_error IS NULL THEN n_bad ELSE 0 END AS unsatisfiable_classes_count, {_if('c_error', 'cqs_total')}, {_if('c_error', 'cqs_passed')}, {_if('c_error', 'cqs_total - cqs_passed', 'cqs_failed')}, CASE WHEN c_error IS NULL AND cqs_total > 0 THEN cqs_passed::DOUBLE / cqs_total END AS cq_pass_rate, coalesce(skipped, false) AS cq_skipped, p_error IS NULL AS oops_scanned, total AS oops_pitfalls_total, total AS oops_important_count, 0 AS oops_critical_count, 0 AS oops_minor_skipped, array_to_string(list_transform(range(0, n_bad), lambda i: 'P0' || i), '|') AS oops_pitfall_codes, coalesce(p_error, '') AS oops_error, o_error IS NULL AS parseable, CASE WHEN consistent AND r_error IS NULL AND NOT vacuous AND triples_count > 0 THEN 1 ELSE 0 END AS consistency_score FROM r")
 def results_row(spark, sf_dir):
-    codes = F.when(c("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(c("id") % 4 - 1, F.lit(0)).cast("int")), lambda i: F.concat(F.lit("P0"), i.cast("string"))))
-    return records(spark, sf_dir).select("id", F.size(codes).cast("long").alias("n_unsat"), F.array_join(codes, "|").alias("codes"))
+    return Q.results_row(nested(spark, sf_dir))
+
+
+@_add("sink_manifest", _N + f", s AS (SELECT *, {_STATUS} AS st, coalesce(t_source, 'unavailable') AS ts FROM r) SELECT count(*) AS n_files, count(*) FILTER (WHERE record_origin IS NULL) AS n_evaluated_this_run, count(record_origin) AS n_carried_over, " + ", ".join(f"count(*) FILTER (WHERE st = '{k}') AS n_{k}" for k in ("ok", "missing", "error", "parse_error")) + ", count(*) FILTER (WHERE truncated) AS n_truncated, count(*) FILTER (WHERE NOT truncated) AS n_complete, count(*) FILTER (WHERE truncated IS NULL) AS n_truncation_unknown, " + ", ".join(f"count(*) FILTER (WHERE ts = '{k}') AS truncation_from_{k}" for k in ("metadata", "banner", "derived", "unavailable")) + " FROM s")
+def manifest(spark, sf_dir):
+    return Q.manifest(nested(spark, sf_dir))
