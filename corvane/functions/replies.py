@@ -22,6 +22,7 @@ NAMES_NOTHING = [
     "those", "it", "its", "their", "there", "any", "some", "all", "can", "could", "would", "should", "has", "have", "had", "do", "does", "did", "given",
     "specific", "particular", "e.g", "eg", "etc", "if", "not", "what", "which", "who", "when", "where", "why", "how", "at", "from", "as", "into", "about",
 ]
+# How a question begins.
 LEAD = r"(?i)^\s*(what|which|who|whom|whose|when|where|why|how(\s+\w+)?)\b(\s+(is|are|was|were|do|does|did|can|could|would|should|has|have|had))?(\s+(the|a|an))?\s*"
 
 
@@ -62,16 +63,23 @@ def repaired(df: DataFrame, text: str) -> DataFrame:
 
 
 def signature(c: Column) -> Column:
-    """(kind, subject, relation): what a question asks about and by which relation, from its words; weak, and always marked derived."""
+    """(kind, subject, relation): what a question asks about and by which relation, from its words; weak, and always marked derived.
+
+    The question is cut at the last place of the first separator in ``SPLITS`` that it holds; the relation stands before, the subject after.
+    """
     edge = r"^[ ?.!,]+|[ ?.!,]+$"
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), LEAD, ""), edge, ""), r"\s+", " ")
-    low = F.concat(F.lit(" "), F.lower(body), F.lit(" "))
-    head = tail = body
-    for sep in reversed(SPLITS):
-        at = F.length(low) - F.length(F.substring_index(low, sep, -1)) - len(sep)  # from 0, of the last occurrence
-        here = low.contains(sep) & (at > 0)
-        head = F.when(here, F.regexp_replace(F.substring(body, F.lit(1), at), edge, "")).otherwise(head)
-        tail = F.when(here, F.regexp_replace(F.substring(body, at + len(sep), F.length(body)), edge, "")).otherwise(tail)
+    marks = F.array(*map(F.lit, SPLITS))
+
+    def cut(text: Column) -> Column:
+        low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+        places = F.transform(marks, lambda m: F.struct((F.length(low) - F.position(F.reverse(m), F.reverse(low)) + 1 - F.length(m)).alias("at"), F.length(m).alias("n"), low.contains(m).alias("here")))
+        hit = F.get(F.filter(places, lambda p: p["here"] & (p["at"] > 0)), 0)  # from 0, of the last occurrence
+        side = lambda x: F.coalesce(F.regexp_replace(x, edge, ""), text)
+        return F.struct(text.alias("body"), side(F.substring(text, F.lit(1), hit["at"])).alias("head"), side(F.substring(text, hit["at"] + hit["n"], F.length(text))).alias("tail"))
+
+    parts = F.get(F.transform(F.array(body), cut), 0)
+    body, head, tail = parts["body"], parts["head"], parts["tail"]
 
     def phrases(x: Column) -> Column:
         w = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9\-]*"), F.lit(0)), lambda v: ~v.isin(NAMES_NOTHING) & (F.length(v) > 2))

@@ -182,6 +182,16 @@ def chosen_block(c: Column, strict: list[str] | None = None, loose: list[str] |
     return F.coalesce(F.get(named, 0)["body"], longest["body"])
 
 
+def extracted_turtle(c: Column) -> Column:
+    """The artefact in a reply: the chosen block; an open block's body; without a fence, the lines from the first directive to the last that ends a statement. Else null."""
+    open_ = F.get(F.filter(fences(c), lambda b: ~b["closed"] & looks_like_turtle(b["body"])), 0)["body"]
+    lines = F.split(c, r"\r\n|\r|\n")
+    first = F.array_min(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(r"(?i)^@?(?:prefix|base)\b"), i)))
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(F.trim(x).endswith("."), i)))
+    tail = F.when((F.size(fences(c)) == 0) & first.isNotNull() & (last >= first), F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
+    return F.coalesce(chosen_block(c), open_, tail)
+
+
 def truncation_signals(finish: Column, text: Column, dropped: Column | None = None) -> Column:
     """Names of the signs that a reply was cut short: finish reason, open fence, dropped last statement."""
     budget = F.lower(finish).rlike("|".join(LENGTH_MARKS))
@@ -214,9 +224,14 @@ def clamped_score(c: Column) -> Column:
     return F.when(n.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), n)))
 
 
+#: Compatibility forms that answers hold: full-width characters, which stand 0xFEE0 above the plain ones, further dashes and spaces, and the small and full-width percent sign.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "﹪‐‑‒–—−﹣\u00a0\u2002\u2003\u2009\u3000"
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))) + "%-------" + " " * 5
+
+
 def time_saved_label(c: Column) -> Column:
-    """An answer with any dash, and a dash lost to a question mark, as a plain hyphen."""
-    return F.trim(F.translate(F.translate(c, "‐‑‒–—−", "------"), "?", "-"))
+    """An answer in plain characters: compatibility forms folded, with any dash, and a dash lost to a question mark, as a plain hyphen."""
+    return F.trim(F.translate(F.translate(c, _WIDE, _PLAIN), "?", "-"))
 
 
 def time_saved(c: Column) -> Column:

@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rollups import average_rank, sample_spread
+from .rollups import sample_spread
+
+
+#: Categories of a scale of ratings.
+MOST_CATEGORIES = 1000
 
 
 def likert(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -19,12 +23,15 @@ def likert(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def krippendorff(ratings: DataFrame, unit: str, value: str, scale: str = "ordinal") -> DataFrame:
     """One row (alpha, n_units) from rows of one rating each; missing ratings and units of one rating are left out.
 
+    A scale has few categories: more than ``MOST_CATEGORIES`` are an error, since their pairs and running sums are one task's.
     Distances need only counts of categories in all and a unit, so no pair of ratings is ever formed: the table a unit is
     (unit, category, count), and joins run over the categories, which a scale keeps few.
     """
     r = ratings.filter(F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"))
     sized = r.groupBy("u", "v").agg(F.count("*").alias("c")).withColumn("m", F.sum("c").over(Window.partitionBy("u"))).filter("m >= 2")
     freq = sized.groupBy("v").agg(F.sum("c").alias("f"))
+    if freq.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValueError(f"{value} has more than {MOST_CATEGORIES} categories")
     upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     freq = freq.withColumn("run", F.sum("f").over(upto))  # categories only
     x, y = freq.alias("x"), freq.alias("y")
@@ -50,9 +57,12 @@ def signed_ranks(pairs: DataFrame, first: str, second: str, by: list[str]) -> Da
     """
     d = pairs.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).withColumn("d", F.col(second) - F.col(first))
     every = d.groupBy(*by).agg(F.count("*").alias("n_pairs"))
-    r = average_rank(d.filter("d <> 0").withColumn("ad", F.abs("d")), by, "ad", "r")
-    sums = r.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    ties = r.groupBy(*by, "ad").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    # ranks need only the distinct sizes of differences with their counts: partial aggregates come first, the window sees one row a size
+    size = d.filter("d <> 0").groupBy(*by, F.abs("d").alias("ad")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    below = F.sum("t").over(Window.partitionBy(*by).orderBy("ad").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
+    r = size.withColumn("r", below + (F.col("t") + 1) / 2)
+    sums = r.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("w_minus"))
+    ties = r.groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     out = every.join(sums, by, "left").join(ties, by, "left").na.fill(0)
     enough, some = F.col("n_pairs") >= 2, F.col("n") > 0
     return out.withColumn("w", F.when(enough, F.when(some, F.least("w_plus", "w_minus")).otherwise(0.0))).withColumn("r_rb", F.when(enough, F.when(some, (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).otherwise(0.0)))

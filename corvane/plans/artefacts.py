@@ -54,6 +54,10 @@ def judge_json(spark, sf_dir):
     return j.select("event_id", X.clamped_score(c("j.score")).cast("long").alias("score"))
 
 
+def _replies(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_REPLY.replace("\n", "\\n")).alias("r"))
+
+
 @_add("str_diagnose_raw", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'unparseable' ELSE 'unterminated' END AS reason FROM conversations")
 def diagnose_raw(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", Y.diagnosis(c("r")).alias("reason"))
@@ -86,6 +90,50 @@ def process_dir(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", Y.process(found, F.when(c("turn") % 2 == 0, "abcd").otherwise("ab"), c("turn") % 3 == 0).alias("decision"))
 
 
+_GOOD = "@prefix : <http://e/> .\n:a a :B .\n:a :says :c ."
+
+
+@_add("agg_recovery", "SELECT role, CASE turn % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'recovered' WHEN 2 THEN 'skipped' ELSE 'unrecoverable' END AS decision, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((2), (role, 2))")
+def recovery(spark, sf_dir):
+    """What becomes of stored artefacts, by parsing them and what their replies still hold; in all and by role."""
+    k = c("turn") % 4
+    x = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("graph_id"), "role", k.alias("k"))
+    x = x.select("graph_id", "role", F.when(c("k") == 0, _GOOD).when(c("k") == 2, F.repeat(F.lit("not an artefact "), 20)).otherwise("half").alias("text"), F.when(c("k") == 3, "no artefact").otherwise(F.concat(F.lit("See:\n```turtle\n" + _GOOD), F.when(c("k") == 1, "\n```").otherwise("\n:d :e"))).alias("reply"))
+    found, stored = Y.recovered(x, "graph_id", "reply").select("graph_id", c("text").alias("found")), rdf.parse_status(x.select("graph_id", "text")).select("graph_id", "status")
+    d = x.join(found, "graph_id").join(stored, "graph_id").withColumn("decision", Y.process(c("found"), c("text"), c("status") == "parsed"))
+    return d.groupingSets([["decision"], ["role", "decision"]], "role", "decision").agg(F.count("*").alias("n"))
+
+
+@_add("str_validate_turtle", "SELECT conv_id, turn, turn % 3 = 0 AS ok, CASE WHEN turn % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_triples, CASE turn % 3 WHEN 1 THEN 'empty' WHEN 2 THEN 'unparseable' END AS error FROM conversations")
+def validate_turtle(spark, sf_dir):
+    """Whether a text is a graph that says something; an empty graph is not."""
+    k = c("turn") % 3
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("graph_id"), F.when(k == 0, _GOOD).when(k == 1, "@prefix : <http://e/> . # nothing").otherwise("this is no graph but prose").alias("text"))
+    s = rdf.parse_status(x.select("graph_id", "text"))
+    ok = c("status") == "parsed"
+    return x.join(s, "graph_id").select("conv_id", "turn", ok.alias("ok"), "n_triples", F.when(~ok, c("status")).alias("error"))
+
+
+@_add("str_fallback_extract", "SELECT conv_id, turn, turn % 3 < 2 AS found, CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS rank FROM conversations")
+def fallback_extract(spark, sf_dir):
+    """The first candidate of a reply that parses: the chosen block, or an open block up to its last whole statement."""
+    k = c("turn") % 3
+    r = F.when(k == 0, F.lit("```turtle\n" + _GOOD + "\n```")).when(k == 1, F.lit("```turtle\n" + _GOOD + "\n:a :b")).otherwise(c("text"))
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("k"), r.alias("r"))
+    return x.join(Y.recovered(x, "k", "r"), "k").select("conv_id", "turn", c("rank").isNotNull().alias("found"), "rank")
+
+
+@_add("str_extract_ontology", "SELECT conv_id, turn, turn % 2 = 1 AS dropped, CASE WHEN turn % 2 = 1 THEN 'open_fence,dropped_statement' ELSE '' END AS signals, CASE WHEN turn % 2 = 1 THEN 'dropped_incomplete_trailing_statement' ELSE '' END AS repairs FROM conversations")
+def extract_ontology(spark, sf_dir):
+    """The extracted text, its repairs and the signs of truncation in one row; every second reply breaks off."""
+    cut = c("turn") % 2 == 1
+    r = F.concat(F.lit("```turtle\n" + _GOOD), F.when(cut, "\n:d :e").otherwise("\n```"))
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).withColumn("t", X.extracted_turtle(c("r")))
+    x = Y.repaired(x, "t")
+    dropped = F.array_contains("repairs", Y.DROPPED)
+    return x.select("conv_id", "turn", dropped.alias("dropped"), F.array_join(X.truncation_signals(F.lit("stop"), c("r"), dropped), ",").alias("signals"), F.array_join("repairs", ",").alias("repairs"))
+
+
 def _questions(spark, sf_dir):
     """Turns of conversations as questions of ten scenarios, and the scenarios' words: those of the benchmark's items and of a conversation in ten."""
     text = read(spark, sf_dir, "conversations")

@@ -49,12 +49,12 @@ def table(spark, sf_dir):
     return records(spark, sf_dir).groupingSets([["model"], ["model", "config"]], "model", "config").agg(*_summary()).withColumn("config", F.coalesce("config", F.lit("ALL")))
 
 
-@_add("agg_functional", R + "SELECT model, config, count(*) AS n, round(avg(total), 9) AS avg_added, round(avg(1.0E0 / (1 + 0.5E0 * (important + 0.3E0 * (total - important)))), 9) AS avg_manual FROM r GROUP BY model, config")
+@_add("agg_functional", R + "SELECT model, config, count(*) AS n, round(avg(total), 9) AS avg_added, round(avg(1.0E0 / (1 + 0.5E0 * (important + 0.3E0 * (total - important)))), 9) AS avg_manual, round(avg(0.5E0 / (1 + 0.5E0 * (important + 0.3E0 * (total - important))) + 0.5E0 * pass_rate), 9) AS avg_functional FROM r GROUP BY model, config")
 def functional(spark, sf_dir):
     from ..functions.scores import functional_score
 
     f = functional_score(c("total"), c("important"), c("pass_rate"))
-    return records(spark, sf_dir).groupBy("model", "config").agg(F.count("*").alias("n"), r9(F.avg("total")).alias("avg_added"), r9(F.avg(f["manual"])).alias("avg_manual"))
+    return records(spark, sf_dir).groupBy("model", "config").agg(F.count("*").alias("n"), r9(F.avg("total")).alias("avg_added"), r9(F.avg(f["manual"])).alias("avg_manual"), r9(F.avg(f["functional"])).alias("avg_functional"))
 
 
 # Five scores of a judged event: its value and four digits that its keys give.
@@ -100,10 +100,13 @@ def student_track(spark, sf_dir):
     return g.agg(r9(F.avg("value")).alias("clarity"), r9(100.0 * F.count_if(c("value") > 50) / F.greatest(F.lit(1), F.count("*"))).alias("high_pct")).select(F.coalesce("event_type", F.lit("Overall")).alias("track"), "clarity", "high_pct")
 
 
-@_add("agg_per_pattern", "SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 9) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 9) AS view FROM events GROUP BY user_id")
+_TRACKS = ["click", "error", "purchase", "signup", "view"]
+
+
+@_add("agg_per_pattern", "SELECT user_id, " + ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{k}'), 9) AS {k}" for k in _TRACKS) + " FROM events GROUP BY user_id")
 def per_pattern(spark, sf_dir):
-    t = U.crosstab(read(spark, sf_dir, "events"), "user_id", "event_type", "value", ["click", "view"])
-    return t.select("user_id", r9("click").alias("click"), r9("view").alias("view"))
+    t = U.crosstab(read(spark, sf_dir, "events"), "user_id", "event_type", "value", _TRACKS)
+    return t.select("user_id", *[r9(k).alias(k) for k in _TRACKS])
 
 
 @_add("agg_by_level", "SELECT CASE WHEN user_id % 2 = 0 THEN 'MSc' ELSE 'PhD' END AS level, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1")
@@ -199,12 +202,6 @@ def degenerate(spark, sf_dir):
     return records(spark, sf_dir).groupBy("model").agg(F.count_if((c("triples") < 10) & (s >= 0.5)).alias("n_suspicious"), F.min(F.when(s == 1, c("triples"))).alias("smallest_perfect"))
 
 
-@_add("agg_recovery", R + "SELECT model, config, CASE WHEN triples % 4 = 0 THEN 'recovered' WHEN triples % 4 = 1 THEN 'unrecoverable' ELSE 'healthy' END AS status, count(*) AS n FROM r GROUP BY GROUPING SETS ((3), (model, config, 3))")
-def recovery(spark, sf_dir):
-    s = F.when(c("triples") % 4 == 0, "recovered").when(c("triples") % 4 == 1, "unrecoverable").otherwise("healthy")
-    return records(spark, sf_dir).withColumn("status", s).groupingSets([["status"], ["model", "config", "status"]], "model", "config", "status").agg(F.count("*").alias("n"))
-
-
 @_add("agg_faithfulness", """
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")

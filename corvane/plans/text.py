@@ -110,14 +110,15 @@ def bigrams(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.bigram_phrases(F.split(F.lower("text"), " ")), "|").alias("phrases"))
 
 
-_THEMES = {"naming": [r"\bthe\s+\w+ing\b", r"\bnam(e|ing)\b"], "scope": [r"\bspecific\b", r"\bof\s+the\b"], "documentation": [r"\bno\s+label", r"\bund\b"], "redundancy": [r"\b(\w+) de\b"]}
+_THEMES = {"naming": [r"\bthe\s+\w+ing\b", r"\bnam(e|ing)\b"], "scope": [r"\bspecific\b", r"\bof\s+the\b"], "documentation": [r"\bno\s+label", r" und "], "redundancy": [r" de [a-z]+ de "], "reuse": [r"\balign", r"\bmatch(es|ing)?\b"], "size": [r"\btoo\s+\w+", r"\b(large|small)\b"], "language": [r"\benglish\b"], "logic": [r"\binconsisten", r"\bdisjoint"]}
 
 
 @_add("str_lexicon_tag", """
 SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\\bthe\\s+\\w+ing\\b|\\bnam(e|ing)\\b') THEN 'naming' END, CASE WHEN regexp_matches(lower(text), '\\bspecific\\b|\\bof\\s+the\\b') THEN 'scope' END,
-    CASE WHEN regexp_matches(lower(text), '\\bno\\s+label|\\bund\\b') THEN 'documentation' END, CASE WHEN regexp_matches(lower(text), '\\b(\\w+) de\\b') THEN 'redundancy' END], lambda x: x IS NOT NULL), ' ') AS themes FROM documents WHERE lang = 'en'""")
+    CASE WHEN regexp_matches(lower(text), '\\bno\\s+label| und ') THEN 'documentation' END, CASE WHEN regexp_matches(lower(text), ' de [a-z]+ de ') THEN 'redundancy' END,
+    CASE WHEN regexp_matches(lower(text), '\\balign|\\bmatch(es|ing)?\\b') THEN 'reuse' END, CASE WHEN regexp_matches(lower(text), '\\btoo\\s+\\w+|\\b(large|small)\\b') THEN 'size' END, CASE WHEN regexp_matches(lower(text), '\\benglish\\b') THEN 'language' END, CASE WHEN regexp_matches(lower(text), '\\binconsisten|\\bdisjoint') THEN 'logic' END], lambda x: x IS NOT NULL), ' ') AS themes FROM documents""")
 def lexicon_tag(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.array_join(X.tags(F.lower("text"), _THEMES), " ").alias("themes"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tags(F.lower("text"), _THEMES), " ").alias("themes"))
 
 
 @_add("str_boilerplate", "SELECT conv_id, turn, CASE " + " ".join("WHEN regexp_matches(text, '(?i){}') THEN '{}'".format(p, r) for p, r in X.BOILERPLATE) + " END AS reason FROM conversations")
@@ -143,10 +144,10 @@ def parse_url(spark, sf_dir):
 
 
 @_add("str_time_saved", """
-WITH a AS (SELECT event_id, ['0%', '1–25%', '26-50%', '51?75%', '76—100%', 'n/a'][event_id % 6 + 1] AS raw FROM events)
-SELECT event_id, raw, CASE raw WHEN '0%' THEN 0.0 WHEN '1–25%' THEN 13.0 WHEN '26-50%' THEN 38.0 WHEN '51?75%' THEN 63.0 WHEN '76—100%' THEN 88.0 END::DOUBLE AS midpoint FROM a""")
+WITH a AS (SELECT event_id, ['0%', '1–25%', '26-50%', '51?75%', '７６－１００％', 'n/a'][event_id % 6 + 1] AS raw FROM events)
+SELECT event_id, raw, CASE raw WHEN '0%' THEN 0.0 WHEN '1–25%' THEN 13.0 WHEN '26-50%' THEN 38.0 WHEN '51?75%' THEN 63.0 WHEN '７６－１００％' THEN 88.0 END::DOUBLE AS midpoint FROM a""")
 def time_saved(spark, sf_dir):
-    raw = F.get(F.array(*[F.lit(x) for x in ("0%", "1–25%", "26-50%", "51?75%", "76—100%", "n/a")]), (F.col("event_id") % 6).cast("int"))
+    raw = F.get(F.array(*[F.lit(x) for x in ("0%", "1–25%", "26-50%", "51?75%", "７６－１００％", "n/a")]), (F.col("event_id") % 6).cast("int"))
     return _table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", "raw", X.time_saved(F.col("raw")).alias("midpoint"))
 
 
@@ -176,7 +177,7 @@ def banner(spark, sf_dir):
     return b.select("item_id", F.sha2("b", 256).alias("with_banner"), X.without_banner(F.col("b")).alias("without_banner"))
 
 
-_REPLY = "concat('reply ```turtle\n@prefix a: <x> .\n', CASE WHEN turn % 3 = 0 THEN '' ELSE 'a:b a owl:Class .\n' END, text, CASE WHEN turn % 2 = 0 THEN '\n```' ELSE '' END)"
+_REPLY = "concat('reply ```turtle\n@prefix a: <x> .\n', CASE WHEN turn % 3 = 0 THEN '' ELSE 'a:b a owl:Class .\n' END, replace(text, '`', ' '), CASE WHEN turn % 2 = 0 THEN '\n```' ELSE '' END)"
 
 
 def _replies(spark, sf_dir):
@@ -186,9 +187,9 @@ def _replies(spark, sf_dir):
 _REPLY_SQL = _REPLY.replace("\n", "' || chr(10) || '")
 
 
-@_add("str_fences", f"SELECT conv_id, turn, 1::BIGINT AS n, 'turtle' AS info, turn % 2 = 0 AS closed, sha256(regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1)) AS body FROM conversations WHERE NOT contains(text, '`')")
+@_add("str_fences", f"SELECT conv_id, turn, 1::BIGINT AS n, 'turtle' AS info, turn % 2 = 0 AS closed, sha256(regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1)) AS body FROM conversations")
 def fences(spark, sf_dir):
-    r = _replies(spark, sf_dir).filter(~F.expr("replace(substr(r, 10), '```', '')").contains("`")).select("conv_id", "turn", X.fences(F.col("r")).alias("f"))
+    r = _replies(spark, sf_dir).select("conv_id", "turn", X.fences(F.col("r")).alias("f"))
     first = F.get("f", 0)
     return r.select("conv_id", "turn", F.size("f").cast("long").alias("n"), first["info"].alias("info"), first["closed"].alias("closed"), F.sha2(first["body"], 256).alias("body"))
 
@@ -228,3 +229,20 @@ WITH w AS (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(string_sp
 SELECT item_id, string_agg(w, ' ' ORDER BY i) AS words FROM w GROUP BY item_id""")
 def dedup_ordered(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
+
+
+@_add("str_extract_turtle", f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN sha256('@prefix a: <x> .' || chr(10) || 'a:b a owl:Class .') ELSE sha256(regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1)) END AS block FROM conversations")
+def extract_turtle(spark, sf_dir):
+    """What is taken for the artefact in every reply: the chosen block, or without fences the lines from the first directive."""
+    bare = F.concat(F.lit("Here it is:\n@prefix a: <x> .\na:b a owl:Class ."))
+    r = _replies(spark, sf_dir).withColumn("r", F.when(F.col("turn") % 5 == 4, bare).otherwise(F.col("r")))
+    return r.select("conv_id", "turn", F.sha2(X.extracted_turtle(F.col("r")), 256).alias("block"))
+
+
+@_add("str_truncation_verdict", """
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN turn % 3 = 0 END AS truncated, CASE turn % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'banner' WHEN 2 THEN 'derived' ELSE 'unknown' END AS source FROM conversations""")
+def truncation_verdict(spark, sf_dir):
+    """Truncation by the first source that knows: metadata, banner, reply."""
+    k = F.col("turn") % 4
+    v = X.truncation_verdict(F.when(k == 0, True), F.when(k <= 1, True), F.when(k <= 2, F.col("turn") % 3 == 0))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", v["truncated"].alias("truncated"), v["source"].alias("source"))
