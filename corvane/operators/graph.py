@@ -6,13 +6,17 @@ keyed by graph_id. Fixpoints write each round to the folder named in ``spark.che
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flat, identifier_tokens, local_name
-from ..session import materialize
+from ..session import materialize, ship
 from ..sources.rdf import OWL, RDF, RDFS, XSD
 
 TYPE, SUB, SUBP, DOMAIN, RANGE = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range"
@@ -236,6 +240,48 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
+def small_closure(edges: DataFrame) -> DataFrame:
+    """``transitive_closure`` of graphs whose number of nodes is bounded (3,000 or so): a matrix of bits a graph.
+
+    Squaring joins would form all paths between all pairs, which for a long chain is the cube of its length; here a graph is
+    one task's, of n * n / 8 bytes, and its pairs leave in batches.
+    """
+    ship(edges.sparkSession)
+
+    def pairs(g: str, a: list[str], b: list[str]) -> Iterator[pa.RecordBatch]:
+        names, at = np.unique(np.array(a + b, dtype=object), return_inverse=True)
+        n, half = len(names), len(a)
+        reach = np.zeros((n, (n + 63) // 64), np.uint64)
+        np.bitwise_or.at(reach, (at[:half], at[half:] // 64), np.uint64(1) << (at[half:] % 64).astype(np.uint64))
+        for k in range(n):  # what reaches k reaches all that k does
+            rows = np.flatnonzero(reach[:, k // 64] >> np.uint64(k % 64) & np.uint64(1))
+            if len(rows):
+                reach[rows] |= reach[k]
+        words = pa.array(names.tolist(), pa.string())
+        step = max(1, 200_000 // max(1, n))
+        for i in range(0, n, step):
+            bits = np.unpackbits(reach[i : i + step].view(np.uint8), axis=1, bitorder="little")[:, :n]
+            x, y = np.nonzero(bits)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(x), pa.string()), words.take(pa.array(x + i)), words.take(pa.array(y))], names=["graph_id", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, a, b = None, [], []
+        for batch in batches:
+            for g, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if g != now:
+                    if a:
+                        yield from pairs(now, a, b)
+                    now, a, b = g, [], []
+                a.append(x)
+                b.append(y)
+        if a:
+            yield from pairs(now, a, b)
+
+    rows = edges.select("graph_id", "a", "b").distinct().repartition("graph_id").sortWithinPartitions("graph_id")
+    return rows.mapInArrow(run, "graph_id string, a string, b string")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(graph_id, node, root): every node with the smallest node it is connected to, whatever the direction.
 

@@ -119,7 +119,7 @@ class Analysis:
         raw = _union(e.select(g, "a", "b"), e.filter("kind = 'same'").select(g, c("b").alias("a"), c("a").alias("b"))).distinct()
         nodes = _union(raw.select(g, c("a").alias("node")), raw.select(g, c("b").alias("node"))).distinct()
         small = nodes.groupBy(g).agg(F.count("*").alias("n")).filter(c("n") <= MOST_NODES).select(g)
-        reach = materialize(G.transitive_closure(raw.join(small, g, "left_semi")))
+        reach = materialize(G.small_closure(raw.join(small, g, "left_semi")))
         back = reach.select(g, c("b").alias("a"), c("a").alias("b"))
         cycle = reach.join(back, [g, "a", "b"], "left_semi").groupBy(g, c("a").alias("node")).agg(F.min("b").alias("low")).select(g, "node", F.least("node", "low").alias("root"))
         large = e.filter("kind = 'same'").join(small, g, "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _marked: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -76,10 +77,20 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of its plan go as soon as the table is written, for nothing else reads them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:  # releases without the setting leave it to the collector
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cv_path = path
     return out
