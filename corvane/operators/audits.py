@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import suspicion
+from ..functions.text import PROSE_STOP, camel_split, local_name
 from ..session import materialize
-from .graph import components
-from .joins import token_jaccard
+from ..sources.rdf import OWL
+from .graph import PROPERTY_TYPES, TYPE, components
+from .joins import greedy_match, token_jaccard
 
 c = F.col
 # Shares and margins of the verdict.
@@ -130,6 +132,57 @@ def similarity(matches: DataFrame, left_sizes: DataFrame, right_sizes: DataFrame
     return x.select(key, p.alias("precision"), r.alias("recall")).withColumn("f1", F.coalesce(F.try_divide(2 * c("precision") * c("recall"), c("precision") + c("recall")), F.lit(0.0)))
 
 
+def names_of(t: DataFrame) -> DataFrame:
+    """(graph_id, kind, name, tokens): the distinct normalised names of declared classes and properties, with their words of two letters or more."""
+    kind = F.when(c("o") == OWL + "Class", "class").when(c("o").isin(PROPERTY_TYPES), "property")
+    x = t.filter((c("p") == TYPE) & (c("s_kind") == "iri")).select("graph_id", kind.alias("kind"), F.trim(F.lower(F.regexp_replace(camel_split(local_name(c("s"))), "[^A-Za-z0-9]+", " "))).alias("name"))
+    x = x.filter("kind is not null and name <> ''").distinct()
+    return x.withColumn("tokens", F.filter(F.array_distinct(F.split("name", " +")), lambda w: (F.length(w) >= 2) & ~w.isin(PROSE_STOP)))
+
+
+def name_similarity(generated: DataFrame, reference: DataFrame, most_classes: int = 200) -> DataFrame:
+    """(graph_id, kind, n_generated, n_reference, precision, recall, f1, jaccard) of each generated graph's names against its reference's.
+
+    Names match one to one, greedily, if at least half of their words agree (equal names first); pairs are formed over shared words. A reference
+    with more than ``most_classes`` classes is no pattern and counts as missing; without one every ratio is 0.
+    """
+    key = ["graph_id", "kind"]
+    g, r = names_of(generated), names_of(reference)
+    large = r.filter("kind = 'class'").groupBy("graph_id").agg(F.count("*").alias("n")).filter(c("n") > most_classes).select("graph_id")
+    r = materialize(r.join(large, "graph_id", "left_anti"))
+    g = materialize(g)
+    side = lambda x, k: x.select(*key, c("name").alias(k), c("tokens").alias(k + "_t"), F.explode(F.when(F.size("tokens") > 0, c("tokens")).otherwise(F.array("name"))).alias("w"))
+    pair = side(g, "left").join(side(r, "right"), [*key, "w"]).drop("w").distinct()
+    score = F.when(c("left") == c("right"), 2.0).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect("left_t", "right_t")), F.size(F.array_union("left_t", "right_t"))), F.lit(0.0)))
+    scored = pair.select(F.concat_ws("\u0001", *key).alias("k"), "left", "right", score.alias("score"))
+    matched = greedy_match(scored, "k", "left", "right", "score", 0.5).groupBy("k").agg(F.count("*").alias("m"))
+    matched = matched.select(F.split("k", "\u0001")[0].alias("graph_id"), F.split("k", "\u0001")[1].alias("kind"), "m")
+    words = lambda x, k: x.groupBy(*key).agg(F.count("*").alias("n_" + k), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("w_" + k))
+    kinds = generated.select("graph_id").distinct().withColumn("kind", F.explode(F.array(F.lit("class"), F.lit("property"))))
+    x = kinds.join(words(g, "generated"), key, "left").join(words(r, "reference"), key, "left").join(matched, key, "left").na.fill(0, ["n_generated", "n_reference", "m"])
+    x = x.join(r.select("graph_id").distinct().withColumn("known", F.lit(True)), "graph_id", "left")
+    none = F.array().cast("array<string>")
+    wg, wr = F.coalesce("w_generated", none), F.coalesce("w_reference", none)
+    ratio = lambda n: F.when(c("known") & (c("n_generated") + c("n_reference") == 0), 1.0).otherwise(F.coalesce(F.try_divide(c("m"), c(n)), F.lit(0.0)))
+    jaccard = F.when(c("known").isNull(), 0.0).when(F.size(F.array_union(wg, wr)) == 0, 1.0).otherwise(F.size(F.array_intersect(wg, wr)) / F.size(F.array_union(wg, wr)))
+    x = x.select(*key, "n_generated", "n_reference", ratio("n_generated").alias("precision"), ratio("n_reference").alias("recall"), jaccard.alias("jaccard"))
+    return x.withColumn("f1", F.coalesce(F.try_divide(2 * c("precision") * c("recall"), c("precision") + c("recall")), F.lit(0.0)))
+
+
+def run_checks(checks: dict[str, DataFrame | None]) -> DataFrame:
+    """(check_name, n_bad, verdict, exit_code): FAIL for a check with rows, SKIP for one that is None; the exit code is 1 if any fails."""
+    rows = None
+    for name, bad in checks.items():
+        if bad is None:
+            one = next(x for x in checks.values() if x is not None).sparkSession.range(1).select(F.lit(name).alias("check_name"), F.lit(None).cast("long").alias("n_bad"))
+        else:
+            one = bad.agg(F.count("*").alias("n_bad")).select(F.lit(name).alias("check_name"), "n_bad")
+        rows = one if rows is None else rows.unionByName(one)
+    verdict = F.when(c("n_bad").isNull(), "SKIP").when(c("n_bad") > 0, "FAIL").otherwise("PASS")
+    rows = rows.withColumn("verdict", verdict)
+    return rows.join(rows.agg(F.max((c("verdict") == "FAIL").cast("int")).alias("exit_code")))
+
+
 def injection_recall(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     """One row (injections, tp, fn, fp, recall, precision, native, native_rate): every question put alone into every other scenario.
 

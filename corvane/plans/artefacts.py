@@ -70,18 +70,19 @@ def derive_signature(spark, sf_dir):
     return s.select("conv_id", "turn", "s.kind", F.array_join("s.subject", "|").alias("subject"), F.array_join("s.relation", "|").alias("relation"))
 
 
-@_add("str_repair_turtle", None)
+@_add("str_repair_turtle", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ':a rdfs:label "x" .' WHEN 1 THEN ':a a :B .' ELSE ':a a :B .' || chr(10) || ':a :says :c .' END AS fixed,
+ CASE turn % 3 WHEN 0 THEN 'normalized_standard_prefix_qnames' WHEN 1 THEN 'dropped_incomplete_trailing_statement' ELSE '' END AS repairs FROM conversations""")
 def repair_turtle(spark, sf_dir):
-    """Repaired text and the repairs made, for every reply's block."""
-    b = _replies(spark, sf_dir).withColumn("block", F.get(X.fences(c("r")), 0)["body"])
+    """Repaired text and the repairs made, of texts of three kinds."""
+    k = c("turn") % 3
+    b = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k == 0, ':a :rdfs:label "x" .').when(k == 1, ":a a :B .\n:c :d").otherwise(":a a :B .\n:a :says :c .").alias("block"))
     return Y.repaired(b, "block").select("conv_id", "turn", "fixed", F.array_join("repairs", ",").alias("repairs"))
 
 
-@_add("str_recover", None)
+@_add("str_recover", "SELECT conv_id || ':' || turn AS graph_id, CASE WHEN turn % 4 < 3 THEN '@prefix : <http://e/> .' || chr(10) || ':a a :B .' || chr(10) || ':a :says :c .' END AS text, CASE WHEN turn % 4 < 3 THEN 2 ELSE 0 END::BIGINT AS n_triples FROM conversations")
 def recover(spark, sf_dir):
-    """The first candidate of every reply that parses."""
-    r = _replies(spark, sf_dir).withColumn("k", F.concat_ws(":", "conv_id", "turn"))
-    return Y.recovered(r, "k", "r")
+    """The first candidate of every reply that parses: from a closed block, or an open one cut to whole statements."""
+    return Y.recovered(_stored(spark, sf_dir), "graph_id", "reply").select("graph_id", F.trim(F.regexp_replace("text", "\\n$", "")).alias("text"), "n_triples")
 
 
 @_add("str_process_dir", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'healthy' WHEN turn % 3 = 1 THEN 'unrecoverable' WHEN turn % 2 = 0 THEN 'skipped' ELSE 'recovered' END AS decision FROM conversations")
@@ -93,12 +94,17 @@ def process_dir(spark, sf_dir):
 _GOOD = "@prefix : <http://e/> .\n:a a :B .\n:a :says :c ."
 
 
+def _stored(spark, sf_dir):
+    """Stored artefacts with their replies: healthy, half written, larger than what the reply holds, and without anything in the reply."""
+    k = c("turn") % 4
+    x = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("graph_id"), "role", k.alias("k"))
+    return x.select("graph_id", "role", F.when(c("k") == 0, _GOOD).when(c("k") == 2, F.repeat(F.lit("not an artefact "), 20)).otherwise("half").alias("text"), F.when(c("k") == 3, "no artefact").otherwise(F.concat(F.lit("See:\n```turtle\n" + _GOOD), F.when(c("k") == 1, "\n```").otherwise("\n:d :e"))).alias("reply"))
+
+
 @_add("agg_recovery", "SELECT role, CASE turn % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'recovered' WHEN 2 THEN 'skipped' ELSE 'unrecoverable' END AS decision, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((2), (role, 2))")
 def recovery(spark, sf_dir):
     """What becomes of stored artefacts, by parsing them and what their replies still hold; in all and by role."""
-    k = c("turn") % 4
-    x = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("graph_id"), "role", k.alias("k"))
-    x = x.select("graph_id", "role", F.when(c("k") == 0, _GOOD).when(c("k") == 2, F.repeat(F.lit("not an artefact "), 20)).otherwise("half").alias("text"), F.when(c("k") == 3, "no artefact").otherwise(F.concat(F.lit("See:\n```turtle\n" + _GOOD), F.when(c("k") == 1, "\n```").otherwise("\n:d :e"))).alias("reply"))
+    x = _stored(spark, sf_dir)
     found, stored = Y.recovered(x, "graph_id", "reply").select("graph_id", c("text").alias("found")), rdf.parse_status(x.select("graph_id", "text")).select("graph_id", "status")
     d = x.join(found, "graph_id").join(stored, "graph_id").withColumn("decision", Y.process(c("found"), c("text"), c("status") == "parsed"))
     return d.groupingSets([["decision"], ["role", "decision"]], "role", "decision").agg(F.count("*").alias("n"))
@@ -190,12 +196,22 @@ def audit_totals(spark, sf_dir):
     return v.rollup("scenario").agg(F.count("*").alias("n"), *[F.count_if(c("verdict") == k).alias(k) for k in ("misfiled", "suspicious", "clean")])
 
 
-@_add("agg_similarity", "SELECT o_orderkey, CASE WHEN a = 0 THEN 0.0E0 ELSE round(least(a, b)::DOUBLE / a, 9) END AS precision, round(least(a, b)::DOUBLE / b, 9) AS recall FROM (SELECT l_orderkey AS o_orderkey, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS a, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS b FROM lineitem GROUP BY 1) WHERE b > 0")
+def _named(spark, sf_dir, odd):
+    """Triples that declare the first words of parts' names as classes and the last ones as properties, a graph for each size."""
+    p = read(spark, sf_dir, "part").filter((c("p_partkey") % 2 == odd)).select(c("p_size").cast("string").alias("graph_id"), F.split("p_name", " ").alias("w"))
+    x = p.select("graph_id", F.explode(F.array(F.struct(F.get("w", 0).alias("n"), F.lit(rdf.OWL + "Class").alias("o")), F.struct(F.element_at("w", -1).alias("n"), F.lit(rdf.OWL + "ObjectProperty").alias("o")))).alias("r"))
+    return x.select("graph_id", F.concat(F.lit("http://e/"), "r.n").alias("s"), F.lit("iri").alias("s_kind"), F.lit(rdf.RDF + "type").alias("p"), "r.o", F.lit("iri").alias("o_kind")).distinct()
+
+
+_NAMES = """WITH n AS (SELECT DISTINCT p_size::VARCHAR AS graph_id, p_partkey % 2 AS odd, kind, lower(CASE kind WHEN 'class' THEN string_split(p_name, ' ')[1] ELSE string_split(p_name, ' ')[-1] END) AS w FROM part, (VALUES ('class'), ('property')) k(kind)),
+ x AS (SELECT graph_id, kind, w, bool_or(odd = 0) AS l, bool_or(odd = 1) AS r FROM n GROUP BY ALL), y AS (SELECT graph_id, kind, count(*) FILTER (WHERE l) AS n_generated, count(*) FILTER (WHERE r) AS n_reference, count(*) FILTER (WHERE l AND r) AS m, count(*) AS u FROM x WHERE graph_id IN (SELECT graph_id FROM n WHERE odd = 0) GROUP BY ALL)"""
+
+
+@_add("agg_similarity", _NAMES + """ SELECT graph_id, kind, n_generated, n_reference, round(coalesce(m::DOUBLE / nullif(n_generated, 0), 0), 9) AS precision, round(coalesce(m::DOUBLE / nullif(n_reference, 0), 0), 9) AS recall, round(CASE WHEN n_reference = 0 THEN 0 ELSE m::DOUBLE / u END, 9) AS jaccard, round(CASE WHEN m = 0 THEN 0 ELSE 2.0E0 * m / (n_generated + n_reference) END, 9) AS f1 FROM y""")
 def similarity(spark, sf_dir):
-    g = read(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count_if(c("l_linenumber") % 2 == 0).alias("a"), F.count_if(c("l_linenumber") % 2 == 1).alias("b")).filter("b > 0")
-    m = g.select("o_orderkey", F.explode(F.when(F.least("a", "b") > 0, F.sequence(F.lit(1), F.greatest(F.least("a", "b"), F.lit(1)).cast("int")))).alias("i"))
-    s = A.similarity(m, g.select("o_orderkey", c("a").alias("n")), g.select("o_orderkey", c("b").alias("n")), "o_orderkey")
-    return s.select("o_orderkey", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+    """Classes and properties of each size's even parts against those of its odd parts."""
+    s = A.name_similarity(_named(spark, sf_dir, 0), _named(spark, sf_dir, 1))
+    return s.select("graph_id", "kind", "n_generated", "n_reference", *[F.round(k, 9).alias(k) for k in ("precision", "recall", "jaccard", "f1")])
 
 
 @_add("agg_control", "SELECT * FROM (VALUES ('empty file', 0::BIGINT, 'empty'), ('directives only', 0::BIGINT, 'empty')) v(control, n_triples, status)")

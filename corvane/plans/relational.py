@@ -181,13 +181,19 @@ def audit_empty(spark, sf_dir):
 
 
 @_add("agg_audit_contamination", """
-WITH w AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark))
-SELECT source, count(*) FILTER (WHERE b.line IS NOT NULL) AS n_real, count(*) FILTER (WHERE b.line IS NULL) AS n_other, CASE WHEN count(b.line) = 0 THEN 'clean' WHEN count(b.line) < 5 THEN 'suspicious' ELSE 'contaminated' END AS verdict FROM w LEFT JOIN b USING (line) GROUP BY source""")
+WITH w AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)),
+ o AS (SELECT source, line, count(*) AS n FROM w ANTI JOIN b USING (line) GROUP BY ALL), k AS (SELECT source, string_agg(sha256(line), ',' ORDER BY n DESC, sha256(line)) AS top FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, sha256(line)) AS i FROM o) WHERE i <= 3 GROUP BY source)
+SELECT source, count(*) FILTER (WHERE b.line IS NOT NULL) AS n_real, count(*) FILTER (WHERE b.line IS NULL) AS n_other, CASE WHEN count(b.line) = 0 THEN 'clean' WHEN count(b.line) < 5 THEN 'suspicious' ELSE 'contaminated' END AS verdict, any_value(k.top) AS top FROM w LEFT JOIN b USING (line) LEFT JOIN k USING (source) GROUP BY source""")
 def audit_contamination(spark, sf_dir):
-    w = read(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
-    b = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).distinct().withColumn("real", F.lit(True))
-    g = w.join(b, "line", "left").groupBy("source").agg(F.count("real").alias("n_real"), F.count_if(c("real").isNull()).alias("n_other"))
-    return g.withColumn("verdict", F.when(c("n_real") == 0, "clean").when(c("n_real") < 5, "suspicious").otherwise("contaminated"))
+    """Lines of the benchmark and others in each source, and the three commonest others; lines are counted by their hashes before they meet a source."""
+    w = read(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.sha2("line", 256).alias("h")).groupBy("source", "h").agg(F.count("*").alias("n"))
+    b = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).select(F.sha2("line", 256).alias("h")).distinct().withColumn("real", F.lit(True))
+    each = w.join(b, "h", "left")
+    g = each.groupBy("source").agg(F.sum(F.when(c("real"), c("n")).otherwise(0)).alias("n_real"), F.sum(F.when(c("real").isNull(), c("n")).otherwise(0)).alias("n_other"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "h"))
+    top = each.filter("real is null").withColumn("i", place).filter("i <= 3").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ",").alias("top"))
+    verdict = F.when(c("n_real") == 0, "clean").when(c("n_real") < 5, "suspicious").otherwise("contaminated")
+    return g.join(top, "source", "left").withColumn("verdict", verdict)
 
 
 @_add("agg_dr_census", R + "SELECT model, CAST(sum(properties) AS BIGINT) AS stored, CAST(sum(greatest(properties, CASE WHEN parsed THEN classes ELSE 0 END)) AS BIGINT) AS recovered FROM r GROUP BY model")
@@ -222,12 +228,14 @@ def theme_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", F.explode(tags(F.lower("text"), {"scope": ["the"], "naming": ["und"]})).alias("theme")).groupBy("source", "theme").agg(F.count("*").alias("n"))
 
 
-@_add("agg_audit_run", R + "SELECT 'empty' AS check_name, count(*) FILTER (WHERE triples = 0) AS n_bad, CASE WHEN count(*) FILTER (WHERE triples = 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM r UNION ALL SELECT 'negative', count(*) FILTER (WHERE triples < 0), CASE WHEN count(*) FILTER (WHERE triples < 0) > 0 THEN 'FAIL' ELSE 'PASS' END FROM r")
+@_add("agg_audit_run", R + "SELECT *, 1 AS exit_code FROM (SELECT 'empty' AS check_name, count(*) AS n_bad, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM r WHERE triples = 0 UNION ALL SELECT 'degenerate', count(*), CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM r WHERE triples < 10 AND consistent AND pass_rate >= 0.9"
+     " UNION ALL SELECT 'negative', count(*), CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM r WHERE triples < 0 UNION ALL SELECT 'duplicate keys', count(*), CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'judge indexes', NULL, 'SKIP')")
 def audit_run(spark, sf_dir):
-    bad = {"empty": c("triples") == 0, "negative": c("triples") < 0}
-    one = records(spark, sf_dir).agg(*[F.count_if(x).alias(k) for k, x in bad.items()])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), c(k).alias("n_bad")) for k in bad])).alias("x")).select("x.*")
-    return rows.withColumn("verdict", F.when(c("n_bad") > 0, "FAIL").otherwise("PASS"))
+    """Five checks of records and what they come to; the judges' indexes are not there, so that check is skipped."""
+    from ..operators.audits import run_checks
+
+    r = records(spark, sf_dir)
+    return run_checks({"empty": r.filter("triples = 0"), "degenerate": r.filter("triples < 10 and consistent and pass_rate >= 0.9"), "negative": r.filter("triples < 0"), "duplicate keys": J.duplicates(r.select("id"), ["id"]), "judge indexes": None})
 
 
 @_add("sink_flatten", "SELECT lang, to_json(list_sort(list(DISTINCT source)))::VARCHAR AS sources FROM documents GROUP BY lang")

@@ -211,7 +211,7 @@ def turtle_tests(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", X.looks_like_turtle(r).alias("signature"), X.has_statement(r).alias("statement"), X.has_open_fence(r).alias("open_fence"))
 
 
-@_add("win_first_or_longest_block", None)
+@_add("win_first_or_longest_block", f"SELECT conv_id, turn, regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1) AS block FROM conversations")
 def chosen_block(spark, sf_dir):
     """The fenced block that is taken for the artefact in every reply."""
     return _replies(spark, sf_dir).select("conv_id", "turn", X.chosen_block(F.col("r")).alias("block"))

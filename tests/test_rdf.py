@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import graph as G
+from corvane.operators.structure import Analysis
 from corvane.sources import rdf
 
 TTL = """
@@ -83,7 +84,7 @@ def test_replication_and_order_do_not_matter(spark):
     head = f"@prefix : <http://e/> . @prefix rdfs: <{rdf.RDFS}> . "
     docs = spark.createDataFrame([("a", head + " ".join(lines)), ("b", head + " ".join(shuffled + lines))], "graph_id string, text string")
     t = rdf.triples(docs)
-    one = G.connectivity(G.incidences(t)).select("n", "evidence", "doubt", "score").collect()
+    one = Analysis(t).scores().drop("graph_id").collect()
     assert one[0] == one[1] and 0 < one[0].score <= 1
     lifted = G.lift(t).groupBy("graph_id").count().collect()
     assert lifted[0]["count"] == lifted[1]["count"]
