@@ -28,14 +28,25 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def keys_of(url: Column) -> Column:
-    """Patterns a URL may meet: host, parent domains of two labels or more, and host/first segment."""
+def keys_of(url: Column, longest: int) -> Column:
+    """Patterns of at most ``longest`` characters that a URL may meet: host, parent domains of two labels or more, and host/first segment.
+
+    Only the end of a host that is that long is cut into labels, so a host of very many labels costs no more than the longest pattern.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(labels, i, n), "."))
     segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1)
-    return F.array_distinct(F.concat(parents, F.when(F.length(segment) > 0, F.array(F.concat(host, segment))).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    short = F.length(host) <= longest
+    labels = F.split(F.right(host, F.lit(longest + 1)), r"\.")
+    labels = F.when(short, labels).otherwise(F.slice(labels, 2, F.size(labels)))  # the first label of a long host is cut or too long
+
+    def parents(own: Column) -> Column:
+        n = F.size(own)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(own, i, n), "."))).otherwise(none)
+
+    made = F.flatten(F.transform(F.array(F.struct(labels.alias("own"), short.alias("short"))), lambda x: F.when(x["short"] | (F.size(x["own"]) >= 2), parents(x["own"])).otherwise(none)))
+    path = F.when((F.length(segment) > 0) & (F.length(host) + F.length(segment) <= longest), F.array(F.concat(host, segment))).otherwise(none)
+    return F.when(host.isNotNull(), F.array_distinct(F.concat(made, path))).otherwise(none)
 
 
 def validity(events: DataFrame) -> DataFrame:
@@ -51,8 +62,9 @@ def url_filter(captures: DataFrame, events: DataFrame, url: str = "url", day: st
     spans = _io.materialize(validity(events))
     if spans.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         spans = F.broadcast(spans)
+    longest = spans.agg(F.max(F.length("pattern"))).first()[0] or 0
     one = captures.select(F.col(url).alias("u"), F.col(day).alias("d")).filter("u is not null and d is not null").distinct()
-    met = one.select("u", "d", F.explode(keys_of(F.col("u"))).alias("pattern")).join(spans, "pattern").filter("entered <= d and (left is null or d < left)")
+    met = one.select("u", "d", F.explode(keys_of(F.col("u"), longest)).alias("pattern")).join(spans, "pattern").filter("entered <= d and (left is null or d < left)")
     verdict = met.groupBy("u", "d").agg(F.count("*").alias(_io.OWN + "n_active"), F.array_sort(F.collect_set("category")).alias(_io.OWN + "categories"))
     verdict = verdict.withColumnsRenamed({"u": _io.OWN + "u", "d": _io.OWN + "d"})
     out = captures.join(verdict, (F.col(url) == F.col(_io.OWN + "u")) & (F.col(day) == F.col(_io.OWN + "d")), "left")
