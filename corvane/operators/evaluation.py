@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..session import materialize, ship
 from ..sources import rdf
+from ..sources.files import pitfall_totals
 from . import graph as G
+from .sev import rolled_up, verify
 
 
-def evaluate(artefacts: DataFrame, mode: str = "ladder") -> DataFrame:
-    """One record an artefact (graph_id, text): status, counts, verdict of the entailment subset, gate and structural score.
+def evaluate(artefacts: DataFrame, mode: str = "ladder", pitfalls: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """One record an artefact (graph_id, text): status, counts, verdict of the entailment subset, gate, pitfalls, verification and structural score.
 
-    An artefact that cannot be read or says nothing keeps its row and scores 0; no section's failure touches another.
+    ``pitfalls`` (report, code, importance) are those found in each artefact, ``signatures`` the questions put to it (see
+    ``sev``); what is not given is missing and in no score. An artefact that cannot be read or says nothing keeps its row
+    and scores 0; no section's failure touches another.
     """
     status = rdf.parse_status(artefacts, mode)
     t = materialize(rdf.triples(artefacts, mode))
@@ -30,8 +34,18 @@ def evaluate(artefacts: DataFrame, mode: str = "ladder") -> DataFrame:
     zero = lambda k: F.coalesce(F.col(k), F.lit(0))
     x = x.withColumn("consistent", F.when(parsed, F.col("clash").isNull())).withColumn("vacuous", F.coalesce("vacuous", F.lit(True)))
     x = x.withColumn("gate", S.content_gate(parsed, zero("triples_count"), zero("class_terms"), zero("property_terms")))
-    score = S.structural_score(S.consistency_credit(F.col("consistent"), F.col("vacuous")), F.lit(None).cast("double"), F.col("gate.cap"))
-    return x.select("graph_id", "status", zero("triples_count").alias("triples"), "consistent", "vacuous", F.col("gate.gate").alias("gate"), score.alias("score"))
+    oops, out = F.lit(None).cast("double"), []
+    if pitfalls is not None:
+        found = pitfall_totals(pitfalls).withColumnRenamed("report", "graph_id").select("graph_id", *[F.col(k).alias("pitfalls_" + k) for k in ("total", "important", "critical", "minor")])
+        x = x.join(found, "graph_id", "left")
+        oops = 1.0 / (1 + F.col("pitfalls_total"))
+        out += ["pitfalls_total", "pitfalls_important", "pitfalls_critical", "pitfalls_minor"]
+    if signatures is not None:
+        asked = rolled_up(verify(t, signatures), "graph_id").select("graph_id", "cqs_total", "cqs_passed", "pass_rate", "sev_score")
+        x = x.join(asked, "graph_id", "left")
+        out += ["cqs_total", "cqs_passed", "pass_rate", "sev_score"]
+    score = S.structural_score(S.consistency_credit(F.col("consistent"), F.col("vacuous")), oops, F.col("gate.cap"))
+    return x.select("graph_id", "status", zero("triples_count").alias("triples"), "consistent", "vacuous", F.col("gate.gate").alias("gate"), score.alias("score"), *out)
 
 
 def call_model(prompts: DataFrame, key: str, prompt: str, call: Callable[[str], tuple[str, str | None]]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 from corvane.operators import audits as A
 from corvane.operators import evaluation as E
+from corvane.operators.sev import RELATIONS, SLOTS
 
 HEAD = "@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . "
 FULL = HEAD + " ".join(f":C{i} a owl:Class ; rdfs:subClassOf :C{i + 1} ." for i in range(5)) + " :p a owl:ObjectProperty ; rdfs:domain :C1 ; rdfs:range :C2 ."
@@ -18,6 +19,17 @@ def test_every_artefact_keeps_its_row(spark):
     assert got["clash"].consistent is False and got["prose"].consistent is None and got["silent"].vacuous
 
 
+def test_sections_that_are_given_enter_the_record(spark):
+    texts = spark.createDataFrame([("full", FULL), ("prose", "I am sorry, but I cannot do that today.")], "graph_id string, text string")
+    pitfalls = spark.createDataFrame([("full", "P01", "Important"), ("full", "P02", "Minor"), ("full", "P03", "Critical")], "report string, code string, importance string")
+    slots = [("A", "class", ["C 1"], []), ("B", "class", ["C 2"], [])]
+    signatures = spark.createDataFrame([(g, "q", "?", "structural", "authored", slots, [("A", "B", ["p"])]) for g in ("full", "prose")], f"graph_id string, cq_id string, cq string, cq_type string, source string, slots {SLOTS}, relations {RELATIONS}")
+    got = {r.graph_id: r for r in E.evaluate(texts, pitfalls=pitfalls, signatures=signatures).collect()}
+    assert (got["full"].pitfalls_total, got["full"].pitfalls_important, got["full"].pitfalls_critical, got["full"].pitfalls_minor) == (2, 1, 1, 1)
+    assert (got["full"].cqs_total, got["full"].cqs_passed, got["full"].sev_score) == (1, 1, 1.0) and abs(got["full"].score - 2 / 3) < 1e-9
+    assert (got["prose"].cqs_passed, got["prose"].sev_score, got["prose"].score, got["prose"].pitfalls_total) == (0, 0.0, 0.0, None)
+
+
 def test_pairs_are_judged_in_both_orders(spark):
     def judge(prompt):
         if "boom" in prompt:
