@@ -80,21 +80,17 @@ class LabelModel:
         """P(the vote is right | the rule votes) of each rule."""
         return self.prior * (1 - np.nan_to_num(self.rates(True))) + (1 - self.prior) * np.nan_to_num(self.rates(False))
 
-    def with_posterior(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` with P(good | votes) as column ``name``, from ``__cv_v_<rule>``. Each class's log likelihood is a column of its own, so that no expression holds it twice."""
-        logs = {}
-        for k, (share, rejects) in enumerate(zip(self.share, self.rejects, strict=True)):
-            log = F.lit(float(np.log(share)))
-            for rule, p in zip(self.names, rejects, strict=True):
-                vote = F.col(f"{_io.OWN}v_{rule}")
-                log = log + F.when(vote == -1, float(np.log(p))).when(vote == 1, float(np.log1p(-p))).otherwise(0.0)
-            logs[f"{_io.OWN}l_{k}"] = log
-        top, cols = _io.OWN + "l_top", [F.col(c) for c in logs]
-        df = df.withColumns(logs).withColumn(top, F.greatest(*cols) if len(cols) > 1 else cols[0])
-        parts = [F.exp(c - F.col(top)) for c in cols]
-        good, bad = (sum((p for p, g in zip(parts, self.good, strict=True) if g == own), F.lit(0.0)) for own in (True, False))
-        df = df.withColumns({_io.OWN + "l_good": good, _io.OWN + "l_bad": bad})
-        return df.withColumn(name, F.col(_io.OWN + "l_good") / (F.col(_io.OWN + "l_good") + F.col(_io.OWN + "l_bad"))).drop(*logs, top, _io.OWN + "l_good", _io.OWN + "l_bad")
+    def posteriors(self, patterns: np.ndarray) -> np.ndarray:
+        """P(good | votes) of patterns (p, rules) of -1, 0, 1."""
+        bad, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
+        log = np.log(self.share) + bad @ np.log(self.rejects).T + (cast - bad) @ np.log1p(-self.rejects).T
+        each = np.exp(log - log.max(1, keepdims=True))
+        return each[:, self.good].sum(1) / each.sum(1)
+
+
+def _number(votes: list) -> Column | np.ndarray:
+    """The number of a pattern of votes: -1, 0, 1 are its digits 0, 1, 2."""
+    return sum((v + 1) * 3**r for r, v in enumerate(votes))
 
 
 def _maximise(bad: np.ndarray, cast: np.ndarray, counts: np.ndarray, q: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -150,18 +146,25 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
 def quality_rules(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns if None) with ``__cv_base_failed``, ``__cv_posterior`` and ``__cv_kept``, statistics and votes.
 
-    The statistics are made once and written to the shared folder; the estimate and the verdicts read that table.
+    The estimate needs the statistics of the whole corpus before any verdict. They are written to the shared folder, where the
+    verdicts read them; if the text is kept, they are made a second time instead, so that texts are not copied.
     """
-    table = _io.materialize(with_stats(docs, text, keep))
+    whole = text in (docs.columns if keep is None else keep)
+    table = with_stats(docs, text, keep) if whole else _io.materialize(with_stats(docs, text, keep))
     votes = {_io.OWN + "v_" + k: v.cast("int") for k, v in rules().items()}
     voted = table.withColumns(votes)
-    seen = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
-    patterns = np.array([r[:-1] for r in seen], dtype=float).reshape(len(seen), len(votes))
+    counted = with_stats(docs, text, []).select(*[v.alias(k) for k, v in votes.items()]) if whole else voted
+    seen = counted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    patterns = np.array([r[:-1] for r in seen], dtype=int).reshape(len(seen), len(votes))
     model = fit(patterns, np.array([r[-1] for r in seen], dtype=float), list(rules()))
-    n = _s("n_words")
+    n, key, name = _s("n_words"), _io.OWN + "pattern", _io.OWN + "posterior"
+    rows = list(zip(_number(list(patterns.T)).tolist(), model.posteriors(patterns).tolist(), strict=True)) if len(seen) else []
+    known = docs.sparkSession.createDataFrame(rows, f"{key} int, {name} double")  # at most 3**9 rows
     return (
-        model.with_posterior(voted.withColumn(_io.OWN + "base_failed", (n < 50) | (100 * _s("n_repeat_words") > 50 * n)), _io.OWN + "posterior")
-        .withColumn(_io.OWN + "kept", ~F.col(_io.OWN + "base_failed") & (F.col(_io.OWN + "posterior") >= threshold))
+        voted.withColumn(_io.OWN + "base_failed", (n < 50) | (100 * _s("n_repeat_words") > 50 * n))
+        .join(F.broadcast(known), _number([F.col(c) for c in votes]) == F.col(key), "left")
+        .drop(key)
+        .withColumn(_io.OWN + "kept", ~F.col(_io.OWN + "base_failed") & (F.col(name) >= threshold))
     )
 
 
