@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import _io
 from ._stats import with_stats
 
-#: Classes of the latent-class model at most, and what a further class must gain in log likelihood beyond its penalty.
-MOST_CLASSES, LEAST_GAIN = 8, 10.0
+#: Classes of the latent-class model at most.
+MOST_CLASSES = 8
 
 
 def _s(name: str) -> Column:
@@ -123,7 +123,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
     bad, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
     part = np.clip(2 * bad.sum(1) / np.maximum(cast.sum(1), 1), 0.02, 0.98)
     best = _maximise(bad, cast, counts, np.stack([1 - part, part], 1), rounds)
-    cost = 0.5 * (1 + len(names)) * np.log(counts.sum() + 1) + LEAST_GAIN
+    cost = 0.5 * (1 + len(names)) * np.log(counts.sum() + 1)  # the criterion's penalty for a class
     origin = [False, True]
     while len(best[0]) < MOST_CLASSES:
         tries = []
