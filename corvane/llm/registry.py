@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, url_filter
+from . import centroid_clusters, exact_dedup, license_scan, line_dedup, url_filter, vector_codes
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import op9_decontaminate
 from .jaccard_join import op2_jaccard_join
@@ -22,10 +22,16 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_centroid_clusters": centroid_clusters.ORACLE,
 }
