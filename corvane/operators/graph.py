@@ -6,18 +6,15 @@ keyed by graph_id. Fixpoints write each round to the folder named in ``spark.che
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flat, identifier_tokens, local_name
-from ..session import materialize, ship
+from ..session import discard, materialize
 from ..sources.rdf import OWL, RDF, RDFS, XSD
+from .fixpoints import components, strong_components, transitive_closure
 
 TYPE, SUB, SUBP, DOMAIN, RANGE = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range"
 EQUIVALENT, DISJOINT, INVERSE = OWL + "equivalentClass", OWL + "disjointWith", OWL + "inverseOf"
@@ -30,8 +27,18 @@ SKOS, DCTERMS, DC = "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/
 ANNOTATIONS = [RDFS + x for x in ("label", "comment", "seeAlso", "isDefinedBy")] + [OWL + x for x in ("versionInfo", "priorVersion", "backwardCompatibleWith", "incompatibleWith", "deprecated")]
 ANNOTATIONS += [SKOS + x for x in ("definition", "note", "prefLabel", "altLabel", "scopeNote", "editorialNote", "example", "changeNote", "historyNote", "hiddenLabel")]
 ANNOTATIONS += [DCTERMS + x for x in ("title", "description", "abstract", "license", "rights")] + [DC + x for x in ("title", "description", "rights")]
-# Types that only declare.
-DECLARATIONS = [*CLASS_TYPES, *PROPERTY_TYPES, *[OWL + x for x in ("AnnotationProperty", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty", "NamedIndividual", "Thing", "Ontology", "Restriction", "AllDisjointClasses", "AllDifferent", "Axiom")], SKOS + "Concept"]
+ANNOTATIONS += ["http://purl.org/vocab/vann/preferredNamespacePrefix", "http://purl.org/vocab/vann/preferredNamespaceUri", "http://schema.org/name", "http://schema.org/description"]
+# Types that only declare; those of classes and of properties are wider than for the content gate.
+DECLARED_CLASS = [*CLASS_TYPES, SKOS + "Concept", RDFS + "Klass"]
+DECLARED_PROPERTY = [*PROPERTY_TYPES, *[OWL + x for x in ("AnnotationProperty", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty")]]
+DECLARATIONS = [*DECLARED_CLASS, *DECLARED_PROPERTY, *[OWL + x for x in ("NamedIndividual", "Thing", "Ontology", "Restriction", "AllDisjointClasses", "AllDifferent", "Axiom")]]
+# Predicates of class expressions, and all that belong to the language's own structure.
+FILLERS = [OWL + x for x in ("someValuesFrom", "allValuesFrom", "onClass", "onDataRange", "hasValue")]
+CARDINALITIES = [OWL + x for x in ("cardinality", "minCardinality", "maxCardinality", "qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality")]
+HOLDERS = [SUB, EQUIVALENT, DISJOINT]
+STRUCTURAL = [TYPE, SUB, SUBP, DOMAIN, RANGE, RDF + "first", RDF + "rest", *FILLERS, *CARDINALITIES, EQUIVALENT, DISJOINT, INVERSE]
+STRUCTURAL += [OWL + x for x in ("equivalentProperty", "sameAs", "propertyDisjointWith", "differentFrom", "unionOf", "intersectionOf", "complementOf", "oneOf", "disjointUnionOf", "onProperty", "propertyChainAxiom", "hasKey", "members", "distinctMembers")]
+STRUCTURAL += [OWL + x for x in ("imports", "withRestrictions", "onDatatype", "annotatedSource", "annotatedProperty", "annotatedTarget")]
 # Rungs of plain path evidence, best first, with their credit; ``sev`` has the whole ladder.
 LADDER = [("direct", 1.0), ("indirect2", 0.85), ("half", 0.75), ("path3", 0.60), ("floating", 0.15)]
 # Doubt by number of incidences, in 270ths.
@@ -227,94 +234,14 @@ def path_evidence(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.withColumn("credit", F.coalesce(F.element_at(credit, c("tier")), F.lit(0.0)))
 
 
-def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(graph_id, a, b) of everything a reaches, by squaring: rounds grow with the logarithm of the longest path."""
-    now = materialize(edges.select("graph_id", "a", "b").distinct())
-    n = now.count()
-    for _ in range(most_rounds):
-        more = now.alias("l").join(now.alias("r"), (c("l.graph_id") == c("r.graph_id")) & (c("l.b") == c("r.a"))).select("l.graph_id", "l.a", "r.b")
-        now = materialize(now.union(more).distinct())
-        before, n = n, now.count()
-        if n == before:
-            return now
-    raise RuntimeError("the closure did not settle")
-
-
-def small_closure(edges: DataFrame) -> DataFrame:
-    """``transitive_closure`` of graphs whose number of nodes is bounded (3,000 or so): a matrix of bits a graph.
-
-    Squaring joins would form all paths between all pairs, which for a long chain is the cube of its length; here a graph is
-    one task's, of n * n / 8 bytes, and its pairs leave in batches.
-    """
-    ship(edges.sparkSession)
-
-    def pairs(g: str, a: list[str], b: list[str]) -> Iterator[pa.RecordBatch]:
-        names, at = np.unique(np.array(a + b, dtype=object), return_inverse=True)
-        n, half = len(names), len(a)
-        reach = np.zeros((n, (n + 63) // 64), np.uint64)
-        np.bitwise_or.at(reach, (at[:half], at[half:] // 64), np.uint64(1) << (at[half:] % 64).astype(np.uint64))
-        for k in range(n):  # what reaches k reaches all that k does
-            rows = np.flatnonzero(reach[:, k // 64] >> np.uint64(k % 64) & np.uint64(1))
-            if len(rows):
-                reach[rows] |= reach[k]
-        words = pa.array(names.tolist(), pa.string())
-        step = max(1, 200_000 // max(1, n))
-        for i in range(0, n, step):
-            bits = np.unpackbits(reach[i : i + step].view(np.uint8), axis=1, bitorder="little")[:, :n]
-            x, y = np.nonzero(bits)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(x), pa.string()), words.take(pa.array(x + i)), words.take(pa.array(y))], names=["graph_id", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, a, b = None, [], []
-        for batch in batches:
-            for g, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if g != now:
-                    if a:
-                        yield from pairs(now, a, b)
-                    now, a, b = g, [], []
-                a.append(x)
-                b.append(y)
-        if a:
-            yield from pairs(now, a, b)
-
-    rows = edges.select("graph_id", "a", "b").distinct().repartition("graph_id").sortWithinPartitions("graph_id")
-    return rows.mapInArrow(run, "graph_id string, a string, b string")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(graph_id, node, root): every node with the smallest node it is connected to, whatever the direction.
-
-    Each round takes the smallest root among a node and its neighbours, then jumps to that root's own root.
-    """
-    both = materialize(_union(edges.select("graph_id", "a", "b"), edges.select("graph_id", c("b").alias("a"), c("a").alias("b"))).distinct())
-    now = materialize(both.groupBy("graph_id", c("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(most_rounds):
-        near = both.join(now, (both.graph_id == now.graph_id) & (both.b == now.node)).select(both.graph_id, both.a.alias("node"), "root")
-        least = now.unionByName(near).groupBy("graph_id", "node").agg(F.min("root").alias("root"))
-        jump = now.select("graph_id", c("node").alias("root"), c("root").alias("further"))
-        after = materialize(least.join(jump, ["graph_id", "root"], "left").select("graph_id", "node", F.least(c("root"), F.coalesce("further", "root")).alias("root")))
-        changed = after.join(now, ["graph_id", "node", "root"], "left_anti").limit(1).count()
-        now = after
-        if not changed:
-            return now
-    raise RuntimeError("components did not settle")
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, root): nodes that reach each other, named by the smallest; from the closure, for schema-sized graphs."""
-    reach = transitive_closure(edges)
-    mutual = reach.alias("l").join(reach.alias("r"), (c("l.graph_id") == c("r.graph_id")) & (c("l.a") == c("r.b")) & (c("l.b") == c("r.a"))).select("l.graph_id", c("l.a").alias("node"), c("l.b").alias("other"))
-    nodes = _union(edges.select("graph_id", c("a").alias("node")), edges.select("graph_id", c("b").alias("node"))).distinct()
-    return nodes.select("graph_id", "node", c("node").alias("other")).union(mutual).groupBy("graph_id", "node").agg(F.min("other").alias("root"))
-
-
-def judged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judged(edges: DataFrame, loops: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct edges (graph_id, p, a, b, root) with the component of their predicate, and (graph_id, p, root) of the components that say nothing.
 
-    Those are complete, or complete between two sides, with at least three edges.
+    Those are complete, or complete between two sides, with at least three edges. Edges of a node to itself are left out unless
+    ``loops`` says that they count.
     """
-    named = edges.select(F.concat_ws("\u0001", "graph_id", "p").alias("graph_id"), "a", "b").filter("a <> b").distinct()
+    named = edges.select(F.concat_ws("\u0001", "graph_id", "p").alias("graph_id"), "a", "b").distinct()
+    named = named if loops else named.filter("a <> b")
     e = materialize(named.join(components(named).withColumnRenamed("node", "a"), ["graph_id", "a"]))
     ends = e.select("graph_id", "root", F.explode(F.array(F.struct(F.lit("s").alias("k"), c("a").alias("x")), F.struct(F.lit("t").alias("k"), c("b").alias("x")))).alias("r"))
     per = ends.groupBy("graph_id", "root", "r.x").agg(F.max(c("r.k") == "s").alias("s"), F.max(c("r.k") == "t").alias("t"))
@@ -332,16 +259,22 @@ def uninformative(edges: DataFrame) -> DataFrame:
 
 
 def roles(t: DataFrame) -> DataFrame:
-    """(graph_id, term, role): property, class or individual by precedence of how a term is used; a term used as both property and class is ambiguous."""
-    s, o = (lambda cond, role: t.filter(cond & (c("s_kind") == "iri")).select("graph_id", c("s").alias("term"), F.lit(role).alias("role"))), (lambda cond, role: t.filter(cond & (c("o_kind") == "iri")).select("graph_id", c("o").alias("term"), F.lit(role).alias("role")))
-    typed = c("p") == TYPE
-    meta = reduce(lambda a, b: a | b, [c("o").startswith(n) for n in (RDF, RDFS, OWL, XSD)])
+    """(graph_id, term, role): property, class, individual or ambiguous, by where a term stands and never by its name.
+
+    Strong signs of a class (a declaration, a typed member, an end of a property, a filler) against any sign of a property make
+    a term ambiguous; against weak ones (a place under or beside another class, a concept) the property wins. Other subjects are individuals.
+    """
+    own = triple_class(t).filter("kind = 'connective'")
+    at = lambda df, cond, side, sign: df.filter(cond & (c(f"{side}_kind") == "iri")).select("graph_id", c(side).alias("term"), F.lit(sign).alias("sign"))
+    typed, sides = c("p") == TYPE, c("p").isin(SUBP, OWL + "equivalentProperty", INVERSE, OWL + "propertyDisjointWith")
+    used = own.filter(~c("p").isin(STRUCTURAL)).select("graph_id", c("p").alias("term"), F.lit("p").alias("sign"))
     rows = _union(
-        s(typed & c("o").isin(PROPERTY_TYPES), "property"), s(c("p").isin(DOMAIN, RANGE, SUBP), "property"), s(typed & c("o").isin(CLASS_TYPES), "class"), s(c("p") == SUB, "class"), o(c("p").isin(SUB, DOMAIN), "class"),
-        o(typed & ~meta, "class"), s(typed & ~meta, "individual"), s(typed & (c("o") == OWL + "NamedIndividual"), "individual"),
+        at(t, typed & c("o").isin(DECLARED_PROPERTY), "s", "p"), at(own, sides, "s", "p"), at(own, sides, "o", "p"), at(own, c("p").isin(DOMAIN, RANGE), "s", "p"), at(own, c("p") == OWL + "onProperty", "o", "p"), used,
+        at(t, typed & c("o").isin(*CLASS_TYPES, RDFS + "Klass"), "s", "c"), at(own, typed & (c("s_kind") == "iri"), "o", "c"), at(own, c("p").isin(DOMAIN, RANGE), "o", "c"), at(own, c("p").isin([f for f in FILLERS if f != OWL + "hasValue"]), "o", "c"),
+        at(t, typed & (c("o") == SKOS + "Concept"), "s", "w"), at(own, c("p").isin(HOLDERS), "s", "w"), at(own, c("p").isin(HOLDERS), "o", "w"), at(t, F.lit(True), "s", "i"),
     ).filter(is_named(c("term"), F.lit("iri")))
-    g = rows.groupBy("graph_id", "term").agg(F.max(c("role") == "property").alias("p"), F.max(c("role") == "class").alias("k"))
-    return g.select("graph_id", "term", F.when(c("p") & c("k"), "ambiguous").when(c("p"), "property").when(c("k"), "class").otherwise("individual").alias("role"))
+    k = rows.groupBy("graph_id", "term").agg(*[F.max(c("sign") == x).alias(x) for x in "pcw"])
+    return k.select("graph_id", "term", F.when(c("p") & c("c"), "ambiguous").when(c("p"), "property").when(c("c") | c("w"), "class").otherwise("individual").alias("role"))
 
 
 def entailed(t: DataFrame, most_rounds: int = 20) -> DataFrame:
@@ -399,27 +332,60 @@ def vacuous(t: DataFrame) -> DataFrame:
 
 
 def usage_edges(t: DataFrame, depth: int = 12) -> DataFrame:
-    """(graph_id, s, p, o, o_kind): edges between named terms and literals, with chains of blank nodes (at most ``depth``) replaced by what they lead to."""
-    own = t.filter(is_named(c("p"), F.lit("iri"))).select("graph_id", "s", "s_kind", "p", "o", "o_kind")
-    done = own.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("graph_id", "s", "p", "o", "o_kind")
-    front = own.filter("s_kind = 'iri' and o_kind = 'bnode'").select("graph_id", "s", "p", "o")
-    inner = materialize(own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("o").alias("next"), c("o_kind").alias("k")))
-    for _ in range(depth):
-        step = materialize(front.join(inner, ["graph_id", "o"]).select("graph_id", "s", "p", c("next").alias("o"), "k").distinct())
-        done = done.unionByName(step.filter("k <> 'bnode'").withColumnRenamed("k", "o_kind"))
-        front = step.filter("k = 'bnode'").drop("k")
+    """(graph_id, s, p, o, o_kind): edges of the domain's own predicates between named terms and to literals; blank nodes are seen through.
+
+    ``s -p-> blank -q-> o`` is an edge by q; items of a list keep the predicate that leads to the list. Blank nodes behind a
+    predicate of the language (a class expression, a list of it) make no edges. Chains have at most ``depth`` + 1 blank nodes.
+    """
+    own = triple_class(t).filter("kind = 'connective'").select("graph_id", "s", "s_kind", "p", "o", "o_kind")
+    front = own.filter("s_kind = 'iri'").select("graph_id", "s", "p", "o", "o_kind")
+    ends = lambda df: df.filter(~c("p").isin(STRUCTURAL) & ((c("o_kind") == "literal") | (c("o_kind") == "iri") & (c("o") != c("s")))).select("graph_id", "s", "p", "o", "o_kind")
+    inner = own.filter("s_kind = 'bnode'").select("graph_id", c("s").alias("o"), c("p").alias("q"), c("o").alias("next"), c("o_kind").alias("k"))
+    inner = materialize(inner)
+    done, held = ends(front), []
+    listed = c("q").isin(RDF + "first", RDF + "rest")
+    for _ in range(depth + 1):
+        step = front.filter("o_kind = 'bnode'").drop("o_kind").join(inner, ["graph_id", "o"]).filter(listed | ~c("p").isin(STRUCTURAL))
+        front = materialize(step.select("graph_id", "s", F.when(listed, c("p")).otherwise(c("q")).alias("p"), c("next").alias("o"), c("k").alias("o_kind")).distinct())
+        held.append(front)
         if front.isEmpty():
             break
-    return done.distinct()
+        done = done.unionByName(ends(front))
+    out = materialize(done.distinct())
+    discard(inner, *held)
+    return out
 
 
-def restriction_arcs(t: DataFrame) -> DataFrame:
-    """(graph_id, a, p, b): what class expressions say of a class: by property p it is tied to filler b (open without one)."""
-    cell = t.filter(c("p").isin(OWL + "onProperty", OWL + "someValuesFrom", OWL + "allValuesFrom", OWL + "onClass", OWL + "hasValue")).groupBy("graph_id", c("s").alias("x")).agg(
-        F.min(F.when(c("p") == OWL + "onProperty", c("o"))).alias("p"), F.min(F.when((c("p") != OWL + "onProperty") & (c("o_kind") == "iri"), c("o"))).alias("f")
-    )
-    holder = t.filter(c("p").isin(SUB, EQUIVALENT) & (c("s_kind") == "iri")).select("graph_id", c("s").alias("a"), c("o").alias("x"))
-    return holder.join(cell.filter("p is not null"), ["graph_id", "x"]).select("graph_id", "a", "p", F.coalesce("f", F.lit(ANY)).alias("b")).distinct()
+def expressions(t: DataFrame, is_class: DataFrame, is_property: DataFrame) -> dict[str, DataFrame]:
+    """What anonymous class expressions say, arc by arc, of terms that a graph introduces (``is_class``, ``is_property``: graph_id, entity).
+
+    ``arcs`` (graph_id, entity, body, arc): holder, property and filler of every body each get an arc, one for each triple that
+    leads there. The two relations that bodies induce, of holders with properties (attachment) and of properties with fillers,
+    are judged like a predicate; bodies of a pair that says nothing have no arcs. ``dropped`` are those pairs, ``bodies`` the blank nodes with a
+    property, and ``sound`` those of one property, with a filler that is a class or a cardinality, held by a class.
+    """
+    g = "graph_id"
+    own = triple_class(t).filter("kind = 'connective'")
+    of = lambda term, kind: F.when(c(kind) == "iri", c(term)).otherwise(F.concat_ws(" ", c(kind), c(term)))
+    inner = materialize(own.filter("s_kind = 'bnode'").select(g, c("s").alias("body"), "p", "o", "o_kind"))
+    on = inner.filter(c("p") == OWL + "onProperty").select(g, "body", of("o", "o_kind").alias("prop"), (c("o_kind") == "iri").alias("named"))
+    fill = inner.filter(c("p").isin(FILLERS)).select(g, "body", "p", of("o", "o_kind").alias("filler"), (c("o_kind") == "iri").alias("named"))
+    held = own.filter(c("p").isin(HOLDERS) & (c("o_kind") == "bnode")).select(g, c("o").alias("body"), "p", of("s", "s_kind").alias("holder"), (c("s_kind") == "iri").alias("named"))
+    held = materialize(held.join(inner.select(g, "body").distinct(), [g, "body"], "left_semi"))
+    attach = held.select(g, "body", "holder").join(on.select(g, "body", "prop"), [g, "body"]).select(g, F.lit("attachment").alias("p"), "body", c("holder").alias("a"), c("prop").alias("b")).distinct()
+    leads = on.select(g, "body", "prop").join(fill.select(g, "body", "filler"), [g, "body"]).select(g, F.lit("filler").alias("p"), "body", c("prop").alias("a"), c("filler").alias("b")).distinct()
+    pairs = materialize(_union(attach, leads))
+    every, bad = judged(pairs, loops=True)
+    dropped = materialize(every.join(bad, [g, "p", "root"], "left_semi").select(g, "p", "a", "b"))
+    dead = pairs.join(dropped, [g, "p", "a", "b"], "left_semi").select(g, "body").distinct()
+    known = lambda df, term, terms: df.filter("named").join(terms.select(g, c("entity").alias(term)), [g, term], "left_semi").select(g, "body", c(term).alias("entity"))
+    ends = [(known(held, "holder", is_class), "holder"), (known(on, "prop", is_property), "property"), (known(fill, "filler", is_class), "filler")]
+    arcs = _union(*[df.withColumn("arc", F.lit(arc)) for df, arc in ends]).join(dead, [g, "body"], "left_anti").select(g, "entity", "body", "arc")
+    bodies = on.select(g, "body").distinct()
+    filled = _union(ends[2][0].select(g, "body"), inner.filter(c("p").isin(CARDINALITIES)).select(g, "body")).distinct()
+    one = on.groupBy(g, "body").agg(F.count("*").alias("n")).filter("n = 1").select(g, "body").join(ends[1][0], [g, "body"], "left_semi")
+    sound = one.join(filled, [g, "body"], "left_semi").join(ends[0][0], [g, "body"], "left_semi")
+    return {"arcs": materialize(arcs), "dropped": dropped, "bodies": bodies, "sound": sound}
 
 
 def load_bearing(t: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The connectivity measure of graphs: anchors of every entity, the taxonomy without what says nothing, scores by role.
 
-An entity is anchored by signatures (domain and range), class expressions, usage edges, typing, and by a place in a
-taxonomy or among terms told apart. Shapes that say nothing are dropped first: complete relations, a class comparable to
+An entity is anchored by signatures (domain and range), class expressions (their holder, property and fillers), usage edges,
+typing, and by a place in a taxonomy or among terms told apart. Shapes that say nothing are dropped first: complete relations, a class comparable to
 all others without an anchor of its own. Doubt is kept in whole 270ths and divided once. All graphs are worked on at once.
 """
 
@@ -12,8 +12,9 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from ..sources.rdf import OWL
+from . import fixpoints as X
 from . import graph as G
 
 c = F.col
@@ -57,8 +58,9 @@ class Analysis:
 
     def _of(self, role: str, as_: str) -> DataFrame:
         terms = self.roles.filter(c("role") == role).select(g, c("term").alias("entity"))
-        if role == "class":  # a class counts where the graph says something of it
-            terms = terms.join(self.subjects, [g, "entity"], "left_semi")
+        if role == "class":  # a class counts where the graph says something of it, and does not declare it an ontology
+            ontology = self.triples.filter((c("p") == G.TYPE) & (c("o") == OWL + "Ontology")).select(g, c("s").alias("entity"))
+            terms = terms.join(self.subjects, [g, "entity"], "left_semi").join(ontology, [g, "entity"], "left_anti")
         return terms.withColumnRenamed("entity", as_)
 
     @cached_property
@@ -67,9 +69,8 @@ class Analysis:
         return _kept(e.join(self._of("property", "a"), [g, "a"], "left_semi").join(self._of("class", "b"), [g, "b"], "left_semi"))
 
     @cached_property
-    def _arcs(self) -> tuple[DataFrame, DataFrame]:
-        arcs = G.restriction_arcs(self.triples).select(g, "p", "a", "b")
-        return _kept(arcs.filter(G.is_named(c("a"), F.lit("iri"))))
+    def expressions(self) -> dict[str, DataFrame]:
+        return G.expressions(self.triples, self._of("class", "entity"), self._of("property", "entity"))
 
     @cached_property
     def _usage(self) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +78,7 @@ class Analysis:
 
     @cached_property
     def _edges(self) -> DataFrame:
-        return materialize(G.usage_edges(self.connective))
+        return G.usage_edges(self.connective)
 
     @cached_property
     def attributes(self) -> DataFrame:
@@ -95,7 +96,7 @@ class Analysis:
         known = lambda df, term: bump(df, term).join(self.subjects, [g, "entity"], "left_semi")
         sign, use, attr, typed = self._signature[0], self._usage[0], self.attributes, self.typing
         rows = _union(
-            bump(sign.select(g, "p", "a").distinct(), "a"), bump(sign, "b"), bump(self._arcs[0], "a"), bump(use, "a"), bump(use, "b"), known(use, "p"), bump(attr, "a"), known(attr, "p"),
+            bump(sign.select(g, "p", "a").distinct(), "a"), bump(sign, "b"), bump(self.expressions["arcs"], "entity"), bump(use, "a"), bump(use, "b"), known(use, "p"), bump(attr, "a"), known(attr, "p"),
             bump(typed.select(g, "a").distinct(), "a"), known(typed, "b"),
         )
         return materialize(rows.filter(G.is_named(c("entity"), F.lit("iri"))).groupBy(g, "entity").agg(F.count("*").alias("d")))
@@ -110,54 +111,70 @@ class Analysis:
         return materialize(e)
 
     @cached_property
-    def _quotient(self) -> tuple[DataFrame, DataFrame]:
-        """(graph_id, node, root) of terms tied by equivalence or a cycle of subsumption; (graph_id, a, b) of roots of which one is above the other.
-
-        Graphs of over ``MOST_NODES`` terms have direct pairs only, and only equivalence as equal.
+    def _quotient(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(graph_id, node, root) of terms tied by equivalence or a cycle of subsumption; (graph_id, root, comp, id, n), roots numbered
+        within their graph, with the component they are in; (graph_id, n, a, b) of numbered roots of which one is stated to be above the other.
         """
         e = self._ties.filter("kind <> 'apart'")
-        raw = _union(e.select(g, "a", "b"), e.filter("kind = 'same'").select(g, c("b").alias("a"), c("a").alias("b"))).distinct()
-        nodes = _union(raw.select(g, c("a").alias("node")), raw.select(g, c("b").alias("node"))).distinct()
-        small = nodes.groupBy(g).agg(F.count("*").alias("n")).filter(c("n") <= MOST_NODES).select(g)
-        reach = materialize(G.small_closure(raw.join(small, g, "left_semi")))
-        back = reach.select(g, c("b").alias("a"), c("a").alias("b"))
-        cycle = reach.join(back, [g, "a", "b"], "left_semi").groupBy(g, c("a").alias("node")).agg(F.min("b").alias("low")).select(g, "node", F.least("node", "low").alias("root"))
-        large = e.filter("kind = 'same'").join(small, g, "left_anti")
-        equal = G.components(large.select(g, "a", "b"))
-        root = nodes.join(_union(cycle, equal), [g, "node"], "left").select(g, "node", F.coalesce("root", "node").alias("root"))
-        root = materialize(root)
-        pairs = _union(reach, raw.join(small, g, "left_anti"))
-        for side in ("a", "b"):
-            pairs = pairs.join(root.select(g, c("node").alias(side), c("root").alias("r" + side)), [g, side])
-        pairs = pairs.filter("ra <> rb").select(g, F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        return root, materialize(pairs)
+        raw = materialize(_union(e.select(g, "a", "b"), e.filter("kind = 'same'").select(g, c("b").alias("a"), c("a").alias("b"))).distinct())
+        root = X.strong_components(raw)
+        side = lambda s: root.select(g, c("node").alias(s), c("root").alias("r" + s))
+        edges = materialize(raw.join(side("a"), [g, "a"]).join(side("b"), [g, "b"]).filter("ra <> rb").select(g, c("ra").alias("a"), c("rb").alias("b")).distinct())
+        comp = X.components(edges).withColumnRenamed("root", "comp")
+        number = materialize(X.numbered(comp.select(g, "node")).join(comp, [g, "node"]).withColumnRenamed("node", "root"))
+        at = lambda s: number.select(g, c("root").alias(s), c("id").alias("i" + s))
+        size = number.groupBy(g).agg(F.max("n").alias("n"))
+        numbered = materialize(edges.join(at("a"), [g, "a"]).join(at("b"), [g, "b"]).join(size, g).select(g, "n", c("ia").alias("a"), c("ib").alias("b")))
+        discard(raw, edges)
+        return root, number, numbered
+
+    @cached_property
+    def _tiles(self) -> DataFrame:
+        """What reaches what, as tiles of bits; graphs of over ``MOST_NODES`` roots have none, and count stated pairs only."""
+        return X.closure_tiles(self._quotient[2].filter(c("n") <= MOST_NODES))
+
+    def _degrees(self, weights: DataFrame | None = None) -> DataFrame:
+        """(graph_id, id, k, pairs): how many roots each is comparable to; ``weights`` (graph_id, id, w) says what a root counts, none if absent."""
+        large = self._quotient[2].filter(c("n") > MOST_NODES).select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if weights is None:
+            blocks, large = None, large.withColumns({"wa": F.lit(1), "wb": F.lit(1)})
+        else:
+            every = self._quotient[1].select(g, "id", "n").join(weights, [g, "id"], "left").filter(c("n") <= MOST_NODES)
+            blocks = every.groupBy(g, F.floor(c("id") / X.TILE).cast("int").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).cast("int").alias("w")))), lambda x: x["w"]).alias("weights"))
+            for side in ("a", "b"):
+                large = large.join(weights.select(g, c("id").alias(side), c("w").alias("w" + side)), [g, side])
+        one = lambda s, pairs: large.select(g, c(s).alias("id"), F.lit(1).cast("long").alias("k"), pairs.cast("long").alias("pairs"))
+        direct = _union(one("a", c("wa") * c("wb")), one("b", F.lit(0))).groupBy(g, "id").agg(F.sum("k").alias("k"), F.sum("pairs").alias("pairs"))
+        return _union(X.tile_degrees(self._tiles, blocks), direct)
 
     @cached_property
     def dropped(self) -> DataFrame:
         """(graph_id, root, shape): roots that classify nothing: of a component in which all are comparable (``mesh``), or comparable to all without an anchor (``universal``)."""
-        root, pairs = self._quotient
-        comp = materialize(G.components(pairs).withColumnRenamed("root", "comp"))
-        degree = _union(pairs.select(g, c("a").alias("node")), pairs.select(g, c("b").alias("node"))).groupBy(g, "node").agg(F.count("*").alias("k")).join(comp, [g, "node"])
+        root, number, _ = self._quotient
+        degree = self._degrees().join(number.select(g, "id", "root", "comp"), [g, "id"])
         size = degree.groupBy(g, "comp").agg(F.count("*").alias("n"), (F.sum("k") / 2).alias("m")).filter(c("n") >= LEAST_SHAPE)
-        held = root.join(self.primary.select(g, c("entity").alias("node")), [g, "node"], "left_semi").select(g, c("root").alias("node")).distinct()
-        x = degree.join(size, [g, "comp"]).join(held.withColumn("held", F.lit(True)), [g, "node"], "left")
+        held = root.join(self.primary.select(g, c("entity").alias("node")), [g, "node"], "left_semi").select(g, "root").distinct()
+        x = degree.join(size, [g, "comp"]).join(held.withColumn("held", F.lit(True)), [g, "root"], "left")
         mesh = c("m") == c("n") * (c("n") - 1) / 2
         shape = F.when(mesh, "mesh").when((c("k") == c("n") - 1) & c("held").isNull(), "universal")
-        return materialize(x.select(g, c("node").alias("root"), shape.alias("shape"), "comp").filter("shape is not null"))
+        return materialize(x.select(g, "root", shape.alias("shape"), "comp").filter("shape is not null"))
 
     @cached_property
-    def comparable(self) -> DataFrame:
-        """(graph_id, a, b): pairs of roots that survive."""
-        pairs, gone = self._quotient[1], self.dropped.select(g, "root")
-        for side in ("a", "b"):
-            pairs = pairs.join(gone.withColumnRenamed("root", side), [g, side], "left_anti")
-        return materialize(pairs)
+    def placed(self) -> DataFrame:
+        """(graph_id, root, pairs): roots with a pair that survives, and for how many pairs of terms it stands as the lower one."""
+        root, number, _ = self._quotient
+        members = root.groupBy(g, "root").agg(F.count("*").alias("w"))
+        weights = number.join(members, [g, "root"]).join(self.dropped.select(g, "root"), [g, "root"], "left_anti").select(g, "id", "w")
+        return materialize(self._degrees(weights).filter("k > 0").join(number.select(g, "id", "root"), [g, "id"]).select(g, "root", "pairs"))
 
     @cached_property
     def taxonomy(self) -> DataFrame:
         """(graph_id, a, b): pairs of terms of which one is above the other, expanded to the members of equivalent ones."""
-        member = lambda side: self._quotient[0].select(g, c("root").alias(side), c("node").alias(side + "_term"))
-        return self.comparable.join(member("a"), [g, "a"]).join(member("b"), [g, "b"]).select(g, c("a_term").alias("a"), c("b_term").alias("b"))
+        root, number, stated = self._quotient
+        pairs = _union(X.tile_pairs(self._tiles), stated.filter(c("n") > MOST_NODES).select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        term = number.join(self.dropped.select(g, "root"), [g, "root"], "left_anti").select(g, "id", "root").join(root, [g, "root"])
+        member = lambda side: term.select(g, c("id").alias(side), c("node").alias(side + "_term"))
+        return pairs.join(member("a"), [g, "a"]).join(member("b"), [g, "b"]).select(g, c("a_term").alias("a"), c("b_term").alias("b"))
 
     @cached_property
     def distinct(self) -> DataFrame:
@@ -173,7 +190,7 @@ class Analysis:
     @cached_property
     def incidences(self) -> DataFrame:
         """(graph_id, entity, d): all anchors; a place in the taxonomy counts once, and one among terms told apart."""
-        placed = _union(self.comparable.select(g, c("a").alias("root")), self.comparable.select(g, c("b").alias("root"))).distinct().join(self._quotient[0], [g, "root"]).select(g, c("node").alias("entity"))
+        placed = self.placed.select(g, "root").join(self._quotient[0], [g, "root"]).select(g, c("node").alias("entity"))
         apart = _union(self.distinct.select(g, c("a").alias("entity")), self.distinct.select(g, c("b").alias("entity"))).distinct()
         rows = _union(self.primary, placed.withColumn("d", F.lit(1).cast("long")), apart.withColumn("d", F.lit(1).cast("long")))
         return materialize(rows.groupBy(g, "entity").agg(F.sum("d").alias("d")))
@@ -212,16 +229,15 @@ class Analysis:
         """25 counts a graph; they describe, and no score reads them."""
         n = lambda df, name: df.groupBy(g).agg(F.count("*").alias(name))
         kinds = G.triple_class(self.triples)
-        sign, arcs, use = self._signature, self._arcs, self._usage
+        sign, use, arcs = self._signature, self._usage, self.expressions
         roster = self.roster.groupBy(g).agg(*[F.count_if(c("role") == r).alias(f"roster_{r}") for r in ROLES], *[F.count_if((c("role") == r) & (c("d") > 0)).alias(f"anchored_{r}") for r in ROLES])
         typed = _union(self.typing.select(g, F.lit(1).alias("x")))
-        primary = _union(sign[0].select(g), arcs[0].select(g), use[0].select(g), self.attributes.select(g), typed.select(g))
-        members = self._quotient[0].groupBy(g, "root").agg(F.count("*").alias("k"))
-        sub = self.comparable.join(members.select(g, c("root").alias("a"), c("k").alias("ka")), [g, "a"]).join(members.select(g, c("root").alias("b"), c("k").alias("kb")), [g, "b"]).groupBy(g).agg(F.sum(c("ka") * c("kb")).alias("comparability_pairs"))
+        primary = _union(sign[0].select(g), arcs["arcs"].select(g), use[0].select(g), self.attributes.select(g), typed.select(g))
+        sub = self.placed.groupBy(g).agg(F.sum("pairs").alias("comparability_pairs"))
         tables = [
             n(self.triples, "triples"), n(kinds.filter("kind = 'connective'"), "connective_axioms"), n(kinds.filter("kind = 'declaration'"), "declarations"), roster, n(primary, "primary_anchor_axioms"),
-            n(sign[0].filter(c("p") == G.DOMAIN), "domains_counted"), n(sign[0].filter(c("p") == G.RANGE), "ranges_counted"), n(arcs[0], "restriction_bodies"), n(G.restriction_arcs(self.triples), "wellformed_restrictions"),
-            n(use[0], "usage_edges"), n(self.attributes, "attribute_edges"), n(use[1], "dropped_universal_usage"), n(sign[1], "dropped_universal_signature"), n(arcs[1], "dropped_universal_restrictions"),
+            n(sign[0].filter(c("p") == G.DOMAIN), "domains_counted"), n(sign[0].filter(c("p") == G.RANGE), "ranges_counted"), n(arcs["bodies"], "restriction_bodies"), n(arcs["sound"], "wellformed_restrictions"),
+            n(use[0], "usage_edges"), n(self.attributes, "attribute_edges"), n(use[1], "dropped_universal_usage"), n(sign[1], "dropped_universal_signature"), n(arcs["dropped"], "dropped_universal_restrictions"),
             sub, n(self.distinct, "distinction_pairs"), n(self._ties.filter("kind = 'same'"), "equivalence_axioms"), n(self.dropped, "dropped_taxonomy_nodes"),
             self.dropped.filter("shape = 'mesh'").groupBy(g).agg(F.countDistinct("comp").alias("dropped_taxonomy_components")),
         ]

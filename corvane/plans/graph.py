@@ -214,9 +214,9 @@ def uninformative(spark, sf_dir):
     return G.uninformative(triples(spark, sf_dir).filter(c("p").isin(_D, _S, _R)).select("graph_id", "p", c("s").alias("a"), c("o").alias("b")))
 
 
-@_add("g_roles", T + f""", r AS (SELECT graph_id, s AS term, 'p' AS k FROM t WHERE p = '{_T}' AND o IN {_IN(G.PROPERTY_TYPES)} OR p IN ('{_D}', '{_R}', '{_P}') UNION SELECT graph_id, s, 'c' FROM t WHERE p = '{_T}' AND o IN {_IN(G.CLASS_TYPES)} OR p = '{_S}'
- UNION SELECT graph_id, o, 'c' FROM t WHERE p IN ('{_S}', '{_D}') OR p = '{_T}' AND o NOT LIKE 'http://www.w3.org/%' UNION SELECT graph_id, s, 'i' FROM t WHERE p = '{_T}' AND o NOT LIKE 'http://www.w3.org/%')
- SELECT graph_id, term, CASE WHEN bool_or(k = 'p') AND bool_or(k = 'c') THEN 'ambiguous' WHEN bool_or(k = 'p') THEN 'property' WHEN bool_or(k = 'c') THEN 'class' ELSE 'individual' END AS role FROM r GROUP BY graph_id, term""")
+@_add("g_roles", T + f""", r AS (SELECT graph_id, s AS term, 'p' AS k FROM t WHERE p = '{_T}' AND o IN {_IN(G.DECLARED_PROPERTY)} OR p IN ('{_D}', '{_R}', '{_P}') UNION SELECT graph_id, o, 'p' FROM t WHERE p = '{_P}' UNION SELECT graph_id, p, 'p' FROM t
+ UNION SELECT graph_id, s, 'c' FROM t WHERE p = '{_T}' AND o IN {_IN(G.CLASS_TYPES)} UNION SELECT graph_id, o, 'c' FROM t WHERE p IN ('{_D}', '{_R}', '{_T}') UNION SELECT graph_id, s, 'w' FROM t WHERE p = '{_S}' UNION SELECT graph_id, o, 'w' FROM t WHERE p = '{_S}' UNION SELECT graph_id, s, 'i' FROM t)
+ SELECT graph_id, term, CASE WHEN bool_or(k = 'p') AND bool_or(k = 'c') THEN 'ambiguous' WHEN bool_or(k = 'p') THEN 'property' WHEN bool_or(k IN ('c', 'w')) THEN 'class' ELSE 'individual' END AS role FROM r WHERE term NOT LIKE 'http://www.w3.org/%' GROUP BY graph_id, term""")
 def roles(spark, sf_dir):
     return G.roles(triples(spark, sf_dir))
 
@@ -266,9 +266,19 @@ def ontology_vocab(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{4,}"), F.lit(0)))).cast("long").alias("n_terms"), looks_like_turtle(c("html")).alias("turtle"))
 
 
-@_add("join_usage_bnode", T + "SELECT graph_id, s, p, o FROM t WHERE p NOT LIKE 'http://www.w3.org/%'")
+@_add("join_usage_bnode", T + ", b AS (SELECT graph_id, s, p, o, CAST(regexp_extract(s, '[0-9]+') AS BIGINT) % 3 AS k FROM t WHERE p NOT LIKE 'http://www.w3.org/%') SELECT graph_id, s, p, o FROM b WHERE k <> 1 AND s <> o UNION SELECT graph_id, s, 'held', o FROM b WHERE k = 1 AND s <> o UNION SELECT graph_id, s, p, unnest(['first', '" + rdf.RDF + "nil']) FROM b WHERE k = 2")
 def usage_bnode(spark, sf_dir):
-    return G.usage_edges(triples(spark, sf_dir)).drop("o_kind")
+    """Edges of suppliers: a third as they are, a third over a blank node, a third to the items of a list."""
+    t = triples(spark, sf_dir).filter(~c("p").startswith("http://www.w3.org/"))
+    k = F.regexp_extract("s", "[0-9]+", 0).cast("long") % 3
+    blank = lambda x: F.concat(F.lit("_:" + x), "s")
+    kind = lambda x: F.when(x.startswith("_:"), "bnode").otherwise("iri")
+    row = lambda s, p, o: F.struct(s.alias("s"), kind(s).alias("s_kind"), p.alias("p"), o.alias("o"), kind(o).alias("o_kind"))
+    first, rest, nil = (F.lit(rdf.RDF + x) for x in ("first", "rest", "nil"))
+    over = F.array(row(c("s"), c("p"), blank("v")), row(blank("v"), F.lit("held"), c("o")))
+    listed = F.array(row(c("s"), c("p"), blank("l")), row(blank("l"), first, F.lit("first")), row(blank("l"), rest, blank("m")), row(blank("m"), first, c("o")), row(blank("m"), rest, nil))
+    rows = F.when(k == 0, F.array(row(c("s"), c("p"), c("o")))).when(k == 1, over).otherwise(listed)
+    return G.usage_edges(t.select("graph_id", F.explode(rows).alias("r")).select("graph_id", "r.*")).drop("o_kind")
 
 
 @_add("g_load_bearing", T + f"SELECT graph_id, s, p, o FROM t WHERE p NOT IN {_IN(G.ANNOTATIONS)} AND NOT (p = '{_T}' AND o IN {_IN(G.DECLARATIONS)})")
@@ -286,11 +296,6 @@ def _written(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), k).alias("graph_id"), body.alias("text"))
 
 
-@_add("g_restrictions", "SELECT 'g' || n_nationkey AS graph_id, 'http://e/N' || n_nationkey AS a, 'http://e/inRegion' AS p, 'http://e/R' || n_regionkey AS b FROM nation")
-def restrictions(spark, sf_dir):
-    return G.restriction_arcs(rdf.triples(_written(spark, sf_dir)))
-
-
 @_add("udf_artifact_eval", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 6::BIGINT AS triples, true AS consistent, false AS vacuous, 'near_empty' AS gate, 0.5::DOUBLE AS score FROM nation")
 def artifact_eval(spark, sf_dir):
     from ..operators.evaluation import evaluate
