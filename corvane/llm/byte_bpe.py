@@ -268,10 +268,12 @@ class Coder:
 
 
 def _coder(shared) -> Coder:
-    key = ("coder", shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _cache:
-        _cache[key] = Coder(*shared.value)
-    return _cache[key]
+    """The coder of a shared vocabulary. A worker that is used again holds one coder and not those of earlier queries."""
+    key = shared.id if hasattr(shared, "id") else id(shared)
+    if _cache.get("coder", (None,))[0] != key:
+        _cache.pop("coder", None)
+        _cache["coder"] = key, Coder(*shared.value)
+    return _cache["coder"][1]
 
 
 def _share(spark: SparkSession, ranks: dict[bytes, int]):
