@@ -7,15 +7,16 @@ filter that asks for all rules at once.
 
 Bad texts are bad in different ways, so the model begins with one good and one bad class and splits off a further class
 while the Bayesian information criterion gains from it. Given its class a text's votes are independent; an abstention is a
-missing vote and carries no evidence. A class is one of bad texts if it came from the first bad one or if some rule rejects
-most of it, else one of good texts.
+missing vote and carries no evidence. Classes are named by what the estimate says of all rules together (``_bad_classes``): the
+class that rules reject least is the good one, and a class is bad if rules reject half a vote more of it than of that one. A
+rule that rejects about the same share of every class counts for nothing there, and so does one that is wrong more often than right.
 Each rate has a Beta(1/2, 1/2) prior, half a vote on either side, which is all that keeps it from 0 and 1; no estimate is clipped.
 
 Only the counts of vote patterns reach the driver: at most 3**9 rows, whatever the corpus holds.
 
 Edge cases: null and empty text have no words, fail the base and are not kept; repeated rows get equal results, one each; an
 empty table gives an empty result; columns of the caller are kept and never clash with helper columns, which start with
-``__cv_``. A corpus in which most texts share a defect has no class of good texts, and nothing is kept.
+``__cv_``. A defect that all texts share cannot be told from a useless rule; where most rules reject most of every class, nothing is kept.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ._stats import with_stats
 
 #: Classes of the latent-class model at most.
 MOST_CLASSES = 8
+#: Rates of a rule that differ by less over all classes tell nothing; votes against a class, over those against the best one, that make it bad.
+SPREAD, EXCESS = 0.1, 0.5
 
 
 def _s(name: str) -> Column:
@@ -112,6 +115,22 @@ def _maximise(bad: np.ndarray, cast: np.ndarray, counts: np.ndarray, q: np.ndarr
     return share, rejects, q, like
 
 
+def _bad_classes(share: np.ndarray, rejects: np.ndarray) -> np.ndarray:
+    """Which classes are of bad texts, from their shares and P(bad vote | class, the rule votes)."""
+    told = np.ptp(rejects, axis=0) >= SPREAD
+    weight = told.astype(float)
+    bad = np.zeros(len(share), bool)
+    for _ in range(4):  # names follow weights, weights follow names
+        good = int((rejects @ weight).argmin())
+        before, bad = bad, (rejects - rejects[good]) @ weight >= EXCESS
+        if bad.any() and not bad.all():
+            gain = share[bad] @ rejects[bad] / share[bad].sum() - share[~bad] @ rejects[~bad] / share[~bad].sum()
+            weight = (told & (gain > 0)).astype(float)
+        if (bad == before).all():
+            break
+    return bad | ((rejects >= 0.5).mean(1) > 0.5)
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 300) -> LabelModel:
     """The latent-class model of vote patterns; patterns: (p, rules) of -1, 0, 1; counts: (p,).
 
@@ -124,7 +143,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
     part = np.clip(2 * bad.sum(1) / np.maximum(cast.sum(1), 1), 0.02, 0.98)
     best = _maximise(bad, cast, counts, np.stack([1 - part, part], 1), rounds)
     cost = 0.5 * (1 + len(names)) * np.log(counts.sum() + 1)  # the criterion's penalty for a class
-    origin = [False, True]
     while len(best[0]) < MOST_CLASSES:
         tries = []
         for k in range(len(best[0])):
@@ -132,15 +150,14 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int
                 moved = best[2][:, k] * np.where(bad[:, r] > 0, 0.9, 0.1)
                 q = np.column_stack([best[2], moved])
                 q[:, k] -= moved
-                tries.append((*_maximise(bad, cast, counts, q, 40), k))
+                tries.append(_maximise(bad, cast, counts, q, 40))
         found = max(tries, key=lambda t: t[3])
-        parent = found[4]
         found = _maximise(bad, cast, counts, found[2], rounds)
         if found[3] - best[3] <= cost:
             break
-        best, origin = found, [*origin, origin[parent]]
+        best = found
     share, rejects, _, _ = best
-    return LabelModel(names, share, rejects, ~(np.array(origin) | (rejects >= 0.5).any(1)))
+    return LabelModel(names, share, rejects, ~_bad_classes(share, rejects))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
