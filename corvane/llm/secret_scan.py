@@ -27,12 +27,12 @@ MOST_BROADCAST = 200_000
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _HEADER = r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"
-#: What may stand between the lines of a key, and the lines that are matched; longer keys are named by their first lines.
-_BREAK, MOST_LINES = r"(?:[\x20\t\r\n]|\\[nr]){0,16}+", 300
+#: What may stand between the lines of a key. Lines repeat possessively, which takes neither a stack nor a bound.
+_BREAK = r"(?:[\x20\t\r\n]|\\[nr]){0,16}+"
 BASE = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
 WIDER = {
     "vendor": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{12,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    "keyblock": _HEADER + rf"(?:(?:{_BREAK}(?:Proc-Type|DEK-Info|Comment|Version): ?[^\r\n\\]{{1,80}}+){{0,4}}+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}){{1,{MOST_LINES}}}+(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?={_BREAK}-----END ))?(?:{_BREAK}-----END (?:[A-Z]{{1,12}} ){{0,3}}PRIVATE KEY-----)?)?",
+    "keyblock": _HEADER + rf"(?:(?:{_BREAK}(?:Proc-Type|DEK-Info|Comment|Version): ?[^\r\n\\]{{1,80}}+){{0,4}}+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?={_BREAK}-----END ))?(?:{_BREAK}-----END (?:[A-Z]{{1,12}} ){{0,3}}PRIVATE KEY-----)?)?",
     "dense": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}",
 }
 KINDS = (*BASE, *WIDER)

@@ -34,6 +34,19 @@ def test_copied_keys_go_and_bare_headers_stay(spark):
     assert [k for k, *_ in got[12]] == ["keyblock"]
 
 
+def test_keys_of_any_length_are_whole(spark):
+    """Long keys end at their footer, and two that differ in their last line only are two values."""
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(64))
+    texts = []
+    for n in (299, 301, 350, 400, 20_000):
+        texts.append("\n".join([HEAD, *[line() for _ in range(n)], "abcd1234==", TAIL]))
+    body = [line() for _ in range(500)]
+    twins = ["\n".join([HEAD, *body, line(), TAIL]) for _ in range(6)]
+    got = spans(spark, [(f"a {t} b", f"s{i}") for i, t in enumerate(texts + twins)])
+    assert all(got[i] == [("keyblock", 2, 2 + len(t), True)] for i, t in enumerate(texts + twins))
+
+
 def test_one_owner_may_copy(spark):
     token = "ghp_" + "Zz9y" * 9
     got = spans(spark, [(f"mine {token}", "s1")] * 60)
