@@ -13,6 +13,7 @@ from ..session import materialize, ship
 from ..sources import rdf
 from ..sources.files import pitfall_totals
 from . import graph as G
+from .entailment import reasoned
 from .sev import rolled_up, verify
 
 
@@ -27,12 +28,12 @@ def evaluate(artefacts: DataFrame, mode: str = "ladder", pitfalls: DataFrame | N
     t = materialize(rdf.triples(artefacts, mode))
     metrics = G.ontometrics(t)
     vocabulary = G.declared_vocabulary(t)
-    bad = G.inconsistencies(G.entailed(t)).select("graph_id").distinct().withColumn("clash", F.lit(True))
+    bad = reasoned(t).select("graph_id", "consistent", "inferred_triples", "unsatisfiable_classes")
     silent = G.vacuous(t)
     x = artefacts.select("graph_id").join(status, "graph_id", "left").join(metrics, "graph_id", "left").join(vocabulary, "graph_id", "left").join(bad, "graph_id", "left").join(silent, "graph_id", "left")
     parsed = F.col("status").isin("parsed", "empty")
     zero = lambda k: F.coalesce(F.col(k), F.lit(0))
-    x = x.withColumn("consistent", F.when(parsed, F.col("clash").isNull())).withColumn("vacuous", F.coalesce("vacuous", F.lit(True)))
+    x = x.withColumn("consistent", F.when(parsed, F.coalesce("consistent", F.lit(True)))).withColumn("vacuous", F.coalesce("vacuous", F.lit(True)))
     x = x.withColumn("gate", S.content_gate(parsed, zero("triples_count"), zero("class_terms"), zero("property_terms")))
     oops, out = F.lit(None).cast("double"), []
     if pitfalls is not None:

@@ -277,45 +277,6 @@ def roles(t: DataFrame) -> DataFrame:
     return k.select("graph_id", "term", F.when(c("p") & c("c"), "ambiguous").when(c("p"), "property").when(c("c") | c("w"), "class").otherwise("individual").alias("role"))
 
 
-def entailed(t: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """Triples with what a subset of RDFS and OWL-RL adds: sub-class and sub-property chains and inheritance, domain, range, inverse,
-    symmetric and transitive properties, equivalence. Semi-naive enough for schemas: every round joins the whole, until nothing is new."""
-    cols = ["graph_id", "s", "p", "o"]
-    now = materialize(t.filter("o_kind <> 'literal'").select(*cols).distinct())
-    n = now.count()
-    for _ in range(most_rounds):
-        by = lambda p, s="s", o="o", f=None: (f or now).filter(c("p") == p).select("graph_id", c("s").alias(s), c("o").alias(o))  # noqa: B023, E731
-        chain = lambda p: by(p, "s", "m").join(by(p, "m", "o"), ["graph_id", "m"]).select("graph_id", "s", F.lit(p).alias("p"), "o")  # noqa: B023, E731
-        eq = by(EQUIVALENT)
-        flagged = lambda k: now.filter((c("p") == TYPE) & (c("o") == OWL + k)).select("graph_id", c("s").alias("p"))  # noqa: B023, E731
-        inv = _union(by(INVERSE, "p", "q"), by(INVERSE, "q", "p").select("graph_id", "p", "q"), flagged("SymmetricProperty").withColumn("q", c("p")))
-        tr = now.join(flagged("TransitiveProperty"), ["graph_id", "p"], "left_semi")
-        new = [
-            chain(SUB), chain(SUBP), eq.select("graph_id", "s", F.lit(SUB).alias("p"), "o"), eq.select("graph_id", c("o").alias("s"), F.lit(SUB).alias("p"), c("s").alias("o")),
-            by(TYPE, "s", "m").join(by(SUB, "m", "o"), ["graph_id", "m"]).select("graph_id", "s", F.lit(TYPE).alias("p"), "o"),
-            now.join(by(SUBP, "p", "q"), ["graph_id", "p"]).select("graph_id", "s", c("q").alias("p"), "o"),
-            now.join(by(DOMAIN, "p", "k"), ["graph_id", "p"]).select("graph_id", "s", F.lit(TYPE).alias("p"), c("k").alias("o")),
-            now.join(by(RANGE, "p", "k"), ["graph_id", "p"]).filter(~c("k").startswith(XSD)).select("graph_id", c("o").alias("s"), F.lit(TYPE).alias("p"), c("k").alias("o")),
-            now.join(inv, ["graph_id", "p"]).select("graph_id", c("o").alias("s"), c("q").alias("p"), c("s").alias("o")),
-            tr.alias("l").join(tr.alias("r"), (c("l.graph_id") == c("r.graph_id")) & (c("l.p") == c("r.p")) & (c("l.o") == c("r.s"))).select("l.graph_id", "l.s", "l.p", "r.o"),
-        ]
-        now = materialize(_union(now, *new).distinct())
-        before, n = n, now.count()
-        if n == before:
-            return now
-    raise RuntimeError("entailment did not settle")
-
-
-def inconsistencies(closed: DataFrame) -> DataFrame:
-    """(graph_id, s, reason): members of disjoint classes or of Nothing, and terms both same and different."""
-    typed = closed.filter(c("p") == TYPE).select("graph_id", "s", c("o").alias("k"))
-    apart = closed.filter(c("p") == DISJOINT).select("graph_id", c("s").alias("k"), c("o").alias("l"))
-    clash = typed.join(apart, ["graph_id", "k"]).join(typed.select("graph_id", "s", c("k").alias("l")), ["graph_id", "s", "l"], "left_semi").select("graph_id", "s", F.lit("disjoint classes").alias("reason"))
-    nothing = typed.filter(c("k") == OWL + "Nothing").select("graph_id", "s", F.lit("member of nothing").alias("reason"))
-    same = closed.filter(c("p") == OWL + "sameAs").select("graph_id", "s", "o").join(closed.filter(c("p") == OWL + "differentFrom").select("graph_id", "s", "o"), ["graph_id", "s", "o"], "left_semi")
-    return _union(clash, nothing, same.select("graph_id", "s", F.lit("same and different").alias("reason"))).distinct()
-
-
 def formal_quality(t: DataFrame) -> DataFrame:
     """Shares of declared classes and properties with a label, a comment, and (properties) domain and range."""
     term = t.filter((c("p") == TYPE) & c("o").isin(*CLASS_TYPES, *PROPERTY_TYPES)).select("graph_id", "s", c("o").isin(PROPERTY_TYPES).alias("is_property")).distinct()

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import entailment as N
 from corvane.operators import graph as G
 from corvane.operators.structure import Analysis
 from corvane.sources import rdf
@@ -66,14 +67,14 @@ def test_scan_and_parse(spark, tmp_path):
 
 def closed(spark, body, graph="g"):
     text = f"@prefix : <http://e/> . @prefix owl: <{rdf.OWL}> . @prefix rdfs: <{rdf.RDFS}> . {body}"
-    return G.entailed(rdf.triples(spark.createDataFrame([(graph, text)], "graph_id string, text string")))
+    return N.closed(rdf.triples(spark.createDataFrame([(graph, text)], "graph_id string, text string")))
 
 
 def test_entailment_and_clashes(spark):
     c = closed(spark, ":A rdfs:subClassOf :B . :B rdfs:subClassOf :C . :C owl:disjointWith :D . :x a :A , :D . :p rdfs:domain :B ; owl:inverseOf :q . :y :p :z . :t a owl:TransitiveProperty . :a :t :b . :b :t :c .")
     have = {(r.s[9:], r.p.split("/")[-1].split("#")[-1], r.o[9:]) for r in c.collect()}
     assert {("A", "subClassOf", "C"), ("x", "type", "C"), ("y", "type", "C"), ("z", "q", "y"), ("a", "t", "c")} <= have
-    assert [(r.s, r.reason) for r in G.inconsistencies(c).collect()] == [("http://e/x", "disjoint classes")]
+    assert [(r.s, r.reason) for r in N.clashes(c).collect()] == [("http://e/x", "disjoint classes")]
 
 
 def test_replication_and_order_do_not_matter(spark):
