@@ -323,10 +323,22 @@ def parse_nonempty(spark, sf_dir):
     return rdf.parse_status(_written(spark, sf_dir), "nonempty")
 
 
-@_add("parse_rdf_sniffed", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 1::BIGINT AS n_triples FROM nation")
+@_add("parse_rdf_sniffed", """SELECT 'c' || c_custkey AS graph_id, CASE WHEN c_custkey % 8 = 6 THEN 'unparseable' WHEN c_custkey % 8 = 7 THEN 'empty' ELSE 'parsed' END AS status,
+ (CASE WHEN c_custkey % 8 >= 6 THEN 0 WHEN c_custkey % 8 IN (3, 4) THEN 4 ELSE 2 END)::BIGINT AS n_triples FROM customer""")
 def parse_sniffed(spark, sf_dir):
-    xml = F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><rdf:Description rdf:about="http://e/n"><e:name>'), F.col("n_name"), F.lit("</e:name></rdf:Description></rdf:RDF>"))
-    return rdf.parse_status(read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), "n_nationkey").alias("graph_id"), xml.alias("text")), "sniff")
+    """The status of a text for each customer: in six syntaxes, prose, or nothing but a comment."""
+    k, name, seg = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    e = "@prefix : <http://e/> . "
+    forms = [
+        text(e, ":c", k, ' :name "', name, '" ; :in "', seg, '" .'), text("<http://e/c", k, '> <http://e/name> "', name, '" .\n<http://e/c', k, '> <http://e/in> "', seg, '" .'),
+        text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><rdf:Description rdf:about="http://e/c', k, '"><e:name>', name, "</e:name><e:in>", seg, "</e:in></rdf:Description></rdf:RDF>"),
+        text('{"@context": {"@vocab": "http://e/", "seen": {"@container": "@list"}}, "@id": "http://e/c', k, '", "name": "', name, '", "seen": ["', seg, '"]}'),
+        text(e, ":g { :c", k, ' :name "', name, '" . :c', k, ' :near [ :in "', seg, '" ] } :g a :Graph .'), text(e, ":c", k, ' :name "', name, '" . { ?x :in ?y } => { ?y :of ?x } .'),
+        text("no graph but ", name), text("# ", name),
+    ]
+    form = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return rdf.parse_status(read(spark, sf_dir, "customer").select(text("c", k).alias("graph_id"), form.alias("text")), "sniff", 0)
 
 
 @_add("parse_owlxml", "SELECT 'g' || n_nationkey AS graph_id, 'http://e/o#C' || n_nationkey AS s, 'http://www.w3.org/2002/07/owl#Class' AS o FROM nation")

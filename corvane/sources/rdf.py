@@ -1,4 +1,4 @@
-"""RDF text to triples: Turtle (with N-Triples), RDF/XML and OWL/XML declarations, read by our own small parsers.
+"""RDF text to triples: Turtle (with N-Triples), TriG, N3, RDF/XML, JSON-LD and OWL/XML declarations, read by our own small parsers.
 
 A triple is (s, s_kind, p, o, o_kind, o_datatype, o_lang); kinds are iri, bnode and literal. Blank nodes are numbered per
 artefact and carry its id, so graphs never share them. Triples of a graph are a set.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .jsonld import parse_jsonld
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -28,7 +29,7 @@ _TOKEN = re.compile(
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<directive>@(?:prefix|base)\b|(?i:(?:prefix|base)\b(?=[ \t]*[<\w:])))|(?P<lang>@[a-zA-Z]+(?:-[a-zA-Z0-9]+)*)
     |(?P<number>[+-]?(?:[0-9]+\.[0-9]*[eE][+-]?[0-9]+|\.?[0-9]+[eE][+-]?[0-9]+|[0-9]*\.[0-9]+|[0-9]+))|(?P<bnode>_:[\w](?:[\w.-]*[\w-])?)
     |(?P<pname>(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])(?:(?:[\w:.-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])*(?:[\w:-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%]))?)?)
-    |(?P<word>a\b|true\b|false\b)|(?P<mark>\^\^|[.;,\[\]()])""",
+    |(?P<word>a\b|true\b|false\b|(?i:graph)\b(?=\s*[<\w:\[]))|(?P<variable>\?\w+)|(?P<mark>\^\^|=>|<=|[.;,\[\](){}=])""",
     re.VERBOSE,
 )
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
@@ -43,23 +44,32 @@ def _unescape(x: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else _PLAIN.get(m[1], m[1]), x)
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
+def _tokens(text: str, whole: bool = True) -> tuple[list[tuple[str, str]], list[int]]:
+    """Tokens and where each ends; unless ``whole``, reading stops where no token can be read."""
+    out, ends, at = [], [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m:
+            if not whole:
+                break
             raise ParseError(f"at {at}: {text[at : at + 20]!r}")
+        at = m.end()
         if m.lastgroup != "space":
             out.append((m.lastgroup, m[0]))
-        at = m.end()
-    return out
+            ends.append(at)
+    return out, ends
 
 
 class _Turtle:
-    """One pass over the tokens; nested blank nodes are kept on an explicit depth count, not beyond 200."""
+    """One pass over the tokens; nested blank nodes are kept on an explicit depth count, not beyond 200.
 
-    def __init__(self, text: str, graph: str, base: str = ""):
-        self.tokens, self.at, self.graph, self.base = _tokens(text), 0, graph, base
+    ``syntax`` may be ``turtle``, ``trig`` (blocks of named graphs, whose triples all count) or ``n3`` (formulas in braces, which are
+    read and stand for a blank node, variables, and the signs ``=``, ``=>`` and ``<=``).
+    """
+
+    def __init__(self, text: str, graph: str, base: str = "", syntax: str = "turtle", whole: bool = True):
+        self.tokens, self.ends = _tokens(text, whole)
+        self.at, self.graph, self.base, self.syntax = 0, graph, base, syntax
         self.prefixes: dict[str, str] = {}
         self.names: dict[str, str] = {}
         self.made, self.depth = 0, 0
@@ -99,6 +109,23 @@ class _Turtle:
                 self.statement()
         return list(self.triples)
 
+    def parse_whole(self) -> int:
+        """Read statement by statement; the end of the last whole one. What an unfinished one has begun is undone."""
+        end = 0
+        while self.peek()[0] != "end":
+            before = len(self.triples)
+            try:
+                if self.peek()[0] == "directive":
+                    self.directive()
+                else:
+                    self.statement()
+            except (ParseError, RecursionError, ValueError):
+                for t in list(self.triples)[before:]:
+                    del self.triples[t]
+                break
+            end = self.ends[self.at - 1]
+        return end
+
     def directive(self) -> None:
         v = self.take("directive")
         if v.lower().endswith("prefix"):
@@ -111,7 +138,30 @@ class _Turtle:
         if v.startswith("@"):
             self.take("mark", ".")
 
+    def block(self) -> None:
+        """Statements in braces; the last may do without a full stop."""
+        self.take("mark", "{")
+        while self.peek() != ("mark", "}"):
+            s = self.node()
+            if self.peek() not in (("mark", "."), ("mark", "}")):
+                self.predicates(s)
+            if self.peek() != ("mark", "}"):
+                self.take("mark", ".")
+        self.take("mark", "}")
+
     def statement(self) -> None:
+        if self.syntax == "trig":
+            named = self.peek()[0] == "word" and self.peek()[1].lower() == "graph"
+            if named:
+                self.at += 1
+            after = self.tokens[self.at + 1] if self.at + 1 < len(self.tokens) else ("end", "")
+            if named or after == ("mark", "{"):
+                self.node()
+            if named or self.peek() == ("mark", "{"):
+                self.block()
+                if self.peek() == ("mark", "."):
+                    self.at += 1
+                return
         if self.peek() == ("mark", "["):
             s = self.node()
             if self.peek() != ("mark", "."):
@@ -131,6 +181,9 @@ class _Turtle:
                 p = RDF + "type"
             elif k == "iri":
                 p = self.iri(self.take())
+            elif self.syntax == "n3" and (k, v) in SIGNS:
+                self.at += 1
+                p = SIGNS[k, v]
             else:
                 p = self.name(self.take("pname"))
             self.emit(s, p, self.node())
@@ -141,7 +194,7 @@ class _Turtle:
                 return
             while self.peek() == ("mark", ";"):
                 self.at += 1
-            if self.peek() in (("mark", "."), ("mark", "]"), ("end", "")):
+            if self.peek() in (("mark", "."), ("mark", "]"), ("mark", "}"), ("end", "")):
                 return
 
     def node(self) -> tuple:
@@ -163,8 +216,16 @@ class _Turtle:
             return text, "literal", XSD + "string"
         if k == "number":
             return v, "literal", XSD + ("double" if "e" in v.lower() else "decimal" if "." in v else "integer")
-        if k == "word" and v != "a":
+        if k == "word" and v in ("true", "false"):
             return v, "literal", XSD + "boolean"
+        if self.syntax == "n3" and k == "variable":
+            return self.names.setdefault(v, f"_:{self.graph}/v{v[1:]}"), "bnode"
+        if self.syntax == "n3" and (k, v) == ("mark", "{"):
+            self.at -= 1
+            asserted, self.triples = self.triples, {}
+            self.block()
+            self.triples = asserted
+            return self.fresh()
         if (k, v) in (("mark", "["), ("mark", "(")):
             self.depth += 1
             if self.depth > 200:
@@ -197,10 +258,29 @@ class _Turtle:
         return head
 
 
+#: Signs of N3 and what they stand for.
+SIGNS = {("mark", "="): OWL + "sameAs", ("mark", "=>"): "http://www.w3.org/2000/10/swap/log#implies", ("mark", "<="): "http://www.w3.org/2000/10/swap/log#isImpliedBy"}
+
+
 def parse_turtle(text: str, graph: str = "") -> list[tuple]:
     return _Turtle(text, graph).parse()
 
 
+def parse_trig(text: str, graph: str = "") -> list[tuple]:
+    return _Turtle(text, graph, syntax="trig").parse()
+
+
+def parse_n3(text: str, graph: str = "") -> list[tuple]:
+    return _Turtle(text, graph, syntax="n3").parse()
+
+
+def whole_statements(text: str, graph: str = "") -> tuple[int, list[tuple]]:
+    """Where the last whole statement of a text that breaks off ends, and the triples up to there."""
+    t = _Turtle(text, graph, whole=False)
+    end = t.parse_whole()
+    return end, list(t.triples)
+
+
 def parse_rdfxml(text: str, graph: str = "") -> list[tuple]:
     """RDF/XML: node and property elements, parse types, typed and plain literals, collections."""
     try:
@@ -308,25 +388,34 @@ def parse_owlxml(text: str, graph: str = "") -> list[tuple]:
     return list(out)
 
 
-PARSERS = {"turtle": parse_turtle, "xml": parse_rdfxml, "owlxml": parse_owlxml}
+PARSERS = {"turtle": parse_turtle, "xml": parse_rdfxml, "owlxml": parse_owlxml, "jsonld": parse_jsonld, "trig": parse_trig, "n3": parse_n3}
 
 
 def sniff(text: str) -> list[str]:
-    """Syntaxes to try, likeliest first."""
-    head = text.lstrip()[:2000]
+    """Syntaxes to try, likeliest first; N-Triples are Turtle."""
+    head = text.lstrip()[:4096]
+    rest = ["n3", "jsonld", "trig"]
     if head.startswith("<") and re.search(r"<(\?xml|!DOCTYPE|!--|[\w:]*RDF\b|Ontology\b|owl:)", head):
-        return ["owlxml", "xml", "turtle"] if "<Ontology" in head else ["xml", "owlxml", "turtle"]
-    return ["turtle", "xml", "owlxml"]
+        return ["owlxml", "xml", "turtle", *rest] if "<Ontology" in head else ["xml", "owlxml", "turtle", *rest]
+    if head.startswith(("{", "[")):
+        return ["jsonld", "turtle", "xml", "n3", "trig", "owlxml"]
+    return ["turtle", "xml", *rest, "owlxml"]
 
 
 def parse_any(text: str, graph: str = "", mode: str = "ladder", most: int = 64 << 20) -> tuple[str, list[tuple]]:
     """(status, triples): parsed, empty or unparseable; never raises.
 
     ``ladder`` tries Turtle, then RDF/XML and takes the first success, be it empty; ``nonempty`` goes on until there is a
-    triple, with OWL/XML last; ``sniff`` lets the text decide the order. Texts beyond ``most`` characters are unparseable.
+    triple, with OWL/XML last; ``sniff`` lets the text decide the order among all syntaxes, reads a blank text as empty and no more than ``most``
+    bytes of a text. In the other modes texts beyond ``most`` characters are unparseable.
     """
-    if text is None or len(text) > most:
+    if text is None or mode != "sniff" and len(text) > most:
         return "unparseable", []
+    if mode == "sniff":
+        if 4 * len(text) > most:
+            text = text.encode("utf-8", "replace")[:most].decode("utf-8", "replace")
+        if not text.strip():
+            return "empty", []
     order = {"ladder": ["turtle", "xml"], "nonempty": ["turtle", "xml", "owlxml"], "sniff": sniff(text)}[mode]
     seen_empty = False
     for name in order:
@@ -355,14 +444,14 @@ def triples(artefacts: DataFrame, mode: str = "ladder") -> DataFrame:
     return artefacts.select("graph_id", "text").mapInArrow(run, SCHEMA)
 
 
-def parse_status(artefacts: DataFrame, mode: str = "sniff") -> DataFrame:
-    """(graph_id, status, n_triples): no_ontology under 20 characters, else parsed, empty or unparseable."""
+def parse_status(artefacts: DataFrame, mode: str = "sniff", least: int = 20) -> DataFrame:
+    """(graph_id, status, n_triples): no_ontology under ``least`` characters, else parsed, empty or unparseable."""
     ship(artefacts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = [("no_ontology", []) if len((t or "").strip()) < 20 else parse_any(t, g or "", mode) for g, t in zip(ids, texts, strict=True)]
+            got = [("no_ontology", []) if len((t or "").strip()) < least else parse_any(t, g or "", mode) for g, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([s for s, _ in got]), pa.array([len(r) for _, r in got], pa.int64())], names=["graph_id", "status", "n_triples"])
 
     return artefacts.select("graph_id", "text").mapInArrow(run, "graph_id string, status string, n_triples long")
