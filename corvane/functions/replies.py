@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..sources.rdf import parse_any
-from .text import LOOSE_NAMES, STRICT_NAMES, chosen_block, fences, has_open_fence, looks_like_turtle, question_kind
+from ..sources.rdf import parse_any, whole_statements
+from .text import extracted_turtle, question_kind, stripped, with_banner
 
 # Names of the repairs, and prefixes that need no colon before them.
 QNAMES, HEADING, BARE, DROPPED = "normalized_standard_prefix_qnames", "commented_out_stray_semicolon_heading", "prefixed_bare_predicate", "dropped_incomplete_trailing_statement"
@@ -92,41 +92,122 @@ def signature(c: Column) -> Column:
     return F.struct(question_kind(c).alias("kind"), subject.alias("subject"), some(phrases(head), subject).alias("relation"))
 
 
-def diagnosis(c: Column) -> Column:
-    """Why nothing usable is in a reply."""
-    closed = F.exists(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]) & b["info"].isin(STRICT_NAMES + LOOSE_NAMES))
-    return F.when(F.trim(c) == "", "empty").when(closed, "unparseable").when(has_open_fence(c), "unterminated").when(~looks_like_turtle(c), "no_turtle").otherwise("not_fenced")
+# What makes a text plausibly Turtle, the least bytes of an artefact, and the lines that mark one that was cut short.
+MARKS, LEAST_BYTES = ["@prefix", "@base", " a owl:"], 50
+CUT_SHORT = ["ODPGEN-RECOVERED-FROM-TRUNCATED-RESPONSE", "The model's reply was truncated by the generation token budget.", "Recovered from raw_response.txt; the trailing axiom(s) are missing.", "Do NOT count this artefact as a complete generation."]
+# How a closed block begins on a line of its own, and what an open one has after it.
+CLOSED, OPEN_TAIL = r"(?s)```[ \t]*[A-Za-z0-9_+.-]*[ \t]*\r?\n(.*?)```", r"(?s)```[ \t]*[A-Za-z0-9_+.-]*[ \t]*\r?\n((?:(?!```).)*+)\z"
+# Why nothing was recovered.
+REASONS = ["raw_response_missing", "raw_response_empty", "no_turtle_content_in_raw_response", "unterminated_code_fence", "no_fenced_turtle_block", "extractor_returned_nothing", "extraction_fell_outside_closed_fences", "recovered_text_below_min_bytes", "recovered_text_does_not_parse", "recovered_text_not_better_than_original"]
+NO_REPLY, NO_TEXT, NO_TURTLE, UNTERMINATED, NOT_FENCED, NOTHING, OUTSIDE, TOO_SHORT, UNPARSEABLE, NOT_BETTER = REASONS
+
+
+def plausible(c: Column) -> Column:
+    return F.lower(c).rlike("|".join(m.replace(" ", "[ ]") for m in MARKS))
+
 
+def closed_blocks(c: Column) -> Column:
+    """Bodies of closed blocks that plausibly hold Turtle, longest first and the earlier of equally long ones."""
+    bodies = F.filter(F.transform(F.regexp_extract_all(c, F.lit(CLOSED), F.lit(1)), stripped), plausible)
+    return F.transform(F.sort_array(F.transform(bodies, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))), asc=False), lambda x: x["b"])
 
-def process(found: Column, stored: Column, parses: Column) -> Column:
-    """healthy, recovered, unrecoverable or skipped; a larger stored artefact is never traded for a smaller one."""
-    return F.when(parses, "healthy").when(found.isNull(), "unrecoverable").when(F.length(found) < F.length(stored), "skipped").otherwise("recovered")
 
+def cut_short(c: Column) -> Column:
+    """Whether a reply ends inside a block that plausibly holds Turtle: an odd number of fence marks, and Turtle after the last."""
+    parts = F.split(c, "```", -1)
+    return (F.size(parts) % 2 == 0) & plausible(F.element_at(parts, -1))
 
-def candidates(c: Column) -> Column:
-    """Texts to try, best first: the chosen block, closed Turtle blocks by length, the open tail cut to whole statements, the text itself."""
-    closed = F.filter(fences(c), lambda b: b["closed"] & looks_like_turtle(b["body"]))
-    by_length = F.transform(F.sort_array(F.transform(closed, lambda b: F.struct(F.length(b["body"]).alias("n"), b["body"].alias("b"))), asc=False), lambda x: x["b"])
-    open_ = F.transform(F.filter(fences(c), lambda b: ~b["closed"]), lambda b: _whole(b["body"]))
-    return F.array_distinct(F.array_compact(F.concat(F.array(chosen_block(c)), by_length, open_, F.array(_whole(c)))))
+
+def open_tail(c: Column) -> Column:
+    """The body of the block that a reply ends in, if it plausibly holds Turtle; else null."""
+    body = stripped(F.regexp_extract(c, OPEN_TAIL, 1))
+    return F.when(plausible(body), body)
+
+
+def diagnosis(c: Column) -> Column:
+    """Why nothing usable is in a reply."""
+    odd = F.size(F.split(c, "```", -1)) % 2 == 0
+    return (
+        F.when(c.isNull(), NO_REPLY).when(stripped(c) == "", NO_TEXT).when(F.size(closed_blocks(c)) > 0, UNPARSEABLE)
+        .when(odd, UNTERMINATED).when(~plausible(c), NO_TURTLE).otherwise(NOT_FENCED)
+    )
 
 
-def recovered(df: DataFrame, key: str, reply: str) -> DataFrame:
-    """(key, text, rank, n_triples): the first candidate of each reply that parses to some triple; null text if none does."""
+def recovered(df: DataFrame, key: str, reply: str, least: int = LEAST_BYTES, truncated: bool = False) -> DataFrame:
+    """(key, text, extractor, repaired, dropped_bytes, n_triples, partial, reason): what a reply holds that parses to some triple.
+
+    Tried are the extracted text and then the longest closed block, each as it stands and then repaired. Where closed blocks
+    exist, only one of them, word for word, is accepted; a reply that ends inside a block yields nothing, unless
+    ``truncated`` allows its tail up to the last whole statement, by the grammar and not by how a line ends. Such a text is ``partial`` and is
+    to be stored under ``CUT_SHORT`` (see ``stored_text``). Without a text, ``reason`` says why: of the last try if one was made, else of the reply.
+    """
     ship(df.sparkSession)
+    kind = dict(df.dtypes)[key]
+    c = F.col(reply)
+    x = df.select(key, c.alias("__r"), F.coalesce(extracted_turtle(c), F.lit("")).alias("__first"), closed_blocks(c).alias("__closed"), cut_short(c).alias("__cut"), open_tail(c).alias("__tail"), diagnosis(c).alias("__why"))
+    x = x.withColumn("__second", F.coalesce(F.get("__closed", 0), F.lit("")))
+    x = repaired(x, "__first").withColumnRenamed("fixed", "__fa").drop("repairs")
+    x = repaired(x, "__second").withColumnRenamed("fixed", "__fb").drop("repairs")
+    tries = F.array(*[F.struct(F.lit(name).alias("name"), F.col(t).alias("text"), stripped(F.col(f)).alias("fixed")) for name, t, f in (("extracted", "__first", "__fa"), ("longest_block", "__second", "__fb"))])
+    fenced = F.size("__closed") > 0
+    barred = lambda t: F.when(fenced & ~F.array_contains(F.col("__closed"), t["text"]), OUTSIDE).when(~fenced & F.col("__cut"), UNTERMINATED)
+    tries = F.transform(F.filter(tries, lambda t: t["text"] != ""), lambda t: F.struct(t["name"].alias("name"), t["text"].alias("text"), t["fixed"].alias("fixed"), barred(t).alias("barred")))
+    source = x.select(key, tries.alias("tries"), F.when(F.lit(truncated) & F.col("__cut") & ~fenced, F.col("__tail")).alias("tail"), "__why")
+
+    def parses(text: str) -> int:
+        return len(parse_any(text, "", "nonempty")[1]) if len(text.encode()) >= least else -1
+
+    def one(tries: list[dict], tail: str | None, why: str) -> tuple:
+        last, seen = None, set()
+        for t in tries:
+            if t["text"] in seen:
+                continue
+            seen.add(t["text"])
+            if t["barred"]:
+                last = last or t["barred"]
+                continue
+            for text, mended in ((t["text"], False), (t["fixed"], True)):
+                if mended and text in ("", t["text"]):
+                    continue
+                n = parses(text)
+                if n > 0:
+                    return text, t["name"], mended, len(t["text"].encode()) - len(text.encode()), n, False, None
+                last = UNPARSEABLE if n == 0 else last or TOO_SHORT
+                if n < 0:
+                    break
+        if tail:
+            end, rows = whole_statements(tail)
+            text = tail[:end].strip()
+            if rows and len(text.encode()) >= least:
+                return text, "open_tail", end < len(tail), len(tail.encode()) - len(text.encode()), len(rows), True, None
+            last = UNPARSEABLE
+        return None, None, False, 0, 0, False, why if why != UNPARSEABLE or last is None else last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for texts in batch.column(1).to_pylist():
-                hit = (None, None, 0)
-                for i, t in enumerate(texts or []):
-                    n = len(parse_any(t, "", "nonempty")[1])
-                    if n:
-                        hit = (t, i, n)
-                        break
-                out.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], names=[key, "text", "rank", "n_triples"])
-
-    source = df.select(key, candidates(F.col(reply)).alias("c"))
-    return source.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, text string, rank int, n_triples long")
+            out = [one(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(v), k) for v, k in zip(cols, kinds, strict=True))], names=[key, "text", "extractor", "repaired", "dropped_bytes", "n_triples", "partial", "reason"])
+
+    return source.mapInArrow(run, f"{key} {kind}, text string, extractor string, repaired boolean, dropped_bytes long, n_triples long, partial boolean, reason string")
+
+
+def stored_text(text: Column, partial: Column) -> Column:
+    """What is written: the text with a final line break, under the banner if it is partial and has none yet."""
+    whole = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.when(partial & ~F.ltrim(whole).startswith("# " + CUT_SHORT[0]), with_banner(whole, CUT_SHORT)).otherwise(whole)
+
+
+def decided(state: Column, size: Column, found: Column, reason: Column, keep_unparseable: bool = True) -> Column:
+    """(status, reason) of a stored artefact: healthy, recovered, unrecoverable, or skipped_unparseable.
+
+    ``state`` is that of the stored text (ok, missing, empty, too_small, unparseable) and ``size`` its bytes. One that is whole but
+    does not parse is the model's own failure and is skipped unless something that parses was found; it is never traded for a smaller one.
+    """
+    bad = state == "unparseable"
+    lost = found.isNull()
+    worse = bad & (F.octet_length(found) <= size)
+    status = F.when(state == "ok", "healthy").when(bad & lost & F.lit(keep_unparseable), "skipped_unparseable").when(lost | worse, "unrecoverable").otherwise("recovered")
+    why = F.when(state == "ok", F.lit(None).cast("string")).when(lost, F.coalesce(reason, F.lit(NOTHING))).when(worse, NOT_BETTER)
+    return F.struct(status.alias("status"), why.alias("reason"))

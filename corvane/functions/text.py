@@ -151,10 +151,20 @@ def tags(c: Column, themes: dict[str, list[str]]) -> Column:
     return F.filter(F.array(*hit), lambda x: x.isNotNull())
 
 
+# How a fenced block is written (info, body, closing mark), what only Turtle holds, how a directive begins, and how a line of bare Turtle begins.
+FENCE = r"(?s)```[ \t]*([A-Za-z0-9_.+-]*)[ \t]*\r?\n?(.*?)(```|\z)"
+TURTLE_SIGN, DIRECTIVE = r"(?i)@prefix\b|\sa\s+owl:", r"(?i)^@?(?:prefix|base)\b"
+BARE_STARTS = ["@prefix", "@base", "prefix ", "base ", "<http://", "<https://"]
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
 def fences(c: Column) -> Column:
     """(info, body, closed) of every fenced block in order; the last may be open."""
-    pattern = r"(?s)```[ \t]*([A-Za-z0-9_.+-]*)[ \t]*\r?\n?(.*?)(```|\z)"
-    part = lambda g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
+    part = lambda g: F.regexp_extract_all(c, F.lit(FENCE), F.lit(g))
     zipped = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))
     return F.transform(zipped, lambda z: F.struct(F.lower(z["a"]).alias("info"), z["b"].alias("body"), (z["c"] != "").alias("closed")))
 
@@ -164,32 +174,47 @@ def has_open_fence(c: Column) -> Column:
 
 
 def looks_like_turtle(c: Column) -> Column:
-    return c.rlike(r"(?i)@prefix\b|\sa\s+owl:")
+    return c.rlike(TURTLE_SIGN)
 
 
 def has_statement(c: Column) -> Column:
     """Whether some line is neither blank, nor a comment, nor a directive."""
-    return F.exists(F.split(c, r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.trim(x).rlike(r"(?i)^@?(?:prefix|base)\b"))
+    return F.exists(F.split(c, r"\r\n|\r|\n"), lambda x: (stripped(x) != "") & ~stripped(x).startswith("#") & ~stripped(x).rlike(DIRECTIVE))
 
 
 def chosen_block(c: Column, strict: list[str] | None = None, loose: list[str] | None = None) -> Column:
-    """The first block that names its language and states something; else the longest unnamed one that looks like Turtle (the first of equals)."""
+    """The body, without white space at its ends, of the fenced block that is taken for the artefact; null if none looks like it.
+
+    Blocks that state something go before those of directives only. Among them the first whose name is a Turtle name wins; else the
+    longest without a telling name; else the longest of any name. The first of equally long ones counts.
+    """
     strict, loose = strict or STRICT_NAMES, loose or LOOSE_NAMES
-    usable = F.filter(fences(c), lambda b: looks_like_turtle(b["body"]) & has_statement(b["body"]))
-    named = F.filter(usable, lambda b: b["info"].isin(strict))
-    other = F.filter(usable, lambda b: b["info"].isin(loose))
-    longest = F.array_max(F.transform(other, lambda b, i: F.struct(F.length(b["body"]).alias("n"), (-i).alias("i"), b["body"].alias("body"))))
-    return F.coalesce(F.get(named, 0)["body"], longest["body"])
+    blocks = F.transform(F.filter(fences(c), lambda b: looks_like_turtle(b["body"])), lambda b: F.struct(b["info"].alias("info"), stripped(b["body"]).alias("body"), has_statement(b["body"]).alias("says")))
+
+    def pick(found: Column) -> Column:
+        pool = F.when(F.exists(found, lambda b: b["says"]), F.filter(found, lambda b: b["says"])).otherwise(found)
+        longest = lambda bs: F.array_max(F.transform(bs, lambda b, i: F.struct(F.length(b["body"]).alias("n"), (-i).alias("i"), b["body"].alias("body"))))["body"]
+        return F.coalesce(F.get(F.filter(pool, lambda b: b["info"].isin(strict)), 0)["body"], longest(F.filter(pool, lambda b: b["info"].isin(loose))), longest(pool))
+
+    return F.get(F.transform(F.array(blocks), pick), 0)
 
 
 def extracted_turtle(c: Column) -> Column:
-    """The artefact in a reply: the chosen block; an open block's body; without a fence, the lines from the first directive to the last that ends a statement. Else null."""
-    open_ = F.get(F.filter(fences(c), lambda b: ~b["closed"] & looks_like_turtle(b["body"])), 0)["body"]
-    lines = F.split(c, r"\r\n|\r|\n")
-    first = F.array_min(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(r"(?i)^@?(?:prefix|base)\b"), i)))
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(F.trim(x).endswith("."), i)))
-    tail = F.when((F.size(fences(c)) == 0) & first.isNotNull() & (last >= first), F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
-    return F.coalesce(chosen_block(c), open_, tail)
+    """The artefact in a reply: the chosen block, be it open; where no block looks like Turtle, the text from the first line that begins like it. Else null.
+
+    Prose, and the body of a block that holds something else, are never taken: nothing is better than what only looks like a result.
+    """
+    lines = F.split(stripped(c), r"\r\n|\r|\n")
+
+    def begins(x: Column) -> Column:
+        low = F.lower(stripped(x))
+        typed = low.startswith(":") & (low.contains(" a owl:") | low.contains(" a rdf:"))
+        return typed | F.array_contains(F.transform(F.array(*map(F.lit, BARE_STARTS)), lambda m: low.startswith(m)), True)
+
+    first = F.array_min(F.transform(lines, lambda x, i: F.when(begins(x), i)))
+    bare = stripped(F.array_join(F.slice(lines, first + 1, F.size(lines) - first), "\n"))
+    bare = stripped(F.regexp_replace(F.regexp_replace(bare, r"^```[a-zA-Z0-9_-]*\s*", ""), r"\s*```\z", ""))
+    return F.coalesce(chosen_block(c), F.when(first.isNotNull(), bare))
 
 
 def truncation_signals(finish: Column, text: Column, dropped: Column | None = None) -> Column:

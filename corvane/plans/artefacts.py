@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import replies as Y
+from ..functions import scores as S
 from ..functions import text as X
 from ..operators import audits as A
 from ..session import scratch_path
@@ -58,7 +59,7 @@ def _replies(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_REPLY.replace("\n", "\\n")).alias("r"))
 
 
-@_add("str_diagnose_raw", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'unparseable' ELSE 'unterminated' END AS reason FROM conversations")
+@_add("str_diagnose_raw", f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '{Y.UNPARSEABLE}' ELSE '{Y.UNTERMINATED}' END AS reason FROM conversations")
 def diagnose_raw(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", Y.diagnosis(c("r")).alias("reason"))
 
@@ -79,35 +80,64 @@ def repair_turtle(spark, sf_dir):
     return Y.repaired(b, "block").select("conv_id", "turn", "fixed", F.array_join("repairs", ",").alias("repairs"))
 
 
-@_add("str_recover", "SELECT conv_id || ':' || turn AS graph_id, CASE WHEN turn % 4 < 3 THEN '@prefix : <http://e/> .' || chr(10) || ':a a :B .' || chr(10) || ':a :says :c .' END AS text, CASE WHEN turn % 4 < 3 THEN 2 ELSE 0 END::BIGINT AS n_triples FROM conversations")
+_HEAD = "@prefix : <http://e/> .\n@prefix owl: <http://www.w3.org/2002/07/owl#> .\n"
+_GOOD = _HEAD + ":a a owl:Class .\n:a :says :c ."
+_BARE, _WRONG = _HEAD + ":a a owl:Class ;\n  :says :c\n  ; ", _HEAD + ":a nonsense .\n:a :says :c ."
+#: Nine kinds of replies by conv_id + turn, the decision about what is stored beside them, and the reason if nothing is taken from them.
+_KINDS = [
+    ("```turtle\n" + _GOOD + "\n```", "recovered", None), ("See ```turtle ... ``` below\n```turtle\n" + _GOOD + "\n```", "recovered", None), ("```turtle\n" + _GOOD + "\n:d :e", "unrecoverable", Y.UNTERMINATED),
+    ("no artefact", "unrecoverable", Y.NO_TURTLE), (" ", "unrecoverable", Y.NO_TEXT), ("```turtle\n" + _BARE + "says :d .\n```", "recovered", None), ("```turtle\n" + _WRONG + "\n```", "unrecoverable", Y.UNPARSEABLE),
+    (_GOOD + "\nand words", "recovered", None), ("```turtle\n@prefix : <x> .\n```", "unrecoverable", Y.UNPARSEABLE),
+]
+
+
+def _kind_sql(pick) -> str:
+    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {i} THEN {quoted(pick(i, *k))}" for i, k in enumerate(_KINDS)) + " END"
+
+
+def _stored(spark, sf_dir):
+    """Replies of nine kinds around each turn's text, and what is stored beside them: a whole artefact, three bytes, or a text that does not parse."""
+    x = read(spark, sf_dir, "conversations")
+    reply = F.element_at(F.array(*[F.lit(k[0]) for k in _KINDS]), ((c("conv_id") + c("turn")) % 9 + 1).cast("int"))
+    k = c("turn") % 4
+    text = F.when(k == 0, _GOOD).when(k == 1, "...").when(k == 2, F.concat(F.lit("@prefix : <http://e/> . :a :b "), F.repeat(F.lit("word "), 60))).otherwise(F.concat(F.lit("@prefix : <http://e/> . :a :b "), F.repeat(F.lit("word "), 8)))
+    return x.select(F.concat_ws(":", "conv_id", "turn").alias("graph_id"), "conv_id", "turn", "role", text.alias("text"), reply.alias("reply"))
+
+
+_MENDED = _BARE + ":says :d ."
+
+
+@_add("str_recover", f"""SELECT conv_id || ':' || turn AS graph_id, {_kind_sql(lambda i, r, d, why: (_MENDED if i == 5 else _GOOD) if d == 'recovered' else None)} AS text, {_kind_sql(lambda i, r, d, why: 'extracted' if d == 'recovered' else None)} AS extractor,
+ (conv_id + turn) % 9 IN (5, 7) AS repaired, ({_kind_sql(lambda i, r, d, why: (3 if i == 5 else 2) if d == 'recovered' else 0)})::BIGINT AS n_triples, {_kind_sql(lambda i, r, d, why: Y.TOO_SHORT if i == 8 else why)} AS reason FROM conversations""")
 def recover(spark, sf_dir):
-    """The first candidate of every reply that parses: from a closed block, or an open one cut to whole statements."""
-    return Y.recovered(_stored(spark, sf_dir), "graph_id", "reply").select("graph_id", F.trim(F.regexp_replace("text", "\\n$", "")).alias("text"), "n_triples")
+    """What every reply still holds: a closed block word for word, or that block repaired; else the reason."""
+    return Y.recovered(_stored(spark, sf_dir), "graph_id", "reply").select("graph_id", "text", "extractor", "repaired", "n_triples", "reason")
 
 
-@_add("str_process_dir", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'healthy' WHEN turn % 3 = 1 THEN 'unrecoverable' WHEN turn % 2 = 0 THEN 'skipped' ELSE 'recovered' END AS decision FROM conversations")
-def process_dir(spark, sf_dir):
-    found = F.when(c("turn") % 3 != 1, F.lit("abc"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", Y.process(found, F.when(c("turn") % 2 == 0, "abcd").otherwise("ab"), c("turn") % 3 == 0).alias("decision"))
+def _decisions(spark, sf_dir):
+    x = _stored(spark, sf_dir)
+    found = Y.recovered(x, "graph_id", "reply").select("graph_id", c("text").alias("found"), "reason")
+    stored = rdf.parse_status(x.select("graph_id", "text"), "ladder", 0).select("graph_id", "status")
+    state = S.damage_state(c("text").isNotNull(), F.octet_length("text"), c("status") == "parsed")
+    return x.join(found, "graph_id").join(stored, "graph_id").withColumn("d", Y.decided(state, F.octet_length("text"), c("found"), c("reason"))).select("conv_id", "turn", "role", c("d.status").alias("decision"), c("d.reason").alias("reason"))
 
 
-_GOOD = "@prefix : <http://e/> .\n:a a :B .\n:a :says :c ."
+_DECIDED = f"""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN 'healthy' WHEN turn % 4 = 1 THEN d WHEN d <> 'recovered' THEN 'skipped_unparseable' WHEN turn % 4 = 2 THEN 'unrecoverable' ELSE 'recovered' END AS decision,
+ CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 4 = 2 AND d = 'recovered' THEN '{Y.NOT_BETTER}' ELSE why END AS reason
+ FROM (SELECT *, {_kind_sql(lambda i, r, d, why: d)} AS d, {_kind_sql(lambda i, r, d, why: Y.TOO_SHORT if i == 8 else why)} AS why FROM conversations)"""
 
 
-def _stored(spark, sf_dir):
-    """Stored artefacts with their replies: healthy, half written, larger than what the reply holds, and without anything in the reply."""
-    k = c("turn") % 4
-    x = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("graph_id"), "role", k.alias("k"))
-    return x.select("graph_id", "role", F.when(c("k") == 0, _GOOD).when(c("k") == 2, F.repeat(F.lit("not an artefact "), 20)).otherwise("half").alias("text"), F.when(c("k") == 3, "no artefact").otherwise(F.concat(F.lit("See:\n```turtle\n" + _GOOD), F.when(c("k") == 1, "\n```").otherwise("\n:d :e"))).alias("reply"))
+@_add("str_process_dir", f"SELECT conv_id, turn, decision, reason FROM ({_DECIDED})")
+def process_dir(spark, sf_dir):
+    """What becomes of every stored artefact, by its state and what its reply holds."""
+    return _decisions(spark, sf_dir).drop("role")
 
 
-@_add("agg_recovery", "SELECT role, CASE turn % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'recovered' WHEN 2 THEN 'skipped' ELSE 'unrecoverable' END AS decision, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((2), (role, 2))")
+@_add("agg_recovery", f"SELECT role, decision, reason, count(*) AS n FROM ({_DECIDED}) GROUP BY GROUPING SETS ((decision, reason), (role, decision, reason))")
 def recovery(spark, sf_dir):
-    """What becomes of stored artefacts, by parsing them and what their replies still hold; in all and by role."""
-    x = _stored(spark, sf_dir)
-    found, stored = Y.recovered(x, "graph_id", "reply").select("graph_id", c("text").alias("found")), rdf.parse_status(x.select("graph_id", "text")).select("graph_id", "status")
-    d = x.join(found, "graph_id").join(stored, "graph_id").withColumn("decision", Y.process(c("found"), c("text"), c("status") == "parsed"))
-    return d.groupingSets([["decision"], ["role", "decision"]], "role", "decision").agg(F.count("*").alias("n"))
+    """How many artefacts come to each decision, and why; in all and by role."""
+    return _decisions(spark, sf_dir).groupingSets([["decision", "reason"], ["role", "decision", "reason"]], "role", "decision", "reason").agg(F.count("*").alias("n"))
 
 
 @_add("str_validate_turtle", "SELECT conv_id, turn, turn % 3 = 0 AS ok, CASE WHEN turn % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_triples, CASE turn % 3 WHEN 1 THEN 'empty' WHEN 2 THEN 'unparseable' END AS error FROM conversations")
@@ -120,13 +150,10 @@ def validate_turtle(spark, sf_dir):
     return x.join(s, "graph_id").select("conv_id", "turn", ok.alias("ok"), "n_triples", F.when(~ok, c("status")).alias("error"))
 
 
-@_add("str_fallback_extract", "SELECT conv_id, turn, turn % 3 < 2 AS found, CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS rank FROM conversations")
+@_add("str_fallback_extract", f"SELECT conv_id, turn, {_kind_sql(lambda i, r, d, why: _GOOD if i == 0 else _BARE + 'says :d .' if i == 5 else _WRONG if i == 6 else '@prefix : <x> .' if i == 8 else None)} AS block FROM conversations")
 def fallback_extract(spark, sf_dir):
-    """The first candidate of a reply that parses: the chosen block, or an open block up to its last whole statement."""
-    k = c("turn") % 3
-    r = F.when(k == 0, F.lit("```turtle\n" + _GOOD + "\n```")).when(k == 1, F.lit("```turtle\n" + _GOOD + "\n:a :b")).otherwise(c("text"))
-    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("k"), r.alias("r"))
-    return x.join(Y.recovered(x, "k", "r"), "k").select("conv_id", "turn", c("rank").isNotNull().alias("found"), "rank")
+    """The longest closed block of a reply that plausibly holds Turtle."""
+    return _stored(spark, sf_dir).select("conv_id", "turn", F.get(Y.closed_blocks(c("reply")), 0).alias("block"))
 
 
 @_add("str_extract_ontology", "SELECT conv_id, turn, turn % 2 = 1 AS dropped, CASE WHEN turn % 2 = 1 THEN 'open_fence,dropped_statement' ELSE '' END AS signals, CASE WHEN turn % 2 = 1 THEN 'dropped_incomplete_trailing_statement' ELSE '' END AS repairs FROM conversations")

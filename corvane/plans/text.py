@@ -211,10 +211,33 @@ def turtle_tests(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", X.looks_like_turtle(r).alias("signature"), X.has_statement(r).alias("statement"), X.has_open_fence(r).alias("open_fence"))
 
 
-@_add("win_first_or_longest_block", f"SELECT conv_id, turn, regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1) AS block FROM conversations")
+#: Replies of twelve kinds by conv_id + turn, around the turn's text, and what is taken for the artefact.
+_TTL = "@prefix : <http://e/> .\n@prefix owl: <http://www.w3.org/2002/07/owl#> .\n:A a owl:Class ."
+_ONLY, _TAB = "@prefix : <http://e/> .\n# only this", "| what | :A a owl:Class and much more of it |\n" * 5
+_FORMS = [
+    ("Sure.\n```turtle\n" + _TTL + "\n```\nDone.", _TTL), ("Wrapped in ```turtle ... ``` as asked.\n```turtle\n" + _TTL + "\n```", _TTL), ("```turtle\n" + _ONLY + "\n```\n```turtle\n" + _TTL + "\n```", _TTL), ("```turtle\n" + _TTL + "\n```\n```\n" + _TAB + "```", _TTL),
+    ("```turtle\n" + _ONLY + "\n```", _ONLY), ("```python\n" + _TTL + "\n```", _TTL), ("```turtle\n" + _TTL + "\n:B a", _TTL + "\n:B a"), ("Classes:\n:Foo a owl:Class .", ":Foo a owl:Class ."),
+    ("So:\n  <http://e/a> a <http://e/B> .", "<http://e/a> a <http://e/B> ."), ("Here:\n" + _TTL + "\n```", _TTL), ("```sparql\nASK { ?x ?p ?y }\n```\n" + _TTL, _TTL), ("- :Foo is a class\n```\n...\n```", None),
+]
+#: Those whose artefact is not in a block.
+_UNFENCED = (7, 8, 9, 10, 11)
+
+
+def _formed(spark, sf_dir):
+    reply = F.element_at(F.array(*[F.lit(r) for r, _ in _FORMS]), ((F.col("conv_id") + F.col("turn")) % 12 + 1).cast("int"))
+    words = F.regexp_replace("text", r"[`@\r\n:<]", " ")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("As for: "), words, F.lit("\n"), reply).alias("r"))
+
+
+def _formed_sql(skip=()) -> str:
+    quoted = lambda v: "NULL" if v is None else "'" + v.replace("\n", "' || chr(10) || '") + "'"
+    return "CASE (conv_id + turn) % 12 " + " ".join(f"WHEN {i} THEN {quoted(None if i in skip else x)}" for i, (_, x) in enumerate(_FORMS)) + " END"
+
+
+@_add("win_first_or_longest_block", f"SELECT conv_id, turn, {_formed_sql(_UNFENCED)} AS block FROM conversations")
 def chosen_block(spark, sf_dir):
     """The fenced block that is taken for the artefact in every reply."""
-    return _replies(spark, sf_dir).select("conv_id", "turn", X.chosen_block(F.col("r")).alias("block"))
+    return _formed(spark, sf_dir).select("conv_id", "turn", X.chosen_block(F.col("r")).alias("block"))
 
 
 @_add("pred_classify_cq", r"""
@@ -231,12 +254,10 @@ def dedup_ordered(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
 
 
-@_add("str_extract_turtle", f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN sha256('@prefix a: <x> .' || chr(10) || 'a:b a owl:Class .') ELSE sha256(regexp_extract({_REPLY_SQL}, '(?s)^reply ```turtle.(.*?)(```)?$', 1)) END AS block FROM conversations")
+@_add("str_extract_turtle", f"SELECT conv_id, turn, {_formed_sql()} AS block FROM conversations")
 def extract_turtle(spark, sf_dir):
-    """What is taken for the artefact in every reply: the chosen block, or without fences the lines from the first directive."""
-    bare = F.concat(F.lit("Here it is:\n@prefix a: <x> .\na:b a owl:Class ."))
-    r = _replies(spark, sf_dir).withColumn("r", F.when(F.col("turn") % 5 == 4, bare).otherwise(F.col("r")))
-    return r.select("conv_id", "turn", F.sha2(X.extracted_turtle(F.col("r")), 256).alias("block"))
+    """What is taken for the artefact in every reply: the chosen block, or without one the text from the first line that begins like it."""
+    return _formed(spark, sf_dir).select("conv_id", "turn", X.extracted_turtle(F.col("r")).alias("block"))
 
 
 @_add("str_truncation_verdict", """

@@ -25,16 +25,64 @@ def test_repairs(spark):
     assert out[1].repairs == [] and out[2].fixed == "" and out[3].fixed == "no end"
 
 
-def test_blocks_and_recovery(spark):
-    ttl = "@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n:A a owl:Class .\n"
-    texts = [f"wrapped in ```turtle ... ``` please\n```turtle\n{ttl}```", f"```\n| table | with a owl:Class and much more text than the rest of it |\n```\n```ttl\n{ttl}```", f"```turtle\n{ttl}:B a owl:Cl", "Sorry.", "", f"```sparql\nASK {{ ?x a owl:Class }}\n```\n{ttl}"]
+TTL = "@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n:A a owl:Class ."
+TABLE = "| question | axiom |\n" + "| what | :A a owl:Class and much more of it |\n" * 5
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        (f"Sure.\n```turtle\n{TTL}\n```\nDone.", TTL),
+        (f"It is wrapped in ```turtle ... ``` as asked.\n```turtle\n{TTL}\n```", TTL),  # the echoed instruction
+        (f"```turtle\n@prefix : <http://e/> .\n# only this\n```\n```turtle\n{TTL}\n```", TTL),
+        (f"```turtle\n{TTL}\n```\n```\n{TABLE}```", TTL),
+        (f"```\n{TABLE}```\n```ttl\n{TTL}\n```", TTL),
+        ("```turtle\n@prefix : <http://e/> .\n```", "@prefix : <http://e/> ."),  # directives only, and nothing else
+        (f"```python\n{TTL}\n```", TTL),  # another name
+        (f"```python\n{TTL} # longer\n```\n```text\n{TTL}\n```", TTL),
+        (f"```turtle\n{TTL}\n:B a owl:Cl", TTL + "\n:B a owl:Cl"),  # open
+        (":Foo a owl:Class .\n:Bar a owl:Class .", ":Foo a owl:Class .\n:Bar a owl:Class ."),
+        ("The answer:\n  <http://e/a> a <http://e/B> .\nThat is all.", "<http://e/a> a <http://e/B> .\nThat is all."),
+        (f"Here it is:\n{TTL}\n```", TTL),
+        (f"```sparql\nASK {{ ?x ?p ?y }}\n```\n{TTL}", TTL),
+        ("- :Foo is a class\n- :Bar is another", None),
+        ("```\n...\n```", None),
+        ("Sorry, I cannot.", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_extraction(spark, reply, want):
+    assert rows(spark, [reply]).select(X.extracted_turtle(F.col("t")).alias("x")).first().x == want
+
+
+def test_recovery_accepts_only_what_stands_in_a_closed_block(spark):
+    cut = f'```turtle\n{TTL}\n:B :says "stops here.\nand"; :p "cut'
+    texts = [
+        f"```turtle\n{TTL}\n```", f"```\n{TABLE}```\n```ttl\n{TTL}\n```", cut, "Sorry.", " ", f"{TTL}\nbare, and no fence", f"```turtle\n{TTL[:-1]};\n  :p :q\n  ; has_method :m .\n```",
+        "```turtle\n@prefix : <x> .\n```", f"```turtle\n{TTL}\n``` and ```turtle\n{TTL} :cut", None, f"```turtle\n{TTL}\n:A nonsense .\n```",
+    ]
     df = rows(spark, texts)
-    blocks = {r.i: r.b for r in df.select("i", X.chosen_block(F.col("t")).alias("b")).collect()}
-    assert blocks[0] == ttl and blocks[1] == ttl and blocks[3] is None
-    got = {r.i: r.n_triples for r in Y.recovered(df, "i", "t").collect()}
-    assert got == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    got = {r.i: r for r in Y.recovered(df, "i", "t").collect()}
+    assert (got[0].text, got[0].extractor, got[0].n_triples, got[0].reason) == (TTL, "extracted", 1, None)
+    assert got[1].text == TTL and got[6].repaired and got[6].n_triples == 3 and got[6].text == TTL[:-1] + ";\n  :p :q\n  ; :has_method :m ."
+    assert [got[i].reason for i in (2, 3, 4, 7, 9, 10)] == [Y.UNTERMINATED, Y.NO_TURTLE, Y.NO_TEXT, Y.TOO_SHORT, Y.NO_REPLY, Y.UNPARSEABLE]
+    assert got[8].text == TTL  # the closed block and not the tail
+    assert got[5].text == TTL and got[5].repaired  # bare Turtle with words after it
+    assert got[8].extractor == "extracted"
+    part = {r.i: r for r in Y.recovered(df, "i", "t", truncated=True).collect()}
+    assert (part[2].text, part[2].partial, part[2].extractor, part[2].n_triples) == (TTL, True, "open_tail", 1) and part[2].dropped_bytes > 20
+    stored = spark.createDataFrame([(part[2].text, True), (TTL, False), ("# " + Y.CUT_SHORT[0] + "\n" + TTL, True)], "t string, p boolean").select(Y.stored_text(F.col("t"), F.col("p")).alias("s")).collect()
+    assert [r.s.startswith("# " + Y.CUT_SHORT[0]) for r in stored] == [True, False, True] and stored[2].s.count(Y.CUT_SHORT[0]) == 1
     why = [r.d for r in df.orderBy("i").select(Y.diagnosis(F.col("t")).alias("d")).collect()]
-    assert why == ["unparseable", "unparseable", "unterminated", "no_turtle", "empty", "not_fenced"]
+    assert why == [Y.UNPARSEABLE, Y.UNPARSEABLE, Y.UNTERMINATED, Y.NO_TURTLE, Y.NO_TEXT, Y.NOT_FENCED, Y.UNPARSEABLE, Y.UNPARSEABLE, Y.UNPARSEABLE, Y.NO_REPLY, Y.UNPARSEABLE]
+
+
+def test_decisions_about_stored_artefacts(spark):
+    rows_ = [("ok", 100, None, None), ("missing", 0, TTL, None), ("too_small", 3, None, Y.NO_TURTLE), ("unparseable", 9, TTL, None), ("unparseable", 9000, TTL, None), ("unparseable", 90, None, Y.UNPARSEABLE)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "i int, state string, size int, found string, reason string").orderBy("i")
+    got = [(r.d.status, r.d.reason) for r in df.select(Y.decided(*[F.col(k) for k in ("state", "size", "found", "reason")]).alias("d")).collect()]
+    assert got == [("healthy", None), ("recovered", None), ("unrecoverable", Y.NO_TURTLE), ("recovered", None), ("unrecoverable", Y.NOT_BETTER), ("skipped_unparseable", Y.UNPARSEABLE)]
 
 
 def test_signature(spark):
