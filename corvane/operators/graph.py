@@ -156,18 +156,29 @@ def cone(t: DataFrame) -> DataFrame:
 
 def endpoints(t: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """(graph_id, prop, side, end): declared domains and ranges, also of super-properties; hubs and Thing are open, datatypes literal."""
-    own = t.filter(c("p").isin(DOMAIN, RANGE)).select("graph_id", c("s").alias("prop"), F.when(c("p") == DOMAIN, "domain").otherwise("range").alias("side"), c("o").alias("end"))
+    own = t.filter(c("p").isin(DOMAIN, RANGE) & (c("o_kind") == "iri")).select("graph_id", c("s").alias("prop"), F.when(c("p") == DOMAIN, "domain").otherwise("range").alias("side"), c("o").alias("end"))
     above = superproperties(t).select("graph_id", c("a").alias("sub"), c("b").alias("prop"))
     inherited = own.join(above, ["graph_id", "prop"]).select("graph_id", c("sub").alias("prop"), "side", "end")
-    hubs = (universal_hubs(t) if hubs is None else hubs).select("graph_id", c("term").alias("end"), F.lit(True).alias("hub"))
-    end = F.when((c("end") == OWL + "Thing") | c("hub"), ANY).when(c("end").startswith(XSD) | c("end").isin(RDFS + "Literal", RDF + "langString"), LITERAL).otherwise(c("end"))
-    return _union(own, inherited).join(hubs, ["graph_id", "end"], "left").select("graph_id", "prop", "side", end.alias("end")).distinct()
+    hubs = universal_hubs(t) if hubs is None else hubs
+    return opened(_union(own, inherited), "end", hubs).distinct()
 
 
-def lift(t: DataFrame, view: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
-    """(graph_id, a, p, b): schema edges: every domain with every range; an inverse and a symmetric property turn them round."""
+def opened(df: DataFrame, end: str, hubs: DataFrame) -> DataFrame:
+    """``df`` (with graph_id) with its ends as nodes of the schema: hubs and Thing are open, datatypes literal."""
+    hub = hubs.select("graph_id", c("term").alias(end), F.lit(True).alias("__hub"))
+    as_node = F.when((c(end) == OWL + "Thing") | c("__hub"), ANY).when(c(end).contains("XMLSchema"), LITERAL).otherwise(c(end))
+    return df.join(hub, ["graph_id", end], "left").withColumn(end, as_node).select(*df.columns)
+
+
+def lift(t: DataFrame, view: DataFrame | None = None, ends: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
+    """(graph_id, a, p, b): schema edges: every domain with every range; an inverse and a symmetric property turn them round.
+
+    A class expression ties what stands beside it (below or above it, or as its equivalent) by each of its properties to each of its named fillers, to
+    an open end without one. All ends are nodes in the sense of ``opened``.
+    """
+    hubs = materialize(universal_hubs(t)) if hubs is None else hubs
     props = (schema_view(t) if view is None else view).filter("role <> 'class'").select("graph_id", c("term").alias("prop"), "role")
-    ends = materialize(endpoints(t)) if ends is None else ends  # read twice
+    ends = materialize(endpoints(t, hubs)) if ends is None else ends  # read twice
     side = lambda s: ends.filter(c("side") == s).select("graph_id", "prop", c("end").alias(s))
     e = props.join(side("domain"), ["graph_id", "prop"], "left").join(side("range"), ["graph_id", "prop"], "left")
     edges = e.select("graph_id", F.coalesce("domain", F.lit(ANY)).alias("a"), c("prop").alias("p"), F.coalesce("range", F.when(c("role") == "dataprop", LITERAL).otherwise(ANY)).alias("b"))
@@ -175,11 +186,13 @@ def lift(t: DataFrame, view: DataFrame | None = None, ends: DataFrame | None = N
     inv = _union(inv, inv.select("graph_id", c("q").alias("p"), c("p").alias("q")))
     sym = t.filter((c("p") == TYPE) & (c("o") == OWL + "SymmetricProperty")).select("graph_id", c("s").alias("p"), c("s").alias("q"))
     turned = edges.join(_union(inv, sym).distinct(), ["graph_id", "p"]).select("graph_id", c("b").alias("a"), c("q").alias("p"), c("a").alias("b"))
-    cell = t.filter(c("p").isin(OWL + "onProperty", OWL + "someValuesFrom", OWL + "allValuesFrom", OWL + "onClass")).groupBy("graph_id", c("s").alias("x")).agg(
-        F.min(F.when(c("p") == OWL + "onProperty", c("o"))).alias("p"), F.min(F.when((c("p") != OWL + "onProperty") & (c("o_kind") == "iri"), c("o"))).alias("f")
-    )
-    holder = _union(t.filter(c("p").isin(SUB, EQUIVALENT)).select("graph_id", c("s").alias("a"), c("o").alias("x")), t.filter(c("p") == SUB).select("graph_id", c("o").alias("a"), c("s").alias("x")))
-    restricted = holder.join(cell.filter("p is not null"), ["graph_id", "x"]).select("graph_id", "a", "p", F.coalesce("f", F.lit(ANY)).alias("b"))
+    named = t.filter("o_kind = 'iri'")
+    on = named.filter(c("p") == OWL + "onProperty").select("graph_id", c("s").alias("x"), c("o").alias("p")).distinct()
+    fill = named.filter(c("p").isin([f for f in FILLERS if f != OWL + "hasValue"])).select("graph_id", c("s").alias("x"), c("o").alias("b")).distinct()
+    under = t.filter(c("p").isin(SUB, EQUIVALENT) & (c("s_kind") == "iri")).select("graph_id", c("s").alias("a"), c("o").alias("x"))
+    over = named.filter((c("p") == SUB) & (c("s_kind") == "bnode")).select("graph_id", c("o").alias("a"), c("s").alias("x"))
+    tied = _union(under, over).join(on, ["graph_id", "x"]).join(fill, ["graph_id", "x"], "left").select("graph_id", "a", "p", F.coalesce("b", F.lit(ANY)).alias("b"))
+    restricted = opened(opened(tied, "a", hubs), "b", hubs)
     return _union(edges, turned, restricted).distinct()
 
 

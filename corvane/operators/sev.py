@@ -64,7 +64,7 @@ class Schema:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(G.lift(self.triples, self.view, self.ends))
+        return materialize(G.lift(self.triples, self.view, self.ends, self.hubs))
 
 
 def _in_pool(kind: Column, role: Column) -> Column:

@@ -89,3 +89,16 @@ def test_replication_and_order_do_not_matter(spark):
     assert one[0] == one[1] and 0 < one[0].score <= 1
     lifted = G.lift(t).groupBy("graph_id").count().collect()
     assert lifted[0]["count"] == lifted[1]["count"]
+
+
+def test_class_expressions_are_lifted_with_every_filler(spark):
+    """Several properties and fillers, data ranges, fillers and holders that are open, both sides of subsumption, and equivalents."""
+    text = """@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+    :A rdfs:subClassOf [ owl:onProperty :q , :r ; owl:someValuesFrom :X , :Y ; owl:allValuesFrom owl:Thing ] .
+    [] owl:onProperty :s ; owl:onDataRange xsd:string ; rdfs:subClassOf :B . :C owl:equivalentClass [ owl:onProperty :t ; owl:minCardinality 1 ] .
+    owl:Thing rdfs:subClassOf [ owl:onProperty :u ; owl:allValuesFrom :X ] . :D owl:disjointWith [ owl:onProperty :v ; owl:someValuesFrom :X ] ."""
+    t = rdf.triples(spark.createDataFrame([("g", text)], "graph_id string, text string"))
+    e = "http://e/"
+    got = {(r.a.replace(e, ""), r.p.replace(e, ""), r.b.replace(e, "")) for r in G.lift(t).collect()}
+    assert got >= {("A", p, b) for p in "qr" for b in ("X", "Y", G.ANY)} | {("B", "s", G.LITERAL), ("C", "t", G.ANY), (G.ANY, "u", "X")}
+    assert not any(a == "D" or p == "v" and a not in (G.ANY,) for a, p, _ in got)
