@@ -248,15 +248,23 @@ def control(spark, sf_dir):
     return rdf.parse_status(rows).select(c("graph_id").alias("control"), "n_triples", "status")
 
 
-@_add("stream_upsert", "SELECT DISTINCT event_id % 100 AS k, 'this_run' AS record_origin FROM events")
+@_add("stream_upsert", """SELECT event_id % 100 AS k, CASE WHEN event_id % 100 % 3 = 0 THEN 2 WHEN event_id % 100 % 2 = 0 THEN 1 ELSE 0 END AS part, count(*) AS n,
+ CASE WHEN event_id % 100 % 3 = 0 THEN 'this_run' ELSE 'carried_over' END AS record_origin FROM events GROUP BY ALL""")
 def stream_upsert(spark, sf_dir):
-    """Three versions of a table, each upserted over the one before; the last covers every key."""
-    target = scratch_path(spark)
-    e = read(spark, sf_dir, "events").select((c("event_id") % 100).alias("k"), "event_id")
-    for v in range(3):
-        part = e.filter(c("event_id") % 3 <= v).groupBy("k").agg(F.max("event_id").alias("last"))
-        path = incremental.upsert(spark, part, target, v, ["k"])
-    return spark.read.parquet(path).select("k", "record_origin")
+    """Three files of a stream, of all keys, every second and every third, upserted batch by batch; then the last batch once more, and the stream again."""
+    top = scratch_path(spark)
+    e = read(spark, sf_dir, "events").groupBy((c("event_id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    parts = [e.filter(c("k") % (v + 1) == 0).withColumn("part", F.lit(v)).select("k", "part", "n") for v in range(3)]
+    run = lambda: incremental.upsert_stream(spark, f"{top}/in", "k long, part int, n long", f"{top}/table", ["k"], f"{top}/offsets")
+    last = -1
+    for part in parts:  # a file for each batch
+        part.coalesce(1).write.mode("append").parquet(f"{top}/in")
+        query = run()
+        query.awaitTermination()
+        last = max(last, incremental.last_version(query))
+    incremental.upsert(spark, parts[-1], f"{top}/table", last, ["k"])  # as after a loss between the write and the commit
+    run().awaitTermination()
+    return spark.read.parquet(f"{top}/table/v={last}").select("k", "part", "n", "record_origin")
 
 
 _INJECTED = _FLAGS + """, able AS (SELECT scenario, idx, boilerplate FROM r WHERE n >= 3), ct AS (SELECT DISTINCT context FROM v), sh AS (SELECT scenario, idx, context, round(share, 3) AS share FROM s),

@@ -195,3 +195,50 @@ def oops_html(spark, sf_dir):
     g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("<html>Evaluation results"), F.array_join(F.collect_list(part), "<br/>"), F.lit("</html>")).alias("html"))
     x = g.select("l_orderkey", F.explode(files.pitfalls_in_page(c("html"))).alias("p"))
     return x.select("l_orderkey", F.substring("p.code", 2, 9).cast("int").alias("l_linenumber"), "p.code", "p.name", "p.importance")
+
+
+def _record_tree(spark, sf_dir, flat):
+    """A file for each supplier below ``model/config``: records, some without a model of their own, JSON of another kind, and text that is none.
+
+    Unless ``flat``, every tenth record stands a second time in another folder.
+    """
+    path = scratch_path(spark)
+    k = c("s_suppkey")
+    n = lambda x: x.cast("string")
+    own = lambda *rest: F.concat(F.lit('{"id": "s'), n(k), *[x if not isinstance(x, str) else F.lit(x) for x in rest])
+    keys = (F.lit('", "model": "m'), n(k % 3), F.lit('", "config": "c'), n(k % 2))
+    text = (
+        F.when(k % 7 == 5, F.concat(F.lit('{"id": "s'), n(k))).when(k % 7 == 6, own(*keys, '", "note": 1}')).when(k % 7 == 4, F.concat(F.lit("["), n(k), F.lit("]")))
+        .when(k % 11 == 0, own('", "config": "c', n(k % 2), '", "oops": {"pitfalls_total": 1}}')).otherwise(own(*keys, '", "ontometrics": {"triples_count": ', n(k), "}}"))
+    )
+    x = read(spark, sf_dir, "supplier").select(_name("m", k % 3).alias("a"), _name("c", k % 2).alias("b"), text.alias("text"), k)
+    x.repartition("a", "b").select("a", "b", "text").write.partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
+    if not flat:
+        again = x.filter(k % 10 == 3).select(F.lit("again").alias("a"), "b", "text")
+        again.repartition("b").write.mode("append").partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_STATE = "CASE WHEN s_suppkey % 7 = 5 THEN 'corrupt' WHEN s_suppkey % 7 IN (4, 6) OR s_suppkey % 11 = 0 THEN 'foreign' ELSE 'record' END"
+
+
+@_add("scan_json_records", f"""WITH f AS (SELECT {_STATE} AS state, s_suppkey AS k FROM supplier UNION ALL SELECT {_STATE}, s_suppkey FROM supplier WHERE s_suppkey % 10 = 3)
+ SELECT state, CASE WHEN state = 'record' THEN 's' || k END AS id, count(*) AS files, CASE WHEN state = 'record' THEN max(k) ELSE 0 END AS triples, state = 'record' AND count(*) > 1 AS twice FROM f GROUP BY state, CASE WHEN state = 'record' THEN 's' || k END""")
+def json_records(spark, sf_dir):
+    """How many files hold each record, which stand twice, and how many hold something else or nothing that can be read."""
+    r = files.record_files(spark, _record_tree(spark, sf_dir, False), "*.txt")
+    r = r.withColumns({"id": F.when(c("state") == "record", c("id")), "triples": F.when(c("state") == "record", c("record.ontometrics.triples_count")).otherwise(0).cast("long")})
+    twice = files.duplicate_records(r).select("id", F.lit(True).alias("t"))
+    out = r.groupBy("state", "id").agg(F.count("*").alias("files"), F.max("triples").alias("triples")).join(twice, "id", "left")
+    return out.select("state", "id", "files", "triples", F.coalesce("t", F.lit(False)).alias("twice"))
+
+
+@_add("scan_existing", """SELECT CASE WHEN s_suppkey % 7 IN (4, 5) THEN 'unreadable' ELSE 's' || s_suppkey END AS id, CASE WHEN s_suppkey % 7 IN (4, 5) THEN NULL WHEN s_suppkey % 7 <> 6 AND s_suppkey % 11 = 0 THEN 'a=m' || (s_suppkey % 3) ELSE 'm' || (s_suppkey % 3) END AS model,
+ CASE WHEN s_suppkey % 7 IN (4, 5) THEN NULL ELSE 'carried_over' END AS record_origin, count(*) AS n FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey % 3 = 1 AND s_suppkey % 7 NOT IN (4, 5) AND (s_suppkey % 7 = 6 OR s_suppkey % 11 <> 0)) GROUP BY ALL""")
+def existing(spark, sf_dir):
+    """What a run before left, without one model and configuration that are scored anew; unreadable files are counted and not lost."""
+    k = c("s_suppkey")
+    done = read(spark, sf_dir, "supplier").filter((k % 3 == 1) & (k % 2 == 0)).select(_name("m", k % 3).alias("model"), _name("c", k % 2).alias("config"), _name("s", k).alias("id"))
+    x = files.existing_records(spark, _record_tree(spark, sf_dir, True), done, "*.txt")
+    bad = c("unreadable")
+    return x.groupBy(F.when(bad, "unreadable").otherwise(c("id")).alias("id"), F.when(~bad, c("model")).alias("model"), "record_origin").agg(F.count("*").alias("n"))

@@ -384,12 +384,6 @@ def stale_cache(spark, sf_dir):
     return J.stale(a, b, ["k"], "v").select("k")
 
 
-@_add("scan_existing", f"SELECT k FROM ({_RR}) WHERE k NOT IN (SELECT k FROM ({_L}))")
-def existing(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    return b.join(a.select("k"), "k", "left_anti").select("k")
-
-
 @_add("join_self_jaccard", """
 WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), e AS (SELECT doc_id, source, len(w) AS n, unnest(w) AS x FROM d),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.source <> b.source AND a.doc_id < b.doc_id GROUP BY 1, 2)
@@ -414,8 +408,3 @@ def greedy_match(spark, sf_dir):
     x = l.alias("a").join(l.alias("b"), (c("a.l_orderkey") == c("b.l_orderkey")) & (c("a.l_linenumber") != c("b.l_linenumber")))
     x = x.select(c("a.l_orderkey"), c("a.l_linenumber").alias("left"), c("b.l_linenumber").alias("right"), (1 - F.abs(c("a.l_discount") - c("b.l_discount")) * 10).alias("score"))
     return J.greedy_match(x, "l_orderkey", "left", "right", "score", 0.5)
-
-
-@_add("scan_json_records", "SELECT event_id % 9000 AS k, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
-def json_records(spark, sf_dir):
-    return J.duplicates(read(spark, sf_dir, "events").select((c("event_id") % 9000).alias("k")), ["k"])

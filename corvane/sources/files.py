@@ -20,6 +20,58 @@ def json_records(spark: SparkSession, root: str, schema: str = RECORD, corrupt:
     return spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
 
 
+#: Sections of which an evaluation record has one at least.
+SECTIONS = ["ontometrics", "reasoner", "cq_verification", "oops", "error"]
+
+
+def record_files(spark: SparkSession, root: str, name: str = "*.json", schema: str = RECORD, recursive: bool = True) -> DataFrame:
+    """(rel_path, text, state, model, config, id, record) of every file ``name`` below ``root``, each read as one JSON value.
+
+    ``state``: ``corrupt`` (no JSON), ``foreign`` (JSON of another kind: no object, a key that is no string, or no section of an
+    evaluation), or ``record``. Nothing is dropped; a foreign or corrupt file keeps its text, and its keys as far as they are strings.
+    """
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", name)
+    files = (files.option("recursiveFileLookup", True).text(root) if recursive else files.text(root)).select(F.col("_metadata.file_path").alias("rel_path"), F.col("value").alias("text"))
+    v = F.try_parse_json("text")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    keys = {k: F.when(kind(f"$.{k}") == "STRING", F.try_variant_get(v, f"$.{k}", "string")).alias(k) for k in ("model", "config", "id")}
+    has = F.arrays_overlap(F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>")), F.array(*map(F.lit, SECTIONS)))
+    x = files.withColumns({"__v": v, "__has": has}).select("rel_path", "text", F.col("__v").isNull().alias("__bad"), F.col("__has"), *keys.values(), F.from_json("text", schema).alias("record"))
+    whole = F.col("model").isNotNull() & F.col("config").isNotNull() & F.col("id").isNotNull() & F.col("__has")
+    return x.select("rel_path", "text", F.when(F.col("__bad"), "corrupt").when(whole, "record").otherwise("foreign").alias("state"), "model", "config", "id", "record")
+
+
+def duplicate_records(records: DataFrame, keys: tuple[str, ...] = ("model", "config", "id")) -> DataFrame:
+    """(keys, n, files): keys that several record files share, with the first ten of those files."""
+    return records.filter("state = 'record'").groupBy(*keys).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("rel_path")), 1, 10).alias("files")).filter("n > 1")
+
+
+def loaded_records(records: DataFrame, keys: tuple[str, ...] = ("model", "config", "id")) -> DataFrame:
+    """The records of ``record_files``; an error names a key that stands twice, and both files."""
+    twice = duplicate_records(records, keys).orderBy(*keys).first()
+    if twice:
+        raise ValueError(f"duplicate evaluation record for {tuple(twice[k] for k in keys)}: {' and '.join(twice.files[:2])}")
+    return records.filter("state = 'record'")
+
+
+def existing_records(spark: SparkSession, root: str, done: DataFrame | None = None, name: str = "*.json") -> DataFrame:
+    """(rel_path, model, config, id, record_origin, unreadable, text) of what a run before left in ``root/model/config/``, without the keys in ``done``.
+
+    A key that a record lacks is taken from its path. A file that is no JSON object is not left out: it has ``unreadable`` set and no
+    origin, so that a manifest can name it. The manifest itself is no record.
+    """
+    x = record_files(spark, f"{root}/*/*/", name, recursive=False)
+    parts = F.split("rel_path", "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    bad = F.coalesce(~F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(True))
+    x = x.filter(F.element_at(parts, -1) != "run_manifest.json").withColumn("unreadable", bad)
+    x = x.withColumns({"model": F.coalesce("model", F.element_at(parts, -3)), "config": F.coalesce("config", F.element_at(parts, -2)), "id": F.coalesce("id", stem)})
+    x = x.select("rel_path", "model", "config", "id", F.when(~F.col("unreadable"), "carried_over").alias("record_origin"), "unreadable", "text")
+    if done is None:
+        return x
+    return x.filter("unreadable").unionByName(x.filter("not unreadable").join(done, ["model", "config", "id"], "left_anti"))
+
+
 def real_records(df: DataFrame, keys: tuple[str, ...] = ("model", "config", "id")) -> DataFrame:
     """Records that carry their whole key."""
     out = df

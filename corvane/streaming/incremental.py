@@ -28,6 +28,11 @@ def upsert_stream(spark: SparkSession, source: str, schema: T.StructType | str,
     return stream.writeStream.foreachBatch(lambda df, n: upsert(spark, df, target, n, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def last_version(query) -> int:
+    """The last version that a finished upsert query wrote in this run; -1 if it found nothing new."""
+    return max([p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0], default=-1)
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums a window and type; ``ts`` has no zone in the tables, so it is cast before the watermark."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))

