@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in identifiers, and suffixes with what of them is cut.
@@ -249,18 +253,33 @@ def clamped_score(c: Column) -> Column:
     return F.when(n.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), n)))
 
 
-#: Compatibility forms that answers hold: full-width characters, which stand 0xFEE0 above the plain ones, further dashes and spaces, and the small and full-width percent sign.
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "﹪‐‑‒–—−﹣\u00a0\u2002\u2003\u2009\u3000"
-_PLAIN = "".join(map(chr, range(0x21, 0x7F))) + "%-------" + " " * 5
+# Dashes that stand for a hyphen in answers.
+DASHES = "‐‑‒–—−"
 
 
 def time_saved_label(c: Column) -> Column:
-    """An answer in plain characters: compatibility forms folded, with any dash, and a dash lost to a question mark, as a plain hyphen."""
-    return F.trim(F.translate(F.translate(c, _WIDE, _PLAIN), "?", "-"))
+    """An answer whose compatibility forms have been folded (``folded``) with any dash, and a dash lost to a question mark, as a plain hyphen."""
+    return F.translate(stripped(c), DASHES + "?", "-" * (len(DASHES) + 1))
+
+
+def folded(df: DataFrame, column: str, out: str, form: str = "NFKC", most: int = 200_000) -> DataFrame:
+    """``df`` with ``out``: the Unicode normal form of a text column; null stays null.
+
+    Answers repeat, so only distinct ones go through Arrow's kernel; they come back by a broadcast if at most ``most`` of them were counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_normalize(b.column(0), form)], names=["__key", out])
+
+    once = df.select(F.col(column).alias("__key")).filter("__key is not null").distinct().mapInArrow(run, f"__key string, `{out}` string")
+    if once.limit(most + 1).count() <= most:
+        once = F.broadcast(once)
+    return df.join(once, F.col(column) == F.col("__key"), "left").drop("__key")
 
 
 def time_saved(c: Column) -> Column:
-    """The midpoint of an answer in percent, else null."""
+    """The midpoint of a folded answer in percent, else null."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in TIME_SAVED.items() for x in kv]), time_saved_label(c))
 
 

@@ -305,19 +305,6 @@ def _written(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.concat(F.lit("g"), k).alias("graph_id"), body.alias("text"))
 
 
-@_add("udf_artifact_eval", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 6::BIGINT AS triples, true AS consistent, false AS vacuous, 'near_empty' AS gate, 0.5::DOUBLE AS score FROM nation")
-def artifact_eval(spark, sf_dir):
-    from ..operators.evaluation import evaluate
-
-    return evaluate(_written(spark, sf_dir))
-
-
-@_add("g_evaluate_path", "SELECT n_nationkey, 6::BIGINT AS n_triples FROM nation")
-def evaluate_path(spark, sf_dir):
-    t = rdf.triples(_written(spark, sf_dir)).groupBy("graph_id").agg(F.count("*").alias("n_triples"))
-    return t.select(F.substring("graph_id", 2, 9).cast("int").alias("n_nationkey"), "n_triples")
-
-
 @_add("parse_rdf_nonempty", "SELECT 'g' || n_nationkey AS graph_id, 'parsed' AS status, 6::BIGINT AS n_triples FROM nation")
 def parse_nonempty(spark, sf_dir):
     return rdf.parse_status(_written(spark, sf_dir), "nonempty")

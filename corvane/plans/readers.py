@@ -242,3 +242,47 @@ def existing(spark, sf_dir):
     x = files.existing_records(spark, _record_tree(spark, sf_dir, True), done, "*.txt")
     bad = c("unreadable")
     return x.groupBy(F.when(bad, "unreadable").otherwise(c("id")).alias("id"), F.when(~bad, c("model")).alias("model"), "record_origin").agg(F.count("*").alias("n"))
+
+
+_STUB = "@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . "
+
+
+def _artefacts(spark, sf_dir):
+    """What should be there and the files that are: for each supplier a graph of a class tree, one that cannot be true, directives only, prose, or no file."""
+    path, k = scratch_path(spark), c("s_suppkey")
+    n = lambda x: F.concat(F.lit(":S"), x.cast("string"))
+    tree = F.concat(F.lit(_STUB), n(k), F.lit(" a owl:Class ; rdfs:subClassOf "), n(k + 1), F.lit(" . "), n(k + 1), F.lit(" a owl:Class ; rdfs:subClassOf "), n(k + 2), F.lit(" . "), n(k + 2), F.lit(" a owl:Class ; rdfs:label 'top' . :p a owl:ObjectProperty ; rdfs:domain "), n(k), F.lit(" ; rdfs:range "), n(k + 2), F.lit(" . :q rdfs:subPropertyOf :p ."))
+    clash = F.concat(tree, F.lit(" "), n(k), F.lit(" owl:disjointWith "), n(k + 2), F.lit(" . :x a "), n(k), F.lit(" ."))
+    text = F.element_at(F.array(tree, clash, F.lit(_STUB + "# nothing more"), F.lit("I am sorry, but there is no graph in this text.")), (k % 5 + 1).cast("int"))
+    x = read(spark, sf_dir, "supplier").select(_name("m", k % 3).alias("model"), _name("c", k % 2).alias("config"), _name("s", k).alias("id"), k, k.alias("k"))
+    x.filter(k % 5 < 4).repartition("model", "config").select("model", "config", "id", text.alias("text")).write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
+    return x.select("model", "config", "id"), _texts(spark, path)
+
+
+_ART = "'m' || (s_suppkey % 3) || '/c' || (s_suppkey % 2) || '/s' || s_suppkey AS graph_id"
+
+
+@_add("udf_artifact_eval", f"""SELECT {_ART}, ['parsed', 'parsed', 'empty', 'unparseable', 'missing'][s_suppkey % 5 + 1] AS status, ['', '', '', 'cannot be read', 'not found'][s_suppkey % 5 + 1] AS note, [10, 12, 0, 0, 0][s_suppkey % 5 + 1]::BIGINT AS triples,
+ CASE s_suppkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE 'none' END AS consistent, [false, false, true, true, true][s_suppkey % 5 + 1] AS vacuous, ['ok', 'ok', 'empty', 'unparseable', 'unparseable'][s_suppkey % 5 + 1] AS gate,
+ CASE WHEN s_suppkey % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, 'oops' AS failed FROM supplier""")
+def artifact_eval(spark, sf_dir):
+    """Records of all artefacts that should be there, read from files; the pitfall section is given a table that it cannot use, and fails alone."""
+    from ..operators.evaluation import evaluate, from_files
+
+    e = evaluate(from_files(*_artefacts(spark, sf_dir)), pitfalls=read(spark, sf_dir, "region"))
+    verdict = F.coalesce(c("consistent").cast("string"), F.lit("none")).alias("consistent")
+    return e.select("graph_id", "status", F.coalesce("note", F.lit("")).alias("note"), c("triples").cast("long").alias("triples"), verdict, "vacuous", "gate", "score", F.array_join(F.map_keys("errors"), ",").alias("failed"))
+
+
+@_add("g_evaluate_path", f"""SELECT {_ART}, ['parsed', 'parsed', 'empty', 'unparseable', 'missing'][s_suppkey % 5 + 1] AS status, [10, 12, 0, 0, 0][s_suppkey % 5 + 1]::BIGINT AS n_triples, s_suppkey % 5 < 2 AS measured FROM supplier""")
+def evaluate_path(spark, sf_dir):
+    """The structural score of every file that should be there; one that is missing or cannot be read has its status and no score."""
+    from ..operators import structure
+    from ..operators.evaluation import from_files
+
+    texts = from_files(*_artefacts(spark, sf_dir))
+    status = rdf.parse_status(texts, "sniff", 0)
+    scores = structure.reference_scores(status, structure.Analysis(rdf.triples(texts, "sniff")).scores())
+    absent = texts.select("graph_id", c("text").isNull().alias("absent"))
+    x = absent.join(status, "graph_id").join(scores, "graph_id")
+    return x.select("graph_id", F.when(c("absent"), "missing").otherwise(c("status")).alias("status"), "n_triples", (F.coalesce("score", F.lit(0.0)) > 0).alias("measured"))

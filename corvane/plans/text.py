@@ -143,12 +143,17 @@ def parse_url(spark, sf_dir):
     return p.select("page_id", F.get("p", 0).alias("first"), F.get("p", 1).alias("second"))
 
 
-@_add("str_time_saved", """
-WITH a AS (SELECT event_id, ['0%', '1–25%', '26-50%', '51?75%', '７６－１００％', 'n/a'][event_id % 6 + 1] AS raw FROM events)
-SELECT event_id, raw, CASE raw WHEN '0%' THEN 0.0 WHEN '1–25%' THEN 13.0 WHEN '26-50%' THEN 38.0 WHEN '51?75%' THEN 63.0 WHEN '７６－１００％' THEN 88.0 END::DOUBLE AS midpoint FROM a""")
+#: Answers as they are found, and the midpoint that each stands for.
+_ANSWERS = [("0%", 0.0), ("1–25%", 13.0), ("26-50%", 38.0), ("51?75%", 63.0), ("７６－１００％", 88.0), ("n/a", None), ("①-²⁵%", 13.0), ("１－２５﹪", 13.0), (" 51—75%\u00a0", 63.0), ("２⑥-５０%", 38.0), ("76\u2212100%", 88.0), ("𝟐𝟔‒𝟓𝟎%", 38.0), ("", None)]
+
+
+@_add("str_time_saved", f"""WITH a AS (SELECT event_id, [{', '.join("'" + a + "'" for a, _ in _ANSWERS)}][event_id % {len(_ANSWERS)} + 1] AS raw FROM events)
+SELECT event_id, raw, CASE event_id % {len(_ANSWERS)} {' '.join(f'WHEN {i} THEN {m}' for i, (_, m) in enumerate(_ANSWERS) if m is not None)} END::DOUBLE AS midpoint FROM a""")
 def time_saved(spark, sf_dir):
-    raw = F.get(F.array(*[F.lit(x) for x in ("0%", "1–25%", "26-50%", "51?75%", "７６－１００％", "n/a")]), (F.col("event_id") % 6).cast("int"))
-    return _table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", "raw", X.time_saved(F.col("raw")).alias("midpoint"))
+    """The midpoint of every answer, in whatever characters it was written."""
+    raw = F.get(F.array(*[F.lit(x) for x, _ in _ANSWERS]), (F.col("event_id") % len(_ANSWERS)).cast("int"))
+    e = X.folded(_table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw", "plain")
+    return e.select("event_id", "raw", X.time_saved(F.col("plain")).alias("midpoint"))
 
 
 @_add("str_lead_number", r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '^\s*([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM documents")

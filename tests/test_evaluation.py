@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from corvane.operators import audits as A
 from corvane.operators import evaluation as E
 from corvane.operators.sev import RELATIONS, SLOTS
@@ -30,6 +32,24 @@ def test_sections_that_are_given_enter_the_record(spark):
     assert (got["prose"].cqs_passed, got["prose"].sev_score, got["prose"].score, got["prose"].pitfalls_total) == (0, 0.0, 0.0, None)
 
 
+def test_a_section_that_fails_leaves_the_others(spark):
+    texts = spark.createDataFrame([("full", FULL), ("gone", None)], "graph_id string, text string")
+    broken = spark.createDataFrame([(1,)], "nothing int")
+    got = {r.graph_id: r for r in E.evaluate(texts, pitfalls=broken, signatures=broken).collect()}
+    assert set(got["full"].errors) == {"oops", "cq"} and "nothing" in got["full"].errors["oops"]
+    assert (got["full"].score, got["full"].consistent, got["full"].pitfalls_total, got["full"].sev_score) == (1.0, True, None, None) and got["full"].inferred_triples > 0
+    assert (got["gone"].status, got["gone"].note, got["gone"].score) == ("missing", "not found", 0.0)
+
+
+def test_a_question_of_another_scenario_stops_the_run(spark):
+    texts = spark.createDataFrame([("full", FULL)], "graph_id string, text string")
+    slots = [("A", "class", ["C 1"], [])]
+    signatures = spark.createDataFrame([("full", "q", "mine?", "structural", "authored", slots, [("A", "literal", ["p"])]), ("full", "r", "foreign?", "structural", "authored", slots, [("A", "literal", ["p"])])], f"graph_id string, cq_id string, cq string, cq_type string, source string, slots {SLOTS}, relations {RELATIONS}")
+    with pytest.raises(E.Contaminated, match="foreign"):
+        E.evaluate(texts, signatures=signatures, authentic=spark.createDataFrame([("mine?",)], "cq string"))
+    assert E.evaluate(texts, signatures=signatures, authentic=signatures.select("cq")).first().cqs_total == 2
+
+
 def test_pairs_are_judged_in_both_orders(spark):
     def judge(prompt):
         if "boom" in prompt:
