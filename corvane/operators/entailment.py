@@ -73,59 +73,70 @@ def list_members(t: DataFrame, most_rounds: int = 40) -> DataFrame:
     return nodes.join(up, [g, "node"]).select(g, c("up").alias("list"), "member").distinct()
 
 
+#: What a graph must say for some rule to exist: predicates, and types of properties.
+_SAYS = [G.SUBP, G.INVERSE, G.DOMAIN, G.RANGE, FIRST, *[OWL + x for x in ("onProperty", "propertyChainAxiom", "intersectionOf", "unionOf", "oneOf")]]
+_FLAGS = [OWL + x for x in ("SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty")]
+
+
+def _said(t: DataFrame) -> set[str]:
+    """Which of the words that rules come from stand in the triples; at most a row for each."""
+    word = F.when(c("p").isin(_SAYS), c("p")).when((c("p") == G.TYPE) & c("o").isin(_FLAGS), c("o"))
+    return {r.w for r in t.select(word.alias("w")).filter("w is not null").distinct().collect()}
+
+
 class _Rules:
-    """The three tables of rules of some triples."""
+    """The three tables of rules of some triples. Rules whose words no graph uses are not planned at all."""
 
     def __init__(self, t: DataFrame):
+        said = _said(t)
+        when = lambda word, *rows: list(rows) if word in said else []
         on = _of(t, OWL + "onProperty", "x", "q")
         some, every = _of(t, OWL + "someValuesFrom", "x", "y"), _of(t, OWL + "allValuesFrom", "x", "y")
         value = t.filter(c("p") == OWL + "hasValue").select(g, c("s").alias("x"), c("o").alias("v"))
         first, rest = _of(t, FIRST, "node", "item"), _of(t, REST, "node", "next")
-        link = materialize(first.join(rest, [g, "node"]))
+        link = materialize(first.join(rest, [g, "node"])) if FIRST in said else None
         chain, both = _of(t, OWL + "propertyChainAxiom", "q", "node"), _of(t, OWL + "intersectionOf", "x", "node")
         flag = lambda k: t.filter((c("p") == G.TYPE) & (c("o") == OWL + k)).select(g, c("s").alias("q"))
         step = lambda prefix, x: F.concat(F.lit(prefix), c(x))
+        graphs, lit = t.select(g).distinct(), F.lit
+        ON, (symmetric, transitive, functional, inverse_functional) = OWL + "onProperty", _FLAGS
         # maps: (p, needs) -> kind, q, k
         row = lambda df, p, kind, q=None, k=None, needs=None: df.select(g, p.alias("p"), *[(_none(n) if v is None else v.alias(n)) for n, v in (("needs", needs), ("q", q), ("k", k))], F.lit(kind).alias("kind"))
-        graphs = t.select(g).distinct()
-        lit = F.lit
-        last = link.filter(c("next") == NIL)
-        self.maps = materialize(_union(
-            row(_of(t, G.SUBP), c("s"), "sub", c("o")), row(_of(t, G.INVERSE), c("s"), "turn", c("o")), row(_of(t, G.INVERSE), c("o"), "turn", c("s")),
-            row(_of(t, G.DOMAIN), c("s"), "subject", k=c("o")), row(_of(t, G.RANGE), c("s"), "object", k=c("o")), row(flag("SymmetricProperty"), c("q"), "turn", c("q")),
-            *[row(graphs, lit(a), kind, lit(b)) for a, b in ((G.EQUIVALENT, G.SUB), (EQUIVALENT_PROPERTY, G.SUBP)) for kind in ("sub", "turn")],
-            row(on.join(value, [g, "x"]), c("q"), "subject", k=c("x"), needs=c("v")), row(on.join(value, [g, "x"]), lit(G.TYPE), "value", c("q"), c("v"), c("x")),
-            row(on.join(some.filter(c("y") == THING), [g, "x"]), c("q"), "subject", k=c("x")), row(flag("InverseFunctionalProperty"), c("q"), "turn", step(BACK, "q")),
-            row(last, c("item"), "sub", step(CHAIN, "node")), row(chain, step(CHAIN, "node"), "sub", c("q")),
-            row(last, lit(G.TYPE), "value", lit(G.TYPE), step(PART, "node"), c("item")), row(both, lit(G.TYPE), "value", lit(G.TYPE), c("x"), step(PART, "node")),
-        ).distinct())
+        maps = [row(graphs, lit(a), kind, lit(b)) for a, b in ((G.EQUIVALENT, G.SUB), (EQUIVALENT_PROPERTY, G.SUBP)) for kind in ("sub", "turn")]
+        maps += when(G.SUBP, row(_of(t, G.SUBP), c("s"), "sub", c("o"))) + when(G.INVERSE, row(_of(t, G.INVERSE), c("s"), "turn", c("o")), row(_of(t, G.INVERSE), c("o"), "turn", c("s")))
+        maps += when(G.DOMAIN, row(_of(t, G.DOMAIN), c("s"), "subject", k=c("o"))) + when(G.RANGE, row(_of(t, G.RANGE), c("s"), "object", k=c("o")))
+        maps += when(symmetric, row(flag("SymmetricProperty"), c("q"), "turn", c("q"))) + when(inverse_functional, row(flag("InverseFunctionalProperty"), c("q"), "turn", step(BACK, "q")))
+        maps += when(ON, row(on.join(value, [g, "x"]), c("q"), "subject", k=c("x"), needs=c("v")), row(on.join(value, [g, "x"]), lit(G.TYPE), "value", c("q"), c("v"), c("x")), row(on.join(some.filter(c("y") == THING), [g, "x"]), c("q"), "subject", k=c("x")))
         # paths: (x p y), (y p2 z or needs) -> (x q z or k)
         path = lambda df, p, p2, q, needs=None, k=None: df.select(g, p.alias("p"), p2.alias("p2"), _none("needs") if needs is None else needs.alias("needs"), q.alias("q"), _none("k") if k is None else k.alias("k"))
         fixed = [(G.SUB, G.SUB, G.SUB), (G.SUBP, G.SUBP, G.SUBP), (G.TYPE, G.SUB, G.TYPE), (G.DOMAIN, G.SUB, G.DOMAIN), (G.RANGE, G.SUB, G.RANGE), (G.SUBP, G.DOMAIN, G.DOMAIN), (G.SUBP, G.RANGE, G.RANGE)]
-        self.paths = materialize(_union(
-            *[path(graphs, lit(a), lit(b), lit(d)) for a, b, d in fixed], path(flag("TransitiveProperty"), c("q"), c("q"), c("q")),
-            path(on.join(some, [g, "x"]), c("q"), lit(G.TYPE), lit(G.TYPE), c("y"), c("x")),
-            path(link.filter(c("next") != NIL), c("item"), step(CHAIN, "next"), step(CHAIN, "node")),
-        ).distinct())
+        words = F.explode(F.array(*[F.struct(*[F.lit(w).alias(n) for n, w in zip(("p", "p2", "q"), f, strict=True)]) for f in fixed])).alias("w")
+        paths = [path(graphs.select(g, words).select(g, "w.*"), c("p"), c("p2"), c("q"))] + when(transitive, path(flag("TransitiveProperty"), c("q"), c("q"), c("q"))) + when(ON, path(on.join(some, [g, "x"]), c("q"), lit(G.TYPE), lit(G.TYPE), c("y"), c("x")))
         # forks: (x p y or needs), (x p2 z or needs2) -> kind
         fork = lambda df, p, needs, p2, needs2, kind, k=None: df.select(g, *[(_none(n) if v is None else v.alias(n)) for n, v in (("p", p), ("needs", needs), ("p2", p2), ("needs2", needs2), ("k", k))], F.lit(kind).alias("kind"))
-        self.forks = materialize(_union(
-            fork(on.join(every, [g, "x"]), lit(G.TYPE), c("x"), c("q"), None, "object", c("y")),
-            fork(flag("FunctionalProperty"), c("q"), None, c("q"), None, "same"), fork(flag("InverseFunctionalProperty"), step(BACK, "q"), None, step(BACK, "q"), None, "same"),
-            fork(link.filter(c("next") != NIL), lit(G.TYPE), c("item"), lit(G.TYPE), step(PART, "next"), "subject", step(PART, "node")),
-        ).distinct())
-        discard(link)
+        forks = when(ON, fork(on.join(every, [g, "x"]), lit(G.TYPE), c("x"), c("q"), None, "object", c("y")))
+        forks += when(functional, fork(flag("FunctionalProperty"), c("q"), None, c("q"), None, "same")) + when(inverse_functional, fork(flag("InverseFunctionalProperty"), step(BACK, "q"), None, step(BACK, "q"), None, "same"))
+        if link is not None:
+            last, inner = link.filter(c("next") == NIL), link.filter(c("next") != NIL)
+            maps += when(OWL + "propertyChainAxiom", row(last, c("item"), "sub", step(CHAIN, "node")), row(chain, step(CHAIN, "node"), "sub", c("q")))
+            paths += when(OWL + "propertyChainAxiom", path(inner, c("item"), step(CHAIN, "next"), step(CHAIN, "node")))
+            maps += when(OWL + "intersectionOf", row(last, lit(G.TYPE), "value", lit(G.TYPE), step(PART, "node"), c("item")), row(both, lit(G.TYPE), "value", lit(G.TYPE), c("x"), step(PART, "node")))
+            forks += when(OWL + "intersectionOf", fork(inner, lit(G.TYPE), c("item"), lit(G.TYPE), step(PART, "next"), "subject", step(PART, "node")))
+        self.maps, self.paths = materialize(_union(*maps).distinct()), materialize(_union(*paths).distinct())
+        self.forks = materialize(_union(*forks).distinct()) if forks else None
+        if link is not None:
+            discard(link)
 
     def without(self, old: _Rules) -> _Rules:
         """The rules that ``old`` does not have."""
         out = object.__new__(_Rules)
         for name in ("maps", "paths", "forks"):
             mine, theirs = getattr(self, name), getattr(old, name)
-            setattr(out, name, materialize(mine.exceptAll(theirs)))
+            setattr(out, name, None if mine is None else materialize(mine if theirs is None else mine.exceptAll(theirs)))
         return out
 
     def drop(self) -> None:
-        discard(self.maps, self.paths, self.forks)
+        discard(*[x for x in (self.maps, self.paths, self.forks) if x is not None])
 
 
 def _triple(df: DataFrame, s: Column, p: Column, o: Column) -> DataFrame:
@@ -146,7 +157,9 @@ def _paths(left: DataFrame, right: DataFrame, paths: DataFrame) -> DataFrame:
     return _triple(x, c("a"), c("q"), F.coalesce("k", "o"))
 
 
-def _forks(left: DataFrame, right: DataFrame, forks: DataFrame) -> DataFrame:
+def _forks(left: DataFrame, right: DataFrame, forks: DataFrame | None) -> DataFrame:
+    if forks is None:
+        return left.limit(0)
     x = left.join(forks, [g, "p"]).filter("needs is null or needs = o").select(g, "s", c("o").alias("a"), c("p2").alias("p"), "needs2", "kind", "k")
     x = x.join(right, KEY[:3]).filter("needs2 is null or needs2 = o").filter((c("kind") != "same") | (c("a") != c("o")) & _resource("a") & _resource("o"))
     kind = c("kind")
@@ -155,6 +168,8 @@ def _forks(left: DataFrame, right: DataFrame, forks: DataFrame) -> DataFrame:
 
 def _structure(t: DataFrame) -> DataFrame:
     """Triples that lists state of classes: parts of an intersection, of a union, of an enumeration."""
+    if not _said(t) & {OWL + x for x in ("intersectionOf", "unionOf", "oneOf")}:
+        return t.limit(0)
     member = list_members(t)
     of = lambda p: _of(t, p, "x", "list").join(member, [g, "list"]).select(g, "x", "member")
     both, either, one = of(OWL + "intersectionOf"), of(OWL + "unionOf"), of(OWL + "oneOf")
@@ -230,7 +245,7 @@ def clashes(full: DataFrame) -> DataFrame:
     """(graph_id, s, reason): what cannot be true of a term in closed triples (graph_id, s, p, o, o_kind)."""
     t = materialize(full.filter("o_kind <> 'literal'").select(*KEY))
     typed = t.filter(c("p") == G.TYPE).select(g, "s", c("o").alias("k"))
-    member = list_members(t)
+    member = list_members(t) if FIRST in _said(t) else t.limit(0).select(g, c("s").alias("list"), c("o").alias("member"))
     pairs = member.join(member.withColumnRenamed("member", "other"), [g, "list"]).filter("member <> other")
     lists = lambda kind, p: _of(t, p, "x", "list").join(t.filter((c("p") == G.TYPE) & (c("o") == OWL + kind)).select(g, c("s").alias("x")), [g, "x"], "left_semi").join(pairs, [g, "list"]).select(g, c("member").alias("a"), c("other").alias("b"))
     apart = _union(_of(t, G.DISJOINT, "a", "b"), _of(t, OWL + "complementOf", "a", "b"), lists("AllDisjointClasses", OWL + "members"))

@@ -7,7 +7,7 @@ Edge cases: rows with a null end are left out, self loops keep their node and no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,13 +42,43 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(share.withColumn("m", F.min("m").over(Window.partitionBy(g, "u"))), [g, "u", "s"]).select(g, "u", "v", "m")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _forest(a: list[int], b: list[int], n: int) -> list[int]:
+    """The smallest node of each node's component; nodes are 0..n-1."""
+    up = list(range(n))
+    for x, y in zip(a, b, strict=True):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        while up[y] != y:
+            up[y] = up[up[y]]
+            y = up[y]
+        if x < y:
+            up[y] = x
+        else:
+            up[x] = y
+    for x in range(n):  # a node's parent is smaller, and so is settled
+        up[x] = up[up[x]]
+    return up
+
+
+def components(edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES) -> DataFrame:
     """(graph_id, node, root): every node with the smallest node it is connected to, whatever the direction.
 
-    Rounds of large and small stars: a node's larger neighbours move to its smallest one, so a hub costs rows in proportion to
-    its edges and rounds grow with the logarithm of a component's size.
+    Graphs of at most ``most_edges`` edges are solved in a task each, larger ones in rounds of large and small stars: a node's
+    larger neighbours move to its smallest one, so a hub costs rows in proportion to its edges and rounds grow with the logarithm of a component's size.
     """
-    first = now = materialize(_edges(edges).select(g, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    first = materialize(_edges(edges).select(g, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    size = materialize(first.groupBy(g).agg(F.count("*").alias("n")))
+    whole = _whole(first.join(size.filter(c("n") <= most_edges).select(g), g, "left_semi").select(g, c("u").alias("a"), c("v").alias("b")), lambda n, a, b: np.array(_forest(a.tolist(), b.tolist(), n)))
+    large = size.filter(c("n") > most_edges).select(g)
+    if large.isEmpty():
+        return whole
+    return whole.union(_starred(materialize(first.join(large, g, "left_semi")), most_rounds))
+
+
+def _starred(first: DataFrame, most_rounds: int) -> DataFrame:
+    """``components`` of distinct edges (graph_id, u, v), u at least v, by rounds of stars."""
+    now = first
     for _ in range(most_rounds):
         ends = now.filter("u <> v").select(g, F.explode(F.array(F.struct(c("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(c("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e")).select(g, "e.*")
         if ends.groupBy(g, "x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or (up > 0 and root > 0)").isEmpty():
@@ -127,13 +157,13 @@ def _tarjan(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(root, np.int64)
 
 
-def _whole(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, root) of the strong components of graphs that a task may hold."""
+def _whole(edges: DataFrame, solve: Callable[[int, np.ndarray, np.ndarray], np.ndarray] = _tarjan) -> DataFrame:
+    """(graph_id, node, root) of graphs that a task may hold: ``solve`` gives each node's root from their number and edges."""
     ship(edges.sparkSession)
 
     def solved(name: str, a: list[str], b: list[str]) -> pa.RecordBatch:
         names, at = np.unique(np.array(a + b, dtype=object), return_inverse=True)
-        root = _tarjan(len(names), at[: len(a)], at[len(a) :])
+        root = solve(len(names), at[: len(a)], at[len(a) :])
         words = pa.array(names.tolist(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.string()), words, words.take(pa.array(root))], names=[g, "node", "root"])
 
