@@ -388,15 +388,18 @@ def closure_tiles(edges: DataFrame, tile: int = TILE, most_rounds: int = 40) ->
         left, right = now.select(g, "n", "i", c("j").alias("k"), c("bits").alias("x")), now.select(g, c("i").alias("k"), "j", c("bits").alias("y"))
         pairs = left.join(right, [g, "k"]).select(g, "n", "i", "k", "j", "x", "y").repartition(deal, g, "i", "j", "k")
         after = materialize(_stacked(_union(now, _products(pairs, tile))))
-        moved = after.join(now.select(g, "i", "j", c("bits").alias("before")), [g, "i", "j"], "left").filter(~c("bits").eqNullSafe(c("before"))).select(g).distinct()
-        moved = materialize(moved)
-        done.append(materialize(after.join(moved, g, "left_anti")))
+        moved = materialize(after.join(now.select(g, "i", "j", c("bits").alias("before")), [g, "i", "j"], "left").filter(~c("bits").eqNullSafe(c("before"))).select(g).distinct())
         discard(now)
-        now = materialize(after.join(moved, g, "left_semi"))
-        more = not moved.isEmpty()
-        discard(after, moved)
-        if not more:
-            return _union(*done)
+        if moved.isEmpty():
+            discard(moved)
+            return _union(*done, after)
+        if after.join(moved, g, "left_anti").isEmpty():  # nothing has settled
+            now = after
+        else:
+            done.append(materialize(after.join(moved, g, "left_anti")))
+            now = materialize(after.join(moved, g, "left_semi"))
+            discard(after)
+        discard(moved)
     raise RuntimeError("the closure did not settle")
 
 
