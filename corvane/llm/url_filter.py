@@ -23,8 +23,9 @@ MOST_BROADCAST = 200_000
 
 
 def host_of(url: Column) -> Column:
-    """Lower-cased host, without user and port; null where there is none."""
+    """Lower-cased host, without user, port and the dot of the root; null where there is none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    host = F.regexp_replace(host, r"\.$", "")
     return F.when(F.length(host) > 0, host)
 
 
@@ -51,6 +52,7 @@ def keys_of(url: Column, longest: int) -> Column:
 
 def validity(events: DataFrame) -> DataFrame:
     """(pattern, category, entered, left) from (pattern, category, action, day); ``left`` is null while an entry is active."""
+    events = events.withColumn("pattern", F.regexp_replace("pattern", r"^([^/]+)\.(?=/|$)", "$1"))  # the dot of the root says nothing
     daily = events.filter("pattern is not null and category is not null and day is not null").groupBy("pattern", "category", "day").agg(F.max(F.col("action") == "remove").alias("gone"))
     w = Window.partitionBy("pattern", "category").orderBy("day")
     turns = daily.withColumn("was", F.lag("gone").over(w)).filter("not gone and coalesce(was, true) or gone and not was")
@@ -111,7 +113,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS DATE) AS d,
-        nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS h,
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS h,
         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)', 1) AS seg FROM pages),
 pat AS (SELECT DISTINCT unnest([h, h || seg, array_to_string(string_split(h, '.')[2:10], '.')]) AS pattern FROM p WHERE h IS NOT NULL),
 dg AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 4) AS INTEGER) AS a, CAST('0x' || substr(md5(pattern), 5, 4) AS INTEGER) AS b, CAST('0x' || substr(md5(pattern), 9, 4) AS INTEGER) AS c,

@@ -99,27 +99,28 @@ def features(t, kind, a, b):
     """What the trees read of a candidate, in plain Python."""
     v, before, after = t[a:b], t[max(0, a - pii.REACH) : a], t[b : b + pii.REACH]
     d = re.sub("[^0-9]", "", v)
+    groups = [len(x) for x in re.findall("[0-9]+", v)] or [0]
     total = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d))))
     found = lambda p, s: float(bool(re.search(p, s)))
     return [
         pii.KINDS.index(kind), len(d), len(v), len(re.sub("[A-Za-z0-9]", "", v)), float(total % 10 == 0), len(set(d)) or 1, len(re.sub("[^A-Za-z]", "", v)), found(r"[\[(]", v),
         *[found(p, before) for p in pii._CONTEXT.values()],
         found(r"[0-9][\x20.,:-]?\Z", before), found(r"^[\x20.,:-]?[0-9]", after),
-        found(r"(?i:\.(?:com|org|net|edu|gov|io|de|fr|es|uk)\Z|(?:\bdot\b|\bdot[\])])\x20?[a-z]{2,3}\Z)", v),
+        found(pii.TOP.replace("$", r"\Z"), v), found(r"^\(?0", v), len(re.findall("[0-9]+", v)), max(groups), min(groups), v.count(":"), found(r"\x20@|@\x20|\bAT\b|\bDOT\b", v), found(r"^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})+\Z", v),
     ]
 
 
 def brute7(t, model):
     start, trees, least = model
     own = pii_base(t)
-    out = list(own)
+    out = set(own)
     for order, kind in enumerate(pii.KINDS):
-        for m in re.finditer(pii.WIDER[kind], t):
+        for m in (m for name in pii.GENERATORS[kind] for m in re.finditer(pii.WIDER[name], t)):
             if any(s < m.end() and m.start() < e for s, _, e, _ in own):
                 continue
             x = np.array([features(t, kind, m.start(), m.end())], float)
             if 1 / (1 + np.exp(-(start + sum(tree.predict(x)[0] for tree in trees)))) >= least[kind]:
-                out.append((m.start(), order, m.end(), kind))
+                out.add((m.start(), order, m.end(), kind))
     return text(own), text(sorted(out))
 
 

@@ -52,6 +52,14 @@ def test_line_dedup_without_ids_and_with_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in rows) == [("4", t), ("4", t), ("9", ""), ("None", t)]
 
 
+def test_url_filter_reads_the_dot_of_the_root_away(spark):
+    day = dt.date(2024, 5, 1)
+    c = spark.createDataFrame([(1, "http://b.org./x", day), (2, "http://u@A.B.org.:80/", day), (3, "http://b.org/y", day), (4, "http://.", day), (5, "http://c.net./z", day)], "id int, url string, day date")
+    events = spark.createDataFrame([("b.org", "spam", "add", dt.date(2024, 1, 1)), ("c.net.", "spam", "add", dt.date(2024, 1, 1)), ("c.net./z", "malware", "add", dt.date(2024, 1, 1))], "pattern string, category string, action string, day date")
+    out = {r.id: (r["__cv_n_active"], r["__cv_categories"]) for r in url_filter.url_filter(c, events).collect()}
+    assert out == {1: (1, ["spam"]), 2: (1, ["spam"]), 3: (1, ["spam"]), 4: (0, []), 5: (2, ["malware", "spam"])}
+
+
 def test_url_filter_is_as_of_the_fetch_day(spark):
     day = lambda n: dt.date(2024, 1, n)
     events = [("bad.org", "spam", "add", day(5)), ("bad.org", "spam", "remove", day(10)), ("bad.org", "spam", "add", day(20)), ("bad.org", "spam", "add", day(7)), ("x.com/ads", "malware", "add", day(3)), ("tie.net", "spam", "add", day(4)), ("tie.net", "spam", "remove", day(4)), (None, "spam", "add", day(1))]
