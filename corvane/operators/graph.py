@@ -40,7 +40,6 @@ STRUCTURAL = [TYPE, SUB, SUBP, DOMAIN, RANGE, RDF + "first", RDF + "rest", *FILL
 STRUCTURAL += [OWL + x for x in ("equivalentProperty", "sameAs", "propertyDisjointWith", "differentFrom", "unionOf", "intersectionOf", "complementOf", "oneOf", "disjointUnionOf", "onProperty", "propertyChainAxiom", "hasKey", "members", "distinctMembers")]
 STRUCTURAL += [OWL + x for x in ("imports", "withRestrictions", "onDatatype", "annotatedSource", "annotatedProperty", "annotatedTarget")]
 # Rungs of plain path evidence, best first, with their credit; ``sev`` has the whole ladder.
-LADDER = [("direct", 1.0), ("indirect2", 0.85), ("half", 0.75), ("path3", 0.60), ("floating", 0.15)]
 # Doubt by number of incidences, in 270ths.
 DOUBT = [270, 9, 4, 1, 0]
 c = F.col
@@ -204,49 +203,6 @@ def index(t: DataFrame) -> DataFrame:
     return names.groupBy("graph_id", "term").agg(F.array_distinct(F.flatten(F.collect_list(identifier_tokens(c("name"))))).alias("tokens"), F.array_sort(F.collect_set(flat(c("name")))).alias("flats"))
 
 
-def bind_slots(idx: DataFrame, slots: DataFrame) -> DataFrame:
-    """(graph_id, slot, term, score): the best term for each slot (graph_id, slot, rank, surface); ties: earlier surface, then smaller term.
-
-    Equal flat strings score 1, all words found 0.85, half of them 0.70; only terms that share a word or flat string are joined.
-    """
-    s = slots.withColumn("want", identifier_tokens(c("surface"))).withColumn("flat", flat(c("surface")))
-    keys_s = s.withColumn("key", F.explode(F.array_distinct(F.concat("want", F.array("flat")))))
-    keys_t = idx.withColumn("key", F.explode(F.array_distinct(F.concat("tokens", "flats"))))
-    pair = keys_s.join(keys_t, ["graph_id", "key"]).select("graph_id", "slot", "rank", "want", "flat", "term", "tokens", "flats").distinct()
-    hit = F.size(F.array_intersect("want", "tokens"))
-    score = F.when(F.array_contains(c("flats"), c("flat")), 1.0).when((F.size("want") > 0) & (hit == F.size("want")), 0.85).when((F.size("want") > 0) & (2 * hit >= F.size("want")), 0.70)
-    best = pair.withColumn("score", score).filter("score is not null").groupBy("graph_id", "slot").agg(F.min(F.struct((-c("score")).alias("n"), c("rank"), c("term"))).alias("b"))
-    return best.select("graph_id", "slot", c("b.term").alias("term"), (-c("b.n")).alias("score"))
-
-
-def path_evidence(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(graph_id, q, tier, credit): the best rung of the ladder by which wanted pairs (graph_id, q, a, b) are connected.
-
-    direct: an edge; indirect2: two edges in any of three shapes; half: an edge to an open end; path3: three edges. Inner
-    nodes are never open ends nor the wanted ones. Each rung is a semi join; the best rung of a pair counts.
-    """
-    key = ["graph_id", "q", "a", "b"]
-    edges = e = materialize(edges.select("graph_id", "a", "b").distinct())  # every rung reads it
-    wanted = materialize(wanted.select(*key))
-    inner = e.filter(~c("a").isin(ANY, LITERAL) & ~c("b").isin(ANY, LITERAL))
-    hop = lambda x, y: e.select("graph_id", c("a").alias(x), c("b").alias(y))
-    back = lambda x, y: e.select("graph_id", c("b").alias(x), c("a").alias(y))
-    ok = lambda x: ~c(x).isin(ANY, LITERAL) & (c(x) != c("a")) & (c(x) != c("b"))
-    two = [(hop("a", "x"), hop("x", "b")), (back("a", "x"), hop("x", "b")), (hop("a", "x"), back("x", "b"))]
-    direct = wanted.join(e, ["graph_id", "a", "b"], "left_semi").select(*key, F.lit("direct").alias("tier"))
-    indirect = [wanted.join(l, ["graph_id", "a"]).filter(ok("x")).join(r, ["graph_id", "x", "b"], "left_semi").select(*key, F.lit("indirect2").alias("tier")) for l, r in two]
-    half = [wanted.join(e.filter(c("b") == ANY).select("graph_id", "a"), ["graph_id", "a"], "left_semi"), wanted.join(e.filter(c("a") == ANY).select("graph_id", "b"), ["graph_id", "b"], "left_semi")]
-    half = [h.select(*key, F.lit("half").alias("tier")) for h in half]
-    mid = inner.select("graph_id", c("a").alias("x"), c("b").alias("y"))
-    three = wanted.join(hop("a", "x"), ["graph_id", "a"]).filter(ok("x")).join(mid, ["graph_id", "x"]).filter(ok("y") & (c("x") != c("y"))).join(hop("y", "b"), ["graph_id", "y", "b"], "left_semi").select(*key, F.lit("path3").alias("tier"))
-    floating = wanted.select(*key, F.lit("floating").alias("tier")).join(edges.select("graph_id").distinct(), "graph_id", "left_semi")
-    order = F.create_map(*[F.lit(x) for i, (k, v) in enumerate(LADDER) for x in (k, i)])
-    credit = F.create_map(*[F.lit(x) for k, v in LADDER for x in (k, v)])
-    best = _union(direct, *indirect, *half, three, floating).groupBy("graph_id", "q").agg(F.min_by("tier", F.element_at(order, c("tier"))).alias("tier"))
-    out = wanted.select("graph_id", "q").distinct().join(best, ["graph_id", "q"], "left").select("graph_id", "q", F.coalesce("tier", F.lit("none")).alias("tier"))
-    return out.withColumn("credit", F.coalesce(F.element_at(credit, c("tier")), F.lit(0.0)))
-
-
 def judged(edges: DataFrame, loops: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct edges (graph_id, p, a, b, root) with the component of their predicate, and (graph_id, p, root) of the components that say nothing.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_split, local_name, looks_like_turtle, words
 from ..operators import entailment
 from ..operators import graph as G
+from ..operators import sev as V
 from ..sources import rdf
 from ._bind import catalogue, read
 
@@ -174,23 +177,34 @@ def lift(spark, sf_dir):
     return G.lift(triples(spark, sf_dir))
 
 
-_Q = "q AS (SELECT graph_id, a || '>' || b AS q, a, b FROM (SELECT DISTINCT graph_id, s AS a FROM t WHERE p = '{0}' AND o = '{1}Class') x JOIN (SELECT DISTINCT graph_id, s AS b FROM t WHERE p = '{0}' AND o = '{1}Class') y USING (graph_id) WHERE a <> b)".format(_T, _OWL)
-_OK = lambda x: f"{x} NOT IN ('{G.ANY}', '{G.LITERAL}') AND {x} <> q.a AND {x} <> q.b"
-
-
-@_add("g_relation_tier", T + f""", {_VIEW}, {_HUBS}, {_ENDS}, {_LIFT}, le AS (SELECT DISTINCT graph_id, a, b FROM lf), {_Q}, k AS (SELECT q.graph_id, q.q, CASE
- WHEN EXISTS (SELECT 1 FROM le WHERE le.graph_id = q.graph_id AND le.a = q.a AND le.b = q.b) THEN 'direct'
- WHEN EXISTS (SELECT 1 FROM le x JOIN le y ON x.graph_id = y.graph_id AND x.b = y.a WHERE x.graph_id = q.graph_id AND x.a = q.a AND y.b = q.b AND {_OK('x.b')}) OR EXISTS (SELECT 1 FROM le x JOIN le y ON x.graph_id = y.graph_id AND x.a = y.a WHERE x.graph_id = q.graph_id AND x.b = q.a AND y.b = q.b AND {_OK('x.a')})
-   OR EXISTS (SELECT 1 FROM le x JOIN le y ON x.graph_id = y.graph_id AND x.b = y.b WHERE x.graph_id = q.graph_id AND x.a = q.a AND y.a = q.b AND {_OK('x.b')}) THEN 'indirect2'
- WHEN EXISTS (SELECT 1 FROM le WHERE le.graph_id = q.graph_id AND le.a = q.a AND le.b = '{G.ANY}') OR EXISTS (SELECT 1 FROM le WHERE le.graph_id = q.graph_id AND le.b = q.b AND le.a = '{G.ANY}') THEN 'half'
- WHEN EXISTS (SELECT 1 FROM le x JOIN le y ON x.graph_id = y.graph_id AND x.b = y.a JOIN le w ON w.graph_id = y.graph_id AND y.b = w.a WHERE x.graph_id = q.graph_id AND x.a = q.a AND w.b = q.b AND y.a <> y.b AND {_OK('y.a')} AND {_OK('y.b')}) THEN 'path3'
- WHEN EXISTS (SELECT 1 FROM le WHERE le.graph_id = q.graph_id) THEN 'floating' ELSE 'none' END AS tier FROM q)
- SELECT graph_id, q, tier, CASE tier WHEN 'direct' THEN 1.0E0 WHEN 'indirect2' THEN 0.85E0 WHEN 'half' THEN 0.75E0 WHEN 'path3' THEN 0.60E0 WHEN 'floating' THEN 0.15E0 ELSE 0.0E0 END AS credit FROM k""")
+# wanted: every pair of a graph's declared classes, and of each class a literal, a term outside the graph, and one of a derived signature
+_WANTED = f"""k AS (SELECT DISTINCT graph_id AS g, s AS x FROM t WHERE p = '{_T}' AND o = '{_OWL}Class'), q AS (SELECT i.g, i.x || '>' || j.x AS q, i.x AS a, j.x AS b, 'slot' AS mode, false AS derived FROM k i JOIN k j ON i.g = j.g AND i.x <> j.x
+ UNION ALL SELECT g, x || '>literal', x, '{G.LITERAL}', 'literal', false FROM k UNION ALL SELECT g, x || '>external', x, NULL, 'external', false FROM k UNION ALL SELECT g, x || '>derived', x, NULL, 'external', true FROM k)"""
+_SPEC = f"""fo AS (SELECT graph_id, prop, greatest(count(DISTINCT "end") FILTER (WHERE side = 'domain'), 1) * greatest(count(DISTINCT "end") FILTER (WHERE side = 'range'), 1) AS n FROM en WHERE "end" NOT IN ('{G.ANY}', '{G.LITERAL}') GROUP BY graph_id, prop),
+ sp2 AS (SELECT pp.graph_id, pp.prop, CASE WHEN coalesce(n, 1) <= 4 THEN 1.0E0 ELSE round(4.0E0 / n, 6) END AS spec FROM pp LEFT JOIN fo USING (graph_id, prop)), le AS (SELECT DISTINCT lf.graph_id AS g, a AS u, b AS v, spec FROM lf JOIN sp2 ON lf.graph_id = sp2.graph_id AND lf.p = sp2.prop)"""
+_LEGS = f"""lg AS (SELECT g, u AS z, v AS x, 'out' AS k, spec FROM le UNION SELECT g, v, u, 'in', spec FROM le), lx AS (SELECT * FROM lg WHERE x NOT IN ('{G.ANY}', '{G.LITERAL}') AND x <> z),
+ two AS (SELECT DISTINCT q.g, q.q, l.spec AS s1, r.spec AS s2 FROM q JOIN lx l ON q.g = l.g AND q.a = l.z JOIN lx r ON q.g = r.g AND q.b = r.z AND l.x = r.x WHERE NOT (l.k = 'in' AND r.k = 'out')),
+ st AS (SELECT DISTINCT g, u, v FROM le WHERE u NOT IN ('{G.ANY}', '{G.LITERAL}') AND v NOT IN ('{G.ANY}', '{G.LITERAL}')), three AS (SELECT DISTINCT q.g, q.q FROM q JOIN st x ON q.g = x.g AND q.a = x.u JOIN st y ON x.g = y.g AND x.v = y.u JOIN le w ON y.g = w.g AND y.v = w.u AND w.v = q.b)"""
+_RUNGS = f"""rg AS (SELECT q.g, q.q, spec, 1 AS r FROM q JOIN le ON q.g = le.g AND a = u AND b = v UNION SELECT q.g, q.q, spec, CASE WHEN NOT derived THEN 2 WHEN v <> '{G.ANY}' THEN 3 ELSE 4 END FROM q JOIN le ON q.g = le.g AND a = u WHERE mode = 'external'
+ UNION SELECT g, q, s1, 6 FROM two UNION SELECT g, q, s2, 6 FROM two UNION SELECT q.g, q.q, spec, 7 FROM q JOIN le ON q.g = le.g AND (a = u AND v = '{G.ANY}' OR b = v AND u = '{G.ANY}') UNION SELECT three.g, three.q, spec, 8 FROM three JOIN (SELECT DISTINCT graph_id, spec FROM sp2) z ON three.g = z.graph_id
+ UNION SELECT q.g, q.q, spec, 9 FROM q JOIN le ON q.g = le.g AND u = '{G.ANY}' AND v = '{G.ANY}'), bs AS (SELECT g, q, spec, min(r) AS r FROM rg GROUP BY g, q, spec),
+ cr AS (SELECT g, q, spec, r, CASE r WHEN 1 THEN 1.0E0 WHEN 2 THEN 0.85E0 WHEN 3 THEN 0.60E0 WHEN 4 THEN 0.40E0 WHEN 6 THEN 0.85E0 WHEN 7 THEN 0.75E0 WHEN 8 THEN 0.60E0 ELSE 0.15E0 END * spec AS credit FROM bs),
+ w1 AS (SELECT *, row_number() OVER (PARTITION BY g, q ORDER BY round(credit, 9) DESC, spec DESC) AS i FROM cr)"""
+
+
+@_add("g_relation_tier", T + f""", {_VIEW}, {_HUBS}, {_ENDS}, {_LIFT}, {_WANTED}, {_SPEC}, {_LEGS}, {_RUNGS}
+ SELECT q.g AS graph_id, q.q, coalesce(CASE r WHEN 1 THEN 'direct' WHEN 2 THEN 'external' WHEN 3 THEN 'external_uncertified' WHEN 4 THEN 'external_open' WHEN 6 THEN 'indirect2' WHEN 7 THEN 'half' WHEN 8 THEN 'path3' WHEN 9 THEN 'floating' END, 'none') AS tier, coalesce(round(credit, 9), 0.0E0) AS credit
+ FROM q LEFT JOIN (SELECT * FROM w1 WHERE i = 1) b ON q.g = b.g AND q.q = b.q""")
 def relation_tier(spark, sf_dir):
+    """The rung of every pair of a graph's classes, and of every class with a literal, a term outside and one of a derived signature, by any property."""
     t = triples(spark, sf_dir)
-    cls = t.filter((c("p") == _T) & (c("o") == _OWL + "Class")).select("graph_id", "s").distinct()
-    q = cls.select("graph_id", c("s").alias("a")).join(cls.select("graph_id", c("s").alias("b")), "graph_id").filter("a <> b").withColumn("q", F.concat_ws(">", "a", "b"))
-    return G.path_evidence(G.lift(t), q)
+    k = t.filter((c("p") == _T) & (c("o") == _OWL + "Class")).select("graph_id", "s").distinct()
+    pairs = k.select("graph_id", c("s").alias("a")).join(k.select("graph_id", c("s").alias("b")), "graph_id").filter("a <> b").select("graph_id", "a", "b", F.concat_ws(">", "a", "b").alias("q"), F.lit("slot").alias("mode"), F.lit(False).alias("derived"))
+    far = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("mode"), F.lit(d).alias("derived")) for n, m, d in (("literal", "literal", False), ("external", "external", False), ("derived", "external", True))])).alias("f")
+    open_ = k.select("graph_id", c("s").alias("a"), F.lit(None).cast("string").alias("b"), far).select("graph_id", "a", "b", F.concat_ws(">", "a", "f.n").alias("q"), "f.mode", "f.derived")
+    wanted = pairs.unionByName(open_).withColumns({"rid": F.concat_ws("|", "graph_id", "q"), "surface": F.array().cast("array<string>")})
+    parts = F.split("rid", r"\|", 2)
+    return V.relation_credits(V.Schema(t), wanted.drop("q")).select(parts[0].alias("graph_id"), parts[1].alias("q"), "tier", F.round("credit", 9).alias("credit"))
 
 
 QUERIES["join_paths"], ORACLES["join_paths"] = QUERIES["g_relation_tier"], ORACLES["g_relation_tier"]
@@ -201,11 +215,19 @@ def index(spark, sf_dir):
     return G.index(triples(spark, sf_dir)).select("graph_id", "term", F.array_join("flats", ",").alias("flats"))
 
 
-@_add("g_bind_slot", T + f", l AS (SELECT graph_id, s AS term, lower(o) AS o FROM t WHERE p = '{_RDFS}label') SELECT graph_id, o AS slot, min(term) AS term, 1.0E0 AS score FROM l GROUP BY graph_id, o")
+@_add("g_bind_slot", T + f""", l AS (SELECT graph_id, s AS term, lower(o) AS o FROM t WHERE p = '{_RDFS}label'), f AS (SELECT graph_id, min(term) AS term FROM l GROUP BY graph_id)
+ SELECT graph_id, 'class' AS kind, o AS slot, '' AS anchors, min(term) AS term, 1.0E0 AS score FROM l GROUP BY graph_id, o UNION ALL SELECT graph_id, 'class', 'no such', 'nowhere,' || term, term, 1.0E0 FROM l
+ UNION ALL SELECT graph_id, 'class', 'nation', '', term, 0.85E0 FROM f UNION ALL SELECT 'g' || n_regionkey, 'prop', 'p' || p_partkey, '', 'p' || p_partkey, 1.0E0 FROM part JOIN nation ON p_partkey % 25 = n_nationkey""")
 def bind_slot(spark, sf_dir):
+    """Slots by a class's label, by an anchor behind one that does not exist, by a word that all classes share, and by a property's name; a label is no property's."""
     t = triples(spark, sf_dir)
-    slots = t.filter(c("p") == _RDFS + "label").select("graph_id", F.lower("o").alias("slot"), F.lit(0).alias("rank"), F.lower("o").alias("surface")).distinct()
-    return G.bind_slots(G.index(t), slots)
+    none = F.array().cast("array<string>")
+    label = t.filter(c("p") == _RDFS + "label").select("graph_id", "s", F.lower("o").alias("o"))
+    slot = lambda df, kind, surface, anchors=none: df.select("graph_id", F.lit(kind).alias("kind"), F.array(surface).alias("surface"), anchors.alias("anchors"))
+    props = t.filter((c("p") == _T) & c("o").isin(_OWL + "ObjectProperty", _OWL + "DatatypeProperty"))
+    wanted = [slot(label, "class", c("o")), slot(label, "prop", c("o")), slot(label, "class", F.lit("no such"), F.array(F.lit("nowhere"), "s")), slot(label, "class", F.lit("nation")), slot(props, "prop", c("s"))]
+    got = V.bind(G.index(t), G.schema_view(t), reduce(lambda x, y: x.unionByName(y), wanted))
+    return got.select("graph_id", "kind", F.array_join("surface", ",").alias("slot"), F.array_join("anchors", ",").alias("anchors"), "term", "score")
 
 
 @_add("g_uninformative", T + f""", e AS (SELECT DISTINCT graph_id, p, s AS a, o AS b FROM t WHERE p IN ('{_D}', '{_S}', '{_R}') AND s <> o), u AS (SELECT graph_id, p, a, b FROM e UNION SELECT graph_id, p, b, a FROM e), w AS (SELECT * FROM u UNION SELECT w.graph_id, w.p, w.a, u.b FROM w JOIN u ON w.graph_id = u.graph_id AND w.p = u.p AND w.b = u.a),
