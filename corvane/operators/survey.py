@@ -1,5 +1,6 @@
 """Survey statistics: agreement, paired rank tests, summaries."""
 
+from functools import reduce
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -59,8 +60,14 @@ def signed_ranks(pairs: DataFrame, first: str, second: str, by: list[str]) -> Da
     every = d.groupBy(*by).agg(F.count("*").alias("n_pairs"))
     # ranks need only the distinct sizes of differences with their counts: partial aggregates come first, the window sees one row a size
     size = d.filter("d <> 0").groupBy(*by, F.abs("d").alias("ad")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.sum("t").over(Window.partitionBy(*by).orderBy("ad").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    r = size.withColumn("r", below + (F.col("t") + 1) / 2)
+    # a group of very many sizes is no single task: sizes fall into bands that rise with them, and a first window sees one row a band
+    x = F.col("ad").cast("double")
+    size = size.withColumn("band", F.when(F.isnan(x), F.lit(2**31)).otherwise(F.floor(F.log2(x) * 1024)))
+    upto = F.sum("m").over(Window.partitionBy(*by).orderBy("band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    bands = size.groupBy(*by, "band").agg(F.sum("t").alias("m")).select(*by, "band", upto.alias("before"))
+    within = F.sum("t").over(Window.partitionBy(*by, "band").orderBy("ad").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
+    alike = reduce(lambda p, q: p & q, [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*by, "band")])
+    r = size.withColumn("within", within).alias("s").join(bands.alias("b"), alike).select("s.*", "before").withColumn("r", F.col("before") + F.col("within") + (F.col("t") + 1) / 2)
     sums = r.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("w_minus"))
     ties = r.groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     out = every.join(sums, by, "left").join(ties, by, "left").na.fill(0)

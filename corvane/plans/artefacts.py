@@ -168,7 +168,7 @@ def extract_ontology(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    """Turns of conversations as questions of ten scenarios, and the scenarios' words: those of the benchmark's items and of a conversation in ten."""
+    """Turns of conversations as questions of ten scenarios, and the scenarios' words: those of the benchmark's items and of the first turns."""
     text = read(spark, sf_dir, "conversations")
     q = text.select((c("conv_id") % 10).alias("scenario"), (c("conv_id") * 1000 + c("turn")).alias("idx"), F.lower("text").alias("key"), X.prose_tokens(c("text")).alias("words"), (c("turn") % 5 == 4).alias("boilerplate"))
     rows = read(spark, sf_dir, "benchmark").select((c("item_id") % 10).alias("scenario"), "text")

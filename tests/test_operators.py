@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from corvane.operators import joins as J
@@ -9,6 +11,18 @@ from corvane.operators import rollups as U
 from corvane.operators import survey as V
 
 
+def test_signed_ranks_over_bands_equal_plain_ranks(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([0.0, 1e-9, 3.0, 1e12, 1.0]) + rng.random() * 10 ** rng.randint(-6, 6), float(rng.randint(0, 4))) for g in ("x", None) for _ in range(400)]
+    rows += [("x", 1.0, float(k % 5)) for k in range(50)] + [("y", None, 1.0)]
+    got = {r.g: r for r in V.signed_ranks(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect() if r.n}
+    for g in ("x", None):
+        d = sorted((b - a for k, a, b in rows if k == g and a is not None and b != a), key=abs)
+        plus = sum(sum(i + 1 for i, y in enumerate(d) if abs(y) == abs(z)) / sum(abs(y) == abs(z) for y in d) for z in d if z > 0)
+        if g is not None:
+            assert got[g].n == len(d) and got[g].w_plus == pytest.approx(plus, abs=1e-6)
+
+
 def test_wilcoxon_p_known_values():
     assert V.wilcoxon_p(0, 5, 0, 0) == pytest.approx(0.0625)  # exact: 2 / 2**5
     assert V.wilcoxon_p(3, 6, 0, 0) == pytest.approx(10 / 64)  # five rank sets have a sum of three or less
