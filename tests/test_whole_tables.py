@@ -89,3 +89,12 @@ def test_faithfulness_scores_all_pairs(spark, tmp_path):
             w, q = words(x), words(y)
             want[d, k] = (round(len(w & q) / max(1, len(q)), 9), len(w & q) >= 0.4 * len(q), round(len(w - q) / max(1, len(w)), 9))
     assert got == want
+
+
+def test_best_worst_ties_take_the_first_key(spark, tmp_path):
+    parts = [(k + 100000 * i, f"b{k % 3}", float(k % 2)) for i in range(4) for k in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_brand: (r.best, r.worst) for r in QUERIES["win_best_worst"](spark, str(tmp_path)).collect()}
+    value = lambda p: p[2] * 100000 + p[0] % 100000
+    want = {b: (max((p for p in parts if p[1] == b), key=value)[0], min((p for p in parts if p[1] == b), key=value)[0]) for b in ("b0", "b1", "b2")}
+    assert got == want
