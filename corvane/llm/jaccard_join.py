@@ -8,8 +8,9 @@ linked sets the one whose bar is higher offers enough parts for one to be equal,
 nearly empty parts, which agree by chance, out of the join and loses no link.
 
 Sets that meet in a bucket are first compared with one representative of it, by a short dense sketch (Hamming distance
-against the largest difference allowed for their sizes) and then by exact sets. In a large group of near copies that joins
-nearly all members at a cost of one row each. Only buckets that still hold several components go on: there the rest of a
+against the largest difference allowed for their sizes), and with the first and the nearest of those that are close by exact
+sets. In a large group of near copies that joins nearly all members at a cost of one row each. Pairs of close sets that were
+not tried and are still in different components go on as they are. Only buckets that still hold several components go on: there the rest of a
 bucket (all but its largest component) is compared with the whole bucket, by sketches and then within the clusters of close
 sets by exact sets, and only sets of different components are. Large buckets and clusters are cut into chunks, and a task
 sees two chunks at a time, of which one at least is of the rest; it returns a spanning forest of what it confirms, never all
@@ -355,28 +356,32 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = met.filter("node <> rep").select("node", "rep").distinct()
     side = lambda key, doc, n, sketch: node.select(F.col("node").alias(key), F.col("doc").alias(doc), F.col("n").alias(n), F.col("sketch").alias(sketch))
     pairs = pairs.join(side("node", "b", "m", "y"), "node").join(side("rep", "a", "n", "x"), "rep").filter(F.greatest("n", "m") * percent <= F.least("n", "m") * 100)
-    near = _near(pairs.select("a", "b", "n", "m", "x", "y"), percent).groupBy("b").agg(F.min("a").alias("first"), F.min(F.struct("d", "a")).alias("nearest"))
+    candidates = _io.materialize(_near(pairs.select("a", "b", "n", "m", "x", "y"), percent))
+    near = candidates.groupBy("b").agg(F.min("a").alias("first"), F.min(F.struct("d", "a")).alias("nearest"))
     near = _io.materialize(near.select("b", F.explode(F.array_distinct(F.array("first", "nearest.a"))).alias("a")))
     repeats = named.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     sets = _io.materialize(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), node, k, repeats))
     tokens = lambda key, name: sets.select(F.col("doc").alias(key), F.col("tokens").alias(name))
     links = _linked_pairs(near.join(tokens("b", "y"), "b").join(tokens("a", "x"), "a").select("a", "b", "x", "y"), percent)
     first = _io.materialize(connected_components(links).select(F.col("node").alias("doc"), "root"))
-    _io.discard(near, sets)
+    root = lambda key, name: first.select(F.col("doc").alias(key), F.col("root").alias(name))
+    untried = candidates.join(near, ["a", "b"], "left_anti").join(root("a", "r"), "a", "left").join(root("b", "s"), "b", "left")
+    untried = _io.materialize(untried.select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b")).filter("a <> b").distinct())
+    _io.discard(near, sets, candidates)
 
     # the rest of buckets that hold several components
     rooted = node.join(first, "doc", "left").select("node", "check", "doc", "n", "sketch", F.coalesce("root", "doc").alias("root"))
     left = _io.materialize(met.select("sig", "node").distinct().join(rooted.select("node", "doc", "root"), "node").select("sig", "doc", "root"))
     _io.discard(met)
     buckets = left.groupBy("sig", "root").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64(F.lit("doc"), "doc").cast("decimal(38,0)")).alias("y"))
-    several = _parts(buckets.withColumn("tokens", F.lit(0).cast("long")), "sig").filter("size > 2")  # of two, one is the representative
+    several = _parts(buckets.withColumn("tokens", F.lit(0).cast("long")), "sig").filter("size > 2")  # of two, one is the representative: tried, or among the untried
     twins = buckets.groupBy("sig").agg(F.sum("rows").alias("rows"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).groupBy("rows", "x", "y").agg(F.min("sig").alias("sig"))  # one of buckets with equal members
     several = _io.materialize(several.join(twins.select("sig"), "sig"))
     rest = left.join(small_side(several), "sig").join(node.select("doc", "n", "sketch"), "doc")
     close = _close_roots(_dealt(rest, "sig", "n", "sketch"), percent)
 
     # clusters of components that hold close sets, verified by their exact sets
-    cluster = _io.materialize(connected_components(close).select(F.col("node").alias("root"), F.col("root").alias("cluster")))
+    cluster = _io.materialize(connected_components(close.union(untried)).select(F.col("node").alias("root"), F.col("root").alias("cluster")))
     _io.discard(left, several)
     within = _io.materialize(rooted.select("doc", "n", "root").join(small_side(cluster), "root"))
     if within.limit(1).count():

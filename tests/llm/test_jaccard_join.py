@@ -131,3 +131,23 @@ def test_connected_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in up)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0 and i == 300
+
+
+def test_all_close_partners_of_a_set_are_tried(spark):
+    """A set whose nearest partner by sketches shares too few words, while buckets of two hold its link with another one."""
+    words = [f"w{i}" for i in range(40000)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, words)])
+    alike = {}
+    for w, s in zip(words, J.text_sets(data, offsets, 1), strict=True):
+        alike.setdefault(int(s[0]) % J.SKETCH_BITS, []).append(w)
+    texts = []
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        bits = rng.permutation(J.SKETCH_BITS)[:40].tolist()
+        own, other = [alike[b].pop() for b in bits], [alike[b].pop() for b in bits[:14]]  # words whose sketches are equal
+        texts += [" ".join(other + own[14:]), " ".join(own[4:] + [alike[b].pop() for b in bits[20:24]]), " ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.jaccard_components(docs, 1, 80).collect())
+    want = [row for g in range(0, len(texts), 3) for row in ((g + i, n, g + root) for i, n, root in brute(texts[g : g + 3], 1, 80))]
+    assert got == want
