@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,6 +62,11 @@ def repaired(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("repairs", F.array_compact(F.array(*names))).drop("__a", "__b", "__c")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is worked out once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def signature(c: Column) -> Column:
     """(kind, subject, relation): what a question asks about and by which relation, from its words; weak, and always marked derived.
 
@@ -71,25 +76,30 @@ def signature(c: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), LEAD, ""), edge, ""), r"\s+", " ")
     marks = F.array(*map(F.lit, SPLITS))
 
+    def place(low: Column, reverse: Column) -> Column:
+        places = F.transform(marks, lambda m: F.struct((F.length(low) - F.position(F.reverse(m), reverse) + 1 - F.length(m)).alias("at"), F.length(m).alias("n"), low.contains(m).alias("here")))
+        return F.get(F.filter(places, lambda p: p["here"] & (p["at"] > 0)), 0)  # from 0, of the last occurrence
+
     def cut(text: Column) -> Column:
-        low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-        places = F.transform(marks, lambda m: F.struct((F.length(low) - F.position(F.reverse(m), F.reverse(low)) + 1 - F.length(m)).alias("at"), F.length(m).alias("n"), low.contains(m).alias("here")))
-        hit = F.get(F.filter(places, lambda p: p["here"] & (p["at"] > 0)), 0)  # from 0, of the last occurrence
+        hit = _once(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda low: _once(F.reverse(low), lambda reverse: place(low, reverse)))
         side = lambda x: F.coalesce(F.regexp_replace(x, edge, ""), text)
-        return F.struct(text.alias("body"), side(F.substring(text, F.lit(1), hit["at"])).alias("head"), side(F.substring(text, hit["at"] + hit["n"], F.length(text))).alias("tail"))
-
-    parts = F.get(F.transform(F.array(body), cut), 0)
-    body, head, tail = parts["body"], parts["head"], parts["tail"]
+        return _once(hit, lambda h: F.struct(text.alias("body"), side(F.substring(text, F.lit(1), h["at"])).alias("head"), side(F.substring(text, h["at"] + h["n"], F.length(text))).alias("tail")))
 
     def phrases(x: Column) -> Column:
-        w = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9\-]*"), F.lit(0)), lambda v: ~v.isin(NAMES_NOTHING) & (F.length(v) > 2))
-        n = F.greatest(F.size(w) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
-        return F.slice(F.array_distinct(F.concat(F.array_distinct(w), pairs)), 1, 12)
-
-    some = lambda x, other: F.when(F.size(x) > 0, x).otherwise(other)
-    subject = some(phrases(tail), some(phrases(body), F.array(F.lit("thing"))))
-    return F.struct(question_kind(c).alias("kind"), subject.alias("subject"), some(phrases(head), subject).alias("relation"))
+        def joined(w: Column) -> Column:
+            n = F.greatest(F.size(w) - 1, F.lit(0))
+            pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+            return F.slice(F.array_distinct(F.concat(F.array_distinct(w), pairs)), 1, 12)
+
+        return _once(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9\-]*"), F.lit(0)), lambda v: ~v.isin(NAMES_NOTHING) & (F.length(v) > 2)), joined)
+
+    some = lambda x, other: _once(x, lambda v: F.when(F.size(v) > 0, v).otherwise(other))
+
+    def named(parts: Column) -> Column:
+        subject = some(phrases(parts["tail"]), some(phrases(parts["body"]), F.array(F.lit("thing"))))
+        return _once(subject, lambda s: F.struct(question_kind(c).alias("kind"), s.alias("subject"), some(phrases(parts["head"]), s).alias("relation")))
+
+    return _once(_once(body, cut), named)
 
 
 # What makes a text plausibly Turtle, the least bytes of an artefact, and the lines that mark one that was cut short.

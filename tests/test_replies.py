@@ -186,3 +186,11 @@ def test_fallback_extract_tries_replies_and_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: (r.found, r.rank) for r in QUERIES["str_fallback_extract"](spark, str(tmp_path)).collect()}
     assert got == {0: (True, 0), 1: (True, 1), 2: (True, 0), 3: (True, 0), 4: (True, 1), 5: (False, None)}
+
+
+def test_signature_works_each_part_out_once(spark):
+    """Words of the body, the head and the tail: three places of the plan at most, whatever uses them."""
+    x = spark.range(1).select(F.lit("Which wines are produced in the region of France?").alias("t")).repartition(1).select(Y.signature(F.col("t")).alias("s")).select("s.kind", "s.subject", "s.relation")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") <= 3
+    assert x.first().subject == ["france"]
