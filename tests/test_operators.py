@@ -71,3 +71,18 @@ def test_missing_is_not_zero(spark):
     df = spark.createDataFrame([("m", 1.0), ("m", None), ("n", None)], "g string, v double")
     r = {x.g: x for x in df.groupBy("g").agg(*U.both_means(df.v, "v")).collect()}
     assert (r["m"].v_available, r["m"].v_all, r["m"].n_v) == (1.0, 0.5, 1) and (r["n"].v_available, r["n"].v_all, r["n"].n_v) == (None, 0.0, 0)
+
+
+def test_greedy_match_walks_through_lists(spark):
+    """One list a group instead of a frame a group; against the rule in plain Python, with ties, empty names and scores that are no number."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(6), rng.choice([None, *range(6)]), rng.choice([0.4, 0.5, 0.75, 0.75, 1.0, float("nan"), None])) for g in range(60) for _ in range(25)]
+    got = J.greedy_match(spark.createDataFrame(rows, "g long, a long, b long, s double"), "g", "a", "b", "s", 0.5)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want, taken, done = set(), set(), set()
+    for g, a, b, s in sorted((r for r in rows if r[3] is not None and r[3] >= 0.5), key=lambda r: (r[0], r[1], -r[3], r[2] is None, r[2] or 0)):
+        if (g, a) not in done and (g, b) not in taken:
+            done.add((g, a))
+            taken.add((g, b))
+            want.add((g, a, b, s))
+    assert set(map(tuple, got.collect())) == want
