@@ -212,12 +212,18 @@ def degenerate(spark, sf_dir):
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS q FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(w, q))::DOUBLE / greatest(1, len(q)), 9) AS recall, len(list_intersect(w, q)) >= 0.4 * len(q) AS covered, round((len(w) - len(list_intersect(w, q)))::DOUBLE / greatest(1, len(w)), 9) AS extra FROM t CROSS JOIN b""")
 def faithfulness(spark, sf_dir):
-    """Recall and share of extra words of all documents against all items: shared tokens by an equi-join; pairs that share none have a row, too."""
+    """Recall and share of extra words of all documents against all items; pairs that share no word have a row, too.
+
+    Shared words are counted by an equi-join and folded into one map a document, in which each item finds its count; so pairs are made once and never shuffled.
+    """
     toks = lambda k: F.array_distinct(F.regexp_extract_all(F.lower(k), F.lit("[a-z]{3,}"), F.lit(0)))
     t = read(spark, sf_dir, "documents").select("doc_id", toks("text").alias("w"))
+    t = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # all below goes by document; a number, as few bytes become many rows
     b = read(spark, sf_dir, "benchmark").select("item_id", toks("text").alias("q"))
-    shared = t.select("doc_id", F.explode("w").alias("x")).join(b.select("item_id", F.explode("q").alias("x")), "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("i"))
-    x = t.select("doc_id", F.size("w").alias("nw")).crossJoin(b.select("item_id", F.size("q").alias("nq"))).join(shared, ["doc_id", "item_id"], "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    shared = t.select("doc_id", F.explode("w").alias("x")).join(b.filter("item_id is not null").select("item_id", F.explode("q").alias("x")), "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("i"))
+    shared = shared.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "i"))).alias("m"))
+    x = t.select("doc_id", F.size("w").alias("nw")).join(shared, "doc_id", "left").crossJoin(b.select("item_id", F.size("q").alias("nq")))
+    x = x.withColumn("i", F.coalesce(c("m")[c("item_id")], F.lit(0)))
     return x.select("doc_id", "item_id", r9(c("i") / F.greatest(F.lit(1), c("nq"))).alias("recall"), (c("i") >= 0.4 * c("nq")).alias("covered"), r9((c("nw") - c("i")) / F.greatest(F.lit(1), c("nw"))).alias("extra"))
 
 

@@ -98,3 +98,13 @@ def test_best_worst_ties_take_the_first_key(spark, tmp_path):
     value = lambda p: p[2] * 100000 + p[0] % 100000
     want = {b: (max((p for p in parts if p[1] == b), key=value)[0], min((p for p in parts if p[1] == b), key=value)[0]) for b in ("b0", "b1", "b2")}
     assert got == want
+
+
+def test_faithfulness_shuffles_no_pairs(spark, tmp_path):
+    """Pairs are made by the last join and go nowhere after it: documents and words are shuffled, never by document and item."""
+    spark.createDataFrame([(i, f"some text about thing{chr(97 + i)} and wine") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "what wine about") for i in range(3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = QUERIES["agg_faithfulness"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, item_id", plan)
+    assert {(r.recall, r.covered) for r in out.collect()} == {(round(2 / 3, 9), True)} and out.count() == 15
