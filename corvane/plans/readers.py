@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files, rdf
 from ._bind import catalogue, read
 from .graph import _written
@@ -17,12 +17,17 @@ def _name(prefix, key):
     return F.concat(F.lit(prefix), key.cast("string"))
 
 
+def _spread(df, *keys):
+    """``df`` in a fixed number of partitions by ``keys``, for a write of a file a row: costly files of few bytes, which adaptive execution would leave to one task."""
+    return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _tree(spark, sf_dir):
     """A tree ``model=/config=/id=`` with a text for each item of the benchmark, and a JSON sidecar for every second one."""
     path = scratch_path(spark)
     b = read(spark, sf_dir, "benchmark")
     keys = [_name("m", c("item_id") % 3).alias("model"), _name("c", c("item_id") % 2).alias("config"), _name("s", c("item_id")).alias("id")]
-    rows = b.select("item_id", *keys, "text").repartition("model", "config", "id")
+    rows = _spread(b.select("item_id", *keys, "text"), "model", "config", "id")
     rows.select("model", "config", "id", "text").write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
     rows.filter("item_id % 2 = 0").select("model", "config", "id", _name("r", c("item_id")).alias("response_hash"), (c("item_id") % 4 == 0).alias("truncated")).write.mode("append").partitionBy("model", "config", "id").json(path)
     return path
@@ -212,10 +217,10 @@ def _record_tree(spark, sf_dir, flat):
         .when(k % 11 == 0, own('", "config": "c', n(k % 2), '", "oops": {"pitfalls_total": 1}}')).otherwise(own(*keys, '", "ontometrics": {"triples_count": ', n(k), "}}"))
     )
     x = read(spark, sf_dir, "supplier").select(_name("m", k % 3).alias("a"), _name("c", k % 2).alias("b"), text.alias("text"), k)
-    x.repartition("a", "b").select("a", "b", "text").write.partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
+    _spread(x, "s_suppkey").select("a", "b", "text").write.partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
     if not flat:
-        again = x.filter(k % 10 == 3).select(F.lit("again").alias("a"), "b", "text")
-        again.repartition("b").write.mode("append").partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
+        again = _spread(x.filter(k % 10 == 3), "s_suppkey").select(F.lit("again").alias("a"), "b", "text")
+        again.write.mode("append").partitionBy("a", "b").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -228,6 +233,7 @@ def json_records(spark, sf_dir):
     """How many files hold each record, which stand twice, and how many hold something else or nothing that can be read."""
     r = files.record_files(spark, _record_tree(spark, sf_dir, False), "*.txt")
     r = r.withColumns({"id": F.when(c("state") == "record", c("id")), "triples": F.when(c("state") == "record", c("record.ontometrics.triples_count")).otherwise(0).cast("long")})
+    r = materialize(r.drop("text", "record"))  # the files are opened once
     twice = files.duplicate_records(r).select("id", F.lit(True).alias("t"))
     out = r.groupBy("state", "id").agg(F.count("*").alias("files"), F.max("triples").alias("triples")).join(twice, "id", "left")
     return out.select("state", "id", "files", "triples", F.coalesce("t", F.lit(False)).alias("twice"))

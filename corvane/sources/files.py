@@ -69,7 +69,9 @@ def existing_records(spark: SparkSession, root: str, done: DataFrame | None = No
     x = x.select("rel_path", "model", "config", "id", F.when(~F.col("unreadable"), "carried_over").alias("record_origin"), "unreadable", "text")
     if done is None:
         return x
-    return x.filter("unreadable").unionByName(x.filter("not unreadable").join(done, ["model", "config", "id"], "left_anti"))
+    keys = ["model", "config", "id"]
+    x = x.join(done.select(*keys).distinct().withColumn("__done", F.lit(True)), keys, "left")  # one pass over the files
+    return x.filter(F.col("unreadable") | F.col("__done").isNull()).select("rel_path", *keys, "record_origin", "unreadable", "text")
 
 
 def real_records(df: DataFrame, keys: tuple[str, ...] = ("model", "config", "id")) -> DataFrame:
