@@ -261,7 +261,7 @@ def _artefacts(spark, sf_dir):
     clash = F.concat(tree, F.lit(" "), n(k), F.lit(" owl:disjointWith "), n(k + 2), F.lit(" . :x a "), n(k), F.lit(" ."))
     text = F.element_at(F.array(tree, clash, F.lit(_STUB + "# nothing more"), F.lit("I am sorry, but there is no graph in this text.")), (k % 5 + 1).cast("int"))
     x = read(spark, sf_dir, "supplier").select(_name("m", k % 3).alias("model"), _name("c", k % 2).alias("config"), _name("s", k).alias("id"), k, k.alias("k"))
-    x.filter(k % 5 < 4).repartition("model", "config").select("model", "config", "id", text.alias("text")).write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
+    _spread(x.filter(k % 5 < 4), "id").select("model", "config", "id", text.alias("text")).write.partitionBy("model", "config", "id").option("lineSep", "\u0003").text(path)
     return x.select("model", "config", "id"), _texts(spark, path)
 
 
@@ -275,7 +275,8 @@ def artifact_eval(spark, sf_dir):
     """Records of all artefacts that should be there, read from files; the pitfall section is given a table that it cannot use, and fails alone."""
     from ..operators.evaluation import evaluate, from_files
 
-    e = evaluate(from_files(*_artefacts(spark, sf_dir)), pitfalls=read(spark, sf_dir, "region"))
+    texts = materialize(_spread(from_files(*_artefacts(spark, sf_dir)), "graph_id"))  # the files are opened once, and many tasks parse
+    e = evaluate(texts, pitfalls=read(spark, sf_dir, "region"))
     verdict = F.coalesce(c("consistent").cast("string"), F.lit("none")).alias("consistent")
     return e.select("graph_id", "status", F.coalesce("note", F.lit("")).alias("note"), c("triples").cast("long").alias("triples"), verdict, "vacuous", "gate", "score", F.array_join(F.map_keys("errors"), ",").alias("failed"))
 
@@ -286,7 +287,7 @@ def evaluate_path(spark, sf_dir):
     from ..operators import structure
     from ..operators.evaluation import from_files
 
-    texts = from_files(*_artefacts(spark, sf_dir))
+    texts = materialize(_spread(from_files(*_artefacts(spark, sf_dir)), "graph_id"))  # the files are opened once, and many tasks parse
     status = rdf.parse_status(texts, "sniff", 0)
     scores = structure.reference_scores(status, structure.Analysis(rdf.triples(texts, "sniff")).scores())
     absent = texts.select("graph_id", c("text").isNull().alias("absent"))

@@ -34,3 +34,9 @@ def test_existing_records_open_each_file_once(spark, tmp_path):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
     every = files.existing_records(spark, path, None, "*.txt")
     assert got.count() == every.count() - 2 and got.columns == every.columns
+
+
+def test_artefacts_are_written_by_many_tasks(spark, tmp_path):
+    expected, texts = readers._artefacts(spark, _suppliers(spark, tmp_path))
+    assert expected.count() == 60 and texts.count() == 48
+    assert len({re.search(r"part-(\d+)", r.rel_path)[1] for r in texts.select("rel_path").collect()}) > 1
