@@ -187,7 +187,7 @@ def _reports(spark, sf_dir):
  coalesce(string_agg(DISTINCT code, '|' ORDER BY code) FILTER (WHERE level <> 'Minor'), '') AS codes, CAST(coalesce(sum(affected) FILTER (WHERE level <> 'Minor'), 0) AS BIGINT) AS affected FROM x GROUP BY l_orderkey""")
 def oops_rdfxml(spark, sf_dir):
     """Totals of every report: minor pitfalls are counted and left out."""
-    p = files.pitfalls_of(rdf.triples(_reports(spark, sf_dir), "sniff"))
+    p = materialize(files.pitfalls_of(rdf.triples(_reports(spark, sf_dir), "sniff")))  # reports are parsed once
     affected = files.pitfalls(p).groupBy("report").agg(F.sum("affected").alias("affected"))
     t = files.pitfall_totals(p).withColumn("codes", F.array_join("codes", "|"))
     return t.join(affected, "report", "left").withColumn("affected", F.coalesce("affected", F.lit(0)))

@@ -222,10 +222,12 @@ PITFALL, LEVELS = "http://oops.linkeddata.es/def#", ["Important", "Critical"]
 
 def pitfalls_of(triples: DataFrame) -> DataFrame:
     """(report, node, code, importance, affected, elements) of every pitfall with a code in reports read as triples (graph_id, s, p, o)."""
-    named = triples.filter((F.col("p") == "http://www.w3.org/1999/02/22-rdf-syntax-ns#type") & (F.col("o") == PITFALL + "pitfall")).select("graph_id", "s")
+    kind, names = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", ["hasCode", "hasImportanceLevel", "hasNumberAffectedElements", "hasAffectedElement"]
+    told = triples.filter(F.col("p").isin(kind, *[PITFALL + k for k in names]) & F.col("graph_id").isNotNull())  # one pass: the triples may have to be parsed
     of = lambda k: F.min(F.when(F.col("p") == PITFALL + k, F.trim("o")))
     elements = F.array_sort(F.collect_set(F.when(F.col("p") == PITFALL + "hasAffectedElement", F.col("o"))))
-    rows = triples.join(named, ["graph_id", "s"], "left_semi").groupBy("graph_id", "s").agg(of("hasCode").alias("code"), of("hasImportanceLevel").alias("importance"), of("hasNumberAffectedElements").try_cast("long").alias("reported"), elements.alias("elements"))
+    named = F.bool_or((F.col("p") == kind) & (F.col("o") == PITFALL + "pitfall"))
+    rows = told.groupBy("graph_id", "s").agg(named.alias("named"), of("hasCode").alias("code"), of("hasImportanceLevel").alias("importance"), of("hasNumberAffectedElements").try_cast("long").alias("reported"), elements.alias("elements")).filter("named")
     return rows.filter("code is not null").select(F.col("graph_id").alias("report"), F.col("s").alias("node"), "code", "importance", F.coalesce("reported", F.size("elements").cast("long")).alias("affected"), "elements")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import pyarrow as pa
+
 from corvane.plans import readers
-from corvane.sources import files
+from corvane.sources import files, rdf
 
 
 def _suppliers(spark, folder, n=60):
@@ -40,3 +42,18 @@ def test_artefacts_are_written_by_many_tasks(spark, tmp_path):
     expected, texts = readers._artefacts(spark, _suppliers(spark, tmp_path))
     assert expected.count() == 60 and texts.count() == 48
     assert len({re.search(r"part-(\d+)", r.rel_path)[1] for r in texts.select("rel_path").collect()}) > 1
+
+
+def test_pitfalls_are_made_in_one_pass(spark):
+    o, rdf_type = "http://oops.linkeddata.es/def#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    rows = [("r", "b", rdf_type, o + "pitfall"), ("r", "b", o + "hasCode", " P01"), ("r", "b", o + "hasAffectedElement", "e"), ("r", "c", rdf_type, o + "other"), ("r", "c", o + "hasCode", "P02"), ("r", "d", rdf_type, o + "pitfall"), ("s", "b", o + "hasCode", "P03")]
+    triples = spark.createDataFrame(rows, "graph_id string, s string, p string, o string").repartition(2)
+    got = files.pitfalls_of(triples)
+    assert [(r.report, r.node, r.code, r.importance, r.affected, r.elements) for r in got.collect()] == [("r", "b", "P01", None, 1, ["e"])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_triples_of_small_texts_share_batches(spark):
+    texts = spark.range(50).selectExpr("concat('g', id) AS graph_id", "concat('<http://e/', id, '> <http://e/p> <http://e/o> .') AS text").coalesce(1)
+    sizes = rdf.triples(texts).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    assert sum(r.n for r in sizes.collect()) == 50 and sizes.count() < 50
