@@ -22,6 +22,10 @@ from ..session import discard, materialize, ship
 SALTS = 32
 #: Edges of a graph that one task may hold.
 MOST_EDGES = 200_000
+#: The share of edges that a step which takes off ends may leave for another one to follow.
+LEFT = 0.7
+#: Rows of a batch that gathers small graphs.
+BATCH = 10_000
 #: Nodes along a side of a tile of bits.
 TILE = 512
 c, g = F.col, "graph_id"
@@ -64,16 +68,52 @@ def _forest(a: list[int], b: list[int], n: int) -> list[int]:
 def components(edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES) -> DataFrame:
     """(graph_id, node, root): every node with the smallest node it is connected to, whatever the direction.
 
-    Graphs of at most ``most_edges`` edges are solved in a task each, larger ones in rounds of large and small stars: a node's
-    larger neighbours move to its smallest one, so a hub costs rows in proportion to its edges and rounds grow with the logarithm of a component's size.
+    Graphs of at most ``most_edges`` edges are solved in a task each. Larger ones lose their leaves first, which follow their
+    only neighbour later, while that gains; what is then still too large goes in rounds of large and small stars: a node's larger
+    neighbours move to its smallest one, so a hub costs rows in proportion to its edges and rounds grow with the logarithm of a component's size.
     """
     first = materialize(_edges(edges).select(g, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    size = materialize(first.groupBy(g).agg(F.count("*").alias("n")))
-    whole = _whole(first.join(size.filter(c("n") <= most_edges).select(g), g, "left_semi").select(g, c("u").alias("a"), c("v").alias("b")), lambda n, a, b: np.array(_forest(a.tolist(), b.tolist(), n)))
-    large = size.filter(c("n") > most_edges).select(g)
-    if large.isEmpty():
-        return whole
-    return whole.union(_starred(materialize(first.join(large, g, "left_semi")), most_rounds))
+    now, solved, hung, held = first, [], [], [first]
+    gains = True
+    while True:
+        n = now.groupBy(g).agg(F.count("*").alias("n"))
+        large = materialize(n.filter(c("n") > most_edges).select(g))
+        solved.append(_whole(now.join(large, g, "left_anti").select(g, c("u").alias("a"), c("v").alias("b")), lambda n, a, b: np.array(_forest(a.tolist(), b.tolist(), n))))
+        if large.isEmpty():
+            break
+        rest = materialize(now.join(large, g, "left_semi"))
+        if not gains:
+            solved.append(_starred(rest, most_rounds))
+            break
+        leaf = materialize(_leaves(rest))
+        core = rest
+        for side in ("u", "v"):
+            core = core.join(leaf.select(g, c("x").alias(side)), [g, side], "left_anti")
+        now = materialize(core)
+        gains = now.count() <= LEFT * rest.count()
+        hung.append(leaf)
+        held += [rest, now]
+    if not hung:
+        return solved[0]
+    label = materialize(_union(*solved))
+    for leaf in reversed(hung):
+        at = leaf.join(label.select(g, c("node").alias("y"), "root"), [g, "y"], "left").select(g, "x", "y", F.coalesce("root", "y").alias("root"), c("root").isNull().alias("bare"))
+        own = at.filter("bare").select(g, c("y").alias("node"), c("y").alias("root")).distinct()  # all its edges led to leaves
+        before, label = label, materialize(_union(label, at.select(g, c("x").alias("node"), "root"), own))
+        discard(before)
+    least = label.groupBy(g, "root").agg(F.min("node").alias("least"))
+    out = materialize(label.join(least, [g, "root"]).select(g, "node", c("least").alias("root")))
+    discard(label, *hung, *held)
+    return out
+
+
+def _leaves(edges: DataFrame) -> DataFrame:
+    """(graph_id, x, y) of nodes x with one neighbour y only; of two that have each other, the larger. Edges (graph_id, u, v) are distinct, u at least v."""
+    true = edges.filter("u <> v")
+    ends = _union(true.select(g, c("u").alias("x"), c("v").alias("y")), true.select(g, c("v").alias("x"), c("u").alias("y")), edges.filter("u = v").select(g, c("u").alias("x"), c("v").alias("y")))
+    leaf = ends.groupBy(g, "x").agg(F.count("*").alias("n"), F.min("y").alias("y")).filter("n = 1 and x <> y").select(g, "x", "y")
+    smaller = leaf.filter("x < y").select(g, "x", "y").join(leaf.select(g, c("x").alias("y"), c("y").alias("x")), [g, "x", "y"], "left_semi")
+    return leaf.join(smaller, [g, "x", "y"], "left_anti")
 
 
 def _starred(first: DataFrame, most_rounds: int) -> DataFrame:
@@ -161,26 +201,47 @@ def _whole(edges: DataFrame, solve: Callable[[int, np.ndarray, np.ndarray], np.n
     """(graph_id, node, root) of graphs that a task may hold: ``solve`` gives each node's root from their number and edges."""
     ship(edges.sparkSession)
 
-    def solved(name: str, a: list[str], b: list[str]) -> pa.RecordBatch:
+    deal = max(edges.sparkSession.sparkContext.defaultParallelism, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def solved(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+        if len(a) == 1 and a != b:  # an edge alone
+            x, y = a[0], b[0]
+            return ([x, y], solve(2, np.array([0]), np.array([1]))) if x < y else ([y, x], solve(2, np.array([1]), np.array([0])))
         names, at = np.unique(np.array(a + b, dtype=object), return_inverse=True)
-        root = solve(len(names), at[: len(a)], at[len(a) :])
-        words = pa.array(names.tolist(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.string()), words, words.take(pa.array(root))], names=[g, "node", "root"])
+        return names.tolist(), solve(len(names), at[: len(a)], at[len(a) :])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, a, b = None, [], []
+        keys, nodes, roots = [], [], []
+
+        def settle() -> None:
+            names, root = solved(a, b)
+            keys.extend([now] * len(names))
+            nodes.extend(names)
+            roots.extend(names[k] for k in root.tolist())
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (keys, nodes, roots)], names=[g, "node", "root"])
+            for x in (keys, nodes, roots):
+                x.clear()
+            return rows
+
         for batch in batches:
             for k, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k != now and a:
-                    yield solved(now, a, b)
+                    settle()
                     a, b = [], []
+                    if len(keys) >= BATCH:
+                        yield out()
                 now = k
                 a.append(x)
                 b.append(y)
         if a:
-            yield solved(now, a, b)
+            settle()
+        if keys:
+            yield out()
 
-    return edges.select(g, "a", "b").repartition(g).sortWithinPartitions(g).mapInArrow(run, f"{g} string, node string, root string")
+    return edges.select(g, "a", "b").repartition(deal, g).sortWithinPartitions(g).mapInArrow(run, f"{g} string, node string, root string")
 
 
 def _contracted(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -247,8 +308,8 @@ def _coloured(edges: DataFrame, most_rounds: int = 1000) -> tuple[DataFrame, Dat
 def strong_components(edges: DataFrame, most_edges: int = MOST_EDGES, most_rounds: int = 200) -> DataFrame:
     """(graph_id, node, root): nodes that reach each other, named by the smallest.
 
-    Graphs of at most ``most_edges`` edges are solved in a task each. Larger ones shrink first: ends are trimmed and paths
-    contracted (``_contracted``) while that gains, else components are taken out by colours; as soon as a graph fits a
+    Graphs of at most ``most_edges`` edges are solved in a task each. Larger ones shrink first: ends are trimmed while that gains,
+    then paths are contracted too (``_contracted``), else components are taken out by colours; as soon as a graph fits a
     task it goes there. Rows are linear in edges; rounds grow with the logarithm of the longest path.
     """
     every = materialize(_edges(edges))
@@ -257,8 +318,8 @@ def strong_components(edges: DataFrame, most_edges: int = MOST_EDGES, most_round
     solved: list[DataFrame] = []
     waits: list[DataFrame] = []
     held: list[DataFrame] = []
-    last = None
-    for k in range(most_rounds):
+    last, k, gains = None, -1, True
+    for _ in range(most_rounds):
         size = now.groupBy(g).agg(F.count("*").alias("n"))
         small = materialize(size.filter(c("n") <= most_edges).select(g))
         solved.append(materialize(_whole(now.join(small, g, "left_semi"))))
@@ -267,6 +328,12 @@ def strong_components(edges: DataFrame, most_edges: int = MOST_EDGES, most_round
         n = now.count()
         if not n:
             break
+        if gains:  # what has no edge in, or none out, is a component of its own
+            now = materialize(now.join(now.select(g, c("b").alias("a")), [g, "a"], "left_semi").join(now.select(g, c("a").alias("b")), [g, "b"], "left_semi"))
+            held.append(now)
+            gains = now.count() <= LEFT * n
+            continue
+        k += 1
         if last is not None and k % 2 == 0 and n > 0.9 * last:  # two steps gained little
             rest, settled = _coloured(now)
             solved.append(settled)
@@ -288,10 +355,11 @@ def strong_components(edges: DataFrame, most_edges: int = MOST_EDGES, most_round
         late = x.groupBy(g, "x").agg(F.max("rw").alias("rw"), F.max(F.coalesce(c("rw") == c("ru"), F.lit(False))).alias("same"))
         before, label = label, materialize(_union(label, late.select(g, c("x").alias("node"), F.when(c("same"), c("rw")).otherwise(c("x")).alias("root"))))
         discard(before)
-    named = materialize(nodes.join(label, [g, "node"], "left").select(g, "node", F.coalesce("root", "node").alias("root")))  # what lost its last edge is its own
-    least = named.groupBy(g, "root").agg(F.min("node").alias("least"))
-    out = materialize(named.join(least, [g, "root"]).select(g, "node", c("least").alias("root")))
-    discard(named)
+    out = materialize(nodes.join(label, [g, "node"], "left").select(g, "node", F.coalesce("root", "node").alias("root")))  # what lost its last edge is its own
+    if waits:  # a path was drawn into its end, which need not be the smallest
+        least = out.groupBy(g, "root").agg(F.min("node").alias("least"))
+        named, out = out, materialize(out.join(least, [g, "root"]).select(g, "node", c("least").alias("root")))
+        discard(named)
     discard(every, *held, *waits, *solved)
     return out
 

@@ -233,16 +233,19 @@ def roles(t: DataFrame) -> DataFrame:
     Strong signs of a class (a declaration, a typed member, an end of a property, a filler) against any sign of a property make
     a term ambiguous; against weak ones (a place under or beside another class, a concept) the property wins. Other subjects are individuals.
     """
-    own = triple_class(t).filter("kind = 'connective'")
-    at = lambda df, cond, side, sign: df.filter(cond & (c(f"{side}_kind") == "iri")).select("graph_id", c(side).alias("term"), F.lit(sign).alias("sign"))
-    typed, sides = c("p") == TYPE, c("p").isin(SUBP, OWL + "equivalentProperty", INVERSE, OWL + "propertyDisjointWith")
-    used = own.filter(~c("p").isin(STRUCTURAL)).select("graph_id", c("p").alias("term"), F.lit("p").alias("sign"))
-    rows = _union(
-        at(t, typed & c("o").isin(DECLARED_PROPERTY), "s", "p"), at(own, sides, "s", "p"), at(own, sides, "o", "p"), at(own, c("p").isin(DOMAIN, RANGE), "s", "p"), at(own, c("p") == OWL + "onProperty", "o", "p"), used,
-        at(t, typed & c("o").isin(*CLASS_TYPES, RDFS + "Klass"), "s", "c"), at(own, typed & (c("s_kind") == "iri"), "o", "c"), at(own, c("p").isin(DOMAIN, RANGE), "o", "c"), at(own, c("p").isin([f for f in FILLERS if f != OWL + "hasValue"]), "o", "c"),
-        at(t, typed & (c("o") == SKOS + "Concept"), "s", "w"), at(own, c("p").isin(HOLDERS), "s", "w"), at(own, c("p").isin(HOLDERS), "o", "w"), at(t, F.lit(True), "s", "i"),
-    ).filter(is_named(c("term"), F.lit("iri")))
-    k = rows.groupBy("graph_id", "term").agg(*[F.max(c("sign") == x).alias(x) for x in "pcw"])
+    x = triple_class(t)
+    own, typed, ends, holds = c("kind") == "connective", c("p") == TYPE, c("p").isin(DOMAIN, RANGE), c("p").isin(HOLDERS)
+    sides, fills = c("p").isin(SUBP, OWL + "equivalentProperty", INVERSE, OWL + "propertyDisjointWith"), c("p").isin([f for f in FILLERS if f != OWL + "hasValue"])
+    no = F.lit(False)
+
+    def at(df, term, p, c_, w):  # each end of a triple is read once, with all the signs that it gives
+        return df.select("graph_id", c(term).alias("term"), *[F.coalesce(s, no).alias(k) for k, s in (("p", p), ("c", c_), ("w", w))])
+
+    subject = at(x.filter("s_kind = 'iri'"), "s", typed & c("o").isin(DECLARED_PROPERTY) | own & (sides | ends), typed & c("o").isin(*CLASS_TYPES, RDFS + "Klass"), typed & (c("o") == SKOS + "Concept") | own & holds)
+    of = at(x.filter("o_kind = 'iri'"), "o", own & (sides | (c("p") == OWL + "onProperty")), own & (typed & (c("s_kind") == "iri") | ends | fills), own & holds).filter("p or c or w")
+    used = at(x.filter(own & ~c("p").isin(STRUCTURAL)), "p", F.lit(True), no, no)
+    rows = _union(subject, of, used).filter(is_named(c("term"), F.lit("iri")))
+    k = rows.groupBy("graph_id", "term").agg(*[F.max(k).alias(k) for k in "pcw"])
     return k.select("graph_id", "term", F.when(c("p") & c("c"), "ambiguous").when(c("p"), "property").when(c("c") | c("w"), "class").otherwise("individual").alias("role"))
 
 

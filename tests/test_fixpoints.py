@@ -76,3 +76,24 @@ def test_a_long_cycle_settles(spark):
     name = lambda i: F.format_string("n%06d", i)
     cycle = spark.range(n).select(F.lit("g").alias("graph_id"), name(F.col("id")).alias("a"), name((F.col("id") + 1) % n).alias("b"))
     assert [tuple(r) for r in X.strong_components(cycle).groupBy("root").count().collect()] == [("n000000", n)]
+
+
+def test_large_trees_need_no_rounds(spark, monkeypatch):
+    """Forests too large for a task lose their leaves until they fit one; a round of stars or of contraction would raise."""
+    for name in ("_starred", "_contracted", "_coloured"):
+        monkeypatch.delattr(X, name)
+    n = 4000
+    name = lambda x: F.format_string("n%05d", x)
+    i = F.col("id")
+    tree = spark.range(1, n).select(F.lit("g").alias("graph_id"), name(n - i).alias("a"), name(n - F.floor(i / 8)).alias("b"))
+    assert [tuple(r) for r in X.components(tree, most_edges=100).groupBy("root").count().collect()] == [("n00001", n)]
+    assert X.strong_components(tree, most_edges=100).filter("node = root").count() == n
+
+
+def test_small_graphs_share_batches(spark):
+    """One row group of many graphs of an edge each, not a batch for each graph."""
+    n = 3000
+    edges = spark.range(n).select(F.col("id").cast("string").alias("graph_id"), F.lit("b").alias("a"), F.lit("a").alias("b"))
+    sizes = X._whole(edges).mapInArrow(lambda it: (b.slice(0, 1) for b in it), "graph_id string, node string, root string")
+    assert sizes.count() <= n / 10
+    assert [tuple(r) for r in X._whole(edges).groupBy("node", "root").count().sort("node").collect()] == [("a", "a", n), ("b", "b", n)]
