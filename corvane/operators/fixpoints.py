@@ -201,7 +201,7 @@ def _whole(edges: DataFrame, solve: Callable[[int, np.ndarray, np.ndarray], np.n
     """(graph_id, node, root) of graphs that a task may hold: ``solve`` gives each node's root from their number and edges."""
     ship(edges.sparkSession)
 
-    deal = max(edges.sparkSession.sparkContext.defaultParallelism, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = edges.sparkSession.sparkContext.defaultParallelism  # few large graphs are few bytes, which adaptive execution would give to one task
 
     def solved(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
         if len(a) == 1 and a != b:  # an edge alone
