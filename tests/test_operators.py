@@ -67,6 +67,24 @@ def test_token_jaccard_equals_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_sketch_jaccard_equals_brute_force_without_a_row_for_each_shared_token(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", (8, 16))
+    rng = random.Random(3)
+    sets = [rng.sample(range(900), rng.choice([1, 2, 5, 40, 64, 65, 130, 300])) for _ in range(60)]
+    for s in sets[:40]:
+        k = rng.randrange(len(s) + 1)
+        sets += [s, s[:k] + rng.sample(range(900), len(s) - k), s[: max(1, 2 * len(s) // 5)], rng.sample(s, max(1, len(s) // 2))]
+    rows = [(k, k % 3, [f"w{x}" for x in s]) for k, s in enumerate(sets)] + [(1000, 0, []), (1001, 1, None), (1002, None, ["w1"])]
+    df = spark.createDataFrame(rows, "k int, g int, t array<string>")
+    share = {(i, j): len(set(s) & set(sets[j])) / len(set(s) | set(sets[j])) for i, s in enumerate(sets) for j in range(i + 1, len(sets))}
+    want = {(i, j): v for (i, j), v in share.items() if v >= 0.4}
+    got = {(r.a, r.b): r.j for r in J.sketch_jaccard(df, "k", "g", "t", 0.4).collect()}
+    assert got == pytest.approx({(i, j): v for (i, j), v in want.items() if i % 3 != j % 3})
+    found = {tuple(r) for r in J.near_sets(df.selectExpr("k", "array_distinct(t) AS set").filter("size(set) > 0"), "k", 0.4).collect()}
+    assert found >= set(want) and len(found) < 1.5 * len(want)
+    assert J.sketch_jaccard(df.filter("k = 1000"), "k", "g", "t", 0.4).count() == 0
+
+
 def test_missing_is_not_zero(spark):
     df = spark.createDataFrame([("m", 1.0), ("m", None), ("n", None)], "g string, v double")
     r = {x.g: x for x in df.groupBy("g").agg(*U.both_means(df.v, "v")).collect()}
