@@ -25,6 +25,8 @@ RELATIONS = "array<struct<from:string,to:string,surface:array<string>>>"
 RUNGS = {"direct": 1.0, "external": 0.85, "external_uncertified": 0.60, "external_open": 0.40, "reified": 1.0, "indirect2": 0.85, "half": 0.75, "path3": 0.60, "floating": 0.15, "none": 0.0}
 # Pairs of incomparable ends that cost nothing, and bounds of an answerable question.
 FREE_ENDS, ANSWERABLE = 4, 0.75
+# Fixed value: bytes of a side that Spark may broadcast by itself; tables that grow with the graphs are shuffled.
+BROADCAST = 1 << 19
 c = F.col
 
 
@@ -32,39 +34,43 @@ def _union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    return materialize(df, BROADCAST)
+
+
 class Schema:
     """What verification reads of some graphs' triples, each written to the shared folder once, when it is first asked for."""
 
     def __init__(self, t: DataFrame):
-        self.triples = materialize(t)
+        self.triples = _held(t)
 
     @cached_property
     def view(self) -> DataFrame:
-        return materialize(G.schema_view(self.triples))
+        return _held(G.schema_view(self.triples))
 
     @cached_property
     def index(self) -> DataFrame:
-        return materialize(G.index(self.triples).join(self.view.select("graph_id", "term"), ["graph_id", "term"], "left_semi"))
+        return _held(G.index(self.triples).join(self.view.select("graph_id", "term"), ["graph_id", "term"], "left_semi"))
 
     @cached_property
     def up(self) -> DataFrame:
-        return materialize(G.ancestors(self.triples))
+        return _held(G.ancestors(self.triples))
 
     @cached_property
     def down(self) -> DataFrame:
-        return materialize(G.descendants(self.triples))
+        return _held(G.descendants(self.triples))
 
     @cached_property
     def hubs(self) -> DataFrame:
-        return materialize(G.universal_hubs(self.triples, self.view, self.down))
+        return _held(G.universal_hubs(self.triples, self.view, self.down))
 
     @cached_property
     def ends(self) -> DataFrame:
-        return materialize(G.endpoints(self.triples, self.hubs))
+        return _held(G.endpoints(self.triples, self.hubs))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(G.lift(self.triples, self.view, self.ends, self.hubs))
+        return _held(G.lift(self.triples, self.view, self.ends, self.hubs))
 
 
 def _in_pool(kind: Column, role: Column) -> Column:
@@ -141,8 +147,8 @@ def evidence(edges: DataFrame, cone: DataFrame, pairs: DataFrame) -> dict[str, D
     literal = pairs.filter(c("b") == G.LITERAL).select(g, "b").distinct().withColumn("v", F.lit(G.LITERAL))
     right = _union(right, literal)
     known = pairs.filter("b is not null").select(g, "a", "b")
-    out = materialize(left.join(e, [g, "u"]).select(g, "a", "p", "v", (c("u") != c("v")).alias("moves")).distinct())  # a's cone -> v
-    into = materialize(right.join(e, [g, "v"]).select(g, "b", "p", "u", (c("u") != c("v")).alias("moves")).distinct())  # u -> b's cone
+    out = _held(left.join(e, [g, "u"]).select(g, "a", "p", "v", (c("u") != c("v")).alias("moves")).distinct())  # a's cone -> v
+    into = _held(right.join(e, [g, "v"]).select(g, "b", "p", "u", (c("u") != c("v")).alias("moves")).distinct())  # u -> b's cone
     direct = known.join(out.select(g, "a", "p", "v").distinct(), [g, "a"]).join(right, [g, "b", "v"], "left_semi").select(g, "a", "b", "p").distinct()
     opened = out.groupBy(g, "a", "p").agg(F.max(c("v") != G.ANY).alias("closed"), F.max(c("v") == G.ANY).alias("half"))
     mirror = into.filter(c("u") == G.ANY).select(g, "b", "p").distinct()
@@ -151,7 +157,7 @@ def evidence(edges: DataFrame, cone: DataFrame, pairs: DataFrame) -> dict[str, D
     a_in = left.join(e.withColumnRenamed("u", "w").withColumnRenamed("v", "u"), [g, "u"]).filter((c("w") != c("u")) & ~c("w").isin(*no)).select(g, "a", c("w").alias("x"), c("p").alias("p1")).distinct()
     b_in = into.filter(c("moves") & ~c("u").isin(*no)).select(g, "b", c("u").alias("x"), c("p").alias("p2")).distinct()
     b_out = right.join(e.withColumnRenamed("v", "w").withColumnRenamed("u", "v"), [g, "v"]).filter((c("w") != c("v")) & ~c("w").isin(*no)).select(g, "b", c("w").alias("x"), c("p").alias("p2")).distinct()
-    shapes = [(materialize(a_out), b_in), (materialize(a_in), b_in), (a_out, b_out)]
+    shapes = [(_held(a_out), b_in), (_held(a_in), b_in), (a_out, b_out)]
     ways = [(known.join(x.select(g, "a", "x").distinct(), [g, "a"]).join(y.select(g, "b", "x").distinct(), [g, "b", "x"], "left_semi"), x, y) for x, y in shapes]
     hub = _union(*[w for w, _, _ in ways]).select(g, "a", "b", "x").distinct()
     two = _union(*[p for w, x, y in ways for p in (w.join(x, [g, "a", "x"]).select(g, "a", "b", c("p1").alias("p")), w.join(y, [g, "b", "x"]).select(g, "a", "b", c("p2").alias("p")))]).distinct()
@@ -170,39 +176,50 @@ def relation_credits(schema: Schema, relations: DataFrame) -> DataFrame:
     specificity. Unbound ends and unmatched properties give none.
     """
     view, idx = schema.view, schema.index
-    relations = materialize(relations.withColumn("b", F.when(c("mode") == "literal", G.LITERAL).when(c("mode") == "slot", c("b"))))
+    relations = _held(relations.withColumn("b", F.when(c("mode") == "literal", G.LITERAL).when(c("mode") == "slot", c("b"))))
     able = relations.filter("a is not null and (mode <> 'slot' or b is not null)")
     ends = _union(able.select("graph_id", c("a").alias("end")), able.filter("mode = 'slot'").select("graph_id", c("b").alias("end"))).distinct()
-    cone = materialize(cones(schema, ends))
+    cone = _held(cones(schema, ends))
     has = cone.select("graph_id", "end").distinct()  # an end whose cone is empty connects nothing
     able = able.join(has.withColumnRenamed("end", "a"), ["graph_id", "a"], "left_semi")
     able = _union(able.filter("mode <> 'slot'"), able.filter("mode = 'slot'").join(has.withColumnRenamed("end", "b"), ["graph_id", "b"], "left_semi"))
-    props = matched_properties(idx, view, able).join(specificity(schema), ["graph_id", "p"])
-    x = materialize(able.join(props, ["graph_id", "surface"]).select("rid", "graph_id", "a", "b", "mode", "derived", "surface", "p", "spec"))
-    ev = {k: materialize(v) for k, v in evidence(schema.edges, cone, able.select("graph_id", "a", "b").distinct()).items()}
+    spec = _held(specificity(schema))
+    any_ = F.size("surface") == 0
+    props = matched_properties(idx, view, able.filter(~any_)).join(spec, ["graph_id", "p"])
+    x = _held(able.join(props, ["graph_id", "surface"]).select("rid", "graph_id", "a", "b", "mode", "derived", "surface", "p", "spec"))
+    free = _held(able.filter(any_))  # these take every property, by what connects their ends and not by a row for each of its pairs
+    ev = {k: _held(v) for k, v in evidence(schema.edges, cone, able.select("graph_id", "a", "b").distinct()).items()}
     key, external = ["rid", "spec"], c("mode") == "external"
     tier = lambda df, name: df.select(*key, F.lit(name).alias("tier"))
-    opened = x.join(ev["open"], ["graph_id", "a", "p"])
+    every = free.join(spec.select("graph_id", "spec").distinct(), "graph_id")
+
+    def hits(name, *ends):
+        more = [k for k in ev[name].columns if k not in ("graph_id", "p", *ends)]
+        at = ev[name].join(spec, ["graph_id", "p"]).select("graph_id", *ends, *more, "spec").distinct()
+        cols = ["rid", "mode", "derived", "spec", *more]
+        return _union(x.join(ev[name], ["graph_id", *ends, "p"]).select(*cols), free.join(at, ["graph_id", *ends]).select(*cols))
+
+    opened = _held(hits("open", "a").distinct())
     classes = view.filter("role = 'class'").select("graph_id", "term").join(schema.hubs, ["graph_id", "term"], "left_anti")
     named = _by_word(idx.join(classes, ["graph_id", "term"], "left_semi"), able.filter("not mode = 'external'").select("graph_id", "surface").distinct().select("graph_id", "surface", F.posexplode("surface").alias("rank", "x"))).select("graph_id", "surface", c("term").alias("x")).distinct()
-    each = x.filter(~external).select("rid", "graph_id", "a", "b", "surface", "spec").distinct()
+    each = _held(_union(*[df.filter(~external).select("rid", "graph_id", "a", "b", "surface", "spec") for df in (x, every)]).distinct())
     rungs = [
-        tier(x.filter(~external).join(ev["direct"], ["graph_id", "a", "b", "p"], "left_semi"), "direct"),
+        tier(hits("direct", "a", "b").filter(~external), "direct"),
         tier(opened.filter(external & ~c("derived")), "external"),
         tier(opened.filter(external & c("derived") & c("closed")), "external_uncertified"),
         tier(opened.filter(external & c("derived")), "external_open"),
         tier(each.join(named, ["graph_id", "surface"]).join(ev["hub"], ["graph_id", "a", "b", "x"], "left_semi"), "reified"),
-        tier(x.filter(~external).join(ev["two"], ["graph_id", "a", "b", "p"], "left_semi"), "indirect2"),
+        tier(hits("two", "a", "b").filter(~external), "indirect2"),
         tier(opened.filter("half"), "half"),
-        tier(x.filter(~external).join(ev["mirror"], ["graph_id", "b", "p"], "left_semi"), "half"),
+        tier(hits("mirror", "b").filter(~external), "half"),
         tier(each.join(ev["three"], ["graph_id", "a", "b"], "left_semi"), "path3"),
-        tier(x.join(ev["floating"], ["graph_id", "p"], "left_semi"), "floating"),
+        tier(hits("floating"), "floating"),
     ]
     order = F.array_position(F.array(*map(F.lit, RUNGS)), c("tier"))
     best = _union(*rungs).distinct().groupBy(*key).agg(F.min_by("tier", order).alias("tier"))
     value = F.element_at(F.create_map(*[F.lit(v) for kv in RUNGS.items() for v in kv]), c("tier"))
     best = best.withColumn("credit", value * c("spec")).groupBy("rid").agg(F.max_by(F.struct("tier", "credit"), F.struct(F.round("credit", 9), "spec")).alias("r"))
-    return relations.select("rid").join(best, "rid", "left").select("rid", F.coalesce("r.tier", F.lit("none")).alias("tier"), F.coalesce("r.credit", F.lit(0.0)).alias("credit"))
+    return _held(relations.select("rid").join(best, "rid", "left").select("rid", F.coalesce("r.tier", F.lit("none")).alias("tier"), F.coalesce("r.credit", F.lit(0.0)).alias("credit")))
 
 
 def verify(t: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -211,15 +228,15 @@ def verify(t: DataFrame, signatures: DataFrame) -> DataFrame:
     A graph without triples scores 0 on every question, and those stay in every mean.
     """
     schema = Schema(t)
-    q = materialize(signatures.withColumn("q", F.monotonically_increasing_id()))
+    q = _held(signatures.withColumn("q", F.monotonically_increasing_id()))
     no_anchor = F.array().cast("array<string>")
     slots = q.select("q", "graph_id", F.explode("slots").alias("s")).select("q", "graph_id", "s.id", "s.kind", F.coalesce("s.surface", no_anchor).alias("surface"), F.coalesce("s.anchors", no_anchor).alias("anchors"))
     rels = q.select("q", "graph_id", (c("source") == "derived").alias("derived"), F.posexplode("relations").alias("k", "r")).select("q", "graph_id", "derived", "k", "r.from", "r.to", F.coalesce("r.surface", no_anchor).alias("surface"))
-    rels = materialize(rels.withColumn("rid", F.concat_ws(":", "q", "k")))
+    rels = _held(rels.withColumn("rid", F.concat_ws(":", "q", "k")))
     by_name = rels.filter(F.size("surface") > 0).select("q", "graph_id", F.lit("prop").alias("kind"), "surface", no_anchor.alias("anchors"))
     key = ["graph_id", "kind", "surface", "anchors"]
-    bound = materialize(bind(schema.index, schema.view, _union(slots.select(*key), by_name.select(*key))))
-    slots = materialize(slots.join(bound, key, "left").select("q", "id", "term", F.coalesce("score", F.lit(0.0)).alias("score")))
+    bound = _held(bind(schema.index, schema.view, _union(slots.select(*key), by_name.select(*key))))
+    slots = _held(slots.join(bound, key, "left").select("q", "id", "term", F.coalesce("score", F.lit(0.0)).alias("score")))
     parts = _union(slots.select("q", "score"), by_name.join(bound, key, "left").select("q", F.coalesce("score", F.lit(0.0)).alias("score")))
     coverage = parts.groupBy("q").agg(F.avg("score").alias("coverage"))
     end = lambda side: slots.select("q", c("id").alias(side), c("term").alias(side[0] + "_term"), c("score").alias(side[0] + "_score"))
@@ -227,7 +244,7 @@ def verify(t: DataFrame, signatures: DataFrame) -> DataFrame:
     tied = rels.join(end("from"), ["q", "from"], "left").join(end("to"), ["q", "to"], "left").withColumn("mode", mode)
     gate = F.coalesce("f_score", F.lit(0.0))
     gate = F.when(c("mode") == "slot", F.least(gate, F.coalesce("t_score", F.lit(0.0)))).otherwise(gate)
-    tied = materialize(tied.select("q", "rid", "graph_id", c("f_term").alias("a"), c("t_term").alias("b"), "mode", "surface", "derived", gate.alias("gate")))
+    tied = _held(tied.select("q", "rid", "graph_id", c("f_term").alias("a"), c("t_term").alias("b"), "mode", "surface", "derived", gate.alias("gate")))
     credit = relation_credits(schema, tied.drop("q", "gate")).join(tied.select("q", "rid", "gate"), "rid").withColumn("credit", c("credit") * c("gate"))
     tie = credit.groupBy("q").agg(F.avg("credit").alias("connectivity"), F.max("credit").alias("best"), F.array_sort(F.collect_list("tier")).alias("tiers"))
     alive = schema.triples.select("graph_id").distinct().withColumn("alive", F.lit(True))
@@ -236,10 +253,10 @@ def verify(t: DataFrame, signatures: DataFrame) -> DataFrame:
     l1, l2, best = (F.when(ok, F.coalesce(k, F.lit(0.0))).otherwise(0.0) for k in ("coverage", "connectivity", "best"))
     score = F.when(best <= 0.15 + 1e-9, 0.125).otherwise(0.25) * l1 + 0.75 * l2
     label = F.when(score < 0.05, "unsupported").when(score < 0.30, "lexical-only").when(score < 0.70, "partial").otherwise("supported")
-    return x.select(
+    return _held(x.select(
         "graph_id", "cq_id", "cq", "cq_type", "source", F.when(ok, "ok").otherwise("empty").alias("status"), F.round(l1, 4).alias("coverage"), F.round(l2, 4).alias("connectivity"),
         F.round(score, 4).alias("score"), label.alias("label"), ((l1 >= ANSWERABLE) & (l2 >= ANSWERABLE)).alias("answerable"), F.when(ok, F.coalesce("tiers", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("tiers"),
-    )
+    ))
 
 
 def rolled_up(questions: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corvane.functions.text import flat, identifier_tokens
@@ -177,6 +178,33 @@ def test_verification_equals_brute_force(spark, seed):
     assert up["g0"].cqs_passed == sum(got[g, q].answerable for g, q, *_ in sigs if g == "g0")
 
 
+def test_relations_without_a_name_take_no_row_for_each_property_and_no_large_broadcast(spark, monkeypatch):
+    g, classes = "g", [f"Kind{x}" for x in "ABCDEF"]
+    rows = [(g, E + k, "iri", G.TYPE, OWL + "Class", "iri") for k in classes]
+    rows += [(g, f"{E}p{i}", "iri", p, o, "iri") for i in range(60) for p, o in ((G.TYPE, OWL + "ObjectProperty"), (G.DOMAIN, E + "KindA"), (G.RANGE, E + "KindB"))]
+    ends = [(f"{a}>{b}", g, E + a, E + b, "slot", [], False) for a in classes for b in classes if a != b]
+    name, counts, bounds = "spark.sql.autoBroadcastJoinThreshold", [], []
+    before, write, parquet = spark.conf.get(name), V.materialize, DataFrameWriter.parquet
+
+    def counted(df, *more):
+        out = write(df, *more)
+        counts.append(out.count())
+        return out
+
+    def bounded(self, *args, **kwargs):
+        bounds.append(spark.conf.get(name))
+        return parquet(self, *args, **kwargs)
+
+    monkeypatch.setattr(V, "materialize", counted)
+    monkeypatch.setattr(DataFrameWriter, "parquet", bounded)
+    t = spark.createDataFrame(rows, "graph_id string, s string, s_kind string, p string, o string, o_kind string")
+    x = spark.createDataFrame(ends, "rid string, graph_id string, a string, b string, mode string, surface array<string>, derived boolean")
+    got = {r.rid: (r.tier, r.credit) for r in V.relation_credits(V.Schema(t), x).collect()}
+    assert got == {r[0]: ("direct", 1.0) if r[0] == "KindA>KindB" else ("none", 0.0) for r in ends}
+    assert max(counts) < len(ends) * 60
+    assert set(bounds) == {str(V.BROADCAST)} and spark.conf.get(name) == before
+
+
 def test_calibration_exempts_by_list(spark):
     rows = [("a", "authored", 0.9), ("a", "derived", 0.1), ("b", "authored", 0.8), ("c", "authored", 0.2), ("d", "derived", 0.2)]
     q = spark.createDataFrame(rows, "graph_id string, source string, score double")
