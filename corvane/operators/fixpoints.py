@@ -7,11 +7,13 @@ Edge cases: rows with a null end are left out, self loops keep their node and no
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ LEFT = 0.7
 BATCH = 10_000
 #: Nodes along a side of a tile of bits.
 TILE = 512
+#: Bytes of bits that a task works on at a time.
+HELD = 64 << 20
+#: Tiles of a batch.
+KEPT = 200
 c, g = F.col, "graph_id"
 
 
@@ -365,7 +371,7 @@ def strong_components(edges: DataFrame, most_edges: int = MOST_EDGES, most_round
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """(graph_id, node, id, n): nodes of graphs of bounded size, numbered from 0 in order, with their number."""
+    """(graph_id, node, id, n): nodes numbered from 0 in order within their graph, which one task sorts, with their number."""
     w = Window.partitionBy(g)
     return nodes.select(g, "node", (F.row_number().over(w.orderBy("node")) - 1).alias("id"), F.count("*").over(w).cast("int").alias("n"))
 
@@ -377,98 +383,155 @@ def _side(n: int, i: int, tile: int) -> int:
 def unpacked(bits: bytes, n: int, i: int, j: int, tile: int = TILE) -> np.ndarray:
     """A tile as a matrix of 0 and 1."""
     rows, cols = _side(n, i, tile), _side(n, j, tile)
-    return np.unpackbits(np.frombuffer(bits, np.uint8), count=rows * cols).reshape(rows, cols)
-
-
-def _tile_rows(kept: list[tuple[str, int, int, int, np.ndarray]]) -> pa.RecordBatch:
-    k, n, i, j, m = zip(*kept, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(n, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([np.packbits(x).tobytes() for x in m], pa.binary())], names=[g, "n", "i", "j", "bits"])
+    return np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=rows * cols).reshape(rows, cols)
 
 
 _TILES = f"{g} string, n int, i int, j int, bits binary"
 
 
-def _stacked(rows: DataFrame) -> DataFrame:
-    """Tiles of one place together: any bit that one of them has. Tiles stream through, one place at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, bits = None, 0, None
-        for batch in batches:
-            for k, m, i, j, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                x = np.frombuffer(x, np.uint8)
-                if key == (k, i, j):
-                    bits |= x
-                    continue
-                if key:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key[0], n, *key[1:], bits.tobytes()), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[g, "n", "i", "j", "bits"])
-                key, n, bits = (k, i, j), m, x.copy()
-        if key:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key[0], n, *key[1:], bits.tobytes()), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[g, "n", "i", "j", "bits"])
-
-    return rows.repartition(g, "i", "j").sortWithinPartitions(g, "i", "j").mapInArrow(run, _TILES)
-
-
-def tiles(edges: DataFrame, tile: int = TILE) -> DataFrame:
-    """(graph_id, n, i, j, bits): the matrix of numbered edges (graph_id, n, a, b), cut into tiles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, m = None, 0, None
-        for batch in batches:
-            for k, size, a, b in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                at = (k, a // tile, b // tile)
-                if at != key:
-                    if key:
-                        yield _tile_rows([(key[0], n, key[1], key[2], m)])
-                    key, n, m = at, size, np.zeros((_side(size, at[1], tile), _side(size, at[2], tile)), np.uint8)
-                m[a % tile, b % tile] = 1
-        if key:
-            yield _tile_rows([(key[0], n, key[1], key[2], m)])
-
-    i, j = F.floor(c("a") / tile), F.floor(c("b") / tile)
-    return edges.select(g, "n", "a", "b").repartition(g, i, j).sortWithinPartitions(g, i, j).mapInArrow(run, _TILES)
-
-
-def _products(pairs: DataFrame, tile: int) -> DataFrame:
-    """Tiles (i, j) that tiles x = (i, k) and y = (k, j) make, where a path leads over k; from (graph_id, n, i, k, j, x, y)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n, i, mid, j, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                m = unpacked(x, n, i, mid, tile).astype(np.float32) @ unpacked(y, n, mid, j, tile).astype(np.float32) > 0
-                if m.any():
-                    yield _tile_rows([(k, n, i, j, m)])
+def _lists(first: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, lengths) of the lists of ``x`` one after the other, list y lying at first[y] to first[y + 1]."""
+    many = first[x + 1] - first[x]
+    return np.repeat(first[x] - (np.cumsum(many) - many), many) + np.arange(many.sum()), many
 
-    return pairs.mapInArrow(run, _TILES)
 
+class _Matrix:
+    """What the nodes 0..n-1 of one graph reach, some columns at a time.
 
-def closure_tiles(edges: DataFrame, tile: int = TILE, most_rounds: int = 40) -> DataFrame:
-    """The tiles of everything a node reaches, for numbered edges (graph_id, n, a, b) of graphs of bounded size.
+    Nodes that reach each other are one; each is worked on after those that it leads to, all of a level at once.
+    """
 
-    Products of pairs of tiles are tasks of their own, so a graph is as many tasks as it has pairs; path lengths double each
-    round, and graphs that did not change in a round take no part in the next.
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray):
+        self.n, self.cyclic = n, np.zeros(n, bool)
+        self.cyclic[a[a == b]] = True
+        a, b = a[a != b], b[a != b]
+        self.root = np.arange(n)
+        if not self._order(a, b):
+            self.root = _tarjan(n, a, b)
+            self.cyclic |= np.bincount(self.root, minlength=n)[self.root] > 1
+            a, b = self.root[a], self.root[b]
+            self._order(a[a != b], b[a != b])
+
+    def _order(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Set the lists of neighbours and each node's level, the longest way down from it; False if a cycle leaves nodes without one."""
+        by = lambda x, y: (y[np.argsort(x, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(x, minlength=self.n))]))
+        self.below, self.at_below = by(a, b)
+        self.above, self.at_above = by(b, a)
+        self.level = np.full(self.n, -1)
+        open_ = np.diff(self.at_below)
+        front, k = np.flatnonzero(open_ == 0), 0
+        while len(front):
+            self.level[front] = k
+            up, many = np.unique(self.above[_lists(self.at_above, front)[0]], return_counts=True)
+            open_[up] -= many
+            front, k = up[open_[up] == 0], k + 1
+        return bool((self.level >= 0).all())
+
+    def columns(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, packed bits): the nodes that reach one of the nodes ``start`` to ``stop``, in order, and which ones."""
+        col = np.arange(start, stop)
+        own = np.unique(self.root[col])
+        seen = np.zeros(self.n, bool)
+        seen[own] = True
+        front = own
+        while len(front):
+            front = self.above[_lists(self.at_above, front)[0]]
+            front = np.unique(front[~seen[front]])
+            seen[front] = True
+        use = np.flatnonzero(seen)
+        place = np.full(self.n, -1)
+        place[use] = np.arange(len(use))
+        full = np.zeros((len(use), (stop - start + 7) // 8), np.uint8)
+        np.bitwise_or.at(full, (place[self.root[col]], (col - start) >> 3), (128 >> ((col - start) & 7)).astype(np.uint8))
+        order = use[np.argsort(self.level[use], kind="stable")]
+        most = max(1, HELD // full.shape[1])
+        for same in np.split(order, np.flatnonzero(np.diff(self.level[order])) + 1):
+            cost = np.cumsum(self.at_below[same + 1] - self.at_below[same])
+            for x in np.split(same, np.flatnonzero(np.diff(cost // most)) + 1):
+                at, many = _lists(self.at_below, x)
+                to, own_of = place[self.below[at]], np.repeat(place[x], many)
+                to, own_of = to[to >= 0], own_of[to >= 0]
+                if len(to):
+                    first = np.flatnonzero(np.diff(own_of, prepend=-1))
+                    full[own_of[first]] |= np.bitwise_or.reduceat(full[to], first, axis=0)
+        nodes = np.flatnonzero(seen[self.root])
+        bits = full[place[self.root[nodes]]]
+        plain = np.flatnonzero((nodes >= start) & (nodes < stop) & ~self.cyclic[nodes])
+        k = nodes[plain] - start
+        bits[plain, k >> 3] &= ~(128 >> (k & 7)).astype(np.uint8)
+        some = bits.any(axis=1)
+        return nodes[some], bits[some]
+
+
+def closure_tiles(edges: DataFrame, tile: int = TILE) -> DataFrame:
+    """The tiles of everything a node reaches, (graph_id, n, i, j, bits), for numbered edges (graph_id, n, a, b) of graphs of any size.
+
+    The columns of a graph's matrix are dealt to as many tasks as there are cores. A task holds the numbers of the graph's edges and
+    about ``HELD`` bytes of bits (64 bytes a node at least), so what grows with the square of the nodes is time and tiles, not memory.
     """
     spark = edges.sparkSession
     ship(spark)
-    deal = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    now = materialize(tiles(edges, tile))
-    done = []
-    for _ in range(most_rounds):
-        left, right = now.select(g, "n", "i", c("j").alias("k"), c("bits").alias("x")), now.select(g, c("i").alias("k"), "j", c("bits").alias("y"))
-        pairs = left.join(right, [g, "k"]).select(g, "n", "i", "k", "j", "x", "y").repartition(deal, g, "i", "j", "k")
-        after = materialize(_stacked(_union(now, _products(pairs, tile))))
-        moved = materialize(after.join(now.select(g, "i", "j", c("bits").alias("before")), [g, "i", "j"], "left").filter(~c("bits").eqNullSafe(c("before"))).select(g).distinct())
-        discard(now)
-        if moved.isEmpty():
-            discard(moved)
-            return _union(*done, after)
-        if after.join(moved, g, "left_anti").isEmpty():  # nothing has settled
-            now = after
-        else:
-            done.append(materialize(after.join(moved, g, "left_anti")))
-            now = materialize(after.join(moved, g, "left_semi"))
-            discard(after)
-        discard(moved)
-    raise RuntimeError("the closure did not settle")
+    deal = spark.sparkContext.defaultParallelism
+
+    def made(k: str, n: int, share: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[str, int, int, int, bytes]]:
+        blocks = -(-n // tile)
+        shares = min(deal, blocks)
+        width = tile * max(1, min(-(-blocks // shares), 8 * HELD // (n * tile)))
+        matrix = _Matrix(n, a, b)
+        for start in range(share * width, n, shares * width):
+            stop = min(start + width, n)
+            nodes, bits = matrix.columns(start, stop)
+            ends = np.searchsorted(nodes, np.arange(0, n + tile, tile))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                m = np.zeros((_side(n, i, tile), stop - start), np.uint8)
+                m[nodes[ends[i] : ends[i + 1]] - i * tile] = np.unpackbits(bits[ends[i] : ends[i + 1]], axis=1, count=stop - start)
+                for u in range(0, stop - start, tile):
+                    if (x := m[:, u : u + tile]).any():
+                        yield k, n, i, (start + u) // tile, zlib.compress(np.packbits(x).tobytes(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[str, int, int, int, bytes]] = []
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*kept, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[g, "n", "i", "j", "bits"])
+            kept.clear()
+            return out
+
+        for (k, share), n, a, b in _by_share(batches):
+            for row in made(k, n, share, a, b):
+                kept.append(row)
+                if len(kept) >= KEPT:
+                    yield rows()
+        if kept:
+            yield rows()
+
+    shares = F.least(F.lit(deal), F.ceil(c("n") / tile)).cast("int")
+    dealt = edges.select(g, F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "n", "a", "b")
+    return materialize(dealt.repartition(4 * deal, g, "share").sortWithinPartitions(g, "share").mapInArrow(run, _TILES))
+
+
+def _by_share(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, np.ndarray, np.ndarray]]:
+    """((graph_id, share), n, a, b) of each share of a graph, from rows (graph_id, share, n, a, b) that are sorted by it."""
+    key, n, parts = None, 0, []
+    for batch in batches:
+        k, share, size, a, b = batch.columns
+        if not len(share):
+            continue
+        numbers = share.to_numpy()
+        new = np.diff(numbers) != 0
+        if len(k) > 1:
+            new |= pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)
+        a, b = a.to_numpy().astype(np.int64), b.to_numpy().astype(np.int64)
+        ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(numbers)]
+        for x, y in zip(ends, ends[1:]):
+            at = k[x].as_py(), int(numbers[x])
+            if at != key:
+                if parts:
+                    yield key, n, *(np.concatenate(p) for p in zip(*parts, strict=True))
+                key, n, parts = at, size[x].as_py(), []
+            parts.append((a[x:y], b[x:y]))
+    if parts:
+        yield key, n, *(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def tile_pairs(tiled: DataFrame, tile: int = TILE) -> DataFrame:

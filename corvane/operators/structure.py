@@ -19,8 +19,8 @@ from . import graph as G
 
 c = F.col
 g = "graph_id"
-# The weight of freedom from pitfalls, the least size of a shape that may be dropped, the largest closure.
-PITFALL_NUMERATOR, PITFALL_DENOMINATOR, LEAST_SHAPE, MOST_NODES = 3, 20, 3, 3000
+# The weight of freedom from pitfalls, the least size of a shape that may be dropped.
+PITFALL_NUMERATOR, PITFALL_DENOMINATOR, LEAST_SHAPE = 3, 20, 3
 SUBSUMPTION, EQUIVALENCE = [G.SUB, G.SUBP], [G.EQUIVALENT, OWL + "equivalentProperty", OWL + "sameAs"]
 DISTINCTION = [G.DISJOINT, OWL + "propertyDisjointWith", OWL + "differentFrom", G.INVERSE]
 ROLES = ("property", "class", "individual")
@@ -130,22 +130,16 @@ class Analysis:
 
     @cached_property
     def _tiles(self) -> DataFrame:
-        """What reaches what, as tiles of bits; graphs of over ``MOST_NODES`` roots have none, and count stated pairs only."""
-        return X.closure_tiles(self._quotient[2].filter(c("n") <= MOST_NODES))
+        """What reaches what, as tiles of bits."""
+        return X.closure_tiles(self._quotient[2])
 
     def _degrees(self, weights: DataFrame | None = None) -> DataFrame:
         """(graph_id, id, k, pairs): how many roots each is comparable to; ``weights`` (graph_id, id, w) says what a root counts, none if absent."""
-        large = self._quotient[2].filter(c("n") > MOST_NODES).select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if weights is None:
-            blocks, large = None, large.withColumns({"wa": F.lit(1), "wb": F.lit(1)})
-        else:
-            every = self._quotient[1].select(g, "id", "n").join(weights, [g, "id"], "left").filter(c("n") <= MOST_NODES)
-            blocks = every.groupBy(g, F.floor(c("id") / X.TILE).cast("int").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).cast("int").alias("w")))), lambda x: x["w"]).alias("weights"))
-            for side in ("a", "b"):
-                large = large.join(weights.select(g, c("id").alias(side), c("w").alias("w" + side)), [g, side])
-        one = lambda s, pairs: large.select(g, c(s).alias("id"), F.lit(1).cast("long").alias("k"), pairs.cast("long").alias("pairs"))
-        direct = _union(one("a", c("wa") * c("wb")), one("b", F.lit(0))).groupBy(g, "id").agg(F.sum("k").alias("k"), F.sum("pairs").alias("pairs"))
-        return _union(X.tile_degrees(self._tiles, blocks), direct)
+            return X.tile_degrees(self._tiles)
+        every = self._quotient[1].select(g, "id").join(weights, [g, "id"], "left")
+        blocks = every.groupBy(g, F.floor(c("id") / X.TILE).cast("int").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).cast("int").alias("w")))), lambda x: x["w"]).alias("weights"))
+        return X.tile_degrees(self._tiles, blocks)
 
     @cached_property
     def dropped(self) -> DataFrame:
@@ -170,8 +164,8 @@ class Analysis:
     @cached_property
     def taxonomy(self) -> DataFrame:
         """(graph_id, a, b): pairs of terms of which one is above the other, expanded to the members of equivalent ones."""
-        root, number, stated = self._quotient
-        pairs = _union(X.tile_pairs(self._tiles), stated.filter(c("n") > MOST_NODES).select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        root, number, _ = self._quotient
+        pairs = X.tile_pairs(self._tiles)
         term = number.join(self.dropped.select(g, "root"), [g, "root"], "left_anti").select(g, "id", "root").join(root, [g, "root"])
         member = lambda side: term.select(g, c("id").alias(side), c("node").alias(side + "_term"))
         return pairs.join(member("a"), [g, "a"]).join(member("b"), [g, "b"]).select(g, c("a_term").alias("a"), c("b_term").alias("b"))
