@@ -33,3 +33,8 @@ def large(spark):
 def test_taxonomy_of_a_large_graph(large):
     got = [tuple(sorted((r.a, r.b))) for r in large.taxonomy.collect()]
     assert len(got) == len(PAIRS) and set(got) == {tuple(sorted((f"{E}c{i}", f"{E}c{j}"))) for i, j in PAIRS}
+
+
+def test_scores_of_a_large_graph(large):
+    held = (N - 1) * 270
+    assert large.scores().first().class_connectivity == pytest.approx(held / (held + (N - 1) * 9 + 5 * 270))
