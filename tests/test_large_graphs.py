@@ -38,3 +38,8 @@ def test_taxonomy_of_a_large_graph(large):
 def test_scores_of_a_large_graph(large):
     held = (N - 1) * 270
     assert large.scores().first().class_connectivity == pytest.approx(held / (held + (N - 1) * 9 + 5 * 270))
+
+
+def test_diagnostics_of_a_large_graph(large):
+    r = large.diagnostics().first()
+    assert (r.comparability_pairs, r.dropped_taxonomy_nodes, r.dropped_taxonomy_components) == (len(PAIRS), 5, 1)
