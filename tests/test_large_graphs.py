@@ -43,3 +43,7 @@ def test_scores_of_a_large_graph(large):
 def test_diagnostics_of_a_large_graph(large):
     r = large.diagnostics().first()
     assert (r.comparability_pairs, r.dropped_taxonomy_nodes, r.dropped_taxonomy_components) == (len(PAIRS), 5, 1)
+
+
+def test_grounded_terms_of_a_large_graph(large):
+    assert {r.entity for r in large.roster.filter("d > 0").collect()} == {f"{E}c{i}" for i in range(2, N + 1)}
