@@ -47,3 +47,8 @@ def test_diagnostics_of_a_large_graph(large):
 
 def test_grounded_terms_of_a_large_graph(large):
     assert {r.entity for r in large.roster.filter("d > 0").collect()} == {f"{E}c{i}" for i in range(2, N + 1)}
+
+
+def test_incidences_of_a_large_graph(large):
+    got = {r.entity: r.d for r in large.roster.collect()}
+    assert got == {f"{E}c{i}": int(i > 1) for i in range(1, N + 1)} | {f"{E}d{i}": 0 for i in range(4)}
