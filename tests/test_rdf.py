@@ -102,3 +102,12 @@ def test_class_expressions_are_lifted_with_every_filler(spark):
     got = {(r.a.replace(e, ""), r.p.replace(e, ""), r.b.replace(e, "")) for r in G.lift(t).collect()}
     assert got >= {("A", p, b) for p in "qr" for b in ("X", "Y", G.ANY)} | {("B", "s", G.LITERAL), ("C", "t", G.ANY), (G.ANY, "u", "X")}
     assert not any(a == "D" or p == "v" and a not in (G.ANY,) for a, p, _ in got)
+
+
+def test_texts_are_read_whole():
+    """A text of over 64 MB is neither cut nor refused: what stands at its end counts."""
+    text = "@prefix : <http://e/> . :a :b :c .\n" + ("# " + "x" * 1021 + "\n") * (65 << 10) + ":d :e :f ."
+    assert len(text) > 64 << 20
+    for mode in ("ladder", "nonempty", "sniff"):
+        status, rows = rdf.parse_any(text, "", mode)
+        assert status == "parsed" and len(rows) == 2
