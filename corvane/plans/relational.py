@@ -273,9 +273,10 @@ def first_duplicate(spark, sf_dir):
 
 @_add("win_best_worst", "SELECT p_brand, arg_max(p_partkey, p_retailprice * 100000 + p_partkey % 100000) AS best, arg_min(p_partkey, p_retailprice * 100000 + p_partkey % 100000) AS worst FROM part GROUP BY p_brand")
 def best_worst(spark, sf_dir):
-    """The best and the worst part of a brand; of equal ones the smallest key, which is the first row that the SQL meets."""
+    """The best and the worst part of a brand; of equal ones the smallest key, which is the first row that the SQL meets on one thread. A part without a price is neither."""
     k = c("p_retailprice") * 100000 + c("p_partkey") % 100000
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct(k, -c("p_partkey"))).alias("best"), F.min_by("p_partkey", F.struct(k, c("p_partkey"))).alias("worst"))
+    by = lambda tie: F.when(k.isNotNull(), F.struct(k, tie))
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", by(-c("p_partkey"))).alias("best"), F.min_by("p_partkey", by(c("p_partkey"))).alias("worst"))
 
 
 @_add("sort_table", R + "SELECT model, config, row_number() OVER (ORDER BY config, coalesce(pass, cons / 2) DESC, model) AS pos FROM (SELECT model, config, avg(CASE WHEN config <> 'src3' THEN pass_rate END) AS pass, avg(CASE WHEN consistent THEN 1.0E0 ELSE 0 END) AS cons FROM r GROUP BY model, config)")

@@ -108,3 +108,10 @@ def test_faithfulness_shuffles_no_pairs(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, item_id", plan)
     assert {(r.recall, r.covered) for r in out.collect()} == {(round(2 / 3, 9), True)} and out.count() == 15
+
+
+def test_best_worst_leaves_out_parts_without_a_price(spark, tmp_path):
+    parts = [(5, "a", None), (6, "a", 2.0), (7, "a", 1.0), (8, "b", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_brand: (r.best, r.worst) for r in QUERIES["win_best_worst"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (6, 7), "b": (None, None)}
