@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from corvane.operators import joins as J
 from corvane.plans.registry import QUERIES
 
 
@@ -115,3 +116,21 @@ def test_best_worst_leaves_out_parts_without_a_price(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_brand: (r.best, r.worst) for r in QUERIES["win_best_worst"](spark, str(tmp_path)).collect()}
     assert got == {"a": (6, 7), "b": (None, None)}
+
+
+def test_self_jaccard_verifies_pairs_in_turns(spark, tmp_path, monkeypatch):
+    """No turn verifies many more pairs than there are documents, and all turns together give every pair."""
+    n, turns = 60, []
+    spark.createDataFrame([(i, f"s{i}", "one and the same text") for i in range(n)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = J.materialize
+
+    def noted(df, *args):
+        out = before(df, *args)
+        if out.columns == ["a", "b", "j"]:
+            turns.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", noted)
+    got = [(r.a, r.b) for r in QUERIES["join_self_jaccard"](spark, str(tmp_path)).collect()]
+    assert len(got) == n * (n - 1) // 2 and set(got) == {(a, b) for a in range(n) for b in range(a + 1, n)}
+    assert sum(turns) == len(got) and max(turns) <= 4 * n
